@@ -60,7 +60,8 @@ def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFr
         *keys, F.coalesce("file_path", F.lit("")).alias("_file"),
         F.col("line_start").alias("_line"), cwe.alias("_cwe"), loose.alias("_loose"),
         F.col("reviewed_by").alias("_who")).distinct() \
-        .withColumn("_profile", F.xxhash64(*keys, "_file", "_line", "_cwe", "_loose", "_who"))
+        .withColumn("_profile", F.md5(F.to_json(F.struct(
+            *keys, "_file", "_line", "_cwe", "_loose", "_who")).cast("binary")))
     tags = lambda plain, with_cwe: F.when(
         F.col("_cwe").isNull(), F.transform("_loose", plain)).otherwise(
         F.concat(F.array(F.concat(F.lit("c:"), F.col("_cwe"))),
@@ -119,7 +120,8 @@ def carry_metadata(judged: DataFrame, inputs: DataFrame, carry, keys=SCAN,
     carry = list(carry)
     payload = F.struct(*carry, F.col("source").alias("_source"))
     base = inputs.select(
-        *keys, F.coalesce("file_path", F.lit("")).alias("_file"), "title",
+        *keys, F.coalesce("file_path", F.lit("")).alias("_file"),
+        F.coalesce("title", F.lit("")).alias("_title"),
         F.col("line_start").alias("_line"), F.col(order).alias("_ord"),
         payload.alias("_pay"))
 
@@ -138,13 +140,11 @@ def carry_metadata(judged: DataFrame, inputs: DataFrame, carry, keys=SCAN,
         return F.max_by(hit, F.col("_ord") if stage == "_line" else F.col("_hit._ord"))
 
     anyone = spread(base, [], first).withColumnRenamed("_hit", "_first")
-    titled = spread(base, ["title"], last).withColumnRenamed("_hit", "_last")
-    asks = judged.withColumn("_file", F.coalesce("file_path", F.lit(""))) \
-        .withColumn("_look", line_lookups(F.col("line_start"))) \
-        .withColumn("_row", F.monotonically_increasing_id())
-    want = asks.select(*keys, "_file", "title", "finding_id",
-                       F.explode("_look").alias("_at"))
-    best = want.join(titled, [*keys, "_file", "title", "_at"], "left").join(
+    titled = spread(base, ["_title"], last).withColumnRenamed("_hit", "_last")
+    want = judged.select(*keys, F.coalesce("file_path", F.lit("")).alias("_file"),
+                         F.coalesce("title", F.lit("")).alias("_title"), "finding_id",
+                         F.explode(line_lookups(F.col("line_start"))).alias("_at"))
+    best = want.join(titled, [*keys, "_file", "_title", "_at"], "left").join(
         anyone, [*keys, "_file", "_at"], "left").groupBy(*keys, "finding_id").agg(
         F.max_by("_last", F.col("_last._ord")).alias("_last"),
         F.min_by("_first", F.col("_first._ord")).alias("_first"))
