@@ -35,8 +35,8 @@ def normal_label(label: Column) -> Column:
 
 
 def _param_name(match: Column, pattern: str) -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(match, pattern, i))
-                        for i in range(1, 6)])
+    # only one of the five groups takes part in a match, the others are ''
+    return F.concat(*[F.regexp_extract(match, pattern, i) for i in range(1, 6)])
 
 
 def path_params(path: Column) -> Column:
@@ -185,7 +185,7 @@ def test_notes() -> Column:
         F.when(F.size("id_params") > 0, F.concat(
             F.lit("As user A request an object of user B ("),
             F.array_join("id_params", ", "),
-            F.lit("): 403/404 expected (object-level access)."))),
+            F.lit("): 403/404 expected (IDOR)."))),
         F.when(c("privileged") | F.coalesce(c("authz").isin("none", "unclear"), F.lit(False)),
                "Call with a low-privilege session: 403 expected (function-level access)."),
         F.when(c("state_changing"),

@@ -72,7 +72,8 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
     most severe *cap* per artifact, numbered h0, h1, ... (M6, W4, O6).
 
     Every rule reads the route plus two small summaries (its family and its
-    artifact), so a route's flags come out of one row without windows.
+    artifact), so a route's flags come out of one row without windows. *eps* is
+    read by several branches: pass a stored table or a pinned map.
     """
     keys = list(keys)
     c, label = F.col, _label()
@@ -125,7 +126,9 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
         "access.idor",
         F.concat(F.lit("Possible IDOR / missing object-level authorisation: "), label),
         F.concat(label, F.lit(" takes an object id ("), F.array_join("id_params", ", "),
-                 F.lit(") without an ownership check; id kind "), kind, F.lit(".")),
+                 F.lit(") without an ownership check."),
+                 F.when(kind == "uuid", " The id is a UUID and hard to guess.").when(
+                     kind == "numeric", " The id is numeric and enumerable.").otherwise("")),
         F.when(kind == "uuid", "low").when(changing, "high").otherwise("medium"),
         F.when(kind == "uuid", 0.2).when(kind == "numeric", 0.4).otherwise(0.3), "CWE-639"))
     per_route = rows.select(

@@ -318,11 +318,12 @@ def _derive(df: DataFrame, keys) -> DataFrame:
         "public_markers": text.matches(c("_both"), any_of(fixed.PUBLIC_HINTS)),
         "role_hints": text.matches(c("_both"), any_of(fixed.ROLE_HINTS)),
         "ownership_hints": text.matches(c("_htext"), any_of(fixed.OWNERSHIP_HINTS)),
-        "path_params": routes.path_params(c("path")), "id_params": routes.id_params(c("path")),
+        "path_params": routes.path_params(c("path")),
         "state_changing": routes.is_state_changing(c("method")),
         "sensitive": routes.is_sensitive(c("path"), c("handler")),
         "privileged": routes.is_privileged(c("path"), c("handler")),
         "resource": routes.resource_family(c("path"))})
+    rows = rows.withColumn("id_params", F.filter("path_params", routes.is_id_param))
     rows = rows.withColumns({
         "auth_scope": routes.auth_scope(c("public_markers"), c("route_auth"),
                                         c("file_auth"), c("_enforced")),

@@ -106,6 +106,12 @@ def ensure_checkpoint_dir(spark) -> None:
             tempfile.mkdtemp(prefix="auditspan-"), "checkpoints"))
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Store an intermediate that several branches read, and cut its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ordered_position(df: DataFrame, keys, order, name: str = "pos") -> DataFrame:
     """Exact 0-based position per group without gathering any group.
 

@@ -43,15 +43,15 @@ def candidate_files(files: DataFrame, keep=("artifact_id", "path")) -> DataFrame
 def _below(pos: Column) -> Column:
     """Function-like name in the next four lines."""
     names = F.transform(F.slice("_lines", pos + 2, 4),
-                        lambda t: extract(t, uni(fixed.FUNCTION_BELOW), 1))
-    return F.try_element_at(F.filter(names, lambda x: x.isNotNull()), F.lit(1))
+                        lambda t: F.regexp_extract(t, uni(fixed.FUNCTION_BELOW), 1))
+    return F.try_element_at(F.filter(names, lambda x: x != ""), F.lit(1))
 
 
 def _method_below(pos: Column) -> Column:
     """Class-method name under a decorator stack, seven lines at most."""
     rows = F.filter(F.transform(F.slice("_lines", pos + 2, 7), strip),
                     lambda t: (t != "") & ~t.startswith("@"))
-    return extract(F.try_element_at(rows, F.lit(1)), uni(fixed.CLASS_METHOD), 1)
+    return F.regexp_extract(F.try_element_at(rows, F.lit(1)), uni(fixed.CLASS_METHOD), 1)
 
 
 def _hints_above(pos: Column) -> Column:
@@ -61,6 +61,10 @@ def _hints_above(pos: Column) -> Column:
         t, F.lit(fixed.ROUTE_AUTH_HINT), F.lit(0))))
 
 
+def _or(c: Column, default: str) -> Column:
+    return F.when(c == "", F.lit(default)).otherwise(c)
+
+
 def _route(method, path, framework, handler) -> Column:
     def s(x):
         return (x if isinstance(x, Column) else F.lit(x)).cast("string")
@@ -74,7 +78,7 @@ def _routes(pos: Column) -> Column:
     t, lang = F.col("text"), F.col("_lang")
 
     def g(pattern, group):
-        return extract(t, uni(pattern), group)
+        return F.regexp_extract(t, uni(pattern), group)
 
     def hit(pattern):
         return t.rlike(uni(pattern))
@@ -82,17 +86,16 @@ def _routes(pos: Column) -> Column:
     flask_methods = F.transform(
         F.split(g(fixed.FLASK_ROUTE, 2), ","),
         lambda m: F.upper(F.btrim(strip(m), F.lit("'\""))))
-    flask = F.transform(F.coalesce(flask_methods, F.array(F.lit("GET"))),
-                        lambda m: _route(m, g(fixed.FLASK_ROUTE, 1), "flask", _below(pos)))
+    flask = F.transform(F.when(g(fixed.FLASK_ROUTE, 2) != "", flask_methods).otherwise(
+                            F.array(F.lit("GET"))), lambda m: _route(m, g(fixed.FLASK_ROUTE, 1), "flask", _below(pos)))
     django = g(fixed.DJANGO_ROUTE, 1)
-    sub = F.btrim(F.coalesce(g(fixed.NEST_METHOD, 2), F.lit("")), F.lit("/"))
+    sub = F.btrim(g(fixed.NEST_METHOD, 2), F.lit("/"))
     nest = F.concat(F.lit("/"), F.array_join(F.filter(
         F.array("_prefix", sub), lambda x: x != ""), "/"))
     verb = g(fixed.NEST_METHOD, 1)
     block = F.array_join(F.slice("_lines", pos + 1, 12), "\n")
-    block_url = extract(block, uni(fixed.BLOCK_URL), 1)
-    block_method = F.coalesce(F.upper(extract(block, uni(fixed.BLOCK_METHOD), 1)),
-                              F.lit("ANY"))
+    block_url = F.regexp_extract(block, uni(fixed.BLOCK_URL), 1)
+    block_method = _or(F.upper(F.regexp_extract(block, uni(fixed.BLOCK_METHOD), 1)), "ANY")
     express = F.upper(g(fixed.EXPRESS_ROUTE, 1))
     spring = F.upper(g(fixed.SPRING_MAPPING, 1))
     laravel = F.upper(g(fixed.LARAVEL_ROUTE, 1))
@@ -110,7 +113,7 @@ def _routes(pos: Column) -> Column:
             hit(fixed.NEST_METHOD), one(_route(
                 F.when(verb == "All", "ANY").otherwise(F.upper(verb)), nest, "nestjs",
                 _method_below(pos)))).when(
-            hit(fixed.FASTIFY_BLOCK) & block_url.isNotNull(), one(_route(
+            hit(fixed.FASTIFY_BLOCK) & (block_url != ""), one(_route(
                 block_method, block_url, "fastify", F.lit(None)))).when(
             hit(fixed.EXPRESS_ROUTE), one(_route(
                 F.when(express == "ALL", "ANY").otherwise(express),
@@ -119,9 +122,9 @@ def _routes(pos: Column) -> Column:
                 g(fixed.EXPRESS_ROUTE, 3)))))
         .when(lang == "java", F.when(hit(fixed.SPRING_MAPPING), one(_route(
             F.when(spring == "REQUEST", "ANY").otherwise(spring),
-            F.coalesce(g(fixed.SPRING_MAPPING, 2), F.lit("/")), "spring", _below(pos)))))
+            _or(g(fixed.SPRING_MAPPING, 2), "/"), "spring", _below(pos)))))
         .when(lang == "csharp", F.when(hit(fixed.ASPNET_HTTP), one(_route(
-            F.upper(g(fixed.ASPNET_HTTP, 1)), F.coalesce(g(fixed.ASPNET_HTTP, 2), F.lit("/")),
+            F.upper(g(fixed.ASPNET_HTTP, 1)), _or(g(fixed.ASPNET_HTTP, 2), "/"),
             "aspnet", _below(pos)))).when(hit(fixed.ASPNET_ROUTE), one(_route(
                 "ANY", g(fixed.ASPNET_ROUTE, 1), "aspnet", F.lit(None)))).when(
             hit(fixed.ASPNET_MAP), one(_route(
@@ -140,7 +143,7 @@ def _routes(pos: Column) -> Column:
         .when(lang == "php", F.when(hit(fixed.LARAVEL_ROUTE), one(_route(
             F.when(laravel.isin("MATCH", "ANY"), "ANY").otherwise(laravel),
             g(fixed.LARAVEL_ROUTE, 2), "laravel",
-            F.when(controller.isNotNull() & action.isNotNull(),
+            F.when((controller != "") & (action != ""),
                    F.concat(controller, F.lit("@"), action)))))))
 
 
@@ -206,7 +209,7 @@ def extract_routes(files: DataFrame, keep=("artifact_id", "path")) -> DataFrame:
     declared = found.select(
         *keys, F.col("r.method").alias("method"), F.col("r.path").alias("path"),
         F.col("path").alias("file_path"), (F.col("_pos") + 1).alias("line"),
-        F.col("r.framework").alias("framework"), F.col("r.handler").alias("handler"),
+        F.col("r.framework").alias("framework"), blank_to_null(F.col("r.handler")).alias("handler"),
         _hints_above(F.col("_pos")).alias("auth_hints"))
     placed = _file_routes(chosen, keep).select(
         *keys, "method", F.col("route").alias("path"), F.col("path").alias("file_path"),
