@@ -144,12 +144,10 @@ def harvested_ids(bodies: DataFrame, keys=("run_id", "role", "collection"), dept
     level = level.withColumn("_at", F.array().cast("array<int>"))
     found = None
     for _ in range(depth):
-        level.createOrReplaceTempView("_harvest_level")
-        cols = ", ".join(f"`{k}`" for k in keys)
-        opened = level.sparkSession.sql(
-            f"select {cols}, _at, e.pos as _pos, e.key as _key, e.value as _val "
-            f"from _harvest_level, lateral variant_explode_outer(_v) as e "
-            f"where e.pos is not null and (e.key is not null or e.pos < {per_list})")
+        opened = level.lateralJoin(level.sparkSession.tvf.variant_explode(
+            F.col("_v").outer())).where(c("key").isNotNull() | (c("pos") < per_list)).select(
+            *keys, "_at", c("pos").alias("_pos"), c("key").alias("_key"),
+            c("value").alias("_val"))
         kind = F.expr("schema_of_variant(_val)")
         at = F.concat("_at", F.array(c("_pos")))
         scalar = kind.isin("STRING", "BIGINT", "BOOLEAN")
