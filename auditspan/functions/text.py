@@ -151,11 +151,14 @@ def token_estimate(chars: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    """1234 -> 1.2K, 1234567 -> 1.23M."""
-    return (F.when(n >= 1_000_000, F.concat(
-                F.format_string("%.2f", n / F.lit(1e6)), F.lit("M")))
-            .when(n >= 1_000, F.concat(F.format_string("%.1f", n / F.lit(1e3)), F.lit("K")))
-            .otherwise(n.cast("string")))
+    """1234 -> 1.2K, 1234567 -> 1.23M (integer arithmetic, halves up)."""
+    def shown(unit: int, digits: int, mark: str) -> Column:
+        scale = 10 ** digits
+        parts = F.floor((n + unit // scale // 2) / (unit // scale)).cast("bigint")
+        return F.concat(F.floor(parts / scale).cast("string"), F.lit("."),
+                        F.lpad((parts % scale).cast("string"), digits, "0"), F.lit(mark))
+    return (F.when(n >= 1_000_000, shown(1_000_000, 2, "M"))
+            .when(n >= 1_000, shown(1_000, 1, "K")).otherwise(n.cast("string")))
 
 
 def tolerant_json(c: Column) -> Column:
