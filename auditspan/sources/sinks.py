@@ -193,10 +193,11 @@ def openapi_operations(endpoints: DataFrame, min_risk: str = "low", keys=SCAN) -
     rows = endpoints.where(routes.at_least_risk(c("risk"), c("heuristic_risk"), min_risk))
     rest = [n for n in endpoints.columns if n not in keys]
     wide = rows.select(*keys, routes.template_path(c("path")).alias("template"),
-                       F.explode(verbs).alias("verb"), F.struct(
+                       verbs.alias("_verbs"), F.struct(
                            *rest, risk.alias("_risk"),
                            routes.template_params(c("path")).alias("params"),
-                           routes.test_notes().alias("tests")).alias("ep"))
+                           routes.test_notes().alias("tests")).alias("ep")) \
+        .select(*keys, "template", F.explode("_verbs").alias("verb"), "ep")
     return wide.groupBy(*keys, "template", "verb").agg(F.max_by("ep", F.struct(
         labels.risk_rank(c("ep._risk")), c("ep.file_path"), c("ep.line"),
         c("ep.endpoint_id"))).alias("ep")).select(*keys, "template", "verb", "ep.*")

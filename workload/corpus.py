@@ -350,7 +350,7 @@ def benchmark_quotes(spark, sf):
 # ---- windows, excerpts, symbols ---------------------------------------------------------------
 @query("code_windows", f"""
 WITH ln AS ({DOC_LINES})
-SELECT v.finding_id, string_agg(concat(line_no, ': ', text), chr(10) ORDER BY line_no)[:8000] AS source_context
+SELECT v.finding_id, string_agg(CASE WHEN line_no IS NOT NULL THEN concat(line_no, ': ', text) END, chr(10) ORDER BY line_no)[:8000] AS source_context
 FROM v_cited v LEFT JOIN ln ON ln.artifact_id = v.artifact_id AND ln.path = v.file_path
   AND line_no BETWEEN greatest(CASE WHEN line_start = 0 THEN 1 ELSE line_start END - 2, 1)
   AND CASE WHEN line_end = 0 THEN CASE WHEN line_start = 0 THEN 1 ELSE line_start END ELSE line_end END + 2 GROUP BY 1""")
@@ -384,7 +384,8 @@ WITH d AS (SELECT artifact_id, path, line_no, nullif(coalesce(
 
 
 @query("enclosing_symbols", SYMBOL + """,
-f AS (SELECT artifact_id, path, line_no FROM v_code_lines),
+f AS (SELECT artifact_id, path, line_no FROM v_code_lines
+  QUALIFY NOT (text = '' AND line_no = max(line_no) OVER (PARTITION BY artifact_id, path))),
 b AS (SELECT artifact_id, path, min(line_no) AS lo FROM v_code_lines GROUP BY 1, 2)
 SELECT f.artifact_id, f.path AS file_path, f.line_no - b.lo + 1 AS line_start, (SELECT CASE WHEN length(arg_max(d.name, d.line_no)) >= 4
   THEN arg_max(d.name, d.line_no) END FROM d WHERE d.artifact_id = f.artifact_id AND d.path = f.path AND d.name IS NOT NULL
@@ -433,9 +434,9 @@ def code_excerpts(spark, sf):
 
 
 # ---- packing -----------------------------------------------------------------------------------
-JSON_LEN = (r"(2 + length(content) + length(regexp_replace(content, '[^""\\\n\r\t\x08\x0C]', '', 'g')) "
+JSON_LEN = (r"(2 + length(content) + length(regexp_replace(content, '[^\x22\\\n\r\t\x08\x0C]', '', 'g')) "
             r"+ 5 * length(regexp_replace(content, '[\x08\x09\x0A\x0C\x0D\x20-\x7F]', '', 'g')) "
-            r"+ 6 * length(regexp_replace(content, '[\x{0}-\x{FFFF}]', '', 'g')))").replace('""', '"')
+            r"+ 6 * length(regexp_replace(content, '[\x{0}-\x{FFFF}]', '', 'g')))")
 TOKENS = f"SELECT artifact_id, path, CAST(floor({JSON_LEN} / 3.0) AS BIGINT) AS tokens FROM v_files"
 
 
