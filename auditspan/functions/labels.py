@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import blank_to_null, lookup, safe_int, truncate
+from .text import blank_to_null, lookup, safe_int, strip, truncate
 
 
 def severity_rank(c: Column, unknown: int = 9) -> Column:
@@ -52,7 +52,7 @@ def truthy(c: Column) -> Column:
 
 
 def cwe_prefix(cwe: Column) -> Column:
-    return F.btrim(F.split_part(cwe, F.lit(":"), F.lit(1)))
+    return strip(F.split_part(cwe, F.lit(":"), F.lit(1)))
 
 
 def cwe_number(cwe: Column) -> Column:
@@ -85,8 +85,8 @@ def title_words(title: Column) -> Column:
 
 
 def group_key(cwe, category, title) -> Column:
-    return F.lower(F.btrim(F.coalesce(truthy(cwe), truthy(category), truthy(title),
-                                      F.lit("other"))))
+    return F.lower(strip(F.coalesce(truthy(cwe), truthy(category), truthy(title),
+                                    F.lit("other"))))
 
 
 def group_label(cwe, category, title) -> Column:

@@ -138,7 +138,7 @@ def ordered_position(df: DataFrame, keys, order, name: str = "pos") -> DataFrame
     joined = left.join(offsets.alias("r"), same([*keys, "_pid"], "l", "r"))
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("_spot") - F.col("_first") + F.col("_before")).cast("bigint").alias(name))
+        (F.col("l._spot") - F.col("r._first") + F.col("r._before")).cast("bigint").alias(name))
 
 
 # ---- line neighbourhoods ------------------------------------------------

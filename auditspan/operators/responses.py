@@ -234,7 +234,7 @@ def rate_audit(log: DataFrame, keys=("run_id",), order=("ts", "seq"),
     order = list(order)
     gaps = previous_value(log, keys, order, block, F.col("ts"), "_before")
     rows = running_totals(gaps, keys, order, block, request_no=F.lit(1))
-    micros = lambda t: F.unix_micros(t)
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
     gap = micros(F.col("ts")) - micros(F.col("_before"))
     return rows.withColumn("gap_us", gap).withColumn(
         "too_fast", F.coalesce(F.col("gap_us") < int(1e6 / max_rps), F.lit(False))) \

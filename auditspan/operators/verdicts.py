@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, labels
 from ..functions.labels import truthy
-from ..functions.text import safe_int, truncate
+from ..functions.text import safe_int, strip, truncate
 
 SCAN = ("scan_id",)
 
@@ -57,7 +57,7 @@ def stored_candidates(findings: DataFrame, repaired: str | None = None) -> DataF
     """Scanner candidates rebuilt from stored findings, with repairs."""
     c = F.col
     path = F.coalesce(c(repaired), c("file_path")) if repaired else c("file_path")
-    snippet = F.when(F.btrim("code_snippet") == "requires login", None).otherwise(
+    snippet = F.when(strip(c("code_snippet")) == "requires login", None).otherwise(
         c("code_snippet"))
     rows = findings.where(c("source").isin("semgrep", "sonarqube"))
     return _replace(rows, file_path=path, code_snippet=snippet,

@@ -66,7 +66,7 @@ def sast_candidates(docs: DataFrame, keys=SCAN, floor: str = "WARNING") -> DataF
         F.coalesce(meta["category"], F.lit("security")).alias("category"),
         F.regexp_replace(F.coalesce("r.path", F.lit("")), r"^(\./+)+", "").alias("file_path"),
         F.col("r.start.line").alias("line_start"), F.col("r.end.line").alias("line_end"),
-        F.when(F.btrim(lines) == "requires login", "").otherwise(lines).alias("code_snippet"))
+        F.when(text.strip(lines) == "requires login", "").otherwise(lines).alias("code_snippet"))
 
 
 def with_context(candidates: DataFrame, files: DataFrame, keys=SCAN, radius: int = 3):
@@ -165,7 +165,7 @@ def dynamic_findings(docs: DataFrame, keys=SCAN) -> DataFrame:
         d["issues"], d["findings"], d["scan_issues"], nested)).alias("r"))
     t = lambda *names: F.coalesce(*[truthy(F.col(f"r.{n}")) for n in names])
     url = F.coalesce(t("url", "origin"), F.lit(""))
-    shown = F.coalesce(*[F.when(F.btrim(F.col(f"r.{n}")) != "", F.col(f"r.{n}")) for n in
+    shown = F.coalesce(*[F.when(text.strip(F.col(f"r.{n}")) != "", F.col(f"r.{n}")) for n in
                          ("evidence", "request_response", "proof", "request")])
     return rows.select(
         *keys, F.substring(F.coalesce(t("name", "issue_name", "type"), F.lit("Issue")), 1, 300)

@@ -368,7 +368,7 @@ def events(spark, sf):
 VIEWS["v_feed"] = """
 SELECT scan_id, seq, ts, CASE WHEN type = 'failed' AND event_id % 9 <> 0 THEN 'stage' ELSE type END AS type, stage,
   CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'done' END AS state,
-  CASE WHEN event_id % 2 = 0 THEN CAST(value AS INT) END AS done, CAST(100 AS INT) AS total,
+  CASE WHEN event_id % 2 = 0 THEN CAST(floor(value) AS INT) END AS done, CAST(100 AS INT) AS total,
   CASE WHEN type = 'status' THEN concat('s', event_id % 4) END AS status,
   CASE WHEN type = 'log' AND event_id % 5 = 0 THEN 'paused' WHEN type = 'log' AND event_id % 5 = 1 THEN 'resume' END AS control,
   CASE WHEN type = 'log' AND event_id % 5 = 2 THEN event_id END AS tokens, concat('t', event_id % 7, ' ') AS text FROM v_events"""
