@@ -48,42 +48,50 @@ def block_start(lines: Column, line: Column) -> Column:
     return line - run
 
 
-def block_end(lines: Column, line: Column, ext: Column, cap: int = 80) -> Column:
-    """Last line of the definition that starts at *line*."""
-    n = F.size(lines)
-    last = F.least(n, line + cap)
-    body = text.line_window(lines, line, last)
+def with_block_end(df: DataFrame, lines: Column, line: Column, ext: Column, name: str,
+                   cap: int = 80) -> DataFrame:
+    """Add the last line of the definition that starts at *line*.
 
-    # Python: from the def line to the dedent
+    The anchor values are columns of their own, so the folds below read them
+    instead of recomputing them for every line.
+    """
+    c, n = F.col, F.size(lines)
+    body = text.line_window(lines, line, F.least(n, line + cap))
     def_at = F.array_position(F.transform(body, lambda t: t.rlike(PYTHON_DEF)), F.lit(True))
-    start = F.when(def_at > 0, line + def_at - 1).otherwise(last).cast("int")
-    base = text.indent(F.try_element_at(lines, start))
+    df = df.withColumns({"_last": F.least(n, line + cap), "_body": body,
+                         "_defat": F.when(ext == ".py", def_at)})
+    df = df.withColumn("_from", F.when(ext == ".py", F.when(
+        c("_defat") > 0, line + c("_defat") - 1).otherwise(c("_last"))).otherwise(line)
+        .cast("int"))
+    df = df.withColumn("_base", text.indent(F.try_element_at(lines, c("_from"))))
+
+    # Python: from the def line to the dedent
     py = F.aggregate(
-        text.line_window(lines, start + 1, last),
-        F.struct(start.alias("end"), start.alias("at"), F.lit(False).alias("stop")),
+        F.slice("_body", F.greatest(c("_from") - line + 2, F.lit(1)), F.lit(cap + 1)),
+        F.struct(c("_from").alias("end"), c("_from").alias("at"), F.lit(False).alias("stop")),
         lambda a, t: F.struct(
-            F.when(a["stop"] | (strip(t) == "") | _dedents(t, base), a["end"])
+            F.when(a["stop"] | (strip(t) == "") | _dedents(t, c("_base")), a["end"])
             .otherwise(a["at"] + 1).alias("end"),
             (a["at"] + 1).alias("at"),
-            (a["stop"] | ((strip(t) != "") & _dedents(t, base))).alias("stop")),
+            (a["stop"] | ((strip(t) != "") & _dedents(t, c("_base")))).alias("stop")),
         lambda a: a["end"])
 
     # Ruby: the first `end` that is not deeper than the definition
-    outer = text.indent(F.try_element_at(lines, line))
-    ends = F.filter(F.transform(text.line_window(lines, line + 1, last), lambda t, i: F.when(
-        (strip(t) == "end") & (text.indent(t) <= outer), line + 1 + i)),
+    ends = F.filter(F.transform("_body", lambda t, i: F.when(
+        (i > 0) & (strip(t) == "end") & (text.indent(t) <= c("_base")), line + i)),
         lambda x: x.isNotNull())
-    rb = F.coalesce(F.try_element_at(ends, F.lit(1)), last)
+    rb = F.coalesce(F.try_element_at(ends, F.lit(1)), c("_last"))
 
     # Brace languages: balanced braces, or `;` while nothing was opened
     brace = F.aggregate(
-        body,
+        "_body",
         F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"),
                  F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")),
         lambda a, t: _brace_step(a, t),
-        lambda a: F.coalesce(line + a["end"] - 1, last))
-    return F.when((n == 0) | (line > n), F.least(line, n)).otherwise(
+        lambda a: F.coalesce(line + a["end"] - 1, c("_last")))
+    end = F.when((n == 0) | (line > n), F.least(line, n)).otherwise(
         F.when(ext == ".py", py).when(ext == ".rb", rb).otherwise(brace)).cast("int")
+    return df.withColumn(name, end).drop("_last", "_body", "_defat", "_from", "_base")
 
 
 def _dedents(t: Column, base: Column) -> Column:
@@ -103,12 +111,16 @@ def _brace_step(a: Column, t: Column) -> Column:
                     .alias("end"))
 
 
-def file_auth_index(lines: Column) -> Column:
+def class_lines(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda t, i: F.when(
+        t.contains("class") & t.rlike(uni(fixed.CLASS_DECLARATION)), i + 1)),
+        lambda x: x.isNotNull())
+
+
+def file_auth_index(lines: Column, classes: Column) -> Column:
     """(start, end, hint) of auth that covers routes declared after it; class
-    attributes cover their class only (T21, W12)."""
+    attributes cover their class only (T21, W12). *classes* is a stored column."""
     n = F.size(lines)
-    classes = F.filter(F.transform(lines, lambda t, i: F.when(
-        t.rlike(uni(fixed.CLASS_DECLARATION)), i + 1)), lambda x: x.isNotNull())
     file_wide, on_class = any_of(fixed.FILE_AUTH), fixed.CLASS_ATTRIBUTE
 
     def entry(t, i):
@@ -237,7 +249,8 @@ def access_map(endpoints: DataFrame, files: DataFrame, context: DataFrame | None
     sides = files.select(*keys, c("path").alias("file_path"),
                          text.lines_of(c("content")).alias("_lines")) \
         .join(per_file, [*keys, "file_path"]) \
-        .withColumn("_auth", file_auth_index(c("_lines")))
+        .withColumn("_classes", class_lines(c("_lines"))) \
+        .withColumn("_auth", file_auth_index(c("_lines"), c("_classes"))).drop("_classes")
     remote = remote_handlers(eps, files, keys)
     fw, key, symbol = _handler_keys()
     tagged = eps.withColumns({"_fw": fw, "_key": key, "_symbol": symbol}).alias("e")
@@ -265,7 +278,8 @@ def _local_line() -> Column:
     name = F.element_at(F.split(F.coalesce("handler", F.lit("")), r"\."), -1)
     window = text.line_window(c("_lines"), c("line"), c("line") + 8)
     spots = F.filter(F.transform(window, lambda t, i: F.when(
-        F.array_contains(defined_words(t), name), c("line") + i)), lambda x: x.isNotNull())
+        t.contains(name) & F.array_contains(defined_words(t), name), c("line") + i)),
+        lambda x: x.isNotNull())
     table = F.lower("framework").isin("rails", "laravel", "django")
     return F.when(table | ~name.rlike(uni(r"^\w+$")), c("line")).otherwise(
         F.coalesce(F.try_element_at(spots, F.lit(1)), c("line")))
@@ -277,10 +291,12 @@ def _near(df: DataFrame) -> DataFrame:
     rows = df.withColumn("handler_file", c("file_path")).withColumn(
         "handler_line", F.coalesce("_hline", _local_line()))
     following = F.try_element_at(F.filter("_routes", lambda r: r > c("line")), F.lit(1))
-    own_end = block_end(c("_lines"), c("handler_line"), ext)
-    end = F.greatest(F.least(own_end, block_start(c("_lines"), following) - 1), c("line"))
-    rows = rows.withColumn("handler_start", block_start(c("_lines"), c("line"))) \
-        .withColumn("handler_end", end)
+    rows = with_block_end(rows, c("_lines"), c("handler_line"), ext, "_own")
+    rows = rows.withColumn("_next", following).withColumns({
+        "handler_start": block_start(c("_lines"), c("line")),
+        "handler_end": F.greatest(F.least(
+            c("_own"), block_start(c("_lines"), c("_next")) - 1), c("line"))}) \
+        .drop("_own", "_next")
     return rows.withColumns({
         "_htext": F.array_join(text.line_window(
             c("_lines"), c("handler_start"), c("handler_end")), "\n"),
@@ -294,12 +310,13 @@ def _far(df: DataFrame, files: DataFrame, keys) -> DataFrame:
     wanted = df.select(*keys, c("_hfile").alias("path")).distinct()
     sides = files.join(wanted, [*keys, "path"], "left_semi").select(
         *keys, c("path").alias("_hfile"), text.lines_of(c("content")).alias("_hlines")) \
-        .withColumn("_hauth", file_auth_index(c("_hlines")))
+        .withColumn("_hclasses", class_lines(c("_hlines"))) \
+        .withColumn("_hauth", file_auth_index(c("_hlines"), c("_hclasses"))).drop("_hclasses")
     rows = df.join(sides, [*keys, "_hfile"]).withColumn("handler_file", c("_hfile")) \
         .withColumn("handler_line", c("_hline"))
-    rows = rows.withColumn("handler_start", block_start(c("_hlines"), c("handler_line"))) \
-        .withColumn("handler_end", block_end(c("_hlines"), c("handler_line"),
-                                             paths.extension(c("_hfile"))))
+    rows = with_block_end(rows, c("_hlines"), c("handler_line"), paths.extension(c("_hfile")),
+                          "handler_end").withColumn(
+        "handler_start", block_start(c("_hlines"), c("handler_line")))
     return rows.withColumns({
         "_htext": F.array_join(text.line_window(
             c("_hlines"), c("handler_start"), c("handler_end")), "\n"),

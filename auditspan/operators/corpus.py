@@ -84,20 +84,22 @@ def numbered_lines(files: DataFrame, keep=("artifact_id", "path")) -> DataFrame:
 def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
               language: Column | None = None) -> DataFrame:
     """One row per (line, rule). Rules are literals of the plan, so every pattern
-    is compiled once; a whole-content gate skips files before lines are exploded."""
+    is compiled once; literal tests skip whole files, then lines, before a pattern
+    is tried."""
     lang = paths.language(F.col("path")) if language is None else language
     base = files.select(*keep, "content", lang.alias("_lang"))
     line_rules = [r for r in rules if r.pattern and not r.multiline]
     block_rules = [r for r in rules if r.pattern and r.multiline]
     parts = []
     if line_rules:
-        gate = "|".join(f"(?:{r.pattern})" for r in line_rules)
-        lines = (base.where(F.col("content").rlike(gate))
+        lines = (base.where(_possible(F.lower("content"), line_rules))
                  .select(*keep, "_lang", F.posexplode(text.lines_of(F.col("content")))
                          .alias("_pos", "text"))
-                 .where(F.col("text").rlike(gate)))
+                 .withColumn("_low", F.lower("text"))
+                 .where(_possible(F.col("_low"), line_rules)))
         hits = F.array_compact(F.array(*[
-            F.when(_applies(r) & F.col("text").rlike(r.pattern), F.struct(
+            F.when(_applies(r) & _possible(F.col("_low"), [r])
+                   & F.col("text").rlike(r.pattern), F.struct(
                 F.lit(r.rule_id).alias("rule"),
                 F.substring(F.regexp_extract("text", r.pattern, 0), 1, 200)
                 .alias("matched"))) for r in line_rules]))
@@ -105,7 +107,8 @@ def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
                                   F.explode(hits).alias("h"))
                      .select(*keep, "line_no", "h.rule", "h.matched"))
     for r in block_rules:
-        found = base.where(_applies(r) & F.col("content").rlike(r.pattern))
+        found = base.where(_applies(r) & _possible(F.lower("content"), [r])
+                           & F.col("content").rlike(r.pattern))
         rows = F.arrays_zip(
             _match_lines(F.col("content"), r.pattern).alias("n"),
             F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias("m"))
@@ -118,6 +121,17 @@ def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
     return out
 
 
+def _possible(low: Column, rules) -> Column:
+    """Cheap literal test ahead of the patterns; a rule without needles may match."""
+    tests = [text.contains_any(low, r.needles) for r in rules if r.needles]
+    if len(tests) < len(rules):
+        return F.lit(True)
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def _applies(rule) -> Column:
     if "generic" in rule.languages:
         return F.lit(True)

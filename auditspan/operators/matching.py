@@ -26,7 +26,7 @@ def unaddressed_hits(hits: DataFrame, findings: DataFrame, keys=SCAN,
     without a line sits on line 0.
     """
     at = findings.where(truthy(F.col("file_path")).isNotNull()).select(
-        *keys, "file_path", F.coalesce("line_start", F.lit(0)).alias("_line")).distinct()
+        *keys, "file_path", F.coalesce("line_start", F.lit(0)).alias("_line"))
     covered = at.select(*keys, "file_path", F.explode(F.concat(
         F.sequence(F.col("_line") - reach, F.col("_line") + reach),
         F.array(F.lit(None).cast("int")))).alias("_at")).distinct()
@@ -45,61 +45,63 @@ def silent_sink_files(scores: DataFrame, findings: DataFrame, keys=("artifact_id
 
 
 # ---- reviewer agreement (J6, D9) -------------------------------------------
+def _key(name: str, *parts) -> dict:
+    """Two independent 64-bit hashes standing for a composite key: fixed width for
+    joins and aggregations, and together wide enough not to collide."""
+    marked = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    return {f"{name}1": F.xxhash64(*marked), f"{name}2": F.xxhash64(F.lit(7), *marked)}
+
+
 def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFrame:
     """Findings with the number of distinct reviewers reporting the same issue.
 
     Same issue: same file, lines within 3 or unknown, and equal CWE, or (when
-    not both have one) a shared title word or an equal category.
+    not both have one) a shared title word or an equal category. Files only one
+    reviewer reported on are settled by one small aggregation; rows that look
+    alike share a profile, so copies collapse before anything is joined.
     """
-    cwe = labels.cwe_prefix(truthy(F.col("cwe")))
+    c = F.col
+    cwe = labels.cwe_prefix(truthy(c("cwe")))
     loose = F.concat(
-        F.transform(labels.title_words(F.col("title")), lambda w: F.concat(F.lit("w:"), w)),
-        F.array_compact(F.array(F.concat(F.lit("k:"), truthy(F.col("category"))))))
-    # rows that look alike share one profile: duplicates collapse before any join
-    profile = findings.select(
-        *keys, F.coalesce("file_path", F.lit("")).alias("_file"),
-        F.col("line_start").alias("_line"), cwe.alias("_cwe"), loose.alias("_loose"),
-        F.col("reviewed_by").alias("_who")).distinct() \
-        .withColumn("_profile", F.md5(F.to_json(F.struct(
-            *keys, "_file", "_line", "_cwe", "_loose", "_who")).cast("binary")))
-    tags = lambda plain, with_cwe: F.when(
-        F.col("_cwe").isNull(), F.transform("_loose", plain)).otherwise(
-        F.concat(F.array(F.concat(F.lit("c:"), F.col("_cwe"))),
-                 F.transform("_loose", with_cwe)))
-    # "n" tags are met by everyone, "m" tags only by rows without a CWE
-    offered = F.when(F.col("_cwe").isNull(), F.concat(
-        F.transform("_loose", lambda t: F.concat(F.lit("n"), t)),
-        F.transform("_loose", lambda t: F.concat(F.lit("m"), t)))).otherwise(
-        tags(lambda t: t, lambda t: F.concat(F.lit("n"), t)))
-    asked = tags(lambda t: F.concat(F.lit("n"), t), lambda t: F.concat(F.lit("m"), t))
-    seen = (profile.where("_who is not null")
-            .select(*keys, "_file", "_who", "_line", F.explode(offered).alias("_tag"))
-            .select(*keys, "_file", "_who", "_tag",
-                    F.explode(line_targets(F.col("_line"))).alias("_at")).distinct()
-            .groupBy(*keys, "_file", "_tag", "_at")
-            .agg(F.collect_set("_who").alias("_peers")))
-    wants = (profile.select("_profile", *keys, "_file", "_line",
-                            F.explode(asked).alias("_tag"))
-             .select("_profile", *keys, "_file", "_tag",
-                     F.explode(line_lookups(F.col("_line"))).alias("_at")))
-    agreed = (wants.join(seen, [*keys, "_file", "_tag", "_at"])
-              .select("_profile", F.explode("_peers").alias("_peer")).distinct()
-              .groupBy("_profile").agg(F.collect_set("_peer").alias("_peers")))
-    counted = profile.join(agreed, "_profile", "left").select(
-        *keys, "_file", "_line", "_cwe", "_loose", "_who",
-        F.greatest(F.lit(1), F.size(F.array_union(
-            F.coalesce("_peers", F.array().cast("array<string>")),
-            F.array_compact(F.array("_who"))))).alias("agreement"))
-    f = findings.withColumns({
-        "_file": F.coalesce("file_path", F.lit("")), "_line": F.col("line_start"),
-        "_cwe": cwe, "_loose": loose, "_who": F.col("reviewed_by")}).alias("f")
-    c = counted.alias("c")
-    on = F.lit(True)
-    for k in (*keys, "_file", "_line", "_cwe", "_loose", "_who"):
-        on = on & F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}"))
-    return f.join(c, on).select(
-        *[F.col(f"f.{n}") for n in findings.columns],
-        F.col("c.agreement").cast("int").alias("agreement"),
+        F.transform(labels.title_words(c("title")), lambda w: F.concat(F.lit("w:"), w)),
+        F.array_compact(F.array(F.concat(F.lit("k:"), truthy(c("category"))))))
+    group = [*[c(k) for k in keys], F.coalesce("file_path", F.lit(""))]
+    marked = findings.withColumns({
+        **_key("_g", *group),
+        **_key("_p", *group, c("line_start"), cwe, F.array_join(loose, "\x01"),
+               c("reviewed_by"))})
+    profile = marked.select(
+        "_g1", "_g2", "_p1", "_p2", c("line_start").alias("_line"), cwe.alias("_cwe"),
+        loose.alias("_loose"), c("reviewed_by").alias("_who")) \
+        .dropDuplicates(["_p1", "_p2"])
+    shared = marked.groupBy("_g1", "_g2").agg(
+        F.min("reviewed_by").alias("_a"), F.max("reviewed_by").alias("_b")) \
+        .where(c("_a") != c("_b")).select("_g1", "_g2")
+    active = profile.join(shared, ["_g1", "_g2"], "left_semi")
+    has = c("_cwe").isNotNull()
+    mark = lambda m: F.transform("_loose", lambda t: F.concat(F.lit(m), t))
+    exact = F.array_compact(F.array(F.concat(F.lit("c:"), c("_cwe"))))
+    # "n" tags are met by rows without a CWE, "m" tags only by rows with one
+    offered = F.concat(exact, mark("n"), F.when(~has, mark("m")).otherwise(
+        F.array().cast("array<string>")))
+    asked = F.concat(exact, F.when(has, mark("m")).otherwise(mark("n")))
+    tag = lambda rows: rows.select(
+        *[x for x in rows.columns if x not in ("_g1", "_g2", "_tag")],
+        *[v.alias(k) for k, v in _key("_t", c("_g1"), c("_g2"), c("_tag")).items()])
+    seen = (tag(active.where("_who is not null").select(
+        "_g1", "_g2", "_who", "_line", F.explode(offered).alias("_tag")))
+        .select("_t1", "_t2", "_who", F.explode(line_targets(c("_line"))).alias("_at"))
+        .distinct())
+    wants = (tag(active.select("_g1", "_g2", "_p1", "_p2", "_line",
+                               F.explode(asked).alias("_tag")))
+             .select("_p1", "_p2", "_t1", "_t2",
+                     F.explode(line_lookups(c("_line"))).alias("_at")))
+    peers = wants.join(seen, ["_t1", "_t2", "_at"]).select("_p1", "_p2", "_who") \
+        .unionByName(active.where("_who is not null").select("_p1", "_p2", "_who"))
+    counted = peers.groupBy("_p1", "_p2").agg(F.count_distinct("_who").alias("_n"))
+    return marked.join(counted, ["_p1", "_p2"], "left").select(
+        *[c(n) for n in findings.columns],
+        F.coalesce(c("_n"), F.lit(1)).cast("int").alias("agreement"),
         F.lit(reviewers).alias("reviewers"))
 
 

@@ -64,6 +64,12 @@ def _next_starts(tokens: np.ndarray, limit: int):
     return prefix, nxt, left, closed
 
 
+def _by_length(rows: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """Groups of several blocks (to be chained) and groups that fit into one."""
+    n = rows.groupBy(*keys).agg(F.max("_block").alias("_b"))
+    return n.where("_b > 0").select(*keys), n.where("_b = 0").select(*keys)
+
+
 def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOCK):
     """Batch number per file: path order, a new batch when the next file would
     exceed the limit (a file larger than the limit gets its own)."""
@@ -78,7 +84,7 @@ def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOC
         T.StructField("left", T.ArrayType(T.LongType())),
         T.StructField("closed", T.ArrayType(T.LongType()))])
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = pdf.sort_values("pos")["tokens"].to_numpy(np.int64)
         prefix, _, left, closed = _next_starts(tokens, token_limit)
         sums = prefix[1:]
@@ -87,12 +93,14 @@ def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOC
                               left[:useful].tolist(), closed[:useful].tolist()]],
                             columns=[f.name for f in summary_schema])
 
-    summaries = rows.groupBy(*keys, "_block").applyInPandas(summarise, summary_schema)
+    long, short = _by_length(rows, keys)
+    summaries = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(
+        summarise, summary_schema)
     entry_schema = T.StructType([
         *key_fields, T.StructField("_block", T.LongType()),
         T.StructField("_carry", T.LongType()), T.StructField("_batch", T.LongType())])
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         carry, batch, out = -1, 0, []
         for r in pdf.sort_values("_block").itertuples():
             out.append([*key, r[pdf.columns.get_loc("_block") + 1], carry, batch])
@@ -105,12 +113,15 @@ def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOC
                 carry, batch = int(r.left[j]), batch + 1 + int(r.closed[j])
         return pd.DataFrame(out, columns=[f.name for f in entry_schema])
 
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
+    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema).unionByName(
+        short.select(*keys, F.lit(0).cast("bigint").alias("_block"),
+                     F.lit(-1).cast("bigint").alias("_carry"),
+                     F.lit(0).cast("bigint").alias("_batch")))
     out_schema = T.StructType([
         *key_fields, rows.schema["path"], T.StructField("tokens", T.LongType()),
         T.StructField("pos", T.LongType()), T.StructField("batch", T.LongType())])
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         tokens = pdf["tokens"].to_numpy(np.int64)
         carry, batch = int(pdf["_carry"].iat[0]), int(pdf["_batch"].iat[0])
@@ -160,30 +171,35 @@ def endpoint_batches(endpoints: DataFrame, per: int = 40, keys=DOC, block: int =
             size = np.where(full, 1, size + 1)
         return size, closed
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         changed = pdf.sort_values("pos")["_changed"].to_numpy(bool)
         size, closed = run(changed, np.arange(per + 1), np.zeros(per + 1, dtype=np.int64))
         return pd.DataFrame([[*key, size.tolist(), closed.tolist()]],
                             columns=[f.name for f in summary_schema])
 
-    summaries = rows.groupBy(*keys, "_block").applyInPandas(summarise, summary_schema)
+    long, short = _by_length(rows, keys)
+    summaries = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(
+        summarise, summary_schema)
     entry_schema = T.StructType([
         *key_fields, T.StructField("_block", T.LongType()),
         T.StructField("_size", T.LongType()), T.StructField("_batch", T.LongType())])
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size, batch, out = 0, 0, []
         for r in pdf.sort_values("_block").to_dict("records"):
             out.append([*key, r["_block"], size, batch])
             size, batch = int(r["sizes"][size]), batch + int(r["closed"][size])
         return pd.DataFrame(out, columns=[f.name for f in entry_schema])
 
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema)
+    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema).unionByName(
+        short.select(*keys, F.lit(0).cast("bigint").alias("_block"),
+                     F.lit(0).cast("bigint").alias("_size"),
+                     F.lit(0).cast("bigint").alias("_batch")))
     out_schema = T.StructType([
         *key_fields, rows.schema["endpoint_id"], T.StructField("pos", T.LongType()),
         T.StructField("batch", T.LongType())])
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         size, batch, out = int(pdf["_size"].iat[0]), int(pdf["_batch"].iat[0]), []
         for moved in pdf["_changed"].to_numpy(bool):

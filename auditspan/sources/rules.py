@@ -161,6 +161,35 @@ PATTERNS = {
 }
 MULTILINE = ("cloud.k8s-secret-env-var",)
 
+# ---- text every match of a pattern holds, lower-cased: one of these words; they
+# only save regular-expression work and never change a result (fixed values)
+NEEDLES = {
+    "auth.hardcoded-aws-key": ("akia", "abia", "acca", "asia"),
+    "auth.hardcoded-private-key": ("private key-----",),
+    "auth.hardcoded-bearer-token": ("bearer",),
+    "auth.hardcoded-generic-secret":
+        ("password", "secret", "token", "api_key", "apikey", "api-key", "passwd",
+         "credential"),
+    "injection.sql-string-concat-go": ("query(", "exec(", "queryrow("),
+    "ssrf.cloud-metadata-endpoint":
+        ("169.254.169.254", "metadata.google.internal", "100.100.100.200"),
+    "modern.http-request-smuggling": ("chunked",),
+    "config.sensitive-data-in-url":
+        ("password=", "token=", "secret=", "api_key=", "apikey="),
+    "config.default-credentials": tuple(
+        q + v + q for q in ("'", '"') for v in
+        ("admin", "root", "password", "test", "default", "123456", "passwd", "guest",
+         "changeme", "letmein")) + tuple(
+        a + v + b for a, b in (("'", '"'), ('"', "'")) for v in
+        ("admin", "root", "password", "test", "default", "123456", "passwd", "guest",
+         "changeme", "letmein")),
+    "config.spring-actuator-exposed": ("management.endpoints.web.exposure.include",),
+    "cloud.gcp-service-account-key": ("service_account",),
+    "cloud.docker-socket-mount": ("/var/run/docker.sock",),
+    "cloud.docker-socket-compose": ("/var/run/docker.sock",),
+    "cloud.k8s-secret-env-var": ("secretkeyref:",),
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -175,6 +204,7 @@ class Rule:
     pattern: str | None = None
     multiline: bool = False
     message: str = ""
+    needles: tuple[str, ...] = ()
 
 
 def built_in_rules(namespace: str = "") -> list[Rule]:
@@ -185,7 +215,7 @@ def built_in_rules(namespace: str = "") -> list[Rule]:
         rules.append(Rule(
             namespace + rid, sev, tuple(langs.split()), f"CWE-{cwe}", cat, conf, impact,
             OWASP[owasp], PATTERNS.get(rid), rid in MULTILINE,
-            rid.split(".", 1)[1].replace("-", " ")))
+            rid.split(".", 1)[1].replace("-", " "), NEEDLES.get(rid, ())))
     return rules
 
 
@@ -199,7 +229,8 @@ def load_rules(directory: str) -> list[Rule]:
     rules = []
     for path in sorted(Path(directory).glob("*.json")):
         for d in json.loads(path.read_text()):
-            rules.append(Rule(**{**d, "languages": tuple(d["languages"])}))
+            rules.append(Rule(**{**d, "languages": tuple(d["languages"]),
+                                 "needles": tuple(d.get("needles", ()))}))
     return rules
 
 
