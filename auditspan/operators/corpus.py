@@ -92,13 +92,12 @@ def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
     block_rules = [r for r in rules if r.pattern and r.multiline]
     parts = []
     if line_rules:
-        lines = (base.where(_possible(F.lower("content"), line_rules))
+        lines = (base.where(_possible(F.col("content"), line_rules))
                  .select(*keep, "_lang", F.posexplode(text.lines_of(F.col("content")))
                          .alias("_pos", "text"))
-                 .withColumn("_low", F.lower("text"))
-                 .where(_possible(F.col("_low"), line_rules)))
+                 .where(_possible(F.col("text"), line_rules)))
         hits = F.array_compact(F.array(*[
-            F.when(_applies(r) & _possible(F.col("_low"), [r])
+            F.when(_applies(r) & _possible(F.col("text"), [r])
                    & F.col("text").rlike(r.pattern), F.struct(
                 F.lit(r.rule_id).alias("rule"),
                 F.substring(F.regexp_extract("text", r.pattern, 0), 1, 200)
@@ -107,7 +106,7 @@ def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
                                   F.explode(hits).alias("h"))
                      .select(*keep, "line_no", "h.rule", "h.matched"))
     for r in block_rules:
-        found = base.where(_applies(r) & _possible(F.lower("content"), [r])
+        found = base.where(_applies(r) & _possible(F.col("content"), [r])
                            & F.col("content").rlike(r.pattern))
         rows = F.arrays_zip(
             _match_lines(F.col("content"), r.pattern).alias("n"),
@@ -121,15 +120,13 @@ def rule_hits(files: DataFrame, rules, keep=("artifact_id", "path"),
     return out
 
 
-def _possible(low: Column, rules) -> Column:
-    """Cheap literal test ahead of the patterns; a rule without needles may match."""
-    tests = [text.contains_any(low, r.needles) for r in rules if r.needles]
-    if len(tests) < len(rules):
+def _possible(content: Column, rules) -> Column:
+    """Cheap literal test ahead of the patterns; a rule without needles may match.
+    The one-element array binds the lower-cased text once for all needles."""
+    words = sorted({n for r in rules for n in r.needles})
+    if not all(r.needles for r in rules):
         return F.lit(True)
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+    return F.exists(F.array(F.lower(content)), lambda low: text.contains_any(low, words))
 
 
 def _applies(rule) -> Column:

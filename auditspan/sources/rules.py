@@ -177,10 +177,7 @@ NEEDLES = {
     "config.sensitive-data-in-url":
         ("password=", "token=", "secret=", "api_key=", "apikey="),
     "config.default-credentials": tuple(
-        q + v + q for q in ("'", '"') for v in
-        ("admin", "root", "password", "test", "default", "123456", "passwd", "guest",
-         "changeme", "letmein")) + tuple(
-        a + v + b for a, b in (("'", '"'), ('"', "'")) for v in
+        quote + value for quote in ("'", '"') for value in
         ("admin", "root", "password", "test", "default", "123456", "passwd", "guest",
          "changeme", "letmein")),
     "config.spring-actuator-exposed": ("management.endpoints.web.exposure.include",),

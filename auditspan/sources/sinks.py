@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, routes
 from ..functions.labels import truthy
-from ..operators.ordered import ordered_position
+from ..operators.ordered import ordered_position, top_n
 
 SCAN = ("scan_id",)
 
@@ -204,13 +204,24 @@ def openapi_operations(endpoints: DataFrame, min_risk: str = "low", keys=SCAN) -
 
 
 def openapi_fragments(endpoints: DataFrame, findings: DataFrame, keys=SCAN,
-                      base_url: str = "https://target.example", min_risk: str = "low"):
-    """(keys, s1, s2, s3, s4, text) concatenating to an OpenAPI 3 document per scan."""
+                      base_url: str = "https://target.example", min_risk: str = "low",
+                      quoted_findings: int = 50):
+    """(keys, s1, s2, s3, s4, text) concatenating to an OpenAPI 3 document per scan.
+
+    An operation's description quotes its first findings; the whole list, however
+    long, follows row by row as ``x-related-findings``.
+    """
     keys, c = list(keys), F.col
+    at = [*keys, "endpoint_id"]
     ops = openapi_operations(endpoints, min_risk, keys)
     related = related_findings(endpoints, findings, keys)
-    with_any = related.select(*keys, "endpoint_id").distinct().withColumn("_rel", F.lit(True))
-    ops = ops.join(with_any, [*keys, "endpoint_id"], "left")
+    quoted = top_n(related, at, [c("finding_id")], quoted_findings).groupBy(*at).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finding_id", "related"))),
+                                 lambda x: F.concat(F.lit("\n- "), x["related"])), "")
+        .alias("_quoted"))
+    totals = related.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.min("finding_id").alias("_f0"))
+    ops = ops.join(quoted, at, "left").join(totals, at, "left")
     first_path = ops.groupBy(*keys).agg(F.min("template").alias("_p0"))
     first_verb = ops.groupBy(*keys, "template").agg(F.min("verb").alias("_v0"))
     o = ops.join(first_path, keys).join(first_verb, [*keys, "template"])
@@ -218,43 +229,43 @@ def openapi_fragments(endpoints: DataFrame, findings: DataFrame, keys=SCAN,
     authn = F.coalesce(truthy(c("authn")), c("auth_scope"))
     public = (c("authn") == "public") | (truthy(c("authn")).isNull()
                                          & c("auth_scope").isin("none", "public"))
-    head = F.to_json(F.struct(
-        F.concat_ws("_", "verb", "endpoint_id").alias("operationId"),
-        F.concat(F.lit("["), F.upper(risk), F.lit("] "),
-                 F.coalesce(truthy(c("handler")), c("template"))).alias("summary")))
     notes = F.when(truthy(c("notes")).isNotNull(), F.concat(F.lit("\nNotes: "), c("notes")))
-    intro = F.concat(
+    more = F.when(c("_n") > quoted_findings, "\n- ... (all in x-related-findings)").otherwise("")
+    steps = F.when(F.size("tests") > 0, F.concat(F.lit("\nBAC tests:"), F.array_join(
+        F.transform("tests", lambda t: F.concat(F.lit("\n- "), t)), ""))).otherwise("")
+    description = F.concat(
         F.lit("Handler: "), F.coalesce(truthy(c("handler_file")), c("file_path"), F.lit("")),
         F.lit(":"), F.coalesce("handler_line", "line").cast("string"), F.lit("\nAuth: authn="),
         F.coalesce(authn, F.lit("")), F.lit(" authz="),
         F.coalesce(truthy(c("authz")), F.lit("unassessed")), F.lit(" risk="), risk,
         F.coalesce(notes, F.lit("")),
-        F.when(c("_rel"), F.lit("\nRelated findings:")).otherwise(""))
-    steps = F.when(F.size("tests") > 0, F.concat(F.lit("\nBAC tests:"), F.array_join(
-        F.transform("tests", lambda t: F.concat(F.lit("\n- "), t)), ""))).otherwise("")
+        F.coalesce(F.concat(F.lit("\nRelated findings:"), c("_quoted"), more), F.lit("")), steps)
     tags = F.concat(F.array(F.concat(F.lit("risk-"), risk)),
-                    F.when(c("_rel"), F.array(F.lit("has-findings"))).otherwise(
+                    F.when(c("_n") > 0, F.array(F.lit("has-findings"))).otherwise(
                         F.array().cast("array<string>")))
-    empty = F.map_from_arrays(F.array(F.lit("type")), F.array(F.lit("string")))
+    text_type = F.create_map(F.lit("type"), F.lit("string"))
     params = F.transform("params", lambda p: F.struct(
         p.alias("name"), F.lit("path").alias("in"), F.lit(True).alias("required"),
-        empty.alias("schema"), F.lit("1").alias("example")))
+        text_type.alias("schema"), F.lit("1").alias("example")))
     access = F.struct(*[c(k) for k in (
         "authn", "authz", "risk", "auth_scope", "heuristic_risk", "role_hints",
         "ownership_hints", "id_params", "id_kind", "privileged", "state_changing")])
     body = F.to_json(F.struct(
-        tags.alias("tags"), params.alias("parameters"),
+        F.concat_ws("_", "verb", "endpoint_id").alias("operationId"),
+        F.concat(F.lit("["), F.upper(risk), F.lit("] "),
+                 F.coalesce(truthy(c("handler")), c("template"))).alias("summary"),
+        description.alias("description"), tags.alias("tags"), params.alias("parameters"),
         access.alias("x-access"), c("tests").alias("x-bac-tests")))
-    fixed_tail = ('"responses":{"200":{"description":"OK"},"401":{"description":'
-                  '"Unauthenticated"},"403":{"description":"Forbidden"}},"security":')
-    tail = F.concat(
-        json_string(steps), F.lit('",'), F.lit(fixed_tail),
+    answers = (',"responses":{"200":{"description":"OK"},"401":{"description":'
+               '"Unauthenticated"},"403":{"description":"Forbidden"}},"security":')
+    operation = F.concat(
+        F.regexp_replace(body, r"\}$", ""), F.lit(answers),
         F.when(public, "[]").otherwise('[{"bearerAuth":[]},{"cookieAuth":[]}]'),
         F.when(c("verb").isin("post", "put", "patch"), F.lit(
             ',"requestBody":{"required":false,"content":{"application/json":'
             '{"schema":{"type":"object"},"example":{}}}}')).otherwise(""),
-        F.lit(","), F.regexp_replace(body, r"^\{", ""))
-    quoted = lambda x: F.concat(F.lit('"'), json_string(x), F.lit('"'))
+        F.lit(',"x-related-findings":['))
+    name = lambda x: F.concat(F.lit('"'), json_string(x), F.lit('"'))
 
     def row(df, s1, s2, s3, s4, value):
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
@@ -267,19 +278,16 @@ def openapi_fragments(endpoints: DataFrame, findings: DataFrame, keys=SCAN,
              '{"name":"risk-medium"},{"name":"risk-low"},{"name":"has-findings"}],"paths":{')
     end = ('},"components":{"securitySchemes":{"bearerAuth":{"type":"http","scheme":"bearer"},'
            '"cookieAuth":{"type":"apiKey","in":"cookie","name":"session"}}}}')
-    joined = related.join(ops.select(*keys, "endpoint_id", "template", "verb"),
-                          [*keys, "endpoint_id"])
+    listed = related.join(ops.select(*at, "template", "verb", "_f0"), at)
     return (row(scans, 0, "", "", "", F.lit(start))
             .unionByName(row(paths_, 1, c("template"), "", "", F.concat(
-                _comma(c("template") == c("_p0")), quoted(c("template")), F.lit(":{"))))
+                _comma(c("template") == c("_p0")), name(c("template")), F.lit(":{"))))
             .unionByName(row(o, 1, c("template"), c("verb"), "", F.concat(
-                _comma(c("verb") == c("_v0")), quoted(c("verb")), F.lit(":"),
-                F.regexp_replace(head, r"\}$", ""), F.lit(',"description":"'),
-                json_string(intro))))
-            .unionByName(row(joined, 1, c("template"), c("verb"),
-                             F.concat(F.lit("1"), c("finding_id")),
-                             json_string(F.concat(F.lit("\n- "), c("related")))))
-            .unionByName(row(o, 1, c("template"), c("verb"), "2", tail))
+                _comma(c("verb") == c("_v0")), name(c("verb")), F.lit(":"), operation)))
+            .unionByName(row(listed, 1, c("template"), c("verb"),
+                             F.concat(F.lit("1"), c("finding_id")), F.concat(
+                _comma(c("finding_id") == c("_f0")), name(c("related")))))
+            .unionByName(row(o, 1, c("template"), c("verb"), "2", F.lit("]}")))
             .unionByName(row(paths_, 1, c("template"), "~", "", F.lit("}")))
             .unionByName(row(scans, 2, "", "", "", F.lit(end))))
 

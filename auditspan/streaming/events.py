@@ -125,11 +125,12 @@ class _Feed(StatefulProcessor):
         if len(stops):
             batch = batch.iloc[: stops[0] + 1]
             self._ended.update((True,))
-        for t in list(self._handle.listTimers()):
-            self._handle.deleteTimer(t)
-        if self._idle is not None and not len(stops):
-            self._handle.registerTimer(
-                timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
+        if self._idle is not None:
+            for t in list(self._handle.listTimers()):
+                self._handle.deleteTimer(t)
+            if not len(stops):
+                self._handle.registerTimer(
+                    timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
         yield batch[self._columns]
 
     def handleExpiredTimer(self, key, timers, expired):

@@ -47,7 +47,7 @@ def api_files(spark, sf):
 
 
 def fresh_map(spark, sf):
-    files = api_files(spark, sf)
+    files = pin(api_files(spark, sf))  # a corpus is a stored table
     found = pin(routes.extract_routes(files))
     return access_map.access_map(found, files, access_map.global_context(files))
 

@@ -95,7 +95,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark_sql(spark, sf, f"SELECT * FROM {name}")
+    return spread(spark_sql(spark, sf, f"SELECT * FROM {name}"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan that is narrower than the machine: a small table in one row
+    group would otherwise be parsed and matched by a single core. Scans of many
+    files already have more partitions than cores and are left alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    scans = plan.collectLeaves()
+    size = sum(int(str(scans.apply(i).stats().sizeInBytes()))
+               for i in range(scans.length()))
+    per_task = 4 * 1024 * 1024
+    if size > cores * 128 * 1024 * 1024 or size < per_task:
+        return df
+    return df.repartition(min(cores, max(2, size // per_task)))
 
 
 def spark_sql(spark: SparkSession, sf: str, sql: str) -> DataFrame:
