@@ -391,3 +391,44 @@ def routes_by_file(mapped: DataFrame, keys=DOC, n: int = 10) -> DataFrame:
     return top_n(rows.select(*keys, F.col("_f").alias("file_path"), "line", "method", "path",
                              "auth_scope"),
                  [*keys, "file_path"], [F.col("line"), F.col("method"), F.col("path")], n)
+
+
+# ---- endpoints and findings by label (J11, P17, O8) ----------------------------------
+def _upper_label() -> Column:
+    return F.upper(F.concat_ws(" ", F.coalesce("method", F.lit("GET")), "path"))
+
+
+def endpoints_with_findings(mapped: DataFrame, findings: DataFrame, keys=DOC) -> DataFrame:
+    """Endpoints some open, verified finding names."""
+    named = findings.where((F.col("state") != "dismissed")
+                           & ~F.coalesce("unverified", F.lit(False))
+                           & truthy(F.col("endpoint")).isNotNull()).select(
+        *keys, routes.join_label(F.col("endpoint")).alias("_label")).distinct()
+    return mapped.withColumn("_label", routes.join_label(_upper_label())).join(
+        named, [*keys, "_label"], "left_semi").select(*mapped.columns)
+
+
+def endpoint_of_findings(findings: DataFrame, mapped: DataFrame, keys=DOC) -> DataFrame:
+    """The endpoint a finding's label names: method, path, id_params; a label nobody
+    declares is taken apart instead."""
+    keys, c = list(keys), F.col
+    known = mapped.groupBy(*keys, _upper_label().alias("_label")).agg(F.min_by(
+        F.struct("method", "path", "id_params"), F.struct("file_path", "line")).alias("_e"))
+    label = routes.join_label(c("endpoint"))
+    rows = findings.where(truthy(c("endpoint")).isNotNull()).withColumn("_label", label).join(
+        known, [*keys, "_label"], "left")
+    at = F.locate(" ", c("_label"))
+    head = F.when(at > 0, F.substring_index("_label", " ", 1)).otherwise(c("_label"))
+    tail = truthy(F.when(at > 0, F.substr(c("_label"), at + 1)))
+    return rows.select(
+        *[c(n) for n in findings.columns],
+        F.coalesce("_e.method", truthy(head), F.lit("GET")).alias("method"),
+        F.coalesce(c("_e.path"), tail, c("endpoint")).alias("path"),
+        F.coalesce("_e.id_params", F.array().cast("array<string>")).alias("id_params"))
+
+
+def sort_by_risk(endpoints: DataFrame, keys=DOC) -> DataFrame:
+    """Riskiest first, then by path."""
+    from ..functions.labels import risk_rank
+    risk = routes.effective_risk(F.col("risk"), F.col("heuristic_risk"))
+    return endpoints.orderBy(*keys, risk_rank(risk), F.coalesce("path", F.lit("")))

@@ -9,8 +9,11 @@ one block of numbers, never file contents.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,9 @@ from ..functions import text
 from ..functions.text import token_estimate
 from .ordered import ordered_position, previous_value
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOC = ("artifact_id",)
 BLOCK = 20_000
 

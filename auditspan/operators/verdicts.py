@@ -269,3 +269,18 @@ def verification_policy(findings: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("severity"),
         F.when(waiting, F.coalesce(truthy(c("human_question")), F.lit(
             "Confirm the intended authorisation rule."))).alias("human_question"))
+
+
+# ---- payloads (P23) ---------------------------------------------------------------------
+SLIM = ("title", "description", "severity", "confidence", "cwe", "owasp", "category",
+        "file_path", "line_start", "line_end", "code_snippet", "remediation", "source",
+        "state", "human_question", "reviewed_by", "triage_note", "where_to_look",
+        "attack_scenario", "proof_of_concept", "risk", "recommendation", "evidence",
+        "reviewer_agreement", "endpoint")
+FLAG_PAYLOAD = ("flag_id", "endpoint_id", "endpoint", "rule", "title", "severity", "id_kind")
+
+
+def payloads(rows: DataFrame, ids, columns=SLIM) -> DataFrame:
+    """JSON objects of the wanted columns that are present, NULLs left out."""
+    have = [c for c in columns if c in rows.columns]
+    return rows.select(*ids, F.to_json(F.struct(*have)).alias("payload"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (StatefulProcessor,
@@ -13,6 +15,9 @@ from pyspark.sql.streaming.stateful_processor import (StatefulProcessor,
 from ..functions import fixed, labels
 from ..operators.ordered import numbered, top_n
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCAN = ("scan_id",)
 
 
@@ -110,6 +115,7 @@ class _Feed(StatefulProcessor):
 
     def __init__(self, columns: list[str], idle_seconds: int | None) -> None:
         self._columns, self._idle = columns, idle_seconds
+        self._terminal = fixed.TERMINAL_EVENTS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -121,7 +127,7 @@ class _Feed(StatefulProcessor):
         if ended or not frames:
             return
         batch = pd.concat(frames).sort_values("seq", kind="stable")
-        stops = batch["type"].isin(fixed.TERMINAL_EVENTS).to_numpy().nonzero()[0]
+        stops = batch["type"].isin(self._terminal).to_numpy().nonzero()[0]
         if len(stops):
             batch = batch.iloc[: stops[0] + 1]
             self._ended.update((True,))

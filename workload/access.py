@@ -385,3 +385,34 @@ def route_labels(spark, sf):
         rx.resource_family(c("path")).alias("family"), rx.template_path(c("path")).alias("template"),
         rx.fill_path(c("path")).alias("filled"), rx.collection_path(c("path")).alias("collection"),
         F.array_join(rx.path_params(c("path")), ",").alias("params"))
+
+
+# ---- endpoints and findings by label ------------------------------------------------------------
+VIEWS["v_named"] = """
+SELECT concat('art', l_orderkey % 10) AS artifact_id, concat('n', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS finding_id,
+  concat(CASE l_partkey % 2 WHEN 0 THEN 'get' ELSE ' Delete' END, '  /res', l_partkey % 40, CASE l_suppkey % 2 WHEN 0 THEN '/{id}' ELSE '' END) AS endpoint,
+  concat(CASE l_partkey % 2 WHEN 0 THEN 'GET' ELSE 'DELETE' END, ' /RES', l_partkey % 40, CASE l_suppkey % 2 WHEN 0 THEN '/{ID}' ELSE '' END) AS label,
+  CASE WHEN l_returnflag = 'R' THEN 'dismissed' ELSE 'proposed' END AS state, l_linenumber = 1 AS unverified FROM @lineitem"""
+
+
+@query("endpoints_with_findings", """
+SELECT artifact_id, file_path, line FROM v_api_facts a WHERE EXISTS (SELECT 1 FROM v_named n WHERE n.artifact_id = a.artifact_id
+  AND n.label = upper(a.endpoint) AND n.state <> 'dismissed' AND NOT n.unverified)""")
+def endpoints_with_findings(spark, sf):
+    return access_map.endpoints_with_findings(endpoints(spark, sf), view(spark, sf, "v_named")) \
+        .select("artifact_id", "file_path", "line")
+
+
+@query("endpoint_of_findings", """
+WITH k AS (SELECT artifact_id, upper(endpoint) AS label, arg_min(path, file_path || lpad(CAST(line AS VARCHAR), 6, '0')) AS path FROM v_api_facts GROUP BY 1, 2)
+SELECT n.finding_id, split_part(n.label, ' ', 1) AS method, coalesce(k.path, split_part(n.label, ' ', 2)) AS path
+FROM v_named n LEFT JOIN k ON k.artifact_id = n.artifact_id AND k.label = n.label""")
+def endpoint_of_findings(spark, sf):
+    return access_map.endpoint_of_findings(view(spark, sf, "v_named"), endpoints(spark, sf)) \
+        .select("finding_id", "method", "path")
+
+
+@query("routes_by_risk", "SELECT artifact_id, file_path, line, risk FROM v_api_policy")
+def routes_by_risk(spark, sf):
+    return access_map.sort_by_risk(reviewed(spark, sf)).select("artifact_id", "file_path",
+                                                               "line", "risk")

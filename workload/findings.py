@@ -501,3 +501,12 @@ def compact_counts(spark, sf):
     n = F.floor("o_totalprice").cast("bigint") * (1 + F.col("o_orderkey") % 7)
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"),
                                              text.compact_count(n).alias("shown"))
+
+
+@query("finding_payloads", """
+SELECT finding_id, concat('{', array_to_string(list_filter([concat('"severity":"', severity, '"'), CASE WHEN cwe IS NOT NULL THEN concat('"cwe":"', cwe, '"') END,
+  CASE WHEN line_start IS NOT NULL THEN concat('"line_start":', line_start) END, concat('"source":"', source, '"')], lambda x: x IS NOT NULL), ','), '}') AS payload
+FROM v_findings""")
+def finding_payloads(spark, sf):
+    return verdicts.payloads(findings(spark, sf), ["finding_id"],
+                             ("severity", "cwe", "line_start", "absent", "source"))
