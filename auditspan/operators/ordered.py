@@ -98,12 +98,16 @@ def previous_value(df: DataFrame, keys, order, block: Column, value: Column,
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the cluster's shared checkpoint folder; a local one only when unset."""
+    """Use the shared folder the cluster names; only a local session, as in tests,
+    may fall back to a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or os.path.join(
-            tempfile.mkdtemp(prefix="auditspan-"), "checkpoints"))
+    if sc.getCheckpointDir() is not None:
+        return
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(configured or os.path.join(
+        tempfile.mkdtemp(prefix="auditspan-"), "checkpoints"))
 
 
 def pin(df: DataFrame) -> DataFrame:
