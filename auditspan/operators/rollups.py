@@ -163,7 +163,8 @@ def capped_queue(rows: DataFrame, keys, order, cap: int, ids) -> DataFrame:
                                               enumerate(order)]),
                    keys, [F.desc(f"_o{i}") if d else F.asc(f"_o{i}")
                           for i, (_, d) in enumerate(order)], cap, "position")
-    return rows.join(chosen.select(*keys, *ids, "position"), [*keys, *ids], "left")
+    places = chosen.groupBy(*keys, *ids).agg(F.min("position").alias("position"))
+    return rows.join(places, [*keys, *ids], "left")
 
 
 def verification_queue(findings: DataFrame, keys=SCAN, floor: str = "medium",
