@@ -6,7 +6,7 @@ from auditspan.functions import fixed, labels, text
 from auditspan.operators import diff, matching, rollups, verdicts
 from auditspan.operators.lifecycle import replace_sources
 
-from .base import VIEWS, query, spark_sql, table, view
+from .base import VIEWS, query, spark_sql, spread, table, view
 
 RANK = ("CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 "
         "WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 9 END")
@@ -311,14 +311,14 @@ c AS (SELECT scan_id, finding_id, CAST(count(DISTINCT who) AS INT) AS agreement
 
 @query("agreement", AGREE + " SELECT scan_id, finding_id, agreement FROM c")
 def agreement(spark, sf):
-    return matching.reviewer_agreement(findings(spark, sf), 3).select(
+    return matching.reviewer_agreement(spread(findings(spark, sf)), 3).select(
         "scan_id", "finding_id", "agreement")
 
 
 @query("agreement_histogram", AGREE + """
 SELECT concat(agreement, '/3') AS agreement, count(*) AS n FROM c GROUP BY 1""")
 def agreement_histogram(spark, sf):
-    return matching.agreement_histogram(matching.reviewer_agreement(findings(spark, sf), 3))
+    return matching.agreement_histogram(matching.reviewer_agreement(spread(findings(spark, sf)), 3))
 
 
 @query("carry_meta", """
