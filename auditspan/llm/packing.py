@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 
@@ -29,6 +30,7 @@ class Memo:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -37,39 +39,48 @@ class Memo:
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin, self.size = np.array([END], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words of letters are one closed token run each, so many are
-        encoded at once and split at the tokens that close a word."""
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's begin and how many they are. Words of
+        letters are one closed token run each, so many are encoded at once and split at
+        the tokens that close a word."""
+        ids, begin, size = [], np.zeros(len(words), np.int64), np.full(len(words), -1)
+        plain, total = [i for i, w in enumerate(words) if w.isalpha()], 0
         for k in range(0, len(plain), 2000):
             some = plain[k:k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False).ids, np.int32)
-            closed = np.zeros(len(ids), bool)
-            known = ids < len(self.closes)
-            closed[known] = self.closes[ids[known]]
+            got = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, np.int32)
+            closed = np.zeros(len(got), bool)
+            known = got < len(self.closes)
+            closed[known] = self.closes[got[known]]
             stops = np.flatnonzero(closed) + 1
-            if len(stops) == len(some) and len(ids) == stops[-1]:
-                for i, part in zip(some, np.split(ids, stops[:-1]), strict=True):
-                    out[i] = part
-        rest = [i for i, ids in enumerate(out) if ids is None]
+            if len(stops) == len(some) and len(got) == stops[-1]:
+                size[some] = np.diff(stops, prepend=0)
+                begin[some] = total + stops - size[some]
+                ids.append(got)
+                total += len(got)
+        rest = np.flatnonzero(size < 0)
         for i, code in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(code.ids, np.int32)
-        return out
-
-    def look_up(self, hashes: np.ndarray, word_at) -> np.ndarray:
-        """Numbers of words by hash; *word_at* gives the text of one."""
-        found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            got = code.ids
+            begin[i], size[i] = total, len(got)
+            ids.append(np.array(got, np.int32))
+            total += len(got)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), begin, size
+
+    def look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the words data[begin:end]."""
+        found, at, back = np.unique(Rolling(data).of(begin, end), return_index=True, return_inverse=True)
         spot = np.searchsorted(self.hashes, found).clip(max=max(len(self.hashes) - 1, 0))
-        known = self.hashes[spot] == found if len(self.hashes) else np.zeros(len(found), bool)
-        fresh = np.flatnonzero(~known)
+        fresh = np.flatnonzero(self.hashes[spot] != found) if len(self.hashes) else np.arange(len(found))
         if len(fresh):
-            codes = self.encode([word_at(i) for i in at[fresh]])
-            sizes = np.array([len(c) for c in codes], np.int64)
+            first, length = begin[at[fresh]], (end - begin)[at[fresh]]
+            bounds = np.cumsum(length + 1)  # one after the other, a space behind each
+            text = np.full(bounds[-1], 0x20, np.uint8)
+            inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            text[np.repeat(bounds - length - 1, length) + inside] = data[np.repeat(first, length) + inside]
+            ids, start, size = self.encode(text[:-1].tobytes().decode("utf-8", "replace").split(" "))
             number = len(self.size) + np.arange(len(fresh))
-            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.size = np.append(self.size, sizes)
-            self.ids = np.concatenate([self.ids, *codes])
+            self.begin = np.append(self.begin, len(self.ids) + start)
+            self.size = np.append(self.size, size)
+            self.ids = np.concatenate((self.ids, ids))
             where = np.searchsorted(self.hashes, found[fresh])
             self.hashes = np.insert(self.hashes, where, found[fresh])
             self.place = np.insert(self.place, where, number)
@@ -102,11 +113,8 @@ class Memo:
         words_to = np.searchsorted(row, np.arange(rows), "right")
         close = words_to + np.concatenate(([0], np.cumsum(has)))[words_to] + np.arange(rows)
         part = np.zeros(len(first) + int(has.sum()) + rows, np.int64)
-        rolling = Rolling(folded)
-        raw = folded.tobytes()
         begin, finish = np.concatenate((first, cut[has])), np.concatenate((cut, end[has]))
-        part[np.concatenate((at, at[has] + 1))] = self.look_up(
-            rolling.of(begin, finish), lambda i: raw[begin[i]:finish[i]].decode("utf-8", "replace"))
+        part[np.concatenate((at, at[has] + 1))] = self.look_up(folded, begin, finish)
         part[close] = 0
         size = self.size[part]
         place = np.cumsum(size) - size
