@@ -22,11 +22,12 @@ DEPTH, MIN_DOCUMENTS, SIMILARITY, MIN_TOKENS, CONTENT_SHARE = 3, 10, 0.7, 3, 0.5
 VARIABLE = "<*>"
 
 
-def tree_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def tree_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, with_text: bool = True) -> DataFrame:
     """(doc_id, key, line, leaf, tokens, text) of every line with *min_tokens* tokens.
 
     The leaf is a hash of the token count and the first *depth* tokens, where a token
-    with a digit is variable. ``line`` counts from 0 over all lines.
+    with a digit is variable. ``line`` counts from 0 over all lines. Without text, only
+    (doc_id, key, leaf).
     """
     def parse(part: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = flat(part.column("text"))
@@ -46,15 +47,21 @@ def tree_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
             has = tokens > k
             leaf[has] = mix(leaf[has] * np.uint64(31) + hashes[begin[has] + k] + np.uint64(k + 1))
         ok = tokens >= min_tokens
+        at = pa.array(row[ok])
+        own = (part.column("doc_id").take(at), part.column("key").take(at), leaf[ok].view(np.int64))
+        if not with_text:
+            return record("doc_id key leaf", *own)
         # the bytes of the wanted lines, one after the other
         size = (end - first)[ok]
         offsets = np.concatenate(([0], np.cumsum(size)))
-        source = np.repeat(first[ok] - offsets[:-1], size) + np.arange(offsets[-1])
-        text = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[source].tobytes()))
-        at = pa.array(row[ok])
-        return record("doc_id key line leaf tokens text", part.column("doc_id").take(at), part.column("key").take(at),
-                      number[ok].astype(np.int32), leaf[ok].view(np.int64), tokens[ok].astype(np.int32), text)
-    return map_texts(docs, parse, "doc_id long, key long, line int, leaf long, tokens int, text string")
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[first[ok]] = 1
+        inside[end[ok]] -= 1
+        text = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)),
+                                           pa.py_buffer(data[np.cumsum(inside, dtype=np.int8)[:-1] > 0].tobytes()))
+        return record("doc_id key leaf line tokens text", *own, number[ok].astype(np.int32),
+                      tokens[ok].astype(np.int32), text)
+    return map_texts(docs, parse, "doc_id long, key long, leaf long" + ", line int, tokens int, text string" * with_text)
 
 
 def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similarity: float = SIMILARITY,
@@ -68,7 +75,7 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similar
     table; no leaf is ever gathered.
     """
     lines = tree_lines(docs, depth, min_tokens)
-    leaves = (tree_lines(docs, depth, min_tokens).groupBy("leaf", "doc_id", "key").agg(F.lit(1).alias("one"))
+    leaves = (tree_lines(docs, depth, min_tokens, False).groupBy("leaf", "doc_id", "key").agg(F.lit(1).alias("one"))
               .groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("leaf"))
     pieces = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda t: t != "")
     masked = F.transform(pieces, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
