@@ -159,10 +159,15 @@ def posteriors(scores: np.ndarray, hops: np.ndarray, row: np.ndarray, n_rows: in
     psi[lane, step] = potentials(scores)
     used = np.zeros((n_lanes, CHUNK), bool)
     used[lane, step] = True
+    opening = np.zeros(n_lanes, bool)  # lanes that start a row: no transition leads into them
+    opening[lane0[chunks > 0]] = True
     product = np.broadcast_to(np.eye(labels), (n_lanes, labels, labels)).copy()
     for t in range(CHUNK):
         live = used[:, t]
-        moved = (product[live].reshape(-1, labels) @ hop).reshape(-1, labels, labels) * psi[live, t][:, None, :]
+        moved = (product[live].reshape(-1, labels) @ hop).reshape(-1, labels, labels)
+        if t == 0:
+            moved[opening] = np.eye(labels)
+        moved = moved * psi[live, t][:, None, :]
         product[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
     ahead, back = np.ones((n_lanes, labels)), np.ones((n_lanes, labels))
     for c in range(1, int(chunks.max())):
@@ -178,7 +183,8 @@ def posteriors(scores: np.ndarray, hops: np.ndarray, row: np.ndarray, n_rows: in
     forward, backward = np.empty_like(psi), np.empty_like(psi)
     state = ahead
     for t in range(CHUNK):
-        state = (state @ hop) * psi[:, t]
+        state = np.where(opening[:, None], state, state @ hop) if t == 0 else state @ hop
+        state = state * psi[:, t]
         state = state / state.sum(axis=1, keepdims=True)
         forward[:, t] = state
     state = back

@@ -73,9 +73,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_texts(docs, sign, "doc_id long, k1 long, k2 long, words long, bands array<long>")
 
 
-def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float):
-    """Links between texts of both sides (or within the only one): per text the linked
-    texts and documents, and the smallest text of its part of the graph. Only n-grams that
+def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], threshold: float):
+    """Links between texts of different sides (or all links without sides): per text the
+    linked texts and documents, and the smallest text of its part of the graph. Only n-grams that
     two texts share take part in the products."""
     n = len(rep)
     size = np.array([len(s) for s in sets], np.float64)
@@ -96,7 +96,7 @@ def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray, sets: list[np.
         both += table @ table.T
     near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
     np.fill_diagonal(near, False)
-    if side.min() != side.max():
+    if side is not None:
         near &= side[:, None] != side[None, :]
     parent = np.arange(n)
     while True:  # smallest neighbour, then its own smallest, until nothing moves
@@ -167,7 +167,8 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
         out = []
         for _, part in frame.groupby(["component", "i", "j"], sort=False):
             part = part.sort_values("node")
-            side = (part.block.to_numpy() == part.j.to_numpy()).astype(int)
+            two = part.i.iloc[0] != part.j.iloc[0]
+            side = (part.block == part.j).to_numpy() if two else None
             found = linked(part.node.to_numpy(), part.copies.to_numpy(), side,
                            [np.frombuffer(g, np.uint64) for g in part.grams], threshold)
             out.append(pd.DataFrame({"node": part.node, "n_texts": found[0], "n_docs": found[1], "low": found[2]}))
