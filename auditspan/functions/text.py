@@ -254,10 +254,9 @@ def missing_cookie_flags(cookie: Column) -> Column:
 
 def error_disclosure(status: Column, body: Column) -> Column:
     """Evidence around a server-error signature in a 5xx body, else NULL."""
-    head = F.substring(body, 1, 20_000)
     around = r"(?s).{0,60}" + uni(fixed.SERVER_ERROR) + r".{0,60}"
-    return F.when((status >= 500) & head.rlike(fixed.SERVER_ERROR),
-                  F.substring(strip(F.regexp_extract(head, around, 0)), 1, 300))
+    return F.when((status >= 500) & body.rlike(fixed.SERVER_ERROR),
+                  F.substring(strip(F.regexp_extract(body, around, 0)), 1, 300))
 
 
 def database_error(body: Column) -> Column:

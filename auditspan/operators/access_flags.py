@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, routes
-from .ordered import top_n
+from .ordered import ordered_position, top_n
 
 DOC = ("artifact_id",)
 OWASP = "A01:2021 - Broken Access Control"
@@ -67,9 +67,9 @@ def _flag(rule, title, description, severity, confidence, cwe) -> Column:
 
 
 def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
-                 cap: int = fixed.FLAG_CAP) -> DataFrame:
-    """Per-route flags (at most two each), one systemic flag where it applies, the
-    most severe *cap* per artifact, numbered h0, h1, ... (M6, W4, O6).
+                 cap: int | None = None) -> DataFrame:
+    """Per-route flags (at most two each), one systemic flag where it applies, the most
+    severe first, all or *cap* per artifact, numbered h0, h1, ... (M6, W4, O6).
 
     Every rule reads the route plus two small summaries (its family and its
     artifact), so a route's flags come out of one row without windows. *eps* is
@@ -148,8 +148,9 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
     order = [labels.severity_rank(c("severity")), F.desc("confidence"),
              F.asc_nulls_last("file_path"), "line_start", F.asc_nulls_last("endpoint"),
              "rule", F.asc_nulls_last("endpoint_id")]
-    return top_n(out, keys, order, cap, "_n").withColumn(
-        "flag_id", F.concat(F.lit("h"), c("_n") - 1)).drop("_n")
+    placed = ordered_position(out, list(keys), order, "_n") if cap is None else top_n(
+        out, keys, order, cap, "_n").withColumn("_n", c("_n") - 1)
+    return placed.withColumn("flag_id", F.concat(F.lit("h"), c("_n"))).drop("_n")
 
 
 def _systemic_flags(eps: DataFrame, keys) -> DataFrame:

@@ -21,8 +21,8 @@ RUBY_DEF = uni(r"^\s*def\s+(\w+)")
 
 
 # ---- app-wide context (T16) -----------------------------------------------
-def global_context(files: DataFrame, keys=DOC, cap: int = fixed.GLOBAL_CONTEXT_CAP):
-    """Security-configuration lines, the first *cap* per artifact."""
+def global_context(files: DataFrame, keys=DOC, cap: int | None = None):
+    """Security-configuration lines, all or the first *cap* per artifact."""
     c = F.col("content")
     chosen = files.where(
         paths.extension(F.col("path")).isin(*fixed.ACCESS_SOURCE_EXTENSIONS)
@@ -36,6 +36,8 @@ def global_context(files: DataFrame, keys=DOC, cap: int = fixed.GLOBAL_CONTEXT_C
         *keys, "file_path", (F.col("_pos") + 1).alias("line"),
         F.substring(strip(F.col("_text")), 1, 200).alias("text"),
         F.col("_text").rlike(any_of(fixed.GLOBAL_ENFORCE)).alias("enforces"))
+    if cap is None:
+        return rows
     return top_n(rows, keys, [F.col("file_path"), F.col("line")], cap)
 
 

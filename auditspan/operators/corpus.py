@@ -68,10 +68,14 @@ def select_files(index: DataFrame, selections: list[str] | None = None,
     return out.where(paths.in_selection(F.col("path"), selections)) if selections else out
 
 
-def list_files(index: DataFrame, included_only: bool = False, limit: int = 50_000):
-    """Listing in path order (a feature-level limit, S13/O11)."""
+def list_files(index: DataFrame, included_only: bool = False, limit: int | None = None,
+               keys=("artifact_id",)):
+    """Listing in path order (S13/O11), of all files or of the first *limit* of each
+    artifact."""
     rows = index.where("included") if included_only else index
-    return rows.orderBy("path").limit(limit)
+    if limit is not None:
+        rows = top_n(rows, list(keys), [F.col("path")], limit, "_place").drop("_place")
+    return rows.orderBy(*keys, "path")
 
 
 # ---- lines (S3) ----------------------------------------------------------

@@ -178,7 +178,7 @@ def attach_verdicts(asked: DataFrame, answers: DataFrame, keys=("scan_id", "chun
     by_loc = loose.groupBy(*keys, "file_path", "line_start").agg(
         F.max_by("verdict", "n").alias("_by_loc"))
     by_pos = loose.groupBy(*keys, F.col("n").alias("ord")).agg(
-        F.first("verdict").alias("_by_pos"))
+        F.max_by("verdict", F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("_by_pos"))
     sizes = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
     got = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
     ids = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ids"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, labels
 from ..functions.labels import truthy
-from .ordered import top_n
+from .ordered import ordered_position, top_n
 
 SCAN = ("scan_id",)
 
@@ -110,6 +110,14 @@ def source_buckets(findings: DataFrame, keys=SCAN) -> DataFrame:
         F.count(F.lit(1)).alias("n")).withColumn("bucket", F.coalesce("bucket", F.lit("all")))
 
 
+def ranked(rows: DataFrame, keys, order, cap: int | None, name: str) -> DataFrame:
+    """Rows with their place (from 1) in the group: all, or the first *cap*."""
+    if cap is not None:
+        return top_n(rows, keys, order, cap, name)
+    return ordered_position(rows, list(keys), order, name).withColumn(
+        name, (F.col(name) + 1).cast("int"))
+
+
 # ---- report (S22 tables, D19, O1, O2, O7, H21) ------------------------------------
 def report_counters(findings: DataFrame, keys=SCAN) -> DataFrame:
     st = F.col("state")
@@ -123,24 +131,24 @@ def report_counters(findings: DataFrame, keys=SCAN) -> DataFrame:
         F.count_if(F.coalesce(live == "confirmed_vuln", F.lit(False))).alias("live_confirmed"))
 
 
-def report_findings(findings: DataFrame, keys=SCAN, cap=fixed.REPORT_FINDINGS_CAP):
+def report_findings(findings: DataFrame, keys=SCAN, cap: int | None = None):
     """Open findings of the report: severity first, confirmed before others."""
-    return top_n(findings.where(labels.is_open(F.col("state"))), keys, [
+    return ranked(findings.where(labels.is_open(F.col("state"))), keys, [
         labels.severity_rank(F.col("severity")),
         (F.col("state") != "confirmed").cast("int"), F.col("finding_id")], cap, "position")
 
 
-def report_dismissed(findings: DataFrame, keys=SCAN, cap=fixed.REPORT_DISMISSED_CAP):
-    return top_n(findings.where(~labels.is_open(F.col("state"))), keys,
+def report_dismissed(findings: DataFrame, keys=SCAN, cap: int | None = None):
+    return ranked(findings.where(~labels.is_open(F.col("state"))), keys,
                  [F.col("finding_id")], cap, "position")
 
 
-def report_matrix(endpoints: DataFrame, keys=("artifact_id",), cap=fixed.REPORT_MATRIX_CAP):
+def report_matrix(endpoints: DataFrame, keys=("artifact_id",), cap: int | None = None):
     from ..functions.routes import effective_risk
     c = F.col
     risk = effective_risk(c("risk"), c("heuristic_risk"))
     rows = endpoints.where(F.coalesce(truthy(c("authn")), truthy(c("auth_scope"))).isNotNull())
-    return top_n(rows.select(
+    return ranked(rows.select(
         *keys, "endpoint_id", "method", "path",
         F.coalesce(truthy(c("authn")), c("auth_scope")).alias("authn"),
         F.coalesce(truthy(c("authz")), F.lit("-")).alias("authz"), risk.alias("risk")),
@@ -153,13 +161,13 @@ def sort_by_severity(findings: DataFrame, *more) -> DataFrame:
 
 
 # ---- capped queues (O3-O6) ---------------------------------------------------------
-def capped_queue(rows: DataFrame, keys, order, cap: int, ids) -> DataFrame:
+def capped_queue(rows: DataFrame, keys, order, cap: int | None, ids) -> DataFrame:
     """All rows, those within the cap of their group with a queue position.
 
     Only ids and ordering columns go through the ranking; the overflow keeps a
     NULL position, nothing is dropped.
     """
-    chosen = top_n(rows.select(*keys, *ids, *[o.alias(f"_o{i}") for i, (o, _) in
+    chosen = ranked(rows.select(*keys, *ids, *[o.alias(f"_o{i}") for i, (o, _) in
                                               enumerate(order)]),
                    keys, [F.desc(f"_o{i}") if d else F.asc(f"_o{i}")
                           for i, (_, d) in enumerate(order)], cap, "position")
@@ -168,9 +176,9 @@ def capped_queue(rows: DataFrame, keys, order, cap: int, ids) -> DataFrame:
 
 
 def verification_queue(findings: DataFrame, keys=SCAN, floor: str = "medium",
-                       cap: int = fixed.VERIFY_CAP) -> DataFrame:
+                       cap: int | None = None) -> DataFrame:
     """Open findings at or above a severity, most severe and confident first;
-    beyond the cap they are marked skipped."""
+    beyond a *cap*, if given, they are marked skipped."""
     c = F.col
     rows = findings.where(labels.is_open(F.coalesce("state", F.lit("")))
                           & labels.severity_at_least(c("severity"), floor))
@@ -181,13 +189,13 @@ def verification_queue(findings: DataFrame, keys=SCAN, floor: str = "medium",
                           .otherwise("queued"))
 
 
-def triage_queue(hits: DataFrame, keys=SCAN, cap: int = fixed.TRIAGE_CAP) -> DataFrame:
+def triage_queue(hits: DataFrame, keys=SCAN, cap: int | None = None) -> DataFrame:
     return capped_queue(hits, keys, [(labels.severity_weight(F.col("severity")), True),
                                      (F.col("finding_id"), False)], cap, ["finding_id"])
 
 
 def second_look_queue(files: DataFrame, keys=("artifact_id",),
-                      cap: int = fixed.SECOND_LOOK_CAP) -> DataFrame:
+                      cap: int | None = None) -> DataFrame:
     """Sink-bearing files: those no reviewer read first, then by score."""
     return capped_queue(files, keys, [(F.col("unreviewed").cast("int"), True),
                                       (F.col("score"), True), (F.col("path"), False)],

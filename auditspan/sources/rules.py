@@ -3,189 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# ---- OWASP labels (fixed values) ----------------------------------------
-OWASP = {
-    "A01": "A01:2021 - Broken Access Control",
-    "A02": "A02:2021 - Cryptographic Failures",
-    "A03": "A03:2021 - Injection",
-    "A04": "A04:2021 - Insecure Design",
-    "A05": "A05:2021 - Security Misconfiguration",
-    "A06": "A06:2021 - Vulnerable and Outdated Components",
-    "A07": "A07:2021 - Identification and Authentication Failures",
-    "A08": "A08:2021 - Software and Data Integrity Failures",
-    "A09": "A09:2021 - Security Logging and Monitoring Failures",
-    "A10": "A10:2021 - Server-Side Request Forgery",
-    "LLM01": "LLM01 - Prompt Injection",
-}
-
-# ---- rule pack (fixed values) --------------------------------------------
-# id | severity | languages | CWE | category | confidence | impact | OWASP
-PACK = """
-auth.jwt-alg-none | ERROR | python javascript typescript | 327 | authentication | high | critical | A02
-auth.jwt-weak-hmac-secret | ERROR | python javascript typescript | 321 | authentication | high | high | A02
-auth.jwt-decode-no-verify | ERROR | python | 347 | authentication | high | critical | A02
-auth.jwt-no-expiry-check | WARNING | python | 613 | authentication | high | high | A07
-auth.hardcoded-aws-key | ERROR | generic | 798 | secrets | high | critical | A07
-auth.hardcoded-private-key | ERROR | generic | 321 | secrets | high | critical | A02
-auth.hardcoded-bearer-token | ERROR | generic | 798 | secrets | medium | high | A07
-auth.hardcoded-generic-secret | WARNING | generic | 798 | secrets | medium | high | A07
-auth.weak-password-hash-python | ERROR | python | 328 | authentication | high | high | A02
-auth.weak-password-hash-java | ERROR | java | 328 | authentication | high | high | A02
-auth.weak-password-hash-php | ERROR | php | 328 | authentication | high | high | A02
-auth.session-fixation-python | WARNING | python | 384 | authentication | medium | high | A07
-auth.csrf-exempt-django | WARNING | python | 352 | authentication | high | medium | A01
-injection.sql-string-concat-python | ERROR | python | 89 | injection | high | critical | A03
-injection.sql-raw-django | ERROR | python | 89 | injection | high | critical | A03
-injection.sql-string-concat-java | ERROR | java | 89 | injection | high | critical | A03
-injection.sql-string-concat-js | ERROR | javascript typescript | 89 | injection | high | critical | A03
-injection.sql-string-concat-csharp | ERROR | csharp | 89 | injection | high | critical | A03
-injection.sql-string-concat-ruby | ERROR | ruby | 89 | injection | high | critical | A03
-injection.sql-string-concat-php | ERROR | php | 89 | injection | high | critical | A03
-injection.sql-string-concat-go | ERROR | go | 89 | injection | medium | critical | A03
-injection.nosql-operator-injection | ERROR | javascript typescript | 943 | injection | high | critical | A03
-injection.nosql-where-injection | ERROR | javascript typescript | 943 | injection | high | critical | A03
-injection.ldap-python | ERROR | python | 90 | injection | high | high | A03
-injection.os-command-python | ERROR | python | 78 | injection | high | critical | A03
-injection.os-command-js | ERROR | javascript typescript | 78 | injection | high | critical | A03
-injection.os-command-java | ERROR | java | 78 | injection | high | critical | A03
-injection.os-command-ruby | ERROR | ruby | 78 | injection | high | critical | A03
-injection.os-command-php | ERROR | php | 78 | injection | high | critical | A03
-injection.ssti-python-jinja2 | ERROR | python | 1336 | injection | high | critical | A03
-injection.ssti-python-mako | ERROR | python | 1336 | injection | high | critical | A03
-injection.ssti-js-pug-ejs | ERROR | javascript typescript | 1336 | injection | high | critical | A03
-injection.ssti-thymeleaf-java | ERROR | java | 1336 | injection | medium | critical | A03
-injection.expression-language-spring | ERROR | java | 917 | injection | high | critical | A03
-injection.log-injection-python | WARNING | python | 117 | injection | medium | medium | A09
-injection.xpath | ERROR | python javascript typescript java | 643 | injection | high | high | A03
-injection.header-injection | WARNING | python javascript typescript | 113 | injection | medium | high | A03
-ssrf.python-requests-user-url | ERROR | python | 918 | ssrf | high | critical | A10
-ssrf.js-fetch-axios-user-url | ERROR | javascript typescript | 918 | ssrf | high | critical | A10
-ssrf.java-httpclient-user-url | ERROR | java | 918 | ssrf | high | critical | A10
-ssrf.cloud-metadata-endpoint | WARNING | generic | 918 | ssrf | medium | high | A10
-ssrf.pdf-image-generation | WARNING | python javascript typescript | 918 | ssrf | medium | high | A10
-deser.python-pickle | ERROR | python | 502 | deserialization | high | critical | A08
-deser.python-yaml-unsafe | ERROR | python | 502 | deserialization | high | critical | A08
-deser.java-objectinputstream | ERROR | java | 502 | deserialization | high | critical | A08
-deser.php-unserialize | ERROR | php | 502 | deserialization | high | critical | A08
-deser.dotnet-binaryformatter | ERROR | csharp | 502 | deserialization | high | critical | A08
-deser.ruby-marshal-yaml | ERROR | ruby | 502 | deserialization | high | critical | A08
-deser.node-serialize | ERROR | javascript typescript | 502 | deserialization | high | critical | A08
-deser.js-yaml-unsafe | ERROR | javascript typescript | 502 | deserialization | high | critical | A08
-crypto.ecb-mode | ERROR | python java javascript typescript | 327 | cryptography | high | high | A02
-crypto.static-iv-python | ERROR | python | 329 | cryptography | high | high | A02
-crypto.static-iv-java | ERROR | java | 329 | cryptography | high | high | A02
-crypto.weak-algorithm | ERROR | python java javascript typescript csharp | 327 | cryptography | high | high | A02
-crypto.rsa-weak-keysize | ERROR | python java | 326 | cryptography | high | high | A02
-crypto.no-cert-verify-python | ERROR | python | 295 | cryptography | high | high | A02
-crypto.no-cert-verify-js | ERROR | javascript typescript | 295 | cryptography | high | high | A02
-crypto.insecure-random-js | WARNING | javascript typescript | 338 | cryptography | medium | high | A02
-crypto.insecure-random-python | WARNING | python | 338 | cryptography | medium | high | A02
-access.mass-assignment-express | ERROR | javascript typescript | 915 | access-control | medium | high | A01
-access.mass-assignment-django | ERROR | python | 915 | access-control | medium | high | A01
-access.mass-assignment-rails | ERROR | ruby | 915 | access-control | high | high | A01
-access.cors-wildcard-credentials | ERROR | javascript typescript java | 942 | access-control | high | high | A01
-access.graphql-introspection-enabled | WARNING | python javascript typescript | 200 | access-control | medium | medium | A01
-access.open-redirect | WARNING | python javascript typescript | 601 | access-control | medium | medium | A01
-file.path-traversal-python | ERROR | python | 22 | file-path | high | high | A01
-file.path-traversal-js | ERROR | javascript typescript | 22 | file-path | high | high | A01
-file.path-traversal-java | ERROR | java | 22 | file-path | high | high | A01
-file.zip-slip-python | ERROR | python | 22 | file-path | medium | high | A01
-file.zip-slip-java | ERROR | java | 22 | file-path | medium | high | A01
-file.unrestricted-upload-python | WARNING | python | 434 | file-path | medium | high | A04
-file.unrestricted-upload-js | WARNING | javascript typescript | 434 | file-path | medium | high | A04
-modern.prototype-pollution-direct | ERROR | javascript typescript | 1321 | modern | high | high | A03
-modern.prototype-pollution-dynamic | WARNING | javascript typescript | 1321 | modern | medium | high | A03
-modern.eval-user-input-js | ERROR | javascript typescript | 95 | modern | high | critical | A03
-modern.eval-user-input-python | ERROR | python | 95 | modern | high | critical | A03
-modern.regex-dos-js | WARNING | javascript typescript | 1333 | modern | high | medium | A06
-modern.regex-dos-python | WARNING | python | 1333 | modern | high | medium | A06
-modern.postmessage-no-origin-check | WARNING | javascript typescript | 346 | modern | medium | medium | A01
-modern.postmessage-wildcard-origin | WARNING | javascript typescript | 346 | modern | high | medium | A01
-modern.websocket-no-origin-validation | WARNING | javascript typescript | 346 | modern | medium | high | A01
-modern.llm-prompt-injection | ERROR | python javascript typescript | 77 | modern | high | high | LLM01
-modern.http-request-smuggling | INFO | generic | 444 | modern | low | high | A05
-config.django-debug-true | ERROR | python | 489 | configuration | medium | high | A05
-config.flask-debug | ERROR | python | 489 | configuration | high | critical | A05
-config.express-stack-traces | WARNING | javascript typescript | 209 | configuration | high | medium | A05
-config.verbose-error-python | WARNING | python | 209 | configuration | medium | medium | A05
-config.insecure-cookie-httponly | WARNING | python javascript typescript | 1004 | configuration | high | medium | A05
-config.insecure-cookie-secure | WARNING | python javascript typescript | 614 | configuration | high | medium | A05
-config.sensitive-data-in-url | WARNING | generic | 598 | configuration | medium | medium | A04
-config.default-credentials | WARNING | generic | 798 | configuration | medium | high | A07
-config.spring-actuator-exposed | ERROR | generic | 200 | configuration | high | high | A05
-cloud.s3-public-acl | ERROR | python | 732 | cloud | high | critical | A01
-cloud.gcp-service-account-key | ERROR | generic | 798 | cloud | medium | critical | A07
-cloud.imdsv1-access | WARNING | python javascript typescript | 918 | cloud | high | high | A05
-cloud.terraform-open-security-group | ERROR | hcl | 284 | cloud | high | high | A01
-cloud.docker-socket-mount | ERROR | generic | 250 | cloud | high | critical | A05
-cloud.docker-socket-compose | ERROR | yaml | 250 | cloud | high | critical | A05
-cloud.k8s-secret-env-var | INFO | generic | 200 | cloud | medium | medium | A05
-xxe.python-xml-parse | ERROR | python | 611 | xxe | high | high | A05
-xxe.java-xml-parse | ERROR | java | 611 | xxe | high | high | A05
-race.toctou-python | WARNING | python | 367 | race-condition | medium | medium | A04
-race.toctou-js | WARNING | javascript typescript | 367 | race-condition | medium | medium | A04
-"""
-
-# ---- executable patterns (fixed values); the other rules match syntax trees
-PATTERNS = {
-    "auth.hardcoded-aws-key": r"(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}",
-    "auth.hardcoded-private-key": r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "auth.hardcoded-bearer-token":
-        r"""(?i)(Authorization|Bearer)["':\s]+Bearer\s+[A-Za-z0-9\-_\.]{20,}""",
-    "auth.hardcoded-generic-secret":
-        r"""(?i)(password|secret|token|api_key|apikey|api-key|passwd|credentials?)"""
-        r"""\s*[=:]\s*["'][^"'\s]{8,}["']""",
-    "injection.sql-string-concat-go":
-        r"(?:Query|Exec|QueryRow)\(.*fmt\.Sprintf|(?:Query|Exec|QueryRow)\(.*\+.*\+",
-    "ssrf.cloud-metadata-endpoint":
-        r"169\.254\.169\.254|metadata\.google\.internal|100\.100\.100\.200",
-    "modern.http-request-smuggling": r"""(?i)transfer[_-]encoding\s*[=:]\s*["']?chunked""",
-    "config.sensitive-data-in-url":
-        r"\?(?:.*&)?(?:password|token|secret|api_key|apikey|access_token)=",
-    "config.default-credentials":
-        r"""(?i)(admin|root|test|default|guest|user)\s*[=:]\s*["'](admin|root|password|"""
-        r"""test|default|123456|passwd|guest|changeme|letmein)["']""",
-    "config.spring-actuator-exposed":
-        r"management\.endpoints\.web\.exposure\.include\s*=\s*\*",
-    "cloud.gcp-service-account-key": r'"type"\s*:\s*"service_account"',
-    "cloud.docker-socket-mount":
-        r"(?:-v|--volume|--mount)[\s=]+[^\s]*(/var/run/docker\.sock)",
-    "cloud.docker-socket-compose": r"/var/run/docker\.sock",
-    "cloud.k8s-secret-env-var":
-        r"(?i)env:\s*\n\s*-\s*name:\s*\S+\s*\n\s*valueFrom:\s*\n\s*secretKeyRef:",
-}
-MULTILINE = ("cloud.k8s-secret-env-var",)
-
-# ---- text every match of a pattern holds, lower-cased: one of these words; they
-# only save regular-expression work and never change a result (fixed values)
-NEEDLES = {
-    "auth.hardcoded-aws-key": ("akia", "abia", "acca", "asia"),
-    "auth.hardcoded-private-key": ("private key-----",),
-    "auth.hardcoded-bearer-token": ("bearer",),
-    "auth.hardcoded-generic-secret":
-        ("password", "secret", "token", "api_key", "apikey", "api-key", "passwd",
-         "credential"),
-    "injection.sql-string-concat-go": ("query(", "exec(", "queryrow("),
-    "ssrf.cloud-metadata-endpoint":
-        ("169.254.169.254", "metadata.google.internal", "100.100.100.200"),
-    "modern.http-request-smuggling": ("chunked",),
-    "config.sensitive-data-in-url":
-        ("password=", "token=", "secret=", "api_key=", "apikey="),
-    "config.default-credentials": tuple(
-        quote + value for quote in ("'", '"') for value in
-        ("admin", "root", "password", "test", "default", "123456", "passwd", "guest",
-         "changeme", "letmein")),
-    "config.spring-actuator-exposed": ("management.endpoints.web.exposure.include",),
-    "cloud.gcp-service-account-key": ("service_account",),
-    "cloud.docker-socket-mount": ("/var/run/docker.sock",),
-    "cloud.docker-socket-compose": ("/var/run/docker.sock",),
-    "cloud.k8s-secret-env-var": ("secretkeyref:",),
-}
+#: The built-in pack (fixed values): one plain record per rule.
+PACK = Path(__file__).with_name("rule_pack.json")
 
 
 @dataclass(frozen=True)
@@ -206,29 +30,22 @@ class Rule:
 
 def built_in_rules(namespace: str = "") -> list[Rule]:
     """The pack; *namespace* is put before every rule id."""
-    rules = []
-    for row in PACK.strip().splitlines():
-        rid, sev, langs, cwe, cat, conf, impact, owasp = [p.strip() for p in row.split("|")]
-        rules.append(Rule(
-            namespace + rid, sev, tuple(langs.split()), f"CWE-{cwe}", cat, conf, impact,
-            OWASP[owasp], PATTERNS.get(rid), rid in MULTILINE,
-            rid.split(".", 1)[1].replace("-", " "), NEEDLES.get(rid, ())))
-    return rules
+    return [replace(r, rule_id=namespace + r.rule_id) for r in read_pack(PACK)]
 
 
 def executable(rules: list[Rule]) -> list[Rule]:
     return [r for r in rules if r.pattern]
 
 
+def read_pack(path: Path) -> list[Rule]:
+    return [Rule(**{**d, "languages": tuple(d["languages"]), "needles": tuple(d.get("needles", ()))})
+            for d in json.loads(path.read_text(encoding="utf-8"))]
+
+
 def load_rules(directory: str) -> list[Rule]:
     """Drop-in packs: ``*.json`` files holding a list of rule objects. A pack is
     configuration, read once on the driver and compiled into the plan."""
-    rules = []
-    for path in sorted(Path(directory).glob("*.json")):
-        for d in json.loads(path.read_text()):
-            rules.append(Rule(**{**d, "languages": tuple(d["languages"]),
-                                 "needles": tuple(d.get("needles", ()))}))
-    return rules
+    return [r for path in sorted(Path(directory).glob("*.json")) for r in read_pack(path)]
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:

@@ -2,33 +2,88 @@
 
 from __future__ import annotations
 
+import os
+import sys
+from pathlib import Path
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, labels, paths
 from .. import schema
+from ..functions import labels, paths
+from ..operators.ordered import pin
+
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def source_tree(spark: SparkSession, root: str, artifact_id: str,
-                cap: int = fixed.MAX_REVIEW_BYTES) -> DataFrame:
-    """Files under *root*: path relative to it, size, content.
+def tree_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, uri, size_bytes) of every file under *root*, hidden names included, links
+    left out, pruned folders never entered.
 
-    The size filter reaches the scan, so oversize files are listed with NULL
-    content and never read.
+    Tasks list the folders of one level at a time, so the driver holds no listing; only
+    the number of folders of a level comes back.
+    """
+    def listing(batches):
+        from pyarrow import fs
+        for batch in batches:
+            for folder, below in zip(batch.column("uri").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                store, place = fs.FileSystem.from_uri(folder)
+                found = [x for x in store.get_file_info(fs.FileSelector(place))
+                         if store.type_name != "local" or not os.path.islink(x.path)]
+                names = [f"{below}/{x.base_name}" if below else x.base_name for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()),
+                     pa.array([f"{folder.rstrip('/')}/{quote(x.base_name)}" for x in found], pa.string()),
+                     pa.array([x.size for x in found], pa.int64()),
+                     pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_())],
+                    names=["path", "uri", "size_bytes", "folder"])
+
+    uri = root if "://" in root else Path(root).resolve().as_uri()
+    level = spark.createDataFrame([("", uri)], "path string, uri string")
+    files = None
+    while True:
+        seen = pin(level.repartition("uri").mapInArrow(
+            listing, "path string, uri string, size_bytes long, folder boolean")
+            .where(~F.when(F.col("folder"), paths.is_pruned(F.concat("path", F.lit("/x")))).otherwise(
+                paths.is_pruned(F.col("path")))))
+        here = seen.where("NOT folder").select("path", "uri", "size_bytes")
+        files = here if files is None else files.unionByName(here)
+        level = seen.where("folder").select("path", "uri")
+        if not level.limit(1).count():
+            return files
+
+
+def source_tree(spark: SparkSession, root: str | None, artifact_id: str, cap: int | None = None,
+                manifest: DataFrame | None = None) -> DataFrame:
+    """Files of a tree: path, size_bytes, content, artifact_id.
+
+    A stored *manifest* (path, uri, size_bytes) is the source at scale; else *root* is
+    listed. Contents are read once, by the tasks; files beyond *cap* bytes, if given, are
+    listed with NULL content and never opened.
     """
-    base = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
-    rel = F.regexp_replace("path", "^[a-z]*:?/*" + _quote(root.strip("/")) + "/", "")
-    small = base.where(F.col("length") <= cap).select(
-        rel.alias("path"), F.col("length").alias("size_bytes"), "content")
-    large = base.where(F.col("length") > cap).select(
-        rel.alias("path"), F.col("length").alias("size_bytes"),
-        F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).where(~paths.is_pruned(F.col("path"))).withColumn(
-        "artifact_id", F.lit(artifact_id))
-
-
-def _quote(s: str) -> str:
-    return "\\Q" + s + "\\E"
+    def fetch(batches):
+        from pyarrow import fs
+        for batch in batches:
+            for k, (uri, size) in enumerate(zip(batch.column("uri").to_pylist(),
+                                                batch.column("size_bytes").to_pylist(), strict=True)):
+                data = None
+                if cap is None or size <= cap:
+                    store, place = fs.FileSystem.from_uri(uri)
+                    with store.open_input_stream(place) as stream:
+                        data = stream.read()
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("path"), one.column("size_bytes"), pa.array([data], pa.binary())],
+                    names=["path", "size_bytes", "content"])
+
+    listed = tree_manifest(spark, root) if manifest is None else manifest.where(~paths.is_pruned(F.col("path")))
+    read = listed.select("path", "uri", "size_bytes").mapInArrow(
+        fetch, "path string, size_bytes long, content binary")
+    return read.withColumn("artifact_id", F.lit(artifact_id))
 
 
 def as_text(files: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 
@@ -8,10 +9,10 @@ from auditspan.operators import (corpus, diff, evidence, lifecycle, matching, or
                                  responses, rollups, verdicts)
 from auditspan.sources import results, rules, sinks
 
-DB = ("import sqlite3\n\ndef lookup(conn, name):\n    cur = conn.cursor()\n"
-      "    cur.execute(\"SELECT * FROM people WHERE name = '\" + name + \"'\")\n"
-      "    return cur.fetchall()\n")
-UTIL = "import subprocess\n\ndef start(cmd):\n    return subprocess.run(cmd, shell=True)\n"
+LEDGER = ("import pickle\n\nclass Ledger:\n    def restore(self, blob):\n"
+          "        rows = pickle.loads(blob)\n        self.rows = rows\n        return len(rows)\n\n"
+          "    def total(self):\n        return eval(self.formula)\n")
+FETCH = "import requests\n\n\ndef mirror(url, target):\n    got = requests.get(url, verify=False)\n    target.write(got.content)\n"
 FILE = "artifact_id string, path string, content string"
 CITED = ("artifact_id string, finding_id string, title string, file_path string,"
          "line_start int, line_end int, state string, confidence double,"
@@ -20,7 +21,7 @@ CITED = ("artifact_id string, finding_id string, title string, file_path string,
 
 def code_files(rows):
     return rows(FILE, *[dict(artifact_id="a", path=p, content=c) for p, c in
-                        (("db.py", DB), ("util.py", UTIL), ("tests/test_db.py", DB))])
+                        (("books/ledger.py", LEDGER), ("net/fetch.py", FETCH), ("tests/test_ledger.py", LEDGER))])
 
 
 # ---- evidence ------------------------------------------------------------------------
@@ -28,24 +29,25 @@ def test_evidence(rows):
     mk = lambda i, **k: dict(artifact_id="a", finding_id=str(i), **k)
     found = rows(
         CITED,
-        mk(1, file_path="db.py", line_start=5, state="confirmed",
-           code_snippet="cur.execute(\"SELECT * FROM people WHERE name = '\" + name + \"'\")"),
-        mk(2, file_path="db.py", line_start=40, state="confirmed",
-           code_snippet="cur.execute(\"SELECT * FROM people"),
-        mk(3, file_path="nope/ghost.py", line_start=3, state="confirmed", confidence=0.9),
-        mk(4, file_path="db.py", line_start=4, state="confirmed", confidence=0.9,
-           code_snippet="quite_other_code_that_is_not_there()"),
-        mk(5, file_path="src/app/util.py", line_start=4,
-           code_snippet="subprocess.run(cmd, shell=True)"),
-        mk(6, line_start=4), mk(7, file_path="db.py", line_start=99, state="confirmed"),
-        mk(8, file_path="db.py", line_start=2))
+        mk(1, file_path="net/fetch.py", line_start=5, state="confirmed",
+           code_snippet="got = requests.get(url, verify=False)"),
+        mk(2, file_path="books/ledger.py", line_start=200, state="confirmed",
+           code_snippet="return eval(self.formula)"),
+        mk(3, file_path="books/gone.py", line_start=8, state="confirmed", confidence=0.6),
+        mk(4, file_path="net/fetch.py", line_start=2, state="confirmed", confidence=0.9,
+           code_snippet="os.chmod(target_folder, 0o777)"),
+        mk(5, file_path="service/net/fetch.py", line_start=6,
+           code_snippet="target.write(got.content)"),
+        mk(6, code_snippet="rows = pickle.loads(blob)"),
+        mk(7, file_path="books/ledger.py", line_start=31, state="confirmed"),
+        mk(8, file_path="net/fetch.py", line_start=4))
     got = {r.finding_id: r for r in evidence.check_evidence(found, code_files(rows)).collect()}
     assert [got[str(i)].evidence_status for i in range(1, 9)] == [
         "verified", "relocated", "file_missing", "snippet_mismatch", "verified", "no_location",
         "line_out_of_range", "location_only"]
-    assert got["2"].line_start == 5 and got["2"].evidence_note == "Cited line 40 corrected to 5"
+    assert got["2"].line_start == 10 and got["2"].evidence_note == "Cited line 200 corrected to 10"
     assert got["3"].state == "dismissed" and got["4"].confidence == 0.5
-    assert got["5"].file_path == "util.py"
+    assert got["5"].file_path == "net/fetch.py"
     assert got["7"].state == "proposed" and got["7"].confidence == 0.25
 
 
@@ -69,21 +71,26 @@ def test_diff(rows):
     mk = lambda s, i, sev, cwe, path, state="proposed": dict(
         scan_id=s, finding_id=f"{s}{i}", severity=sev, cwe=cwe, file_path=path, state=state,
         title="t")
-    found = rows(FINDING, mk("s1", 1, "high", "CWE-89: x", "db.py"),
-                 mk("s1", 2, "low", "CWE-328", "auth.py"),
-                 mk("s2", 1, "critical", "CWE-89", "db.py"), mk("s2", 2, "low", "CWE-79", "v.py"),
-                 mk("s2", 3, "low", "CWE-200", "x.py", "dismissed"))
+    found = rows(FINDING, mk("old", 1, "low", "CWE-22", "files/read.go"),
+                 mk("old", 2, "high", "CWE-611: entities", "xml/load.go"),
+                 mk("old", 3, "medium", "CWE-916", "auth/hash.go"),
+                 mk("new", 1, "medium", "CWE-22: traversal", "files/read.go"),
+                 mk("new", 2, "medium", "CWE-916", "auth/hash.go"),
+                 mk("new", 3, "low", "CWE-601", "web/jump.go"),
+                 mk("new", 4, "info", "CWE-1004", "web/jar.go"),
+                 mk("new", 5, "high", "CWE-502", "io/unpack.go", "dismissed"))
     scans = rows("scan_id string, project_id string, created_at timestamp", *[
-        dict(scan_id=s, project_id="p", created_at=__import__("datetime").datetime(2024, m, 1))
-        for s, m in (("s1", 1), ("s2", 5))])
+        dict(scan_id=s, project_id="p", created_at=datetime.datetime(2025, m, 9))
+        for s, m in (("old", 2), ("new", 3))])
     pairs = diff.baseline_scans(scans)
     changes = diff.scan_diff(found, pairs)
     n = diff.diff_counts(changes, pairs).collect()
-    assert [(r.scan_id, r.new, r.fixed, r.still_open) for r in n] == [("s2", 1, 1, 1)]
-    still = changes.where("status = 'still_open'").first()
-    assert still.severity_changed_from == "high" and still.finding_id == "s21"
+    assert [(r.scan_id, r.new, r.fixed, r.still_open) for r in n] == [("new", 2, 1, 2)]
+    moved = {r.finding_id: r.severity_changed_from
+             for r in changes.where("status = 'still_open'").collect()}
+    assert moved == {"new1": "low", "new2": None}
     same = diff.scan_diff(found, rows("scan_id string, baseline_id string",
-                                      dict(scan_id="s1", baseline_id="s1")))
+                                      dict(scan_id="old", baseline_id="old")))
     assert {r.status for r in same.collect()} == {"still_open"}
 
 
@@ -92,18 +99,23 @@ def test_agreement_and_unaddressed(rows):
     spec = ("scan_id string, finding_id string, title string, cwe string, category string,"
             "file_path string, line_start int, reviewed_by string")
     mk = lambda i, t, cwe, line, who: dict(
-        scan_id="s", finding_id=str(i), title=t, cwe=cwe, file_path="a.py", line_start=line,
+        scan_id="s", finding_id=i, title=t, cwe=cwe, file_path="cart/price.rb", line_start=line,
         reviewed_by=who)
-    found = rows(spec, mk(1, "SQL injection", "CWE-89", 10, "m1"),
-                 mk(2, "SQLi in query", "CWE-89", 11, "m2"), mk(3, "XSS", "CWE-79", 40, "m1"))
+    found = rows(spec, mk("p", "Rounding lets totals drop", "CWE-682", 71, "north"),
+                 mk("q", "Negative totals accepted", "CWE-682: arithmetic", 74, "south"),
+                 mk("r", "Totals rounding", None, 73, "west"),
+                 mk("t", "Log forging", "CWE-117", 72, "north"),
+                 mk("u", "Rounding lets totals drop", "CWE-682", 120, "south"))
     got = {r.finding_id: r.agreement
-           for r in matching.reviewer_agreement(found, 2).collect()}
-    assert got == {"1": 2, "2": 2, "3": 1}
+           for r in matching.reviewer_agreement(found, 3).collect()}
+    assert got == {"p": 3, "q": 3, "r": 3, "t": 1, "u": 1}
     hits = rows("scan_id string, file_path string, line_start int",
-                dict(scan_id="s", file_path="a.py", line_start=12),
-                dict(scan_id="s", file_path="b.py", line_start=3),
-                dict(scan_id="s", file_path="a.py"))
-    assert [r.file_path for r in matching.unaddressed_hits(hits, found).collect()] == ["b.py"]
+                dict(scan_id="s", file_path="cart/price.rb", line_start=118),
+                dict(scan_id="s", file_path="cart/price.rb", line_start=95),
+                dict(scan_id="s", file_path="cart/tax.rb"),
+                dict(scan_id="s", file_path="cart/price.rb"))
+    left = {(r.file_path, r.line_start) for r in matching.unaddressed_hits(hits, found).collect()}
+    assert left == {("cart/price.rb", 95), ("cart/tax.rb", None)}
 
 
 def test_agreement_brute_force(rows, spark):
@@ -222,16 +234,17 @@ def test_rule_pack(spark, rows):
 
 def test_sinks_and_callers(rows):
     files = code_files(rows).unionByName(rows(FILE, dict(
-        artifact_id="a", path="main.py", content="from db import lookup\n\n"
-                                                 "def handle_all(c):\n    lookup(c, 'x')\n")))
+        artifact_id="a", path="nightly.py",
+        content="from books import ledger\n\n\ndef reload_all(box, blobs):\n"
+                "    for blob in blobs:\n        box.restore(blob)\n")))
     scores = {r.path: r.score for r in corpus.sink_scores(corpus.sink_lines(files)).collect()}
-    assert scores == {"db.py": 3, "util.py": 3}
+    assert scores == {"books/ledger.py": 6, "net/fetch.py": 1}  # two code runs, one request
     spots = rows("artifact_id string, file_path string, line_start int",
-                 dict(artifact_id="a", file_path="db.py", line_start=5))
+                 dict(artifact_id="a", file_path="books/ledger.py", line_start=6))
     sym = corpus.enclosing_symbols(spots, files)
-    assert sym.first().symbol == "lookup"
+    assert sym.first().symbol == "restore"
     site = corpus.call_sites(files, sym).first()
-    assert (site.path, site.line_no) == ("main.py", 4) and site.context.startswith("1: from db")
+    assert (site.path, site.line_no) == ("nightly.py", 6) and "for blob in blobs" in site.context
 
 
 # ---- responses -------------------------------------------------------------------------------
@@ -443,13 +456,37 @@ def test_planned_stages():
 
 def test_source_tree(spark, tmp_path):
     from auditspan.sources import tree
-    (tmp_path / "node_modules").mkdir()
-    (tmp_path / "src").mkdir()
-    for name, data in (("src/a.py", b"x = 1\n"), ("node_modules/b.js", b"y"),
+    for name, data in (("src/a.py", b"x = 1\n"), ("node_modules/b.js", b"y"), ("src/__init__.py", b""),
+                       ("src/_private/deep/w.py", b"w = 2\n"), (".env", b"KEY=v\n"),
                        ("src/c.bin", b"\x00\x01"), ("big.py", b"z" * 2000)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    files = tree.source_tree(spark, str(tmp_path), "art", cap=1000)
+    (tmp_path / "src" / "link.py").symlink_to(tmp_path / "src" / "a.py")
+    (tmp_path / "loop").symlink_to(tmp_path / "src")
+    files = tree.source_tree(spark, str(tmp_path), "art")
     idx = {r.path: r for r in corpus.file_index(files, cap=1000).collect()}
-    assert set(idx) == {"src/a.py", "src/c.bin", "big.py"}
+    assert set(idx) == {"src/a.py", "src/__init__.py", "src/_private/deep/w.py", ".env", "src/c.bin", "big.py"}
     assert idx["src/a.py"].included and idx["src/c.bin"].is_binary and not idx["big.py"].included
-    assert {r.path: r.content for r in tree.as_text(files).collect()} == {"src/a.py": "x = 1\n"}
+    text = {r.path: r.content for r in tree.as_text(files).collect()}
+    assert text["src/_private/deep/w.py"] == "w = 2\n" and text[".env"] == "KEY=v\n"
+    assert text["big.py"] == "z" * 2000 and "src/c.bin" not in text
+    capped = tree.source_tree(spark, str(tmp_path), "art", cap=1000).where("path = 'big.py'").first()
+    assert capped.content is None and capped.size_bytes == 2000
+
+
+def test_listing_of_each_artifact(rows):
+    index = rows("artifact_id string, path string", *[
+        dict(artifact_id=a, path=f"p{k}") for a in "ab" for k in range(3)])
+    assert corpus.list_files(index).count() == 6
+    got = [(r.artifact_id, r.path) for r in corpus.list_files(index, limit=2).collect()]
+    assert got == [("a", "p0"), ("a", "p1"), ("b", "p0"), ("b", "p1")]
+
+
+def test_queues_keep_every_row(rows):
+    found = rows(FINDING, *[dict(scan_id="s", finding_id=f"f{k:04d}", severity="high", state="proposed")
+                            for k in range(650)])
+    queued = rollups.verification_queue(found.withColumn("confidence", F.lit(0.5)), ["scan_id"])
+    assert sorted(r.position for r in queued.collect()) == list(range(1, 651))
+    assert queued.where("verification = 'queued'").count() == 650
+    assert rollups.report_findings(found, ["scan_id"]).count() == 650
+    assert rollups.report_findings(found, ["scan_id"], cap=10).count() == 10

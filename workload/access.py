@@ -229,8 +229,8 @@ SELECT concat('art', CAST(floor(k / 500) AS BIGINT)) AS artifact_id, concat('boo
 
 @query("global_context", """
 SELECT artifact_id, file_path, line, enforces FROM (SELECT artifact_id, path AS file_path, CAST(line_no - lo + 1 AS INT) AS line,
-  contains(text, 'dependencies') AS enforces, row_number() OVER (PARTITION BY artifact_id ORDER BY path, line_no) AS rn FROM (
-  SELECT artifact_id, path, line_no, min(line_no) OVER (PARTITION BY artifact_id, path) AS lo, text FROM v_setup_lines) WHERE regexp_matches(text, '(?i)fastapi\\(.{0,160}dependencies|permitall')) WHERE rn <= 200""")
+  contains(text, 'dependencies') AS enforces FROM (
+  SELECT artifact_id, path, line_no, min(line_no) OVER (PARTITION BY artifact_id, path) AS lo, text FROM v_setup_lines) WHERE regexp_matches(text, '(?i)fastapi\\(.{0,160}dependencies|permitall'))""")
 def global_context(spark, sf):
     files = view(spark, sf, "v_setup_lines").groupBy("artifact_id", "path").agg(
         F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(
@@ -331,8 +331,7 @@ def endpoint_lines(spark, sf):
 
 @query("report_matrix", """
 SELECT artifact_id, method, path, risk, position FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY
-  CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, path, method) AS position FROM v_api_policy)
-WHERE position <= 400""")
+  CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, path, method) AS position FROM v_api_policy)""")
 def report_matrix(spark, sf):
     return rollups.report_matrix(reviewed(spark, sf)).select(
         "artifact_id", "method", "path", "risk", "position")

@@ -138,7 +138,7 @@ def path_selection(spark, sf):
 
 
 @query("file_listing", """
-SELECT artifact_id, path FROM v_files ORDER BY path LIMIT 50000""")
+SELECT artifact_id, path FROM v_files""")
 def file_listing(spark, sf):
     return corpus.list_files(docs(spark, sf)).select("artifact_id", "path")
 

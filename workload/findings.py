@@ -6,7 +6,7 @@ from auditspan.functions import fixed, labels, text
 from auditspan.operators import diff, matching, rollups, verdicts
 from auditspan.operators.lifecycle import replace_sources
 
-from .base import VIEWS, query, spark_sql, spread, table, view
+from .base import VIEWS, query, spark_sql, table, view
 
 RANK = ("CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 "
         "WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 9 END")
@@ -172,11 +172,11 @@ def report_counters(spark, sf):
     return rollups.report_counters(findings(spark, sf))
 
 
-# project-wide groups are larger than a scan, so the report caps really cut
+# project-wide groups are larger than a scan
 @query("report_findings", f"""
 SELECT source, finding_id, position FROM (SELECT source, finding_id, row_number() OVER (
   PARTITION BY source ORDER BY {RANK}, CASE WHEN state = 'confirmed' THEN 0 ELSE 1 END, finding_id) AS position
-  FROM v_findings WHERE state <> 'dismissed') WHERE position <= 500""")
+  FROM v_findings WHERE state <> 'dismissed')""")
 def report_findings(spark, sf):
     return rollups.report_findings(findings(spark, sf), ["source"]).select(
         "source", "finding_id", "position")
@@ -185,7 +185,7 @@ def report_findings(spark, sf):
 @query("report_dismissed", """
 SELECT source, finding_id, position FROM (SELECT source, finding_id, row_number() OVER (
   PARTITION BY source ORDER BY finding_id) AS position FROM v_findings
-  WHERE state = 'dismissed') WHERE position <= 200""")
+  WHERE state = 'dismissed')""")
 def report_dismissed(spark, sf):
     return rollups.report_dismissed(findings(spark, sf), ["source"]).select(
         "source", "finding_id", "position")
@@ -196,8 +196,7 @@ SEVERITY_WEIGHT = ("CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN
 
 
 @query("verification_queue", f"""
-SELECT source, finding_id, CASE WHEN rn <= 400 THEN rn END AS position,
-  CASE WHEN rn <= 400 THEN 'queued' ELSE 'skipped' END AS verification FROM (
+SELECT source, finding_id, rn AS position, 'queued' AS verification FROM (
   SELECT source, finding_id, row_number() OVER (PARTITION BY source ORDER BY {SEVERITY_WEIGHT} DESC,
     confidence DESC, finding_id) AS rn FROM v_findings
   WHERE state <> 'dismissed' AND severity IN ('critical','high','medium'))""")
@@ -207,7 +206,7 @@ def verification_queue(spark, sf):
 
 
 @query("triage_queue", f"""
-SELECT source, finding_id, CASE WHEN rn <= 3000 THEN rn END AS position FROM (
+SELECT source, finding_id, rn AS position FROM (
   SELECT source, finding_id, row_number() OVER (PARTITION BY source ORDER BY {SEVERITY_WEIGHT} DESC,
     finding_id) AS rn FROM v_findings WHERE source IN ('semgrep','sonarqube'))""")
 def triage_queue(spark, sf):
@@ -311,14 +310,14 @@ c AS (SELECT scan_id, finding_id, CAST(count(DISTINCT who) AS INT) AS agreement
 
 @query("agreement", AGREE + " SELECT scan_id, finding_id, agreement FROM c")
 def agreement(spark, sf):
-    return matching.reviewer_agreement(spread(findings(spark, sf)), 3).select(
+    return matching.reviewer_agreement(findings(spark, sf), 3).select(
         "scan_id", "finding_id", "agreement")
 
 
 @query("agreement_histogram", AGREE + """
 SELECT concat(agreement, '/3') AS agreement, count(*) AS n FROM c GROUP BY 1""")
 def agreement_histogram(spark, sf):
-    return matching.agreement_histogram(matching.reviewer_agreement(spread(findings(spark, sf)), 3))
+    return matching.agreement_histogram(matching.reviewer_agreement(findings(spark, sf), 3))
 
 
 @query("carry_meta", """

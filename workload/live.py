@@ -283,7 +283,7 @@ SELECT page_id AS run_id, rule, detail FROM (
   SELECT page_id, 'dast.missing-headers' AS rule, concat(CASE WHEN h = 0 THEN 'Content-Security-Policy, ' ELSE '' END,
     'X-Content-Type-Options (nosniff), X-Frame-Options, Referrer-Policy', CASE WHEN page_id % 2 = 0 THEN ', Strict-Transport-Security' ELSE '' END) AS detail FROM p
   UNION ALL SELECT page_id, 'dast.cookie-flags', 'HttpOnly/SameSite' FROM p WHERE c = 0
-  UNION ALL SELECT page_id, 'dast.error-disclosure', concat(trim(right(concat(left(html, 40), ' '), 60), E' \\t\\n\\r'), ' Exception in thread') FROM p WHERE e = 0
+  UNION ALL SELECT page_id, 'dast.error-disclosure', concat(trim(right(concat(html, ' '), 60), E' \\t\\n\\r'), ' Exception in thread') FROM p WHERE e = 0
   UNION ALL SELECT page_id, 'dast.database-error', 'SQLSTATE' FROM p WHERE e = 1)""")
 def passive_findings(spark, sf):
     pid = F.col("page_id")
@@ -295,7 +295,7 @@ def passive_findings(spark, sf):
     rows = table(spark, sf, "pages").select(
         pid.alias("run_id"), "url", F.when(pid % 2 == 0, "https://x").otherwise("http://x")
         .alias("base_url"), F.lit(500).alias("status"), h.alias("headers"),
-        F.concat(F.substring("html", 1, 40), mark).alias("body"))
+        F.concat("html", mark).alias("body"))
     return responses.passive_findings(rows).select("run_id", "rule", "detail")
 
 
