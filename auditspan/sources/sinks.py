@@ -79,7 +79,8 @@ def issue_rows(findings: DataFrame, keys=SCAN) -> DataFrame:
 
 
 def write_issue_xml(rows: DataFrame, path: str, keys=SCAN) -> None:
-    rows.drop(*keys).write.mode("overwrite").format("xml").option("rootTag", "issues") \
+    """Writes issues as XML; the keys become attributes of each issue, so that scans stay apart."""
+    rows.withColumnsRenamed({k: f"_{k}" for k in keys}).write.mode("overwrite").format("xml").option("rootTag", "issues") \
         .option("rowTag", "issue").save(path)
 
 

@@ -428,6 +428,7 @@ def test_flat_exports(rows, tmp_path, spark):
     sinks.write_issue_xml(sinks.issue_rows(f), str(tmp_path / "xml"))
     xml = spark.read.format("xml").option("rowTag", "issue").load(str(tmp_path / "xml"))
     assert xml.first().confidence == "Certain" and xml.first().type == 134217728
+    assert xml.first()._scan_id == "s"
 
 
 def test_groups_and_buckets(rows):
