@@ -150,7 +150,8 @@ def harvested_ids(bodies: DataFrame, keys=("run_id", "role", "collection"), dept
             c("value").alias("_val"))
         kind = F.expr("schema_of_variant(_val)")
         at = F.concat("_at", F.array(c("_pos")))
-        scalar = kind.isin("STRING", "BIGINT", "BOOLEAN")
+        # whole numbers beyond 64 bits are decimals of 19 to 38 digits
+        scalar = kind.isin("STRING", "BIGINT", "BOOLEAN") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
         named = c("_key").isNotNull() & c("_key").rlike(fixed.ID_KEY) & scalar
         value = F.when(kind == "BOOLEAN", F.initcap(F.expr("cast(_val as string)"))) \
             .otherwise(F.expr("cast(_val as string)"))

@@ -285,12 +285,12 @@ def test_seeds_do_not_cross(rows):
 
 def test_harvested_ids(rows):
     body = json.dumps({"items": [{"id": 1, "name": "x"}, {"id": 2, "deep": {"orderId": "o7"}}],
-                       "uuid": "u", "flag_id": True, "price_id": 1.5})
+                       "uuid": "u", "flag_id": True, "price_id": 1.5, "long_id": 10 ** 20, "whole_id": 2.0})
     got = responses.harvested_ids(rows(
         "run_id int, role string, collection string, body string",
         dict(run_id=1, role="r", collection="/c", body=body),
         dict(run_id=1, role="r", collection="/d", body="not json"))).collect()
-    assert {r.id for r in got} == {"1", "2", "o7", "u", "True"}
+    assert {r.id for r in got} == {"1", "2", "o7", "u", "True", "1" + "0" * 20}
 
 
 def test_modes(rows):
