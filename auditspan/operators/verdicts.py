@@ -162,10 +162,11 @@ def apply_live_verdicts(findings: DataFrame, verdicts: DataFrame, keys=("finding
 
 # ---- human triage (M7) and scan status (M15) -------------------------------------
 def apply_triage(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Last decision per finding wins: state, note, by whom and when."""
+    """Last decision per finding wins: state, note, by whom and when. Decisions of one
+    moment and number are settled by their values, so that reruns agree."""
     last = decisions.groupBy("finding_id").agg(F.max_by(
         F.struct("state", "triage_note", "triaged_by", "triaged_at"),
-        F.struct("triaged_at", "seq")).alias("_d"))
+        F.struct("triaged_at", "seq", "state", "triage_note", "triaged_by")).alias("_d"))
     rows = findings.join(last, "finding_id", "left")
     got = F.col("_d").isNotNull()
     pick = lambda n: F.when(got, F.col(f"_d.{n}")).otherwise(

@@ -399,7 +399,9 @@ FROM @lineitem JOIN @orders ON o_orderkey = l_orderkey WHERE l_tax < 0.06"""
 
 @query("human_triage", """
 SELECT f.finding_id, coalesce(d.state, f.state) AS state, d.triaged_by
-FROM v_findings f LEFT JOIN v_decisions d USING (finding_id)""")
+FROM v_findings f LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY triaged_at DESC, seq DESC, state DESC,
+    triage_note DESC, triaged_by DESC) AS rn FROM v_decisions) d ON d.finding_id = f.finding_id AND d.rn = 1""")
 def human_triage(spark, sf):
     return verdicts.apply_triage(findings(spark, sf), view(spark, sf, "v_decisions")).select(
         "finding_id", "state", "triaged_by")
