@@ -19,50 +19,40 @@ def _suffixes(path):
     return F.transform(steps, lambda i: F.array_join(F.slice(parts, i, n), "/"))
 
 
+def _looked_up(kind: str, key, rank: int):
+    return F.struct(F.lit(kind).alias("_kind"), key.alias("_k"), F.lit(rank).alias("_rank"))
+
+
 def resolve_citations(cited: DataFrame, known: DataFrame, keys=DOC) -> DataFrame:
     """(keys, file_path, resolved): cited paths mapped onto known ones.
 
     A citation is taken as is, else cleaned, else matched when exactly one known
     path is a suffix of it (or the reverse), else when exactly one known path has
-    its base name. Known paths are summarised per suffix and per base name, so a
-    very common name costs one row and never a list of pairs.
+    its base name. Known paths become one table of whole paths, suffixes and base
+    names with their least and greatest path, so a very common name costs one row
+    and never a list of pairs; citations look everything up in one join.
     """
     keys = list(keys)
-    known = known.select(*keys, "path").distinct()
-    asked = cited.where(truthy(F.col("file_path")).isNotNull()) \
-        .select(*keys, "file_path").distinct()
-    exact = asked.join(known, (asked.file_path == known.path) & _on(asked, known, keys),
-                       "left_semi").withColumn("resolved", F.col("file_path"))
-    lost = asked.join(known, (asked.file_path == known.path) & _on(asked, known, keys),
-                      "left_anti").withColumn("_p", paths.clean_citation(F.col("file_path")))
-    wanted = lost.select(*keys, F.col("_p")).distinct()
-    cleaned = wanted.join(known.withColumnRenamed("path", "_p"), [*keys, "_p"]) \
-        .withColumn("_clean", F.col("_p"))
-    longer = known.select(*keys, "path", F.explode(_suffixes(F.col("path"))).alias("_p")) \
-        .join(wanted, [*keys, "_p"], "left_semi")
-    shorter = wanted.select(*keys, "_p", F.explode(_suffixes(F.col("_p"))).alias("path")) \
-        .join(known, [*keys, "path"], "left_semi")
-    tails = longer.select(*keys, "_p", "path").unionByName(
-        shorter.select(*keys, "_p", "path")).groupBy(*keys, "_p").agg(
-        F.count(F.lit(1)).alias("_tails"), F.min("path").alias("_tail"))
-    names = known.groupBy(*keys, paths.basename(F.col("path")).alias("_base")).agg(
-        F.count(F.lit(1)).alias("_same"), F.min("path").alias("_named"))
-    found = (wanted.withColumn("_base", paths.basename(F.col("_p")))
-             .join(cleaned, [*keys, "_p"], "left").join(tails, [*keys, "_p"], "left")
-             .join(names, [*keys, "_base"], "left")
-             .select(*keys, "_p", F.coalesce(
-                 "_clean", F.when(F.col("_tails") == 1, F.col("_tail")),
-                 F.when(F.col("_same") == 1, F.col("_named"))).alias("resolved")))
-    repaired = lost.join(found, [*keys, "_p"], "left").select(
-        *keys, "file_path", "resolved")
-    return exact.select(*keys, "file_path", "resolved").unionByName(repaired)
-
-
-def _on(a: DataFrame, b: DataFrame, keys):
-    out = F.lit(True)
-    for k in keys:
-        out = out & (a[k] == b[k])
-    return out
+    path = F.col("path")
+    names = known.select(*keys, "path", F.explode(F.concat(
+        F.array(F.struct(F.lit("path").alias("_kind"), path.alias("_k")),
+                F.struct(F.lit("base").alias("_kind"), paths.basename(path).alias("_k"))),
+        F.transform(_suffixes(path), lambda t: F.struct(F.lit("tail").alias("_kind"), t.alias("_k"))))).alias("_e")) \
+        .groupBy(*keys, F.col("_e._kind").alias("_kind"), F.col("_e._k").alias("_k")).agg(
+            F.min("path").alias("_low"), F.max("path").alias("_high"))
+    asked = cited.where(truthy(F.col("file_path")).isNotNull()).select(*keys, "file_path").distinct() \
+        .withColumn("_p", paths.clean_citation(F.col("file_path")))
+    clean = F.col("_p")
+    lookups = asked.select(*keys, "file_path", F.explode(F.concat(
+        F.array(_looked_up("path", F.col("file_path"), 0), _looked_up("path", clean, 1),
+                _looked_up("tail", clean, 2), _looked_up("base", paths.basename(clean), 3)),
+        F.transform(_suffixes(clean), lambda t: _looked_up("path", t, 2)))).alias("_e")) \
+        .select(*keys, "file_path", "_e.*")
+    found = lookups.join(names, [*keys, "_kind", "_k"], "left").groupBy(*keys, "file_path").agg(*[
+        f(F.when(F.col("_rank") == rank, F.col(c))).alias(f"{c}{rank}")
+        for rank in range(4) for f, c in ((F.min, "_low"), (F.max, "_high"))])
+    return found.select(*keys, "file_path", F.coalesce("_low0", "_low1", *[
+        F.when(F.col(f"_low{rank}") == F.col(f"_high{rank}"), F.col(f"_low{rank}")) for rank in (2, 3)]).alias("resolved"))
 
 
 def repair_stored_paths(findings: DataFrame, known: DataFrame, keys=DOC) -> DataFrame:
@@ -91,23 +81,30 @@ def check_evidence(findings: DataFrame, files: DataFrame, keys=DOC) -> DataFrame
                        .where("path is not null").distinct(), [*keys, "path"], "left_semi")
     sides = cited.select(*keys, F.col("path").alias("resolved"), F.transform(
         text.lines_of(F.col("content")), text.collapse).alias("_norm"))
-    probed = findings.withColumn("_probes", text.snippet_probes(F.col("code_snippet"))) \
+    probed = findings.withColumn("_snippet", F.coalesce("code_snippet", F.lit(""))) \
         .withColumn("_ls", F.coalesce("line_start", F.lit(0))) \
         .withColumn("_le", F.greatest("_ls", F.coalesce(
             F.nullif(F.col("line_end"), F.lit(0)), F.col("_ls"))))
-    joined = probed.join(where, [*keys, "file_path"], "left").join(
-        sides, [*keys, "resolved"], "left")
+    # a snippet is searched once per cited file; only line numbers go back to the findings.
+    # Rows are few bytes and much work, so their partitions must not be merged by size.
+    tasks = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = F.filter(F.transform("_norm", lambda t, i: F.when(
         F.exists("_probes", lambda p: t.contains(p)), i + 1)), lambda h: h.isNotNull())
-    j = joined.withColumn("_hits", F.when(F.size("_probes") > 0, hits).otherwise(
-        F.array().cast("array<int>")))
+    searched = probed.select(*keys, "file_path", "_snippet").distinct().join(where, [*keys, "file_path"]) \
+        .repartition(tasks, *keys, "file_path", "_snippet").withColumn("_probes", F.coalesce(
+            text.snippet_probes(F.col("_snippet")), F.array().cast("array<string>"))) \
+        .join(sides, [*keys, "resolved"]).select(
+            *keys, "file_path", "_snippet", "resolved", F.size("_norm").alias("_lines"),
+            (F.size("_probes") > 0).alias("_probed"),
+            F.when(F.size("_probes") > 0, hits).otherwise(F.array().cast("array<int>")).alias("_hits"))
+    j = probed.join(searched, [*keys, "file_path", "_snippet"], "left")
     ls, le, h = F.col("_ls"), F.col("_le"), F.col("_hits")
-    in_range = (ls >= 1) & (ls <= F.size("_norm"))
+    in_range = (ls >= 1) & (ls <= F.col("_lines"))
     status = (F.when(truthy(F.col("file_path")).isNull(), "no_location")
-              .when(F.col("_norm").isNull(), "file_missing")
+              .when(F.col("_lines").isNull(), "file_missing")
               .when(F.exists(h, lambda x: x.between(ls - 6, le + 6)), "verified")
               .when(F.size(h) > 0, "relocated")
-              .when(F.size("_probes") > 0, F.when(in_range, "snippet_mismatch")
+              .when(F.col("_probed"), F.when(in_range, "snippet_mismatch")
                     .otherwise("line_out_of_range"))
               .otherwise(F.when(in_range, "location_only").otherwise("line_out_of_range")))
     nearest = F.array_min(F.transform(h, lambda x: F.struct(
@@ -118,7 +115,7 @@ def check_evidence(findings: DataFrame, files: DataFrame, keys=DOC) -> DataFrame
     conf = F.coalesce(F.col("confidence").cast("double"), F.lit(0.5))
     missing = st == "file_missing"
     updates = {
-        "file_path": F.when(F.col("_norm").isNotNull(), F.col("resolved"))
+        "file_path": F.when(F.col("_lines").isNotNull(), F.col("resolved"))
         .otherwise(F.col("file_path")),
         "line_start": F.coalesce("_near", "line_start"),
         "line_end": F.when(F.col("_near").isNotNull(), F.col("_near") + F.when(

@@ -51,6 +51,33 @@ def test_evidence(rows):
     assert got["7"].state == "proposed" and got["7"].confidence == 0.25
 
 
+def test_citations_take_one_candidate_only(rows):
+    known = rows("artifact_id string, path string", *[
+        dict(artifact_id="a", path=p) for p in
+        ("core/log.py", "web/log.py", "core/only.py", "core/only.py", "deep/web/form.py")],
+        dict(artifact_id="b", path="core/other.py"))
+    want = {"core/log.py": "core/log.py", "log.py": None, "x/web/log.py": "web/log.py",
+            "web/form.py": "deep/web/form.py", "elsewhere/only.py": "core/only.py",
+            "core/other.py": None}
+    cited = rows("artifact_id string, file_path string", dict(artifact_id="a"), *[
+        dict(artifact_id="a", file_path=p) for p in [*want, "log.py"]])
+    got = evidence.resolve_citations(cited, known).collect()
+    assert {r.file_path: r.resolved for r in got} == want and len(got) == len(want)
+
+
+def test_same_snippet_in_findings_of_one_file(rows):
+    mk = lambda i, **k: dict(artifact_id="a", finding_id=str(i), state="proposed", **k)
+    code = "got = requests.get(url, verify=False)"
+    found = rows(CITED, mk(1, file_path="net/fetch.py", line_start=5, code_snippet=code),
+                 mk(2, file_path="net/fetch.py", line_start=5, code_snippet=code),
+                 mk(3, file_path="fetch.py", line_start=900, code_snippet=code),
+                 mk(4, file_path="net/fetch.py", line_start=4, code_snippet=""))
+    got = {r.finding_id: r for r in evidence.check_evidence(found, code_files(rows)).collect()}
+    assert [got[str(i)].evidence_status for i in range(1, 5)] == [
+        "verified", "verified", "relocated", "location_only"]
+    assert got["3"].file_path == "net/fetch.py"
+
+
 def test_path_repair(rows):
     known = rows("artifact_id string, path string", dict(artifact_id="a", path="proj/src/a.py"))
     cited = rows("artifact_id string, file_path string", *[
