@@ -139,17 +139,16 @@ def _applies(rule) -> Column:
     return F.coalesce(F.col("_lang").isin(*rule.languages), F.lit(False))
 
 
-def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+#: Stands in front of a match; no character of a text.
+_MARK, _NOT_MARK = "\uffff", "\ufffe"
 
 
 def _match_lines(content: Column, pattern: str) -> Column:
-    """1-based line of every match of a multi-line pattern."""
-    before = F.transform(F.split(content, pattern, -1), _newlines)
-    within = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), _newlines)
-    total = lambda arr, n: F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0),
-                                       lambda a, x: a + x)
-    return F.transform(within, lambda _, i: total(before, i + 1) + total(within, i) + 1)
+    """1-based line of every match of a multi-line pattern, in one pass: matches are
+    marked where they begin, and each line counts for every mark it holds."""
+    marked = F.regexp_replace(F.replace(content, F.lit(_MARK), F.lit(_NOT_MARK)), F.lit(pattern), F.lit(_MARK + "$0"))
+    return F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(
+        i + 1, F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit(""))))))
 
 
 def rule_candidates(hits: DataFrame, rules, keep=("artifact_id", "path")) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def test_same_snippet_in_findings_of_one_file(rows):
     assert got["3"].file_path == "net/fetch.py"
 
 
+def test_lines_of_matches_over_several_lines(rows):
+    pattern = r"(?s)begin\s*\{.*?end|\bx\s*=\s*\n\s*y"
+    texts = ["", "begin {\n a\nend x =\n y\nbegin{end", "no", "$0 \\ begin {end",
+             "x = \n\n y\r\nq\uffff begin {\uffff\n\nend\nbegin { end begin {end\n"]
+    found = rows("t string", *[dict(t=t) for t in texts]).select(
+        "t", corpus._match_lines(F.col("t"), pattern).alias("n")).collect()
+    assert {r.t: r.n for r in found} == {
+        t: [t.count("\n", 0, m.start()) + 1 for m in re.finditer(pattern, t)] for t in texts}
+
+
 def test_path_repair(rows):
     known = rows("artifact_id string, path string", dict(artifact_id="a", path="proj/src/a.py"))
     cited = rows("artifact_id string, file_path string", *[
