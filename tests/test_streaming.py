@@ -127,14 +127,14 @@ def test_held_requests_batch_and_stream(spark, rows, tmp_path):
 
 def test_whole_review(rows):
     from auditspan.plans.review import run_review
-    from test_access import ROUTER
+    from test_access import DEPOT
     files = rows("artifact_id string, path string, content string",
-                 dict(artifact_id="a", path="api.py", content=ROUTER),
+                 dict(artifact_id="a", path="api.py", content=DEPOT),
                  dict(artifact_id="a", path="cfg.py", content="token = 'abcdefgh123'\n"))
     found = rows(schema.FINDING.add("artifact_id", "string"), dict(
-        artifact_id="a", finding_id="1", title="Open delete", severity="high", state="proposed",
+        artifact_id="a", finding_id="1", title="Open move", severity="high", state="proposed",
         confidence=0.6, file_path="api.py", line_start=8, source="ai",
-        code_snippet='@router.delete("/accounts/{account_id}")'),
+        code_snippet='@router.put("/crates/{crate_id}/shelf")'),
         dict(artifact_id="a", finding_id="2", title="Ghost", severity="low", state="confirmed",
              confidence=0.6, file_path="zzz.py", line_start=8, source="ai"))
     r = run_review(files, found)
