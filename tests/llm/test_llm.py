@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on a small table with odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,8 @@ import pytest
 from auditspan.llm import (graphs, languages, licenses, lines, mixing, neighbours, packing, quality, repeats,
                            sharding, similarity)
 
+from .conftest import prose
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,6 +38,25 @@ def test_lines(docs, cases, none):
     assert lines.drop_recurring_lines(none).count() == 0
 
 
+def test_lines_in_every_document(spark):
+    rng = random.Random(8)
+    notice, passage, article = prose(rng, 12), prose(rng, 30), prose(rng, 40) + "\n" + prose(rng, 25)
+    texts = {k: f"{notice} {k}\n{prose(rng, 5)}" for k in range(10, 30)}  # mostly boilerplate, no copies
+    texts |= {k: f"{notice} {k}\n{prose(rng, 50)}" for k in range(30, 35)}
+    texts |= {k: f"{prose(rng, 40)}\n{passage}" for k in (50, 51, 52)}
+    texts |= {k: article for k in range(60, 72)}
+    rows = [*texts.items(), (None, passage), (50, texts[50])]
+    got = lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    text_of = {r.doc_id: r.text for r in got}
+    assert text_of[10] == texts[10] and text_of[60] == article and text_of[None] == passage
+    assert all(text_of[k] == texts[k].split("\n")[1] for k in range(11, 35))
+    assert all(text_of[k] == texts[k].split("\n")[0] for k in (50, 51, 52))
+    assert all(text_of[k] == "" for k in range(61, 72))
+    assert all(r.n_recurring == (2 if r.text in (article, "") else 1) for r in got)
+    assert sum(r.n_dropped for r in got) == 24 + 4 + 22
+
+
 def test_mixture(docs, cases, none):
     got = mixing.mixture(docs, block=4).collect()
     again = sorted(mixing.mixture(docs, block=4).collect(), key=str)
