@@ -85,16 +85,15 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similar
     least = max(min_documents, TEMPLATE_TEXTS)
     lines = tree_lines(docs, depth, min_tokens)
     leaves = (tree_lines(docs, depth, min_tokens, False).groupBy("leaf", "doc_id", "key").agg(F.lit(1).alias("one"))
-              .groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("leaf"))
+              .groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents))
     pieces = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda t: t != "")
     masked = F.transform(pieces, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-    kept = pin(lines.join(leaves, "leaf").withColumn("shape", F.array_join(masked, " "))
-               .withColumn("same", F.xxhash64("text")).drop("text"))
-    once = kept.select("leaf", "shape", "tokens", "key").distinct()
+    shape = F.when(F.col("n") >= least, F.array_join(masked, " "))
+    kept = pin(lines.join(leaves, "leaf").withColumn("shape", shape).withColumn("same", F.xxhash64("text"))
+               .withColumn("mask", F.xxhash64("shape")).drop("text", "n"))
+    once = kept.where("shape IS NOT NULL").select("leaf", "shape", "tokens", "key").distinct()
     shapes = once.groupBy("leaf", "shape", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    full = shapes.groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("leaf")
-    places = shapes.join(full, "leaf").select(
-        "leaf", "shape", "tokens", "n", F.posexplode(F.split("shape", " ")).alias("place", "token"))
+    places = shapes.select("leaf", "shape", "tokens", "n", F.posexplode(F.split("shape", " ")).alias("place", "token"))
     support = (places.where(F.col("token") != VARIABLE).groupBy("leaf", "place", "token")
                .agg(F.sum("n").alias("support")).where(F.col("support") >= least).drop("support"))
     fixed = places.join(support, ["leaf", "place", "token"]).groupBy("leaf", "shape", "tokens").agg(
@@ -107,7 +106,8 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, similar
     equal = (kept.groupBy("same", "doc_id", "key").agg(F.lit(1).alias("one"))
              .groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key")).alias("least"))
              .where(F.col("n") >= min_documents).select("same", "least"))
-    found = (kept.join(fixed.join(recurring, "form"), ["leaf", "shape"], "left").join(equal, "same", "left")
+    forms = fixed.join(recurring, "form").select("leaf", F.xxhash64("shape").alias("mask"), "form")
+    found = (kept.drop("shape").join(forms, ["leaf", "mask"], "left").join(equal, "same", "left")
              .where("form IS NOT NULL OR least IS NOT NULL"))
     first = F.coalesce(F.struct("doc_id", "key").eqNullSafe(F.col("least")), F.lit(False))
     return found.groupBy("doc_id", "key").agg(F.max("words").alias("words"), F.collect_set(

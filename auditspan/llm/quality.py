@@ -21,6 +21,11 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyon
 TOP_WORDS, MAX_CHARACTERS, MAX_WORDS = 64, 0.3, 0.35
 #: Fewer words or characters than these say too little for a verdict.
 GUARD_WORDS, GUARD_CHARACTERS = 50, 200
+#: Documents with words, and words, that make a reference.
+REFERENCE_DOCUMENTS, REFERENCE_WORDS = 10, 1000
+#: Word counts at which the sampling noise of a reference is drawn, draws, and the share
+#: of true samples of the reference that may lie beyond the noise.
+NOISE_WORDS, NOISE_DRAWS, NOISE_SHARE = (10, 15, 25, 35, 50, 60, 75, 100, 125, 150, 200, 250, 350, 500, 1000), 4000, 0.001
 FLUSH = 1 << 18
 
 
@@ -96,8 +101,9 @@ def measure_slice(part: pa.RecordBatch):
 
 def language_references(docs: DataFrame) -> DataFrame:
     """One row per language: class counts and the most frequent words with their counts,
-    over the whole texts of *docs*. A null language is a language of its own. Word counts
-    are summed per task before they are shuffled."""
+    over the whole texts of *docs*. A null language gives none, nor does one with fewer than
+    ``REFERENCE_DOCUMENTS`` documents or ``REFERENCE_WORDS`` words, which would mirror its few
+    texts. Word counts are summed per task before they are shuffled."""
     def count(batches):
         bags: dict = {}
         size = 0
@@ -120,14 +126,15 @@ def language_references(docs: DataFrame) -> DataFrame:
                 data, starts = flat(part.column("text"))
                 first, end, row = runs(data, starts, non_space())
                 hashes, histogram = Rolling(data).of(first, end), class_histogram(data, starts)
+                has = np.bincount(row, minlength=part.num_rows) > 0
+                histogram = np.column_stack((histogram, has))
                 codes = part.column("lang").dictionary_encode()
-                names = [*codes.dictionary.to_pylist(), None]
-                index = codes.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
-                for k, lang in enumerate(names):
+                index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                for k, lang in enumerate(codes.dictionary.to_pylist()):
                     if not (own := index == k).any():
                         continue
                     found, times = np.unique(hashes[own[row]], return_counts=True)
-                    classes, parts = bags.setdefault(lang, [np.zeros(len(CLASSES), np.int64), []])
+                    classes, parts = bags.setdefault(lang, [np.zeros(len(CLASSES) + 1, np.int64), []])
                     bags[lang][0] = classes + histogram[own].sum(axis=0)
                     parts.append((found, times))
                     size += len(found)
@@ -136,11 +143,11 @@ def language_references(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from flush()
 
-    counted = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
+    counted = docs.where("lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
         count, "lang string, word long, n long, classes array<long>")
     per_word = counted.groupBy("lang", "word").agg(
         F.sum("n").alias("n"),
-        *[F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))])
+        *[F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
     heaviest = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     # two rounds, so that no task orders all words of a language
     slice_of = Window.partitionBy("lang", F.pmod("word", F.lit(64))).orderBy(F.desc("n"), "word")
@@ -149,10 +156,11 @@ def language_references(docs: DataFrame) -> DataFrame:
              .withColumn("_r", F.row_number().over(heaviest)).where(F.col("_r") <= TOP_WORDS)
              .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_r", "word", "n"))).alias("words")))
     classes = per_word.where("word IS NULL").select(
-        "lang", F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]).alias("classes"))
-    totals = per_word.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n_words"))
-    return (classes.join(words, classes.lang.eqNullSafe(words.lang), "left").drop(words.lang)
-            .join(totals, classes.lang.eqNullSafe(totals.lang), "left").drop(totals.lang))
+        "lang", F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]).alias("classes"),
+        F.col(f"c{len(CLASSES)}").alias("n_docs")).where(F.col("n_docs") >= REFERENCE_DOCUMENTS)
+    totals = per_word.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n_words")).where(
+        F.col("n_words") >= REFERENCE_WORDS)
+    return classes.join(words, "lang").join(totals, "lang")
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -166,36 +174,52 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((against(p) + against(np.broadcast_to(q, p.shape))) / 2, 0, 1))
 
 
+def sampling_noise(q: np.ndarray) -> np.ndarray:
+    """Distance from *q* that all but ``NOISE_SHARE`` of its own samples keep, for samples
+    of ``NOISE_WORDS`` words; by a fixed seed."""
+    rng = np.random.default_rng(29)
+    q = q / q.sum()
+    return np.array([np.quantile(divergence(rng.multinomial(n, q, NOISE_DRAWS).astype(float), q), 1 - NOISE_SHARE)
+                     for n in NOISE_WORDS])
+
+
 def quality_rules(docs: DataFrame, max_characters: float = MAX_CHARACTERS,
                   max_words: float = MAX_WORDS) -> DataFrame:
     """Counts and verdict per row of *docs* (doc_id, text, lang; other columns are ignored).
 
     A document fails when its character classes lie further than *max_characters*, or its
-    common words further than *max_words*, from the nearest language reference
-    (Jensen-Shannon distance). Texts under ``GUARD_WORDS`` words or ``GUARD_CHARACTERS``
+    common words further than *max_words*, from every language reference (Jensen-Shannon
+    distance, 1 if there is no reference; then nothing fails by it). The fewer words a text
+    has, the further chance alone takes it; the limit for words is never below the
+    ``sampling_noise`` of the reference at that count. Texts under ``GUARD_WORDS`` words or ``GUARD_CHARACTERS``
     characters keep the base verdict. A null or empty text has zero counts and fails the
     base rule. Repeated rows each give a row. Languages are few by nature, so their
     references (``TOP_WORDS`` words each) travel with the tasks.
     """
-    references = [(np.array(r.classes, float), np.array([w.word for w in r.words or []], np.int64).view(np.uint64),
-                   np.array([w.n for w in r.words or []], float), float(r.n_words or 0))
-                  for r in language_references(docs).toLocalIterator()]
+    references = []
+    for r in language_references(docs).toLocalIterator():
+        times = np.array([w.n for w in r.words], float)
+        times = np.append(times, r.n_words - times.sum())
+        references.append((np.array(r.classes, float), np.array([w.word for w in r.words], np.int64).view(np.uint64),
+                           times, np.maximum(sampling_noise(times), max_words)))
 
     def judge(part: pa.RecordBatch) -> pa.RecordBatch:
         (n_words, word_chars, n_symbols, n_dup, n_repeat), histogram, hashes, row = measure_slice(part)
         rows = part.num_rows
-        characters, common = np.ones(rows), np.ones(rows)
-        for classes, words, times, total in references:
+        characters, common, beyond = np.ones(rows), np.ones(rows), np.full(rows, len(references) > 0)
+        for classes, words, times, limit in references:
             characters = np.minimum(characters, divergence(histogram, classes))
             order = np.argsort(words)
-            at = np.searchsorted(words[order], hashes).clip(max=max(len(words) - 1, 0))
-            column = np.where(words[order][at] == hashes, order[at], len(words)) if len(words) else np.zeros(len(hashes), int)
+            at = np.searchsorted(words[order], hashes).clip(max=len(words) - 1)
+            column = np.where(words[order][at] == hashes, order[at], len(words))
             width = len(words) + 1
             counts = np.bincount(row * width + column, minlength=rows * width).reshape(rows, width)
-            common = np.minimum(common, divergence(counts, np.append(times, total - times.sum())))
+            distance = divergence(counts, times)
+            common = np.minimum(common, distance)
+            beyond &= distance > np.interp(n_words, NOISE_WORDS, limit)
         failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
         enough = (n_words >= GUARD_WORDS) & (histogram.sum(axis=1) >= GUARD_CHARACTERS)
-        far = enough & ((characters > max_characters) | (common > max_words))
+        far = enough & (((characters > max_characters) & (len(references) > 0)) | beyond)
         return record("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept "
                       "class_distance word_distance", part.column("doc_id"), n_words, word_chars, n_symbols,
                       n_dup, n_repeat, failed, ~failed & ~far, characters, common)

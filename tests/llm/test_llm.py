@@ -176,6 +176,29 @@ def test_quality(docs, cases, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_quality_of_short_and_odd_texts(spark):
+    rng = random.Random(12)
+    common, rare = prose(rng, 90).split(), prose(rng, 4000).split()
+    weights = [1 / (k + 1) for k in range(len(common))]
+
+    def clean(n):
+        return " ".join(rng.choices(common, weights)[0] if rng.random() < 0.6 else rng.choice(rare) for _ in range(n))
+
+    long, short = [clean(400) for _ in range(60)], [clean(rng.randint(50, 99)) for _ in range(200)]
+    junk = [" ".join(rng.sample(rare, n)) for n in (100, 120, 150, 300)]  # no common word
+    marks = [" ".join(f"{w}##$$" for w in clean(n).split()) for n in (60, 150)]
+    rows = [(t, "aa") for t in long + short] + [(t, None) for t in junk + marks] + [(t, f"x{k}") for k, t in enumerate(junk + marks)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert [r.lang for r in quality.language_references(frame).collect()] == ["aa"]
+    got = {r.doc_id: r for r in quality.quality_rules(frame).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[k].word_distance > quality.MAX_WORDS for k in range(260)) > 20
+    assert sum(not got[k].kept for k in range(260)) <= 2
+    assert not any(got[k].kept for k in range(260, len(rows)))
+    few = quality.quality_rules(frame.where("doc_id >= 260")).collect()  # nothing to hold them against
+    assert all(r.kept for r in few) and {r.word_distance for r in few} == {1.0}
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT_ANCHOR, 1])
 def test_repeats(docs, cases, none, hot):
     got = {r.doc_id: r for r in repeats.remove_repeats(docs, with_bytes=True, hot_anchor=hot).collect()}
