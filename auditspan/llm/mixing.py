@@ -169,7 +169,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.transform("_spans", lambda s: F.array_join(
         F.slice(words, s.lo.cast("int") + 1, (s.hi - s.lo).cast("int")), " ")), " ")
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("_k") == F.col("_t")))
+    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")))
     text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(part)
     return joined.withColumn("text", text).withColumn(
         "n_chars", F.char_length("text").cast("long")).select(*columns)

@@ -54,7 +54,7 @@ def word_grams(column: pa.Array, n: int):
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, words, bands): hashes of the word sequence and one per band."""
+    """(doc_id, key, k1, k2, words, bands): hashes of the word sequence and one per band."""
     scale = np.random.default_rng(23).integers(1, 1 << 32, (bands * rows, 2), dtype=np.uint64)
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -68,9 +68,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             band[has, k // rows] = mix(band[has, k // rows] * np.uint64(31) + low)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * bands, pa.int32()),
                                          pa.array(band.ravel().view(np.int64)))
-        return record("doc_id k1 k2 words bands", part.column("doc_id"), keys[0].view(np.int64),
-                      keys[1].view(np.int64), count, lists)
-    return map_texts(docs, sign, "doc_id long, k1 long, k2 long, words long, bands array<long>")
+        return record("doc_id key k1 k2 words bands", part.column("doc_id"), part.column("key"),
+                      keys[0].view(np.int64), keys[1].view(np.int64), count, lists)
+    return map_texts(docs, sign, "doc_id long, key long, k1 long, k2 long, words long, bands array<long>")
 
 
 def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], threshold: float):
@@ -108,14 +108,14 @@ def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray | None, sets: l
     return near.sum(axis=1), near @ weight, rep[parent]
 
 
-def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links, n_linked_texts) per row of *docs* (doc_id, text;
-    other columns are ignored).
+def text_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, key, class, copy_id, n_links, n_linked_texts) per row of *docs* (doc_id, text;
+    other columns are ignored), with ``key`` a hash of the text.
 
     Texts with equal word sequences are copies; ``copy_id`` is the smallest doc_id among
-    them. Different texts are linked if their sets of *n*-word shingles have a Jaccard
-    similarity of *threshold* or more; ``class_id`` is the smallest doc_id that links
-    reach. ``n_links`` counts linked documents, copies included, ``n_linked_texts``
+    them (null if none has an id). Different texts are linked if their sets of *n*-word shingles have a Jaccard
+    similarity of *threshold* or more; texts that links reach have the same ``class``, a number from
+    hashes of word sequences, so that neither null nor clashing ids lose or merge texts. ``n_links`` counts linked documents, copies included, ``n_linked_texts``
     different texts. A text of fewer than *n* words is one shingle; null, empty and
     wordless texts are copies of each other. Repeated rows are copies.
 
@@ -126,15 +126,17 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
     row per text.
     """
     bands, rows = bands_and_rows(threshold, recall)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    node = F.xxhash64("k1", "k2", "words")
     signed = pin(signatures(ids, n, bands, rows))
     texts = pin(signed.groupBy("k1", "k2", "words").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")))
-    members = texts.where("words > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = members.join(buckets, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "key")).alias("row"),
+        F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")).withColumn("node", node))
+    members = texts.where("words > 0").select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = members.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
     candidates = components(stars).join(
-        texts.select(F.col("rep").alias("node"), "copies", "words", "k1", "k2"), "node")
+        texts.select("node", "copies", "words", "row"), "node")
     sizes = candidates.groupBy("component").agg(F.sum("words").alias("total"))
     spread = max(1, -(-int(sizes.agg(F.sum("total")).first()[0] or 1) // TASK_GRAMS))
     blocks = (F.col("total") / TASK_GRAMS).cast("long") + 1
@@ -146,11 +148,11 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
               .withColumn("pair", F.explode(pairs))
               .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(spread))).otherwise(
                   F.xxhash64("component", "pair"))))
-    wanted = candidates.select(F.col("node").alias("doc_id"), "k1", "k2")
-    text_of = ids.join(wanted.select("doc_id").distinct(), "doc_id")
+    wanted = candidates.select(F.col("row.doc_id").alias("_d"), F.col("row.key").alias("_k"))
+    text_of = ids.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("text")
 
     def gram_sets(part: pa.RecordBatch) -> pa.RecordBatch:
-        gram, row, keys, _ = word_grams(part.column("text"), n)
+        gram, row, keys, count = word_grams(part.column("text"), n)
         order = np.lexsort((gram, row))
         gram, row = gram[order], row[order]
         first = np.ones(len(gram), bool)
@@ -158,9 +160,9 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
         gram, row = gram[first], row[first]
         cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
         sets = [gram[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return record("node k1 k2 grams", part.column("doc_id"), keys[0].view(np.int64), keys[1].view(np.int64),
+        return record("k1 k2 words grams", keys[0].view(np.int64), keys[1].view(np.int64), count,
                       pa.array(sets, pa.binary()))
-    sets = map_texts(text_of, gram_sets, "node long, k1 long, k2 long, grams binary").groupBy("node", "k1", "k2").agg(
+    sets = map_texts(text_of, gram_sets, "k1 long, k2 long, words long, grams binary").groupBy(node.alias("node")).agg(
         F.first("grams").alias("grams"))  # equal for equal keys
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
@@ -174,16 +176,40 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOL
             out.append(pd.DataFrame({"node": part.node, "n_texts": found[0], "n_docs": found[1], "low": found[2]}))
         return pd.concat(out)
 
-    work = placed.join(sets, ["node", "k1", "k2"]).select(
+    work = placed.join(sets, "node").select(
         "task", "component", F.when(F.col("blocks") == 1, 0).otherwise(F.col("block")).alias("block"),
         "pair.i", "pair.j", "node", "copies", "grams")
     checked = pin(work.groupBy("task").applyInPandas(verify, "node long, n_texts long, n_docs long, low long"))
     counts = checked.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     classes = components(checked.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    per_text = (texts.join(counts, texts.rep == counts.node, "left").drop("node")
-                .join(classes, F.col("rep") == classes.node, "left")
-                .select("k1", "k2", "words", "rep", "copies", "n_texts", "n_docs", "component"))
-    return signed.select("doc_id", "k1", "k2", "words").join(per_text, ["k1", "k2", "words"]).select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"),
+    per_text = (texts.join(counts, "node", "left").join(classes, "node", "left")
+                .select("k1", "k2", "words", "node", "rep", "copies", "n_texts", "n_docs", "component"))
+    return signed.select("doc_id", "key", "k1", "k2", "words").join(per_text, ["k1", "k2", "words"]).select(
+        "doc_id", "key", F.coalesce("component", "node").alias("class"), F.col("rep").alias("copy_id"),
         (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_linked_texts"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, copy_id, n_links, n_linked_texts) per row of *docs*: ``text_classes``
+    with the smallest doc_id of each class, null if none has an id."""
+    rows = pin(text_classes(docs, n, threshold, recall))
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "class").select("doc_id", "class_id", "copy_id", "n_links", "n_linked_texts")
+
+
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """The row of *docs* (doc_id, text and any others) with the least doc_id of each class of
+    near duplicates; a null doc_id only where no other is. Of rows that repeat doc_id and
+    text the least by all columns stays."""
+    rows = text_classes(docs)
+    keep = rows.groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"),
+    ).select(F.col("s.doc_id").alias("_d"), F.col("s.key").alias("_k"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    stay = pin(keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))))
+    repeated = stay.groupBy("_d", "_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = stay["_d"].eqNullSafe(repeated["_d"]) & (stay["_k"] == repeated["_k"])
+    more = stay.join(repeated, same, "left_semi")
+    return stay.join(repeated, same, "left_anti").select(*docs.columns).unionByName(
+        more.groupBy("_d", "_k").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*"))

@@ -39,12 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the least id."""
-    classes = similarity.jaccard_classes(docs)
-    keep = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    stay = docs.join(keep, F.col("doc_id") == F.col("_d"))
-    # an id on several rows keeps one of them
-    return stay.where("_n = 1").select(*COLUMNS).unionByName(
-        stay.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*"))
+    return similarity.one_per_class(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

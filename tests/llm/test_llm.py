@@ -147,6 +147,28 @@ def test_jaccard(docs, cases, none):
     assert 1 - (1 - 0.8 ** rows) ** bands >= similarity.RECALL and bands * rows <= similarity.HASHES
 
 
+def test_jaccard_of_null_and_clashing_ids(spark):
+    import corpus_pipeline
+    rng = random.Random(5)
+    text = [prose(rng, 60) for _ in range(5)]
+    near = text[0].rsplit(" ", 1)[0] + " end"
+    rows = [(7, text[0]), (7, text[1]), (7, text[2]), (None, text[3]), (None, text[4]), (9, near), (3, text[2]), (4, text[4]),
+            (7, text[0])]
+    frame = spark.createDataFrame([(d, t, "aa", f"s{k}", len(t)) for k, (d, t) in enumerate(rows)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.class_id, r.copy_id, r.n_links) for r in similarity.jaccard_classes(frame).collect()}
+    assert got == {(7, 7, 7, 2), (7, 7, 7, 0), (7, 3, 3, 1), (3, 3, 3, 1), (None, None, None, 0), (None, 4, 4, 1),
+                   (4, 4, 4, 1), (9, 7, 9, 2)}
+    kept = corpus_pipeline.jaccard_stage(spark, frame, "")
+    want = Counter([(7, text[0], "s0"), (7, text[1], "s1"), (3, text[2], "s6"), (None, text[3], "s3"), (4, text[4], "s7")])
+    assert Counter((r.doc_id, r.text, r.source) for r in kept.collect()) == want
+    mixed = mixing.mixed_documents(kept, block=4).collect()
+    taken = Counter()
+    for r in mixed:
+        taken[r.doc_id] += len(words(r.text))
+    assert set(taken) == {7, 3, 4, None} and sum(taken.values()) == pytest.approx(1.5 * 300, abs=20)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30)] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graphs.components(edges).collect()}
