@@ -18,8 +18,9 @@ from .texts import Rolling, flat, grams, map_texts, mix, non_space, record, runs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 160
-#: n-grams that a verification task holds of one side.
-TASK_GRAMS = 400_000
+#: n-grams and texts that a verification task holds of one side; texts that it compares
+#: with all others at a time.
+TASK_GRAMS, TASK_TEXTS, TASK_ROWS = 400_000, 4000, 512
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -76,7 +77,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], threshold: float):
     """Links between texts of different sides (or all links without sides): per text the
     linked texts and documents, and the smallest text of its part of the graph. Only n-grams that
-    two texts share take part in the products."""
+    two texts share take part in the products. Only the links themselves, a bit for every
+    pair, are held for all texts at once."""
     n = len(rep)
     size = np.array([len(s) for s in sets], np.float64)
     owner = np.repeat(np.arange(n), size.astype(int))
@@ -87,25 +89,38 @@ def linked(rep: np.ndarray, weight: np.ndarray, side: np.ndarray | None, sets: l
     owner, spot = owner[shared], column[inverse[shared]]
     order = np.argsort(spot, kind="stable")
     owner, spot = owner[order], spot[order]
-    both = np.zeros((n, n), np.float32)
     width = max(64, (1 << 22) // max(n, 1))
+    chunks = []
     for lo in range(0, int(spot[-1]) + 1 if len(spot) else 0, width):
         a, b = np.searchsorted(spot, (lo, lo + width))
-        table = np.zeros((n, width), np.float32)
-        table[owner[a:b], spot[a:b] - lo] = 1
-        both += table @ table.T
-    near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    np.fill_diagonal(near, False)
-    if side is not None:
-        near &= side[:, None] != side[None, :]
+        chunks.append((owner[a:b], spot[a:b] - lo))
+    bits = np.zeros((n, -(-n // 8)), np.uint8)
+    n_texts, n_docs = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for top in range(0, n, TASK_ROWS):
+        end = min(top + TASK_ROWS, n)
+        both = np.zeros((end - top, n), np.float32)
+        for own, at in chunks:
+            table = np.zeros((n, width), np.float32)
+            table[own, at] = 1
+            both += table[top:end] @ table.T
+        near = both >= threshold * (size[top:end, None] + size[None, :] - both) - 1e-9
+        near[np.arange(end - top), np.arange(top, end)] = False
+        if side is not None:
+            near &= side[top:end, None] != side[None, :]
+        n_texts[top:end], n_docs[top:end] = near.sum(axis=1), near @ weight
+        bits[top:end] = np.packbits(near, axis=1)
     parent = np.arange(n)
     while True:  # smallest neighbour, then its own smallest, until nothing moves
-        low = np.minimum(parent, np.where(near, parent[None, :], n).min(axis=1, initial=n))
+        low = parent.copy()
+        for top in range(0, n, TASK_ROWS):
+            near = np.unpackbits(bits[top:top + TASK_ROWS], axis=1, count=n).view(bool)
+            low[top:top + TASK_ROWS] = np.minimum(low[top:top + TASK_ROWS], np.where(
+                near, parent[None, :], n).min(axis=1, initial=n))
         low = low[low]
         if (low == parent).all():
             break
         parent = low
-    return near.sum(axis=1), near @ weight, rep[parent]
+    return n_texts, n_docs, rep[parent]
 
 
 def text_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -122,7 +137,7 @@ def text_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     One text of each copy group goes on. Texts that share a band hash are candidates:
     a bucket links its members to its smallest text, so no bucket is expanded into pairs,
     and the components of these stars are verified whole, on full sets. A component is cut
-    into blocks of about ``TASK_GRAMS`` n-grams; a task takes two blocks and returns one
+    into blocks of about ``TASK_GRAMS`` n-grams or ``TASK_TEXTS`` texts; a task takes two blocks and returns one
     row per text.
     """
     bands, rows = bands_and_rows(threshold, recall)
@@ -137,9 +152,9 @@ def text_classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     stars = members.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
     candidates = components(stars).join(
         texts.select("node", "copies", "words", "row"), "node")
-    sizes = candidates.groupBy("component").agg(F.sum("words").alias("total"))
+    sizes = candidates.groupBy("component").agg(F.sum("words").alias("total"), F.count(F.lit(1)).alias("n"))
     spread = max(1, -(-int(sizes.agg(F.sum("total")).first()[0] or 1) // TASK_GRAMS))
-    blocks = (F.col("total") / TASK_GRAMS).cast("long") + 1
+    blocks = F.greatest(F.col("total") / TASK_GRAMS, F.col("n") / TASK_TEXTS).cast("long") + 1
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),

@@ -169,6 +169,26 @@ def test_jaccard_of_null_and_clashing_ids(spark):
     assert set(taken) == {7, 3, 4, None} and sum(taken.values()) == pytest.approx(1.5 * 300, abs=20)
 
 
+def test_memory_of_a_verification(docs, monkeypatch):
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    n, common = 3000, rng.integers(0, 1 << 60, 20, dtype=np.uint64)
+    sets = [np.append(common, rng.integers(0, 1 << 60, 1 + k % 6, dtype=np.uint64)) for k in range(n)]
+    side, weight = np.arange(n) % 2 == 0, rng.integers(1, 5, n)
+    tracemalloc.start()
+    got = similarity.linked(np.arange(n), weight, side, sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # the products of all pairs at once take 400 MB
+    own = np.array([1 + k % 6 for k in range(n)])
+    near = (20 >= 0.8 * (20 + own[:, None] + own[None, :])) & (side[:, None] != side[None, :])
+    assert got[0].tolist() == near.sum(axis=1).tolist() and got[1].tolist() == (near * weight).sum(axis=1).tolist()
+    assert got[2].tolist() == [0 if row.any() else k for k, row in enumerate(near)]
+    want = Counter(similarity.jaccard_classes(docs).collect())
+    monkeypatch.setattr(similarity, "TASK_TEXTS", 2)
+    assert Counter(similarity.jaccard_classes(docs).collect()) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 30)] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graphs.components(edges).collect()}
