@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, lines, mixing, neighbours, packing, quality, repeats, sharding, similarity
+from . import (languages, licenses, lines, mixing, neighbours, packing, quality, repeats, sharding, similarity,
+               sketches, spelling, whitening)
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 8
@@ -74,9 +75,22 @@ def op10_license_diagonals(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf, "documents"))
 
 
+def op11_vector_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_vectors(read(spark, sf, "embeddings"))
+
+
+def op12_setsketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.sketch_components(read(spark, sf, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_templates, op2_source_mix, op3_hypergeometric_shards, op4_ngram_jaccard, op5_language_divergence,
-    op6_repeat_intervals, op7_bin_slack, op8_word_field, op9_small_world, op10_license_diagonals)}
+    op6_repeat_intervals, op7_bin_slack, op8_word_field, op9_small_world, op10_license_diagonals,
+    op11_vector_whitening, op12_setsketch_dedup, op13_spelling_variants)}
 
 #: SQL cannot express the methods (hash permutations, trained models, graphs, MinHash);
 #: tests/llm compares each query with a brute-force version.
