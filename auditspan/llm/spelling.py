@@ -22,8 +22,8 @@ LEAST_LENGTH, LEAST_COUNT, EVERY = 5, 3, 97
 #: one edit apart agree in some GROUPS - 2 of them.
 GROUPS = 4
 ORDER = "etaoinsrhldcumfpgwybvkxjqz"
-#: Words of one side of a block.
-BLOCK_WORDS = 2048
+#: Words that share a key beyond which the key is cut into parts; words of one matrix product.
+BLOCK_WORDS, PRODUCT_WORDS = 2048, 256
 #: Pairs that are compared letter by letter at a time.
 PAIRS = 100_000
 #: Runs beyond this length are hashed one by one.
@@ -99,9 +99,9 @@ def letter_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes[inside] = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
     column = np.arange(0x100) - 0xC0 + len(ORDER)
     column[[ord(c) for c in ORDER]] = np.arange(len(ORDER))
-    counts = np.zeros((len(words), len(ORDER) + 0x40), np.float32)
-    np.add.at(counts, (np.nonzero(inside)[0], column[codes[inside]]), 1)
-    return codes, counts
+    width = len(ORDER) + 0x40
+    cell = np.nonzero(inside)[0] * width + column[codes[inside]]
+    return codes, np.bincount(cell, minlength=len(words) * width).reshape(-1, width).astype(np.float32)
 
 
 def one_edit(codes: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,86 +122,117 @@ def one_edit(codes: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray
     return np.where(same, ahead + behind == least - 1, ahead + behind >= least)
 
 
+#: Pairs of letter groups; two near words agree in some of them.
+CHOICES = [(a, b) for a in range(GROUPS) for b in range(a + 1, GROUPS)]
+
+
+def group_keys(counts: np.ndarray) -> list[np.ndarray]:
+    """For each pair of letter groups a number made of the letter counts in it."""
+    salt = np.random.default_rng(5).integers(1, 1 << 62, counts.shape[1]) | 1
+    own = [counts[:, g::GROUPS].astype(np.int64) @ salt[g::GROUPS] for g in range(GROUPS)]
+    return [own[a] * 31 + own[b] for a, b in CHOICES]
+
+
+def products(bucket: np.ndarray, counts: np.ndarray, length: np.ndarray, side: np.ndarray | None):
+    """(left, right) rows of one bucket at the squared distance that one edit has: 2 at equal length, 1
+    between adjacent lengths. Rows are sorted by bucket and length; small buckets share a product, a large one
+    takes PRODUCT_WORDS rows times those of the same and the next length."""
+    square = (counts * counts).sum(axis=1)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)), len(bucket))
+    left, right, lo = [], [], 0
+    while lo < len(bucket):
+        hi = int(cuts[max(np.searchsorted(cuts, lo + PRODUCT_WORDS, "right") - 1, np.searchsorted(cuts, lo, "right"))])
+        for top in range(lo, hi, PRODUCT_WORDS):
+            end = min(top + PRODUCT_WORDS, hi)
+            stop = hi if hi - lo <= PRODUCT_WORDS else top + int(np.searchsorted(length[top:hi], length[end - 1] + 1, "right"))
+            apart = np.abs(length[top:end, None] - length[top:stop])
+            near = square[top:end, None] + square[top:stop] - 2 * (counts[top:end] @ counts[top:stop].T) + apart == 2
+            x, y = np.nonzero(near)
+            x, y = x + top, y + top
+            keep = (x < y) & (bucket[x] == bucket[y])
+            if side is not None:
+                keep &= side[x] != side[y]
+            left.append(x[keep])
+            right.append(y[keep])
+        lo = hi
+    return np.concatenate(left), np.concatenate(right)
+
+
+def compared(words: list[str], n: np.ndarray, choice: np.ndarray, key: np.ndarray, side: np.ndarray | None = None) -> pd.DataFrame:
+    """(word, n_near, form, form_n) from whole buckets (choice, key), or between the two sides of parts of one."""
+    codes, counts = letter_matrix(words)
+    length = np.array([len(w) for w in words])
+    order = np.lexsort((length, key, choice))
+    bucket = np.cumsum((np.diff(choice[order], prepend=-1) != 0) | (np.diff(key[order], prepend=key[order[0]]) != 0))
+    a, b = products(bucket, counts[order], length[order], None if side is None else side[order])
+    a, b = order[a], order[b]
+    keep = np.concatenate([np.zeros(0, bool)] + [one_edit(codes, length, a[k:k + PAIRS], b[k:k + PAIRS])
+                                                 for k in range(0, len(a), PAIRS)])
+    a, b = a[keep], b[keep]
+    agree = [(counts[a, g::GROUPS] == counts[b, g::GROUPS]).all(axis=1) for g in range(GROUPS)]
+    first = np.stack([agree[p] & agree[q] for p, q in CHOICES]).argmax(axis=0)  # a pair counts in one bucket only
+    a, b = a[first == choice[a]], b[first == choice[a]]
+    a, b = np.concatenate((a, b)), np.concatenate((b, a))
+    spelled = np.array(words, object)
+    found = pd.DataFrame({"word": spelled[a], "form": spelled[b], "form_n": n[b]})
+    found = found.sort_values(["word", "form_n", "form"], ascending=[True, False, True])
+    return found.groupby("word", sort=False).agg(
+        n_near=("form", "size"), form=("form", "first"), form_n=("form_n", "first")).reset_index()
+
+
 def near_words(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(word, n_near, form, form_n) of the words (word, n) that have a near word: how many, and
     the one of largest n, the first in code point order among equals.
 
-    A word stands in the blocks of its length and the length before, once for each pair of letter
-    groups, keyed by its letter counts in these groups: any two near words share such a block. A large block is cut
-    into pairs of parts. In a part pair, products of letter counts give all squared
-    distances; only pairs at the distance that one edit has (1 or 2) are compared letter by letter, and a pair counts in the first group pair that it shares. What leaves a task is one row per word.
+    A word stands in one bucket for each pair of letter groups, keyed by its letter counts in these groups: any two
+    near words share such a bucket. Inside, words are sorted into length blocks; products of the letter counts of equal
+    and adjacent lengths give all squared distances, only pairs at the distance of one edit are
+    compared letter by letter, and a pair counts in the first bucket that it shares. A bucket of more than *block_words* is cut
+    into parts, and every pair of parts is a task. What leaves a task is one row per word.
     """
-    choices = [(a, b) for a in range(GROUPS) for b in range(a + 1, GROUPS)]
-
-    def keys(frames):
-        for batch in frames:
-            words, n = batch.column("word").to_pylist(), batch.column("n")
-            if not words:
-                continue
-            codes, counts = letter_matrix(words)
-            length = np.array([len(w) for w in words])
-            salt = np.random.default_rng(5).integers(1, 1 << 62, counts.shape[1]) | 1
-            own = [counts[:, g::GROUPS].astype(np.int64) @ salt[g::GROUPS] for g in range(GROUPS)]
-            for c, (a, b) in enumerate(choices):
-                key = own[a] * 31 + own[b]
-                for back in (0, 1):
-                    yield record("word n choice shelf key", batch.column("word"), n, np.full(len(words), c, np.int32),
-                                 (length - back).astype(np.int32), key)
-    shelved = pin(words.mapInArrow(keys, "word string, n long, choice int, shelf int, key long"))
-    place = ["choice", "shelf", "key"]
-    sizes = shelved.groupBy(*place).agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn(
-        "parts", F.floor(F.col("size") / block_words) + 1)
-    tasks = max(1, int((sizes.agg(F.sum("size")).first()[0] or 0) // block_words))
-    spread = (shelved.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("word"), "parts"))
+    def keys(batches):
+        for batch in batches:
+            if batch.num_rows:
+                _, counts = letter_matrix(batch.column("word").to_pylist())
+                for c, key in enumerate(group_keys(counts)):
+                    yield record("word n choice key", batch.column("word"), batch.column("n"), np.full(batch.num_rows, c, np.int32), key)
+    shelved = words.mapInArrow(keys, "word string, n long, choice int, key long")
+    place, schema = ["choice", "key"], "word string, n_near long, form string, form_n long"
+    large = pin(shelved.groupBy(*place).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block_words).withColumn(
+        "parts", F.floor((F.col("size") - 1) / block_words) + 1))
+
+    def whole(batches):
+        """Buckets of a partition one after the other; the last of a batch waits for the next batch."""
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            choice, key = rows.column("choice").to_numpy(), rows.column("key").to_numpy()
+            cut = int(np.flatnonzero((choice != choice[-1]) | (key != key[-1]))[-1]) + 1 if len(key) and (
+                (choice != choice[-1]) | (key != key[-1])).any() else 0
+            rest = rows.slice(cut)
+            if cut:
+                yield rows.slice(0, cut)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def small(batches):
+        for rows in whole(b for b in batches if b.num_rows):
+            found = compared(rows.column("word").to_pylist(), rows.column("n").to_numpy(), rows.column("choice").to_numpy(),
+                             rows.column("key").to_numpy())
+            yield pa.RecordBatch.from_pandas(found, schema=pa.schema([
+                ("word", pa.string()), ("n_near", pa.int64()), ("form", pa.string()), ("form_n", pa.int64())]), preserve_index=False)
+    few = (shelved.join(large, place, "left_anti").select("word", "n", *place)
+           .repartition(*place).sortWithinPartitions(*place).mapInArrow(small, schema))
+    spread = (shelved.join(large, place).withColumn("part", F.pmod(F.xxhash64("word"), "parts"))
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-              .withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-              .withColumn("task", F.when(F.col("parts") > 1, F.xxhash64(*place, "i", "j")).otherwise(
-                  F.pmod(F.xxhash64(*place), F.lit(tasks))))
-              .select("task", *place, "i", "j", "part", "word", "n"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        words, n = frame.word.tolist(), frame.n.to_numpy()
-        codes, counts = letter_matrix(words)
-        length = np.array([len(w) for w in words])
-        mine = np.unique(frame[[*place, "i", "j"]].to_numpy(), axis=0, return_inverse=True)[1].ravel()
-        order = np.argsort(mine, kind="stable")
-        cuts = np.flatnonzero(np.diff(mine[order], prepend=-1, append=-1))
-        left, right = [], []
-        part, shelf = frame.part.to_numpy(), frame["shelf"].to_numpy()
-        two = (frame.i != frame.j).to_numpy()
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            at = order[lo:hi]
-            a = at if not two[at[0]] else at[part[at] == frame.i.to_numpy()[at[0]]]
-            b = at if not two[at[0]] else at[part[at] == frame.j.to_numpy()[at[0]]]
-            if not len(a) or not len(b):
-                continue
-            own, other = counts[a], counts[b]
-            square = (own * own).sum(axis=1)[:, None] + (other * other).sum(axis=1) - 2 * (own @ other.T)
-            apart = length[a][:, None] - length[b]
-            # two words of the upper length meet on their own shelf too, where they count
-            same = (apart == 0) & (square == 2) & (length[a] == shelf[a])[:, None]
-            x, y = np.nonzero(same | (np.abs(apart) == 1) & (square == 1))
-            if not two[at[0]]:
-                x, y = x[x < y], y[x < y]
-            left.append(a[x])
-            right.append(b[y])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-        keep = np.concatenate([np.zeros(0, bool)] + [one_edit(codes, length, a[k:k + PAIRS], b[k:k + PAIRS])
-                                                     for k in range(0, len(a), PAIRS)])
-        a, b = a[keep], b[keep]
-        shape = [np.unique(counts[:, g::GROUPS], axis=0, return_inverse=True)[1].ravel() for g in range(GROUPS)]
-        agree = [of[a] == of[b] for of in shape]
-        shared = np.stack([agree[p] & agree[q] for p, q in choices])
-        keep = shared.argmax(axis=0) == frame.choice.to_numpy()[a]
-        a, b = np.concatenate((a[keep], b[keep])), np.concatenate((b[keep], a[keep]))
-        found = pd.DataFrame({"word": np.array(words, object)[a], "form": np.array(words, object)[b], "form_n": n[b]})
-        found = found.sort_values(["word", "form_n", "form"], ascending=[True, False, True])
-        by = found.groupby("word", sort=False)
-        return by.agg(n_near=("form", "size"), form=("form", "first"), form_n=("form_n", "first")).reset_index()
-
-    partial = spread.groupBy("task").applyInPandas(compare, "word string, n_near long, form string, form_n long")
+              .select("word", "n", *place, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+
+    def pair(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return compared(frame.word.tolist(), frame.n.to_numpy(), frame.choice.to_numpy(), frame.key.to_numpy(),
+                        frame.part.to_numpy() if key[2] != key[3] else None)
+    many = spread.groupBy(*place, "i", "j").applyInPandas(pair, schema)
     best = F.min(F.struct((-F.col("form_n")).alias("m"), "form")).alias("best")
-    return partial.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select(
+    return few.unionByName(many).groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select(
         "word", "n_near", F.col("best.form").alias("form"), (-F.col("best.m")).alias("form_n"))
 
 
