@@ -149,27 +149,41 @@ def mixture(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFr
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """One of the rows (row, doc_id, key) that repeat an id and text: the least by all columns."""
+    same = ["doc_id", "key"]
+    repeated = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("again_id"), F.col("key").alias("again_key"))
+    if not repeated.limit(1).count():
+        return rows
+    on = F.col("doc_id").eqNullSafe(F.col("again_id")) & F.col("key").eqNullSafe(F.col("again_key"))
+    least = rows.join(repeated, on, "left_semi").groupBy(*same).agg(F.min("row").alias("row"))
+    return rows.join(repeated, on, "left_anti").unionByName(least)
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """The mix as rows with the columns of *docs* (doc_id, text, lang, source, n_chars).
+    """The mix as rows with the columns of *docs* (doc_id, text, source, n_chars and any others, whatever
+    their names).
 
     Each pass over a document is a row with the words taken in it: the whole text where
     all words are, else the taken words joined by spaces. Rows that repeat both doc_id and
-    text are one document.
+    text are one document, the least of them by all columns. Null, empty and wordless texts are never
+    taken; an empty table gives no rows.
     """
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
-    columns = docs.columns
-    if keyed.groupBy("doc_id", "_k").count().where("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "_k"])
-    placed, targets = placed_documents(keyed)
-    slots = mixing_slots(targets, block, shards).select("source_no", "pass", "block")
+    rows = single(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                              F.xxhash64("text").alias("key")))
+    placed, targets = placed_documents(rows.select("row.doc_id", "row.text", "row.source"))
+    # Slots unfold from a few rows, so their size is unknown to the planner: never broadcast
+    slots = mixing_slots(targets, block, shards).select("source_no", "pass", "block").hint("merge")
     spans = (document_blocks(placed, block).join(slots, ["source_no", "block"])
-             .groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "size", "pass")
-             .agg(F.sum(F.col("hi") - F.col("lo")).alias("_n"),
-                  F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans")))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.transform("_spans", lambda s: F.array_join(
-        F.slice(words, s.lo.cast("int") + 1, (s.hi - s.lo).cast("int")), " ")), " ")
-    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")))
-    text = F.when(F.col("_n") == F.col("size"), F.col("text")).otherwise(part)
-    return joined.withColumn("text", text).withColumn(
-        "n_chars", F.char_length("text").cast("long")).select(*columns)
+             .groupBy(F.col("doc_id").alias("taken_id"), "text_key", "size", "pass")
+             .agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"),
+                  F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    split = F.array(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)))
+    # the array of one binds the words, so a text is split once for all its spans
+    part = F.get(F.transform(split, lambda words: F.array_join(F.transform("spans", lambda s: F.array_join(
+        F.slice(words, s.lo.cast("int") + 1, (s.hi - s.lo).cast("int")), " ")), " ")), 0)
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("key") == F.col("text_key")))
+    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(part)
+    mixed = joined.select(F.col("row").withField("text", text).alias("row"))
+    return mixed.select(F.col("row").withField("n_chars", F.char_length("row.text").cast("long")).alias("row")).select("row.*")
