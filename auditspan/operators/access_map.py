@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, routes, text
 from ..functions.labels import truthy
 from ..functions.text import any_of, strip, uni
-from .ordered import ordered_position, top_n
+from .blocks import LEAD, REACH, code_blocks, line_windows, stabbed, symbol_index
+from .ordered import ordered_position, pin, top_n
 
 DOC = ("artifact_id",)
 
-# A definition keyword followed by the words up to (and including) the name.
-DEFINITION_WORDS = uni(
-    r"(?:\bdef|\bfunction|\bfunc|\bclass|\bpublic|\bprivate|\bprotected|\basync|\bconst"
-    r"|\blet|\bvar)\s+((?:[\w<>\[\],?]+\s+)*[\w<>\[\],?]*)")
-PYTHON_DEF = uni(r"^\s*(async\s+)?(def|class)\s")
-RUBY_DEF = uni(r"^\s*def\s+(\w+)")
-
-
 # ---- app-wide context (T16) -----------------------------------------------
 def global_context(files: DataFrame, keys=DOC, cap: int | None = None):
     """Security-configuration lines, all or the first *cap* per artifact."""
@@ -34,130 +27,13 @@ def global_context(files: DataFrame, keys=DOC, cap: int | None = None):
         F.col("_text").rlike(any_of(fixed.GLOBAL_LINE)))
     rows = lines.select(
         *keys, "file_path", (F.col("_pos") + 1).alias("line"),
-        F.substring(strip(F.col("_text")), 1, 200).alias("text"),
+        strip(F.col("_text")).alias("text"),
         F.col("_text").rlike(any_of(fixed.GLOBAL_ENFORCE)).alias("enforces"))
     if cap is None:
         return rows
     return top_n(rows, keys, [F.col("file_path"), F.col("line")], cap)
 
 
-# ---- line-array expressions -------------------------------------------------
-def block_start(lines: Column, line: Column) -> Column:
-    """First line of the decorator or comment block directly above."""
-    above = text.line_window(lines, line - 11, line - 1)
-    run = F.aggregate(above, F.lit(0), lambda n, t: F.when(
-        strip(t).rlike(r"^(@|\[|#|//|/\*|\*)"), n + 1).otherwise(F.lit(0)))
-    return line - run
-
-
-def with_block_end(df: DataFrame, lines: Column, line: Column, ext: Column, name: str,
-                   cap: int = 80) -> DataFrame:
-    """Add the last line of the definition that starts at *line*.
-
-    The anchor values are columns of their own, so the folds below read them
-    instead of recomputing them for every line.
-    """
-    c, n = F.col, F.size(lines)
-    body = text.line_window(lines, line, F.least(n, line + cap))
-    def_at = F.array_position(F.transform(body, lambda t: t.rlike(PYTHON_DEF)), F.lit(True))
-    df = df.withColumns({"_last": F.least(n, line + cap), "_body": body,
-                         "_defat": F.when(ext == ".py", def_at)})
-    df = df.withColumn("_from", F.when(ext == ".py", F.when(
-        c("_defat") > 0, line + c("_defat") - 1).otherwise(c("_last"))).otherwise(line)
-        .cast("int"))
-    df = df.withColumn("_base", text.indent(F.try_element_at(lines, c("_from"))))
-
-    # Python: from the def line to the dedent
-    py = F.aggregate(
-        F.slice("_body", F.greatest(c("_from") - line + 2, F.lit(1)), F.lit(cap + 1)),
-        F.struct(c("_from").alias("end"), c("_from").alias("at"), F.lit(False).alias("stop")),
-        lambda a, t: F.struct(
-            F.when(a["stop"] | (strip(t) == "") | _dedents(t, c("_base")), a["end"])
-            .otherwise(a["at"] + 1).alias("end"),
-            (a["at"] + 1).alias("at"),
-            (a["stop"] | ((strip(t) != "") & _dedents(t, c("_base")))).alias("stop")),
-        lambda a: a["end"])
-
-    # Ruby: the first `end` that is not deeper than the definition
-    ends = F.filter(F.transform("_body", lambda t, i: F.when(
-        (i > 0) & (strip(t) == "end") & (text.indent(t) <= c("_base")), line + i)),
-        lambda x: x.isNotNull())
-    rb = F.coalesce(F.try_element_at(ends, F.lit(1)), c("_last"))
-
-    # Brace languages: balanced braces, or `;` while nothing was opened
-    brace = F.aggregate(
-        "_body",
-        F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"),
-                 F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")),
-        lambda a, t: _brace_step(a, t),
-        lambda a: F.coalesce(line + a["end"] - 1, c("_last")))
-    end = F.when((n == 0) | (line > n), F.least(line, n)).otherwise(
-        F.when(ext == ".py", py).when(ext == ".rb", rb).otherwise(brace)).cast("int")
-    return df.withColumn(name, end).drop("_last", "_body", "_defat", "_from", "_base")
-
-
-def _dedents(t: Column, base: Column) -> Column:
-    return (text.indent(t) <= base) & ~strip(t).rlike(r"^[)\]}]")
-
-
-def _count(t: Column, ch: str) -> Column:
-    return F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
-
-
-def _brace_step(a: Column, t: Column) -> Column:
-    depth = a["depth"] + _count(t, "{") - _count(t, "}")
-    opened = a["opened"] | (depth > 0)
-    closes = (opened & (depth <= 0)) | (~opened & F.rtrim(t, F.lit(text.BLANKS)).endswith(";"))
-    return F.struct(depth.alias("depth"), opened.alias("opened"), (a["at"] + 1).alias("at"),
-                    F.when(a["end"].isNotNull(), a["end"]).when(closes, a["at"] + 1)
-                    .alias("end"))
-
-
-def class_lines(lines: Column) -> Column:
-    return F.filter(F.transform(lines, lambda t, i: F.when(
-        t.contains("class") & t.rlike(uni(fixed.CLASS_DECLARATION)), i + 1)),
-        lambda x: x.isNotNull())
-
-
-def file_auth_index(lines: Column, classes: Column) -> Column:
-    """(start, end, hint) of auth that covers routes declared after it; class
-    attributes cover their class only (T21, W12). *classes* is a stored column."""
-    n = F.size(lines)
-    file_wide, on_class = any_of(fixed.FILE_AUTH), fixed.CLASS_ATTRIBUTE
-
-    def entry(t, i):
-        at = i + 1
-        decorated = F.try_element_at(F.filter(classes, lambda c: c.between(at, at + 4)),
-                                     F.lit(1))
-        following = F.coalesce(F.try_element_at(
-            F.filter(classes, lambda c: c > decorated), F.lit(1)), n + 1)
-        hint = lambda p: F.substring(strip(F.regexp_extract(t, p, 0)), 1, 80)
-        return F.when(t.rlike(file_wide), F.struct(
-            at.alias("start"), (n + 1).alias("end"), hint(file_wide).alias("hint"))).when(
-            t.rlike(on_class) & decorated.isNotNull(), F.struct(
-                at.alias("start"), (following - 1).alias("end"),
-                hint(on_class).alias("hint")))
-
-    relevant = F.exists(lines, lambda t: t.rlike(file_wide) | t.rlike(on_class))
-    empty = F.array().cast("array<struct<start:int,end:int,hint:string>>")
-    return F.when(relevant, F.filter(F.transform(lines, entry), lambda x: x.isNotNull())) \
-        .otherwise(empty)
-
-
-def covering_hints(index: Column, line: Column) -> Column:
-    """Hints whose interval holds the line."""
-    inside = F.filter(index, lambda h: (h["start"] < line) & (line <= h["end"]))
-    return F.array_distinct(F.transform(inside, lambda h: h["hint"]))
-
-
-def defined_words(line: Column) -> Column:
-    """Names a definition keyword on this line could introduce."""
-    chains = F.regexp_extract_all(line, F.lit(DEFINITION_WORDS), F.lit(1))
-    words = F.flatten(F.transform(chains, lambda c: F.split(strip(c), r"\s+")))
-    return F.filter(F.transform(words, lambda w: F.regexp_extract(w, uni(r"^\w+"), 0)),
-                    lambda w: w != "")
-
-
 # ---- handlers in other files (J16) -------------------------------------------
 def _handler_keys() -> tuple[Column, Column, Column]:
     """(framework, file key, symbol) of routes whose handler lives elsewhere."""
@@ -177,8 +53,8 @@ def _handler_keys() -> tuple[Column, Column, Column]:
 def remote_handlers(endpoints: DataFrame, files: DataFrame, keys=DOC) -> DataFrame:
     """(keys, framework, file key, symbol) → (handler_file, handler_line).
 
-    Candidate files follow each framework's convention and are joined on a
-    derived key; definitions are tokenised once per file.
+    Candidate files follow each framework's convention and are joined on a derived key; the
+    first one by path that defines the symbol wins, however many there are. Only candidates are indexed.
     """
     keys = list(keys)
     fw, key, symbol = _handler_keys()
@@ -203,17 +79,11 @@ def remote_handlers(endpoints: DataFrame, files: DataFrame, keys=DOC) -> DataFra
     located = files.select(*keys, "path", F.explode(where).alias("w")).select(
         *keys, "path", "w.*").join(asked.select(*keys, "_fw", "_key").distinct(),
                                    [*keys, "_fw", "_key"], "left_semi")
-    ranked = top_n(located, [*keys, "_fw", "_key"], [F.col("path")], 12, "_rank")
-    ranked = ranked.where((F.col("_fw") != "rails") | (F.col("_rank") <= 3))
-    defs = (ranked.join(files.select(*keys, "path", "content"), [*keys, "path"])
-            .select(*keys, "_fw", "_key", "_rank", "path",
-                    F.posexplode(text.lines_of(F.col("content"))).alias("_pos", "_text"))
-            .select(*keys, "_fw", "_key", "_rank", "path", "_pos", F.explode(F.when(
-                F.col("_fw") == "rails", F.array_compact(F.array(
-                    text.extract(F.col("_text"), RUBY_DEF, 1)))).otherwise(
-                defined_words(F.col("_text")))).alias("_symbol")))
-    first = F.min_by(F.struct("path", (F.col("_pos") + 1).alias("line")),
-                     F.struct("_rank", "_pos"))
+    candidates = files.join(located.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
+    index = symbol_index(candidates, keys, ("word", "method")).withColumnRenamed("symbol", "_symbol")
+    fits = F.when(F.col("_fw") == "rails", F.col("kind") == "method").otherwise(F.col("kind") == "word")
+    defs = located.join(index, [*keys, "path"]).where(fits)
+    first = F.min(F.struct("path", "line"))
     by_name = defs.groupBy(*keys, "_fw", "_key", "_symbol").agg(first.alias("_at"))
     by_file = defs.where("_fw = 'rails'").groupBy(*keys, "_fw", "_key").agg(
         first.alias("_at")).withColumn("_symbol", F.lit(None).cast("string"))
@@ -226,6 +96,12 @@ def remote_handlers(endpoints: DataFrame, files: DataFrame, keys=DOC) -> DataFra
         F.col("_at.line").alias("_hline"))
 
 
+def endpoint_id() -> Column:
+    """Identity of a route: its place, method, path and framework."""
+    return F.concat(F.lit("e"), F.substring(F.md5(F.concat_ws(
+        "|", "file_path", "line", "method", "path", "framework").cast("binary")), 1, 16))
+
+
 # ---- enrichment ----------------------------------------------------------------
 def with_endpoint_ids(endpoints: DataFrame, keys=DOC) -> DataFrame:
     """Sequential ids e0, e1, ... per artifact in file and line order."""
@@ -234,36 +110,31 @@ def with_endpoint_ids(endpoints: DataFrame, keys=DOC) -> DataFrame:
 
 
 def access_map(endpoints: DataFrame, files: DataFrame, context: DataFrame | None = None,
-               keys=DOC) -> DataFrame:
-    """Endpoints with handler location, hints, scope, id parameters and risk."""
+               keys=DOC, reach: int | None = REACH, lead: int | None = LEAD) -> DataFrame:
+    """Endpoints with handler location, hints, scope, id parameters and risk.
+
+    A route only carries line numbers: the block table says where its handler starts and ends
+    (*reach* lines below and *lead* above at most) and which logins cover it, the symbol index
+    where it is defined, and handler texts are cut beside their files.
+    """
     keys = list(keys)
     c = F.col
     eps = endpoints
     if "endpoint_id" not in eps.columns:
-        eps = eps.withColumn("endpoint_id", F.concat(F.lit("e"), F.substring(F.md5(
-            F.concat_ws("|", "file_path", "line", "method", "path", "framework")
-            .cast("binary")), 1, 16)))
+        eps = eps.withColumn("endpoint_id", endpoint_id())
     eps = eps.withColumns({
         "method": F.upper(F.coalesce("method", F.lit("ANY"))),
         "path": F.coalesce("path", F.lit("/")), "line": F.coalesce("line", F.lit(1))})
-    per_file = eps.groupBy(*keys, "file_path").agg(
-        F.array_sort(F.collect_set("line")).alias("_routes"))
-    sides = files.select(*keys, c("path").alias("file_path"),
-                         text.lines_of(c("content")).alias("_lines")) \
-        .join(per_file, [*keys, "file_path"]) \
-        .withColumn("_classes", class_lines(c("_lines"))) \
-        .withColumn("_auth", file_auth_index(c("_lines"), c("_classes"))).drop("_classes")
-    remote = remote_handlers(eps, files, keys)
-    fw, key, symbol = _handler_keys()
-    tagged = eps.withColumns({"_fw": fw, "_key": key, "_symbol": symbol}).alias("e")
+    spots = pin(_handler_spots(eps, files, keys))
+    blocks = pin(code_blocks(files, keys, ("guard", "asked"), _lines_of_interest(spots, keys), reach, lead)
+                 .where("kind = 'asked' OR hi IS NULL OR hi >= lo"))
+    placed = pin(_handler_ranges(spots, blocks.where("kind = 'asked'"), keys))
+    told = _with_texts(_with_file_auth(placed, blocks.where("kind = 'guard'"), keys), files, keys)
     on = F.lit(True)
-    for k in (*keys, "_fw", "_key", "_symbol"):
-        on = on & c(f"e.{k}").eqNullSafe(c(f"r.{k}"))
-    handled = tagged.join(remote.alias("r"), on, "left").select("e.*", "r._hfile", "r._hline")
-    base = handled.join(sides, [*keys, "file_path"])
-    near = base.where(c("_hfile").isNull() | (c("_hfile") == c("file_path")))
-    far = base.where(c("_hfile") != c("file_path"))
-    enriched = _near(near).unionByName(_far(far, files, keys))
+    for k in (*keys, "file_path", "line", "framework", "handler"):
+        on = on & c(f"e.{k}").eqNullSafe(c(f"t.{k}"))
+    extra = [n for n in told.columns if n not in (*keys, "file_path", "line", "framework", "handler")]
+    enriched = eps.alias("e").join(told.alias("t"), on).select("e.*", *[f"t.{n}" for n in extra])
     if context is None:
         flagged = enriched.withColumn("_enforced", F.lit(False))
     else:
@@ -273,60 +144,89 @@ def access_map(endpoints: DataFrame, files: DataFrame, context: DataFrame | None
     return _derive(flagged, keys)
 
 
-def _local_line() -> Column:
-    """Handler line in the route's own file: the definition of the handler's name
-    within the next eight lines, else the route line."""
+def _handler_spots(eps: DataFrame, files: DataFrame, keys) -> DataFrame:
+    """Distinct (keys, file_path, line, framework, handler) with handler_file and handler_line: elsewhere
+    by convention, else the definition of the handler's name within the next eight lines, else the route."""
     c = F.col
+    fw, key, symbol = _handler_keys()
+    remote = remote_handlers(eps, files, keys)
+    tagged = eps.select(*keys, "file_path", "line", "framework", "handler").distinct().withColumns(
+        {"_fw": fw, "_key": key, "_symbol": symbol}).alias("e")
+    on = F.lit(True)
+    for k in (*keys, "_fw", "_key", "_symbol"):
+        on = on & c(f"e.{k}").eqNullSafe(c(f"r.{k}"))
+    spots = tagged.join(remote.alias("r"), on, "left").select(
+        *[c(f"e.{k}").alias(k) for k in (*keys, "file_path", "line", "framework", "handler")], "r._hfile", "r._hline")
     name = F.element_at(F.split(F.coalesce("handler", F.lit("")), r"\."), -1)
-    window = text.line_window(c("_lines"), c("line"), c("line") + 8)
-    spots = F.filter(F.transform(window, lambda t, i: F.when(
-        t.contains(name) & F.array_contains(defined_words(t), name), c("line") + i)),
-        lambda x: x.isNotNull())
-    table = F.lower("framework").isin("rails", "laravel", "django")
-    return F.when(table | ~name.rlike(uni(r"^\w+$")), c("line")).otherwise(
-        F.coalesce(F.try_element_at(spots, F.lit(1)), c("line")))
+    local = c("_hfile").isNull() & ~F.coalesce(F.lower("framework").isin("rails", "laravel", "django"), F.lit(False))
+    spots = spots.withColumn("_name", F.when(local & name.rlike(uni(r"^\w+$")), name))
+    asked = spots.where("_name IS NOT NULL").select(*keys, "file_path", "line", "_name").distinct()
+    routed = files.join(asked.select(*keys, c("file_path").alias("path")).distinct(), [*keys, "path"], "left_semi")
+    words = symbol_index(routed, keys, ("word",)).select(
+        *keys, c("path").alias("file_path"), c("symbol").alias("_name"), c("line").alias("_at")).distinct()
+    defined = asked.join(words, [*keys, "file_path", "_name"]).where(c("_at").between(c("line"), c("line") + 8)).groupBy(
+        *keys, "file_path", "line", "_name").agg(F.min("_at").alias("_local"))
+    return spots.join(defined, [*keys, "file_path", "line", "_name"], "left").select(
+        *keys, "file_path", "line", "framework", "handler", F.coalesce("_hfile", "file_path").alias("handler_file"),
+        F.coalesce("_hline", "_local", "line").cast("int").alias("handler_line"))
+
+
+def _lines_of_interest(spots: DataFrame, keys) -> DataFrame:
+    """Route lines and handler lines: (keys, path, line)."""
+    c = F.col
+    return spots.select(*keys, c("file_path").alias("path"), c("line").cast("int").alias("line")).unionByName(
+        spots.select(*keys, c("handler_file").alias("path"), c("handler_line").alias("line"))).distinct()
 
 
-def _near(df: DataFrame) -> DataFrame:
+def _handler_ranges(spots: DataFrame, asked: DataFrame, keys) -> DataFrame:
+    """Where each handler starts and ends, and the route's and the handler's own line. In the route's own file a
+    handler stops above the next route."""
     c = F.col
-    ext = paths.extension(c("file_path"))
-    rows = df.withColumn("handler_file", c("file_path")).withColumn(
-        "handler_line", F.coalesce("_hline", _local_line()))
-    following = F.try_element_at(F.filter("_routes", lambda r: r > c("line")), F.lit(1))
-    rows = with_block_end(rows, c("_lines"), c("handler_line"), ext, "_own")
-    rows = rows.withColumn("_next", following).withColumns({
-        "handler_start": block_start(c("_lines"), c("line")),
-        "handler_end": F.greatest(F.least(
-            c("_own"), block_start(c("_lines"), c("_next")) - 1), c("line"))}) \
-        .drop("_own", "_next")
-    return rows.withColumns({
-        "_htext": F.array_join(text.line_window(
-            c("_lines"), c("handler_start"), c("handler_end")), "\n"),
-        "_rtext": F.lit(""),
-        "file_auth": covering_hints(c("_auth"), c("line")),
-        "handler_source": F.try_element_at("_lines", c("handler_line"))})
-
-
-def _far(df: DataFrame, files: DataFrame, keys) -> DataFrame:
+    lines = spots.select(*keys, "file_path", c("line").cast("int").alias("line")).distinct()
+    own = lines.join(asked.select(*keys, c("path").alias("file_path"), "line", "lo", c("name").alias("route_source")),
+                     [*keys, "file_path", "line"])
+    following = Window.partitionBy(*keys, "file_path").orderBy("line")
+    own = own.withColumn("_next", F.lead("lo").over(following))
+    there = asked.select(*keys, c("path").alias("handler_file"), c("line").alias("handler_line"),
+                         c("lo").alias("_from"), c("hi").alias("_to"), c("name").alias("handler_source"))
+    far = c("handler_file") != c("file_path")
+    return spots.join(own, [*keys, "file_path", "line"]).join(there, [*keys, "handler_file", "handler_line"], "left").select(
+        *keys, "file_path", "line", "framework", "handler", "handler_file", "handler_line", far.alias("_far"),
+        F.when(far, c("_from")).otherwise(c("lo")).cast("int").alias("handler_start"),
+        F.when(far, c("_to")).otherwise(F.greatest(F.least(c("_to"), c("_next") - 1), c("line"))).cast("int").alias("handler_end"),
+        "route_source", "handler_source")
+
+
+def _with_file_auth(placed: DataFrame, guards: DataFrame, keys) -> DataFrame:
+    """Hints of the guards that cover the route, then those that cover a handler elsewhere."""
     c = F.col
-    wanted = df.select(*keys, c("_hfile").alias("path")).distinct()
-    sides = files.join(wanted, [*keys, "path"], "left_semi").select(
-        *keys, c("path").alias("_hfile"), text.lines_of(c("content")).alias("_hlines")) \
-        .withColumn("_hclasses", class_lines(c("_hlines"))) \
-        .withColumn("_hauth", file_auth_index(c("_hlines"), c("_hclasses"))).drop("_hclasses")
-    rows = df.join(sides, [*keys, "_hfile"]).withColumn("handler_file", c("_hfile")) \
-        .withColumn("handler_line", c("_hline"))
-    rows = with_block_end(rows, c("_hlines"), c("handler_line"), paths.extension(c("_hfile")),
-                          "handler_end").withColumn(
-        "handler_start", block_start(c("_hlines"), c("handler_line")))
-    return rows.withColumns({
-        "_htext": F.array_join(text.line_window(
-            c("_hlines"), c("handler_start"), c("handler_end")), "\n"),
-        "_rtext": F.array_join(text.line_window(c("_lines"), c("line"), c("line") + 2), "\n"),
-        "file_auth": F.array_union(covering_hints(c("_auth"), c("line")),
-                                   covering_hints(c("_hauth"), c("handler_line"))),
-        "handler_source": F.try_element_at("_hlines", c("handler_line"))}) \
-        .drop("_hlines", "_hauth")
+    points = _lines_of_interest(placed, keys)
+    hints = stabbed(points, guards, keys).groupBy(*keys, "path", "line").agg(F.array_distinct(F.transform(
+        F.array_sort(F.collect_set(F.struct("block_line", "name"))), lambda x: x["name"])).alias("_hints"))
+    here = hints.select(*keys, c("path").alias("file_path"), "line", c("_hints").alias("_own"))
+    there = hints.select(*keys, c("path").alias("handler_file"), c("line").alias("handler_line"), c("_hints").alias("_theirs"))
+    none = F.array().cast("array<string>")
+    return placed.join(here, [*keys, "file_path", "line"], "left").join(there, [*keys, "handler_file", "handler_line"], "left") \
+        .withColumn("file_auth", F.when(c("_far"), F.array_union(F.coalesce("_own", none), F.coalesce("_theirs", none)))
+                    .otherwise(F.coalesce("_own", none))).drop("_own", "_theirs")
+
+
+def _with_texts(placed: DataFrame, files: DataFrame, keys) -> DataFrame:
+    """The handler's text and, where it lives elsewhere, three lines of the route."""
+    c = F.col
+    body = placed.select(*keys, c("handler_file").alias("path"), c("handler_start").alias("lo"), c("handler_end").alias("hi"))
+    route = placed.where("_far").select(*keys, c("file_path").alias("path"), c("line").cast("int").alias("lo"),
+                                        (c("line") + 2).cast("int").alias("hi"))
+    cut = pin(line_windows(body.unionByName(route).distinct(), files, keys).select(
+        *keys, "path", "lo", "hi", F.array_join("lines", "\n").alias("_text")))
+    bodies = cut.select(*keys, c("path").alias("handler_file"), c("lo").alias("handler_start"), c("hi").alias("handler_end"),
+                        c("_text").alias("_htext"))
+    routes_ = cut.select(*keys, c("path").alias("file_path"), c("lo").alias("line"), (c("hi") - 2).alias("_at"),
+                         c("_text").alias("_route")).where("line = _at").drop("_at")
+    return placed.join(bodies, [*keys, "handler_file", "handler_start", "handler_end"], "left").join(
+        routes_, [*keys, "file_path", "line"], "left").withColumns({
+            "_htext": F.coalesce("_htext", F.lit("")),
+            "_rtext": F.when(c("_far"), F.coalesce("_route", F.lit(""))).otherwise("")}).drop("_route", "_far")
 
 
 def _derive(df: DataFrame, keys) -> DataFrame:
@@ -348,7 +248,7 @@ def _derive(df: DataFrame, keys) -> DataFrame:
                                         c("file_auth"), c("_enforced")),
         "id_kind": routes.id_kind(c("id_params"), c("path"), c("_both")),
         "likely_public": routes.is_likely_public(c("path"), c("privileged"))})
-    route_source = strip(F.coalesce(F.try_element_at("_lines", c("line")), F.lit("")))
+    route_source = F.coalesce("route_source", F.lit(""))
     hints = F.concat(F.coalesce("auth_hints", F.array().cast("array<string>")),
                      c("route_auth"), c("file_auth"))
     return rows.select(
@@ -358,9 +258,8 @@ def _derive(df: DataFrame, keys) -> DataFrame:
         "auth_scope", "path_params", "id_params", "id_kind", "state_changing", "sensitive",
         "privileged", "likely_public", routes.heuristic_risk().alias("heuristic_risk"),
         "resource", "handler_file", "handler_line", "handler_start", "handler_end",
-        F.substring(route_source, 1, 240).alias("route_source"),
-        F.substring(F.coalesce(strip(c("handler_source")), route_source), 1, 240)
-        .alias("handler_source"))
+        route_source.alias("route_source"),
+        F.coalesce("handler_source", route_source).alias("handler_source"))
 
 
 # ---- statistics over the map (D5, D6) --------------------------------------------
@@ -374,11 +273,18 @@ def access_stats(mapped: DataFrame, keys=DOC) -> DataFrame:
         F.count_if("privileged").alias("privileged"))
 
 
-def auth_mechanisms(mapped: DataFrame, keys=DOC, n: int = 25) -> DataFrame:
-    """Most frequent auth hints, equal counts in alphabetical order."""
+def auth_mechanisms(mapped: DataFrame, keys=DOC, n: int | None = None) -> DataFrame:
+    """Auth hints by frequency, equal counts in alphabetical order, all or the first *n*."""
     counted = mapped.select(*keys, F.explode(F.concat("route_auth", "file_auth")).alias("h")) \
         .groupBy(*keys, F.lower("h").alias("mechanism")).agg(F.count(F.lit(1)).alias("uses"))
-    return top_n(counted, keys, [F.desc("uses"), F.col("mechanism")], n)
+    return _ranked(counted, keys, [F.desc("uses"), F.col("mechanism")], n)
+
+
+def _ranked(rows: DataFrame, keys, order, n: int | None) -> DataFrame:
+    """Rows numbered from 1 in *rn*, all or the first *n*."""
+    if n is not None:
+        return top_n(rows, keys, order, n)
+    return ordered_position(rows, keys, order, "rn").withColumn("rn", (F.col("rn") + 1).cast("int"))
 
 
 def unauthenticated(mapped: DataFrame) -> DataFrame:
@@ -387,12 +293,11 @@ def unauthenticated(mapped: DataFrame) -> DataFrame:
                                                   F.col("auth_hints")))
 
 
-def routes_by_file(mapped: DataFrame, keys=DOC, n: int = 10) -> DataFrame:
-    """At most ten routes per handler file."""
+def routes_by_file(mapped: DataFrame, keys=DOC, n: int | None = None) -> DataFrame:
+    """Routes per handler file in order, all or the first *n*."""
     rows = mapped.withColumn("_f", F.coalesce(truthy(F.col("handler_file")), "file_path"))
-    return top_n(rows.select(*keys, F.col("_f").alias("file_path"), "line", "method", "path",
-                             "auth_scope"),
-                 [*keys, "file_path"], [F.col("line"), F.col("method"), F.col("path")], n)
+    return _ranked(rows.select(*keys, F.col("_f").alias("file_path"), "line", "method", "path", "auth_scope"),
+                   [*keys, "file_path"], [F.col("line"), F.col("method"), F.col("path")], n)
 
 
 # ---- endpoints and findings by label (J11, P17, O8) ----------------------------------

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, paths, text
 from ..functions.text import uni
-from .ordered import merge_ranges, top_n
+from .blocks import code_blocks, line_windows, stabbed, symbol_index
+from .ordered import merge_ranges, ordered_position, top_n
 
 DOC = ("artifact_id",)
 
@@ -196,79 +197,63 @@ def sink_hints(sinks: DataFrame, keep=("artifact_id", "path"),
 
 
 # ---- definitions and call sites (J13, J14) --------------------------------
-def definition_name(line: Column) -> Column:
-    return F.coalesce(*[text.extract(line, uni(p), 1) for p in fixed.DEFINITION_PATTERNS])
-
-
-def _definitions(lines: Column) -> Column:
-    rows = F.transform(lines, lambda t, i: F.struct(
-        (i + 1).alias("line"), definition_name(t).alias("name")))
-    return F.filter(rows, lambda d: d["name"].isNotNull())
-
-
 def enclosing_symbols(findings: DataFrame, files: DataFrame, keys=DOC,
                       reach: int = 200) -> DataFrame:
     """Name of the nearest definition at or above each finding, NULL when it is
-    generic, short, or more than *reach* lines away."""
-    cited = files.join(findings.select(*keys, F.col("file_path").alias("path")).distinct(),
-                       [*keys, "path"], "left_semi")
-    lines = text.lines_of(F.col("content"))
-    defs = cited.select(*keys, F.col("path").alias("file_path"),
-                        _definitions(lines).alias("_defs"), F.size(lines).alias("_n"))
-    line = F.coalesce(F.nullif(F.col("line_start"), F.lit(0)), F.lit(1))
-    near = F.try_element_at(F.filter("_defs", lambda d: (
-        d["line"] <= F.least(line, F.col("_n"))) & (d["line"] > line - reach + 1)),
-        F.lit(-1))
-    name = near["name"]
-    usable = (F.length(name) >= 4) & ~F.lower(name).isin(*fixed.GENERIC_NAMES)
-    return findings.join(defs, [*keys, "file_path"], "left").select(
-        *[findings[c] for c in findings.columns], F.when(usable, name).alias("symbol"))
+    generic, short, or more than *reach* lines away. Distinct lines are looked up in the
+    block table; findings only meet the names."""
+    rows = findings.withColumn("_line", F.coalesce(F.nullif(F.col("line_start"), F.lit(0)), F.lit(1)))
+    asked = rows.select(*keys, F.col("file_path").alias("path"), F.col("_line").alias("line")).distinct()
+    cited = files.join(asked.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
+    name = F.col("name")
+    usable = ((F.length(name) >= 4) & ~F.lower(name).isin(*fixed.GENERIC_NAMES)
+              & (F.col("block_line") > F.col("line") - reach + 1))
+    named = stabbed(asked, code_blocks(cited, keys, ("scope",)), keys).where(usable).select(
+        *keys, F.col("path").alias("file_path"), F.col("line").alias("_line"), F.col("name").alias("symbol"))
+    return rows.join(named, [*keys, "file_path", "_line"], "left").select(*[F.col(c) for c in findings.columns], "symbol")
 
 
 def call_sites(files: DataFrame, symbols: DataFrame, keys=DOC,
-               per_symbol: int = fixed.CALLERS_PER_SYMBOL) -> DataFrame:
-    """Up to four call sites per symbol with context (-4/+2 lines).
+               per_symbol: int | None = None, chars: int | None = None) -> DataFrame:
+    """Call sites of each symbol with context (-4/+2 lines), all of them or the first
+    *per_symbol*, numbered in order of path and line.
 
-    Call names are tokenised once per line and equi-joined to the symbols; the
-    context is cut only for the few call sites that remain.
+    Calls come from the symbol index and meet the symbols by equality; a symbol that a third of all
+    files call is split by its sites, as positions come from a range partitioning. Contexts are cut beside their files.
     """
-    call = uni(r"\b(\w+)\s*\(")
-    lines = files.select(*keys, "path", F.posexplode(text.lines_of(F.col("content")))
-                         .alias("_pos", "text"))
-    calls = (lines.where(F.col("text").contains("(")
-                         & definition_name(F.col("text")).isNull())
-             .select(*keys, "path", (F.col("_pos") + 1).alias("line_no"),
-                     F.posexplode(F.regexp_extract_all("text", F.lit(call), F.lit(1)))
-                     .alias("nth", "symbol")))
+    calls = symbol_index(files, keys, ("call",)).select(*keys, "symbol", "path", F.col("line").alias("line_no"), "nth")
     wanted = symbols.select(*keys, "symbol").where("symbol is not null").distinct()
-    hits = top_n(calls.join(wanted, [*keys, "symbol"], "left_semi"), [*keys, "symbol"],
-                 [F.col("path"), F.col("line_no"), F.col("nth")], per_symbol)
-    rows = text.lines_of(F.col("content"))
-    lo = F.greatest(F.col("line_no") - 4, F.lit(1))
-    return hits.join(files.select(*keys, "path", "content"), [*keys, "path"]).select(
-        *keys, "symbol", "path", "line_no", "rn",
-        text.numbered(text.line_window(rows, lo, F.col("line_no") + 2), lo, 900)
-        .alias("context"))
+    hits = calls.join(wanted, [*keys, "symbol"], "left_semi")
+    order = [F.col("path"), F.col("line_no"), F.col("nth")]
+    if per_symbol is None:
+        hits = ordered_position(hits, [*keys, "symbol"], order, "rn").withColumn("rn", (F.col("rn") + 1).cast("int"))
+    else:
+        hits = top_n(hits, [*keys, "symbol"], order, per_symbol)
+    hits = hits.withColumns({"_lo": F.greatest(F.col("line_no") - 4, F.lit(1)), "_hi": F.col("line_no") + 2})
+    cut = line_windows(hits.select(*keys, "path", F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).distinct(), files, keys)
+    around = cut.select(*keys, "path", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+                        text.numbered(F.col("lines"), F.col("lo"), chars).alias("context"))
+    return hits.join(around, [*keys, "path", "_lo", "_hi"]).select(
+        *keys, "symbol", "path", "line_no", "rn", "context")
 
 
 # ---- code windows (J27, H40) and excerpts (J28, W5) -----------------------
 def code_windows(findings: DataFrame, files: DataFrame, keys=DOC, radius: int = 25,
-                 cap: int = 8000) -> DataFrame:
-    """Numbered source around each finding, the stored snippet when unavailable."""
-    cited = files.join(findings.select(*keys, F.col("file_path").alias("path")).distinct(),
-                       [*keys, "path"], "left_semi")
-    sides = cited.select(*keys, F.col("path").alias("file_path"),
-                         text.lines_of(F.col("content")).alias("_lines"))
+                 cap: int | None = None) -> DataFrame:
+    """Numbered source around each finding, the stored snippet when unavailable; whole or
+    the first *cap* characters. Equal windows are cut once, beside their file."""
     start = F.coalesce(F.nullif(F.col("line_start"), F.lit(0)), F.lit(1))
     end = F.coalesce(F.nullif(F.col("line_end"), F.lit(0)), start)
-    lo = F.greatest(start - radius, F.lit(1))
-    window = text.line_window(F.col("_lines"), lo, end + radius)
-    code = F.when(F.size(window) > 0, text.numbered(window, lo, cap))
-    return findings.join(sides, [*keys, "file_path"], "left").select(
-        *[findings[c] for c in findings.columns],
-        F.coalesce(F.size("_lines") > 0, F.lit(False)).alias("available"),
-        lo.alias("window_start"),
-        F.coalesce(code, F.col("code_snippet")).alias("source_context"))
+    rows = findings.withColumns({"_lo": F.greatest(start - radius, F.lit(1)), "_hi": end + radius})
+    asked = rows.select(*keys, F.col("file_path").alias("path"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).distinct()
+    code = F.when(F.size("lines") > 0, text.numbered(F.col("lines"), F.col("lo"), cap))
+    cut = line_windows(asked, files, keys).select(
+        *keys, F.col("path").alias("file_path"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "n_lines", code.alias("_code"))
+    return rows.join(cut, [*keys, "file_path", "_lo", "_hi"], "left").select(
+        *[rows[c] for c in findings.columns],
+        F.coalesce(F.col("n_lines") > 0, F.lit(False)).alias("available"),
+        F.col("_lo").alias("window_start"),
+        F.coalesce("_code", F.col("code_snippet")).alias("source_context"))
 
 
 def excerpt_ranges(endpoints: DataFrame, keys=DOC) -> DataFrame:

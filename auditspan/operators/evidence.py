@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.labels import truthy
 
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOC = ("artifact_id",)
+#: Bytes of a window of the line index; a probe has at least so many.
+WINDOW = 8
+#: Probes that meet a file in one row; more are dealt to several rows.
+PROBES = 4096
 
 
 def _suffixes(path):
@@ -68,43 +80,117 @@ def repair_stored_paths(findings: DataFrame, known: DataFrame, keys=DOC) -> Data
     return findings.join(hits, [*keys, "file_path"], "left")
 
 
+# ---- the line index --------------------------------------------------------------
+def windows(data: np.ndarray) -> np.ndarray:
+    """Every window of WINDOW bytes as a number: the bytes themselves, so equal numbers are equal
+    bytes."""
+    n = len(data) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        out |= data[k:k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def lines_with(content: str, probes: list[str]) -> tuple[int, list[list[int]]]:
+    """How many lines a text has, and the lines (from 1) that hold each probe once their blanks are
+    collapsed. The windows of all lines are looked up among one window of each probe; what meets is compared in full."""
+    rows = [" ".join(t.split()).encode() for t in content.splitlines()]
+    found: list[list[int]] = [[] for _ in probes]
+    blob = b"\n".join(rows)
+    data = np.frombuffer(blob, np.uint8)
+    asked = [p.encode() for p in probes]
+    wanted = np.zeros(len(asked), np.uint64)
+    place = np.zeros(len(asked), np.int64)
+    for k, p in enumerate(asked):
+        own = windows(np.frombuffer(p, np.uint8))
+        place[k] = int(scrambled(own).argmin())  # spread: not all at a common beginning
+        wanted[k] = own[place[k]]
+    order = np.argsort(wanted, kind="stable")
+    ranked = wanted[order]
+    index = windows(data)
+    first = np.searchsorted(ranked, index, "left")
+    spots = np.flatnonzero((first < len(ranked)) & (ranked[np.minimum(first, len(ranked) - 1)] == index)) if len(ranked) else []
+    starts = np.cumsum([0] + [len(r) + 1 for r in rows])
+    for spot in spots:
+        lo, hi = first[spot], np.searchsorted(ranked, index[spot], "right")
+        for k in order[lo:hi].tolist():
+            at = int(spot - place[k])
+            if at >= 0 and blob.startswith(asked[k], at):
+                line = int(np.searchsorted(starts, at, "right"))
+                if not found[k] or found[k][-1] != line:
+                    found[k].append(line)
+    return len(rows), found
+
+
+def probe_lines(asked: DataFrame, files: DataFrame, keys=DOC) -> DataFrame:
+    """(keys, path, tag, n_lines, lines) for *asked* (keys, path, tag, probes) whose file is there: the lines
+    that hold any of the probes, texts of WINDOW bytes or more without line breaks, as a part. (keys, path, tag) is unique.
+
+    A file is read once for up to PROBES tags; only line numbers leave it.
+    """
+    keys = list(keys)
+    per_file = F.count(F.lit(1)).over(Window.partitionBy(*keys, "path"))
+    part = F.pmod(F.xxhash64("tag"), F.floor((per_file - 1) / PROBES) + 1)
+    nested = asked.select(*keys, "path", "tag", "probes", part.alias("_part")).groupBy(*keys, "path", "_part").agg(
+        F.collect_list(F.struct("tag", "probes")).alias("asked"))
+    rows = files.select(*keys, "path", "content").join(nested, [*keys, "path"])
+
+    def search(batches):
+        for batch in batches:
+            at, tags, counts, lines = [], [], [], []
+            for row, (content, wanted) in enumerate(zip(batch.column("content").to_pylist(), batch.column("asked").to_pylist(),
+                                                        strict=True)):
+                probes = sorted({p for w in wanted for p in w["probes"]})
+                n, found = lines_with(content or "", probes)
+                hits = dict(zip(probes, found, strict=True))
+                for w in wanted:
+                    at.append(row)
+                    tags.append(w["tag"])
+                    counts.append(n)
+                    lines.append(sorted({line for p in w["probes"] for line in hits[p]}))
+            spot = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(spot) for c in (*keys, "path")]
+                + [pa.array(tags, pa.string()), pa.array(counts, pa.int32()), pa.array(lines, pa.list_(pa.int32()))],
+                names=[*keys, "path", "tag", "n_lines", "lines"])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, "path"))
+    return rows.mapInArrow(search, f"{kept}, tag string, n_lines int, lines array<int>")
+
+
 def check_evidence(findings: DataFrame, files: DataFrame, keys=DOC) -> DataFrame:
     """Give every finding an evidence status and correct or demote it (M1).
 
     verified / relocated / location_only / snippet_mismatch / line_out_of_range /
     file_missing / no_location. Needs file_path, line_start, line_end,
-    code_snippet, confidence, state, triage_note.
+    code_snippet, confidence, state, triage_note. The lines of a snippet are looked up in the
+    line index of its file, once a file; findings only meet line numbers.
     """
     keys = list(keys)
     where = resolve_citations(findings, files, keys)
-    cited = files.join(where.select(*keys, F.col("resolved").alias("path"))
-                       .where("path is not null").distinct(), [*keys, "path"], "left_semi")
-    sides = cited.select(*keys, F.col("path").alias("resolved"), F.transform(
-        text.lines_of(F.col("content")), text.collapse).alias("_norm"))
     probed = findings.withColumn("_snippet", F.coalesce("code_snippet", F.lit(""))) \
         .withColumn("_ls", F.coalesce("line_start", F.lit(0))) \
         .withColumn("_le", F.greatest("_ls", F.coalesce(
             F.nullif(F.col("line_end"), F.lit(0)), F.col("_ls"))))
-    # a snippet is searched once per cited file; only line numbers go back to the findings.
-    # Rows are few bytes and much work, so their partitions must not be merged by size.
-    tasks = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = F.filter(F.transform("_norm", lambda t, i: F.when(
-        F.exists("_probes", lambda p: t.contains(p)), i + 1)), lambda h: h.isNotNull())
-    searched = probed.select(*keys, "file_path", "_snippet").distinct().join(where, [*keys, "file_path"]) \
-        .repartition(tasks, *keys, "file_path", "_snippet").withColumn("_probes", F.coalesce(
-            text.snippet_probes(F.col("_snippet")), F.array().cast("array<string>"))) \
-        .join(sides, [*keys, "resolved"]).select(
-            *keys, "file_path", "_snippet", "resolved", F.size("_norm").alias("_lines"),
-            (F.size("_probes") > 0).alias("_probed"),
-            F.when(F.size("_probes") > 0, hits).otherwise(F.array().cast("array<int>")).alias("_hits"))
-    j = probed.join(searched, [*keys, "file_path", "_snippet"], "left")
+    found = probed.join(where, [*keys, "file_path"], "left")
+    asked = found.where("resolved IS NOT NULL").select(*keys, F.col("resolved").alias("path"), F.col("_snippet").alias("tag")) \
+        .distinct().withColumn("probes", F.coalesce(text.snippet_probes(F.col("tag")), F.array().cast("array<string>")))
+    searched = probe_lines(asked, files, keys).select(
+        *keys, F.col("path").alias("resolved"), F.col("tag").alias("_snippet"), F.col("n_lines").alias("_lines"), F.col("lines").alias("_hits"))
+    j = found.join(searched, [*keys, "resolved", "_snippet"], "left")
     ls, le, h = F.col("_ls"), F.col("_le"), F.col("_hits")
+    probes = F.coalesce(text.snippet_probes(F.col("_snippet")), F.array().cast("array<string>"))
     in_range = (ls >= 1) & (ls <= F.col("_lines"))
     status = (F.when(truthy(F.col("file_path")).isNull(), "no_location")
               .when(F.col("_lines").isNull(), "file_missing")
               .when(F.exists(h, lambda x: x.between(ls - 6, le + 6)), "verified")
               .when(F.size(h) > 0, "relocated")
-              .when(F.col("_probed"), F.when(in_range, "snippet_mismatch")
+              .when(F.size(probes) > 0, F.when(in_range, "snippet_mismatch")
                     .otherwise("line_out_of_range"))
               .otherwise(F.when(in_range, "location_only").otherwise("line_out_of_range")))
     nearest = F.array_min(F.transform(h, lambda x: F.struct(

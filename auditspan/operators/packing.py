@@ -1,10 +1,11 @@
 """Order-dependent packing of files and endpoints into batches.
 
 Greedy packing carries a little state along an ordered sequence. A long
-sequence is cut into blocks that are summarised in parallel (what does the
-block do to every state it may be entered with?), the summaries are chained,
-and the blocks then assign their rows in parallel again. Python only ever sees
-one block of numbers, never file contents.
+sequence is cut into blocks, each summarised as a function from the state before it to
+the state after it. Such functions compose associatively, so a parallel prefix gives
+every block its entry state: rounds of Spark groups of FAN neighbours compose upwards until one
+function a sequence is left, and the same rounds hand states down again. The blocks then assign
+their rows in parallel. No group ever holds more than FAN summaries or one block of numbers.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.text import token_estimate
-from .ordered import ordered_position, previous_value
+from .ordered import ordered_position, pin, previous_value
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DOC = ("artifact_id",)
-BLOCK = 20_000
+BLOCK, FAN = 20_000, 32
 
 
 def file_tokens(files: DataFrame, candidates: DataFrame | None = None, keys=DOC):
@@ -70,59 +71,118 @@ def _next_starts(tokens: np.ndarray, limit: int):
     return prefix, nxt, left, closed
 
 
-def _by_length(rows: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
-    """Groups of several blocks (to be chained) and groups that fit into one."""
+def entry_states(steps: DataFrame, keys, compose, apply, first, fan: int = FAN) -> DataFrame:
+    """(keys, _block, state, batch): with what each block of *steps* (keys, _block and the columns of a
+    step) is entered, *first* for block 0.
+
+    ``compose(steps) -> step`` joins neighbouring steps given as dicts, ``apply(state, step) -> state``
+    runs one. Each round groups *fan* neighbours, so there are as many rounds up and down as the longest
+    sequence has digits in base *fan*; a sequence of one block needs none.
+    """
+    keys = list(keys)
+    inner = [f.name for f in steps.schema if f.name not in (*keys, "_block")]
+    schema = T.StructType([*[steps.schema[k] for k in keys], T.StructField("_block", T.LongType()),
+                           *[steps.schema[c] for c in inner]])
+    out_schema = T.StructType([*[steps.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("_block", "state", "batch")]])
+    up = (F.col("_block") / F.lit(fan)).cast("long").alias("_up")
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        step = compose(pdf.sort_values("_block")[inner].to_dict("records"))
+        return pd.DataFrame([[*key, *[step[c] for c in inner]]], columns=[f.name for f in schema])
+
+    def hand_down(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("_block"), []
+        now = (int(pdf["state"].iat[0]), int(pdf["batch"].iat[0]))
+        for block, step in zip(pdf["_block"], pdf[inner].to_dict("records"), strict=True):
+            out.append([*key[:-1], int(block), *now])
+            now = apply(now, step)
+        return pd.DataFrame(out, columns=[f.name for f in out_schema])
+
+    levels = [pin(steps.select(*[f.name for f in schema]))]
+    while (levels[-1].agg(F.max("_block")).first()[0] or 0) > 0:
+        levels.append(pin(levels[-1].groupBy(*keys, up).applyInPandas(merge, schema)))
+    states = levels.pop().select(*keys, "_block", F.lit(first[0]).cast("long").alias("state"),
+                                 F.lit(first[1]).cast("long").alias("batch"))
+    while levels:
+        above = states.withColumnRenamed("_block", "_up")
+        nested = levels.pop().withColumn("_up", up).join(above, [*keys, "_up"])
+        states = nested.groupBy(*keys, "_up").applyInPandas(hand_down, out_schema)
+    return states
+
+
+def _one_block(rows: DataFrame, keys, first) -> tuple[DataFrame, DataFrame]:
+    """Sequences of several blocks, and the entry states of those that fit into one."""
     n = rows.groupBy(*keys).agg(F.max("_block").alias("_b"))
-    return n.where("_b > 0").select(*keys), n.where("_b = 0").select(*keys)
+    return n.where("_b > 0").select(*keys), n.where("_b = 0").select(
+        *keys, *[F.lit(v).cast("long").alias(c) for c, v in (("_block", 0), ("state", first[0]), ("batch", first[1]))])
+
+
+class Filling:
+    """What a block of tokens does to an open batch, as a step on (tokens open, batch number).
+
+    ``marks`` are the running sums at which the open batch overflows: with a room below marks[j] and not
+    below marks[j - 1], row j closes it, ``closed[j]`` more batches close inside and ``left[j]``
+    tokens stay open. A room of ``total`` or more takes the whole block. Rooms never exceed the limit, so
+    marks beyond it are dropped and a step stays as small as what fits into one batch.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        #: Nothing is open: no room, and the batch that opens first is number 0.
+        self.first = (limit + 1, -1)
+
+    def step(self, tokens: np.ndarray) -> dict:
+        prefix, _, left, closed = _next_starts(tokens, self.limit)
+        sums = prefix[1:]
+        useful = min(int(np.searchsorted(sums, self.limit, side="right")) + 1, len(sums))
+        return {"total": int(prefix[-1]), "marks": sums[:useful].tolist(), "left": left[:useful].tolist(),
+                "closed": closed[:useful].tolist()}
+
+    def apply(self, state: tuple[int, int], step: dict) -> tuple[int, int]:
+        carry, batch = state
+        room = self.limit - carry
+        if room >= step["total"]:
+            return carry + int(step["total"]), batch
+        j = int(np.searchsorted(np.asarray(step["marks"]), room, "right"))
+        return int(step["left"][j]), batch + 1 + int(step["closed"][j])
+
+    def compose(self, steps: list[dict]) -> dict:
+        out = None
+        for step in steps:
+            if out is None:
+                out = {k: v if k == "total" else list(v) for k, v in step.items()}
+                continue
+            # rooms that close a batch in the first part enter the second with what is left there
+            ends = [self.apply((int(x), int(c)), step) for x, c in zip(out["left"], out["closed"], strict=True)]
+            later = [k for k, m in enumerate(step["marks"]) if k == 0 or out["total"] + step["marks"][k - 1] <= self.limit]
+            if out["total"] > self.limit:
+                later = []
+            out = {"total": out["total"] + int(step["total"]),
+                   "marks": list(out["marks"]) + [out["total"] + int(step["marks"][k]) for k in later],
+                   "left": [e[0] for e in ends] + [int(step["left"][k]) for k in later],
+                   "closed": [e[1] for e in ends] + [int(step["closed"][k]) for k in later]}
+        return out
 
 
 def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOCK):
     """Batch number per file: path order, a new batch when the next file would
-    exceed the limit (a file larger than the limit gets its own)."""
-    keys = list(keys)
-    rows = ordered_position(sizes.select(*keys, "path", "tokens"), keys, ["path"], "pos") \
+    exceed the limit (a file larger than the limit gets its own). (keys, path) is unique."""
+    keys, filling = list(keys), Filling(token_limit)
+    rows = ordered_position(pin(sizes.select(*keys, "path", "tokens")), keys, ["path"], "pos") \
         .withColumn("_block", F.floor(F.col("pos") / block))
     key_fields = [rows.schema[k] for k in keys]
-    summary_schema = T.StructType([
-        *key_fields, T.StructField("_block", T.LongType()),
-        T.StructField("total", T.LongType()),
-        T.StructField("marks", T.ArrayType(T.LongType())),
-        T.StructField("left", T.ArrayType(T.LongType())),
-        T.StructField("closed", T.ArrayType(T.LongType()))])
+    step_schema = T.StructType([
+        *key_fields, T.StructField("_block", T.LongType()), T.StructField("total", T.LongType()),
+        *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("marks", "left", "closed")]])
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = pdf.sort_values("pos")["tokens"].to_numpy(np.int64)
-        prefix, _, left, closed = _next_starts(tokens, token_limit)
-        sums = prefix[1:]
-        useful = min(int(np.searchsorted(sums, token_limit, side="right")) + 1, len(sums))
-        return pd.DataFrame([[*key, int(prefix[-1]), sums[:useful].tolist(),
-                              left[:useful].tolist(), closed[:useful].tolist()]],
-                            columns=[f.name for f in summary_schema])
-
-    long, short = _by_length(rows, keys)
-    summaries = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(
-        summarise, summary_schema)
-    entry_schema = T.StructType([
-        *key_fields, T.StructField("_block", T.LongType()),
-        T.StructField("_carry", T.LongType()), T.StructField("_batch", T.LongType())])
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, batch, out = -1, 0, []
-        for r in pdf.sort_values("_block").itertuples():
-            out.append([*key, r[pdf.columns.get_loc("_block") + 1], carry, batch])
-            if carry < 0:  # nothing open yet: the first row opens a batch
-                carry, batch = int(r.left[0]), batch + int(r.closed[0])
-            elif token_limit - carry >= r.total:
-                carry += int(r.total)
-            else:
-                j = int(np.searchsorted(np.asarray(r.marks), token_limit - carry, "right"))
-                carry, batch = int(r.left[j]), batch + 1 + int(r.closed[j])
-        return pd.DataFrame(out, columns=[f.name for f in entry_schema])
-
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema).unionByName(
-        short.select(*keys, F.lit(0).cast("bigint").alias("_block"),
-                     F.lit(-1).cast("bigint").alias("_carry"),
-                     F.lit(0).cast("bigint").alias("_batch")))
+        step = filling.step(pdf.sort_values("pos")["tokens"].to_numpy(np.int64))
+        return pd.DataFrame([[*key, *step.values()]], columns=[f.name for f in step_schema])
+
+    long, entries = _one_block(rows, keys, filling.first)
+    if not long.isEmpty():
+        steps = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(summarise, step_schema)
+        entries = entries.unionByName(entry_states(steps, keys, filling.compose, filling.apply, filling.first))
     out_schema = T.StructType([
         *key_fields, rows.schema["path"], T.StructField("tokens", T.LongType()),
         T.StructField("pos", T.LongType()), T.StructField("batch", T.LongType())])
@@ -130,19 +190,15 @@ def pack_batches(sizes: DataFrame, token_limit: int, keys=DOC, block: int = BLOC
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         tokens = pdf["tokens"].to_numpy(np.int64)
-        carry, batch = int(pdf["_carry"].iat[0]), int(pdf["_batch"].iat[0])
+        room, batch = token_limit - int(pdf["state"].iat[0]), int(pdf["batch"].iat[0])
         prefix, nxt, _, _ = _next_starts(tokens, token_limit)
         numbers = np.empty(len(tokens), dtype=np.int64)
-        if carry < 0:
-            start = 0
-        else:
-            start = int(np.searchsorted(prefix[1:], token_limit - carry, side="right"))
-            numbers[:start] = batch
-            batch += 1
+        start = int(np.searchsorted(prefix[1:], room, side="right"))
+        numbers[:start] = batch
         while start < len(tokens):
-            end = min(int(nxt[start]), len(tokens))
+            end, batch = min(int(nxt[start]), len(tokens)), batch + 1
             numbers[start:end] = batch
-            batch, start = batch + 1, end
+            start = end
         return pdf.assign(batch=numbers)[[f.name for f in out_schema]]
 
     placed = rows.join(entries, [*keys, "_block"])
@@ -164,10 +220,8 @@ def endpoint_batches(endpoints: DataFrame, per: int = 40, keys=DOC, block: int =
         *keys, "endpoint_id", "pos", cut.alias("_block"),
         (F.col("_file") != F.coalesce("_prev", "_file")).alias("_changed"))
     key_fields = [rows.schema[k] for k in keys]
-    summary_schema = T.StructType([
-        *key_fields, T.StructField("_block", T.LongType()),
-        T.StructField("sizes", T.ArrayType(T.LongType())),
-        T.StructField("closed", T.ArrayType(T.LongType()))])
+    step_schema = T.StructType([*key_fields, T.StructField("_block", T.LongType()), *[
+        T.StructField(c, T.ArrayType(T.LongType())) for c in ("sizes", "closed")]])
 
     def run(changed, size, closed):
         """Feed rows to every entry size at once; returns sizes and closings."""
@@ -181,33 +235,28 @@ def endpoint_batches(endpoints: DataFrame, per: int = 40, keys=DOC, block: int =
         changed = pdf.sort_values("pos")["_changed"].to_numpy(bool)
         size, closed = run(changed, np.arange(per + 1), np.zeros(per + 1, dtype=np.int64))
         return pd.DataFrame([[*key, size.tolist(), closed.tolist()]],
-                            columns=[f.name for f in summary_schema])
-
-    long, short = _by_length(rows, keys)
-    summaries = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(
-        summarise, summary_schema)
-    entry_schema = T.StructType([
-        *key_fields, T.StructField("_block", T.LongType()),
-        T.StructField("_size", T.LongType()), T.StructField("_batch", T.LongType())])
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size, batch, out = 0, 0, []
-        for r in pdf.sort_values("_block").to_dict("records"):
-            out.append([*key, r["_block"], size, batch])
-            size, batch = int(r["sizes"][size]), batch + int(r["closed"][size])
-        return pd.DataFrame(out, columns=[f.name for f in entry_schema])
-
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_schema).unionByName(
-        short.select(*keys, F.lit(0).cast("bigint").alias("_block"),
-                     F.lit(0).cast("bigint").alias("_size"),
-                     F.lit(0).cast("bigint").alias("_batch")))
+                            columns=[f.name for f in step_schema])
+
+    def apply(state, step):
+        return int(step["sizes"][state[0]]), state[1] + int(step["closed"][state[0]])
+
+    def compose(steps):
+        ends = [(size, 0) for size in range(per + 1)]
+        for step in steps:
+            ends = [apply(state, step) for state in ends]
+        return {"sizes": [e[0] for e in ends], "closed": [e[1] for e in ends]}
+
+    long, entries = _one_block(rows, keys, (0, 0))
+    if not long.isEmpty():
+        steps = rows.join(long, keys, "left_semi").groupBy(*keys, "_block").applyInPandas(summarise, step_schema)
+        entries = entries.unionByName(entry_states(steps, keys, compose, apply, (0, 0)))
     out_schema = T.StructType([
         *key_fields, rows.schema["endpoint_id"], T.StructField("pos", T.LongType()),
         T.StructField("batch", T.LongType())])
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        size, batch, out = int(pdf["_size"].iat[0]), int(pdf["_batch"].iat[0]), []
+        size, batch, out = int(pdf["state"].iat[0]), int(pdf["batch"].iat[0]), []
         for moved in pdf["_changed"].to_numpy(bool):
             if size and (size >= per or (size >= half and moved)):
                 batch, size = batch + 1, 0

@@ -350,7 +350,7 @@ def benchmark_quotes(spark, sf):
 # ---- windows, excerpts, symbols ---------------------------------------------------------------
 @query("code_windows", f"""
 WITH ln AS ({DOC_LINES})
-SELECT v.finding_id, string_agg(CASE WHEN line_no IS NOT NULL THEN concat(line_no, ': ', text) END, chr(10) ORDER BY line_no)[:8000] AS source_context
+SELECT v.finding_id, string_agg(CASE WHEN line_no IS NOT NULL THEN concat(line_no, ': ', text) END, chr(10) ORDER BY line_no) AS source_context
 FROM v_cited v LEFT JOIN ln ON ln.artifact_id = v.artifact_id AND ln.path = v.file_path
   AND line_no BETWEEN greatest(CASE WHEN line_start = 0 THEN 1 ELSE line_start END - 2, 1)
   AND CASE WHEN line_end = 0 THEN CASE WHEN line_start = 0 THEN 1 ELSE line_start END ELSE line_end END + 2 GROUP BY 1""")
@@ -406,7 +406,7 @@ t AS (SELECT l.artifact_id, l.path, l.line_no, unnest(regexp_extract_all(l.text,
   FROM v_code_lines l JOIN d ON d.artifact_id = l.artifact_id AND d.path = l.path AND d.line_no = l.line_no AND d.name IS NULL),
 r AS (SELECT t.*, row_number() OVER (PARTITION BY t.artifact_id, t.symbol ORDER BY t.path, t.line_no) AS rn
   FROM t JOIN s ON s.artifact_id = t.artifact_id AND s.symbol = t.symbol)
-SELECT r.artifact_id, r.symbol, r.path, r.line_no - lo + 1 AS line_no, r.rn FROM r JOIN b USING (artifact_id, path) WHERE rn <= 4""")
+SELECT r.artifact_id, r.symbol, r.path, r.line_no - lo + 1 AS line_no, r.rn FROM r JOIN b USING (artifact_id, path)""")
 def call_sites(spark, sf):
     symbols = view(spark, sf, "v_code_parts").select(
         F.concat(F.lit("art"), "art").alias("artifact_id"),
