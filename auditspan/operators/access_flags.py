@@ -10,8 +10,19 @@ from .ordered import ordered_position, top_n
 
 DOC = ("artifact_id",)
 OWASP = "A01:2021 - Broken Access Control"
-# A quoted peer list stops at 300 characters, so more labels cannot show.
+# A peer list quoted in a text stops at 300 characters, so more labels cannot show; all
+# peers are rows of sibling_peers().
 PEER_LABELS, PEER_CHARS = 100, 300
+# Routes that the one flag of a whole artifact lists; all are rows of unlocated_routes().
+AFFECTED = 200
+REMEDIATION = {
+    "access.inconsistent-authn": "Give the route the login check of its siblings, best on the router or controller they share.",
+    "access.inconsistent-authz": "Ask for the role that the sibling routes ask for.",
+    "access.missing-authn": "Ask for a login, or write down why the route is open to everyone.",
+    "access.privileged-no-role": "Let only the administrative role reach the route.",
+    "access.idor": "Look the object up together with its owner, or check a policy for the object first.",
+    "access.auth-not-located": "Find the layer that checks logins and confirm that it covers every route that is not public.",
+}
 
 
 def _label() -> Column:
@@ -47,6 +58,19 @@ def sibling_groups(eps: DataFrame, keys=DOC) -> DataFrame:
     return fam.join(guards, on, "left").join(roles, on, "left")
 
 
+def sibling_peers(eps: DataFrame, keys=DOC) -> DataFrame:
+    """Every protected route of a resource family and whether it checks a role."""
+    return eps.where(_protected()).groupBy(*keys, "resource", _label().alias("endpoint")).agg(
+        F.bool_or(F.size("role_hints") > 0).alias("roled"))
+
+
+def unlocated_routes(eps: DataFrame, keys=DOC) -> DataFrame:
+    """Routes behind the flag of a whole artifact: not public, and without any login found."""
+    lost = eps.where(~F.col("likely_public") & (F.col("auth_scope") == "none"))
+    return lost.join(systemic_condition(eps, keys).where("systemic"), list(keys)).select(
+        *keys, "endpoint_id", _label().alias("endpoint"), "file_path", "line")
+
+
 def systemic_condition(eps: DataFrame, keys=DOC) -> DataFrame:
     """Artifacts where no authentication could be located for most routes."""
     public = F.col("likely_public")
@@ -61,15 +85,17 @@ def _flag(rule, title, description, severity, confidence, cwe) -> Column:
     def s(x):
         return x if isinstance(x, Column) else F.lit(x)
     return F.struct(
-        F.lit(rule).alias("rule"), F.substring(s(title), 1, 300).alias("title"),
+        F.lit(rule).alias("rule"), s(title).alias("title"),
         s(description).alias("description"), s(severity).alias("severity"),
-        s(confidence).cast("double").alias("confidence"), F.lit(cwe).alias("cwe"))
+        s(confidence).cast("double").alias("confidence"), F.lit(cwe).alias("cwe"),
+        F.lit(REMEDIATION[rule]).alias("remediation"))
 
 
 def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
-                 cap: int | None = None) -> DataFrame:
-    """Per-route flags (at most two each), one systemic flag where it applies, the most
-    severe first, all or *cap* per artifact, numbered h0, h1, ... (M6, W4, O6).
+                 cap: int | None = None, per_route: int | None = 2) -> DataFrame:
+    """Per-route flags (the first two that apply, or all with ``per_route=None``), one
+    systemic flag where it applies, the most severe first, all or *cap* per artifact,
+    numbered h0, h1, ... (M6, W4, O6).
 
     Every rule reads the route plus two small summaries (its family and its
     artifact), so a route's flags come out of one row without windows. *eps* is
@@ -131,14 +157,15 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
                      kind == "numeric", " The id is numeric and enumerable.").otherwise("")),
         F.when(kind == "uuid", "low").when(changing, "high").otherwise("medium"),
         F.when(kind == "uuid", 0.2).when(kind == "numeric", 0.4).otherwise(0.3), "CWE-639"))
-    per_route = rows.select(
+    raised = F.array_compact(F.array("_sib", missing, role, idor))
+    each = rows.select(
         *keys, "endpoint_id", label.alias("endpoint"), "handler_file", "handler_line",
-        "handler_source", "id_kind", F.posexplode(F.slice(F.array_compact(
-            F.array("_sib", missing, role, idor)), 1, 2)).alias("_nth", "f"))
-    flags = per_route.select(
+        "handler_source", "id_kind", F.posexplode(
+            raised if per_route is None else F.slice(raised, 1, per_route)).alias("_nth", "f"))
+    flags = each.select(
         *keys, "endpoint_id", "endpoint", "f.*", F.lit("proposed").alias("state"),
         c("handler_file").alias("file_path"), c("handler_line").alias("line_start"),
-        c("handler_source").alias("code_snippet"),
+        c("handler_line").alias("line_end"), c("handler_source").alias("code_snippet"),
         F.when(c("f.rule") == "access.idor", c("id_kind")).alias("id_kind"),
         F.lit(None).cast("string").alias("human_question"),
         F.array().cast("array<string>").alias("affected_endpoints"))
@@ -160,7 +187,7 @@ def _systemic_flags(eps: DataFrame, keys) -> DataFrame:
     order = [c("file_path"), c("line"), c("method"), c("path")]
     first = top_n(lost.select(*keys, "unlocated", "non_public", "file_path", "line", "method",
                               "path", "handler_file", "handler_line", "handler_source",
-                              _label().alias("_l")), keys, order, 200)
+                              _label().alias("_l")), keys, order, AFFECTED)
     one = first.groupBy(*keys, "unlocated", "non_public").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "_l"))),
                     lambda x: x["_l"]).alias("affected_endpoints"),
@@ -176,8 +203,10 @@ def _systemic_flags(eps: DataFrame, keys) -> DataFrame:
                  F.lit(". It is probably enforced outside the recognised patterns."))
         .alias("description"),
         F.lit("medium").alias("severity"), F.lit(0.3).alias("confidence"),
-        F.lit("CWE-306").alias("cwe"), F.lit("needs_info").alias("state"),
+        F.lit("CWE-306").alias("cwe"), F.lit(REMEDIATION["access.auth-not-located"]).alias("remediation"),
+        F.lit("needs_info").alias("state"),
         c("a.handler_file").alias("file_path"), c("a.handler_line").alias("line_start"),
+        c("a.handler_line").alias("line_end"),
         c("a.handler_source").alias("code_snippet"),
         F.lit(None).cast("string").alias("id_kind"),
         F.lit("Where is authentication enforced for these routes?").alias("human_question"),
@@ -199,8 +228,7 @@ def apply_endpoint_verdicts(mapped: DataFrame, verdicts: DataFrame, keys=DOC) ->
         F.when(got, labels.choose(F.coalesce(F.col("_v.authz"), F.lit("unclear")),
                                   fixed.AUTHZ_VALUES, "unclear")).alias("authz"),
         F.when(got, labels.choose(risk, fixed.RISK_VALUES, "low")).alias("risk"),
-        F.when(got, F.substring(F.coalesce(F.col("_v.notes"), F.lit("")), 1, 500))
-        .alias("notes"))
+        F.when(got, F.coalesce(F.col("_v.notes"), F.lit(""))).alias("notes"))
 
 
 def resolve_flags(flags: DataFrame, assessed: DataFrame, findings: DataFrame,
@@ -209,8 +237,7 @@ def resolve_flags(flags: DataFrame, assessed: DataFrame, findings: DataFrame,
     endpoint's verdict, else duplicate of a finding, else pending."""
     keys, c = list(keys), F.col
     v = verdicts.groupBy(*keys, "flag_id").agg(F.max(F.struct(
-        F.lower("verdict").alias("verdict"), F.substring(
-            F.coalesce("reason", F.lit("")), 1, 800).alias("reason"),
+        F.lower("verdict").alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"),
         F.lower("severity").alias("severity"))).alias("_v"))
     eps = assessed.select(*keys, "endpoint_id", c("authn").alias("_authn"),
                           c("authz").alias("_authz"), c("risk").alias("_risk"))

@@ -36,9 +36,6 @@ SELECT *, CASE WHEN scope = 'none' AND NOT public AND (changing OR priv) THEN 'h
   WHEN (scope = 'none' AND NOT public AND priv) OR (kind = 'unknown' AND NOT owned AND NOT public) THEN 'medium'
   ELSE 'low' END AS heuristic_risk FROM v_api_facts"""
 
-_MAPS: dict[tuple, object] = {}
-
-
 def api_files(spark, sf):
     """Derived API files; a file holds at most 160 lines."""
     return view(spark, sf, "v_api_lines").groupBy("artifact_id", "path").agg(
@@ -53,11 +50,8 @@ def fresh_map(spark, sf):
 
 
 def endpoints(spark, sf):
-    """The map as a stored table: several queries read the same one."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MAPS:
-        _MAPS[key] = pin(fresh_map(spark, sf))
-    return _MAPS[key]
+    """The map as a stored table, for queries that read it more than once."""
+    return pin(fresh_map(spark, sf))
 
 
 # ---- extraction -----------------------------------------------------------------------------
@@ -154,7 +148,7 @@ SELECT artifact_id, count(*) AS endpoints, CAST(0 AS BIGINT) AS scope_public, co
   count(*) FILTER (changing) AS state_changing, count(kind) AS with_id_params, count(*) FILTER (priv) AS privileged
 FROM v_api_facts GROUP BY 1""")
 def access_stats(spark, sf):
-    return access_map.access_stats(endpoints(spark, sf))
+    return access_map.access_stats(fresh_map(spark, sf))
 
 
 @query("auth_mechanisms", """
@@ -163,7 +157,7 @@ WITH m AS (SELECT artifact_id, 'current_user' AS mechanism FROM v_api_facts WHER
 c AS (SELECT artifact_id, mechanism, count(*) AS uses FROM m GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY uses DESC, mechanism) AS rn FROM c""")
 def auth_mechanisms(spark, sf):
-    return access_map.auth_mechanisms(endpoints(spark, sf))
+    return access_map.auth_mechanisms(fresh_map(spark, sf))
 
 
 @query("sibling_groups", """
@@ -185,13 +179,13 @@ def systemic_auth(spark, sf):
 
 @query("unauthenticated_routes", "SELECT artifact_id, file_path, line FROM v_api_facts WHERE scope = 'none'")
 def unauthenticated_routes(spark, sf):
-    return access_map.unauthenticated(endpoints(spark, sf)).select("artifact_id", "file_path",
+    return access_map.unauthenticated(fresh_map(spark, sf)).select("artifact_id", "file_path",
                                                                    "line")
 
 
 @query("routes_by_file", """
 SELECT artifact_id, file_path, line, method, path, rn FROM (SELECT *, row_number() OVER (
-  PARTITION BY artifact_id, file_path ORDER BY line) AS rn FROM v_api_facts) WHERE rn <= 10""")
+  PARTITION BY artifact_id, file_path ORDER BY line) AS rn FROM v_api_facts)""")
 def routes_by_file(spark, sf):
     return access_map.routes_by_file(endpoints(spark, sf)).drop("auth_scope")
 
@@ -239,21 +233,42 @@ def global_context(spark, sf):
 
 
 # ---- verdicts on endpoints and flags --------------------------------------------------------------
-POLICY = """
+# What reviewers said about each route: valid, oddly written, unknown and missing values; none for every sixth route.
+VIEWS["v_api_verdicts"] = """
+SELECT artifact_id, file_path, line, k, CASE k % 6 WHEN 0 THEN 'required' WHEN 1 THEN 'Public' WHEN 2 THEN 'none' WHEN 3 THEN 'odd' END AS authn,
+  CASE size % 5 WHEN 0 THEN 'role' WHEN 1 THEN 'Ownership' WHEN 2 THEN 'tenant' WHEN 3 THEN 'none' ELSE 'strange' END AS authz,
+  CASE k % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'medium' WHEN 3 THEN 'bad' END AS risk, concat('seen ', k) AS notes
+FROM v_api_parts WHERE k % 6 <> 5"""
+VIEWS["v_api_reviewed"] = """
+SELECT *, CASE k % 6 WHEN 0 THEN 'required' WHEN 1 THEN 'public' WHEN 2 THEN 'none' WHEN 5 THEN 'unassessed' ELSE 'unclear' END AS authn,
+  CASE WHEN k % 6 <> 5 THEN CASE size % 5 WHEN 0 THEN 'role' WHEN 1 THEN 'ownership' WHEN 2 THEN 'tenant' WHEN 3 THEN 'none' ELSE 'unclear' END END AS authz,
+  CASE WHEN k % 6 <> 5 THEN CASE k % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN heuristic_risk ELSE 'low' END END AS risk,
+  CASE WHEN k % 6 <> 5 THEN concat('seen ', k) END AS notes FROM v_api_risk"""
+# What reviewers found on routes, named by label with another parameter name.
+VIEWS["v_api_found"] = """
+SELECT artifact_id, concat('found', k) AS finding_id, concat(lower(method), ' ', replace(path, '{id}', '{other}')) AS endpoint, 'proposed' AS state,
+  concat('Finding ', k) AS title, CASE k % 3 WHEN 0 THEN 'CWE-306' WHEN 1 THEN 'CWE-639: object' ELSE 'CWE-285' END AS cwe,
+  CASE k % 2 WHEN 0 THEN 'high' ELSE 'low' END AS severity FROM v_api_parts WHERE k % 7 = 0"""
+
+
+def reviewed(spark, sf, eps):
+    """Endpoints with the verdicts of the table."""
+    told = view(spark, sf, "v_api_verdicts").join(eps.select("artifact_id", "file_path", "line", "endpoint_id"),
+                                                  ["artifact_id", "file_path", "line"])
+    return access_flags.apply_endpoint_verdicts(eps, told)
+
+
+VIEWS["v_api_policy"] = """
 SELECT *, CASE WHEN scope = 'route' THEN 'required' WHEN public THEN 'public' ELSE 'none' END AS authn,
   CASE WHEN owned THEN 'ownership' ELSE 'unclear' END AS authz,
   CASE WHEN scope = 'none' AND changing AND NOT public THEN 'high' ELSE 'low' END AS risk FROM v_api_risk"""
-VIEWS["v_api_policy"] = POLICY
-
-
-def reviewed(spark, sf):
-    eps = endpoints(spark, sf)
-    return access_flags.apply_endpoint_verdicts(eps, verdicts.endpoint_policy(eps))
 
 
 @query("endpoint_policy", "SELECT artifact_id, file_path, line, authn, authz, risk FROM v_api_policy")
 def endpoint_policy(spark, sf):
-    return reviewed(spark, sf).select("artifact_id", "file_path", "line", "authn", "authz", "risk")
+    eps = endpoints(spark, sf)
+    return access_flags.apply_endpoint_verdicts(eps, verdicts.endpoint_policy(eps)).select(
+        "artifact_id", "file_path", "line", "authn", "authz", "risk")
 
 
 @query("endpoint_policy_findings", """
@@ -262,34 +277,38 @@ SELECT artifact_id, endpoint, CASE WHEN scope = 'none' AND changing THEN 'CWE-30
   CASE WHEN scope = 'none' AND changing THEN 'proposed' ELSE 'needs_info' END AS state, line AS line_start
 FROM v_api_facts WHERE NOT public AND ((scope = 'none' AND changing) OR (kind IS NOT NULL AND NOT owned))""")
 def endpoint_policy_findings(spark, sf):
-    return verdicts.endpoint_policy_findings(endpoints(spark, sf)).select(
+    return verdicts.endpoint_policy_findings(fresh_map(spark, sf)).select(
         "artifact_id", "endpoint", "cwe", "severity", "state", "line_start")
 
 
+@query("endpoint_verdicts", "SELECT artifact_id, file_path, line, authn, authz, risk, notes FROM v_api_reviewed")
+def endpoint_verdicts(spark, sf):
+    """Verdicts of reviewers, invalid and missing values included."""
+    return reviewed(spark, sf, endpoints(spark, sf)).select("artifact_id", "file_path", "line", "authn", "authz", "risk", "notes")
+
+
 RESOLVED = FLAGS + """,
-fnd AS (SELECT DISTINCT artifact_id, concat(method, ' ', lower(regexp_replace(path, '\\{[^}/]+\\}', '{}', 'g'))) AS ep,
-  CASE WHEN scope = 'none' AND changing THEN '306' ELSE '639' END AS num FROM v_api_facts
-  WHERE NOT public AND ((scope = 'none' AND changing) OR (kind IS NOT NULL AND NOT owned))),
+fnd AS (SELECT DISTINCT artifact_id, concat(upper(split_part(endpoint, ' ', 1)), ' ', lower(regexp_replace(split_part(endpoint, ' ', 2), '\\{[^}/]+\\}', '{}', 'g'))) AS ep,
+  regexp_extract(cwe, '\\d+') AS num FROM v_api_found),
 x AS (SELECT f.*, p.authn, p.authz, p.risk, concat(p.method, ' ', lower(regexp_replace(p.path, '\\{[^}/]+\\}', '{}', 'g'))) AS ep,
   CASE rule WHEN 'access.missing-authn' THEN '306' WHEN 'access.inconsistent-authn' THEN '862' WHEN 'access.idor' THEN '639'
-    WHEN 'access.privileged-no-role' THEN '285' ELSE '306' END AS num FROM flags f LEFT JOIN v_api_policy p ON p.k = f.k),
-y AS (SELECT x.*, CASE WHEN rule IN ('access.missing-authn','access.inconsistent-authn') THEN authn IN ('required','public')
+    WHEN 'access.privileged-no-role' THEN '285' ELSE '306' END AS num FROM flags f LEFT JOIN v_api_reviewed p ON p.k = f.k),
+y AS (SELECT x.*, coalesce(authn, 'unassessed') <> 'unassessed' AND coalesce(CASE WHEN rule IN ('access.missing-authn','access.inconsistent-authn') THEN authn IN ('required','public')
     WHEN rule = 'access.privileged-no-role' THEN authz = 'role' WHEN rule = 'access.idor' THEN authz IN ('ownership','role','tenant')
-    ELSE risk = 'low' END AS implied, EXISTS (SELECT 1 FROM fnd WHERE fnd.artifact_id = x.artifact_id AND fnd.ep = x.ep AND fnd.num = x.num) AS dup FROM x),
+    ELSE risk = 'low' END, FALSE) AS implied, EXISTS (SELECT 1 FROM fnd WHERE fnd.artifact_id = x.artifact_id AND fnd.ep = x.ep AND fnd.num = x.num) AS dup FROM x),
 z AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'confirmed' WHEN k % 5 = 1 THEN 'uncertain' WHEN implied THEN 'rejected' WHEN dup THEN 'duplicate' ELSE 'unverified' END AS outcome FROM y)"""
 
 
 def resolved(spark, sf):
-    eps = reviewed(spark, sf)
-    raised = pin(access_flags.access_flags(endpoints(spark, sf)))
-    found = verdicts.endpoint_policy_findings(endpoints(spark, sf))
+    eps = endpoints(spark, sf)
+    raised = pin(access_flags.access_flags(eps))
     k = F.regexp_extract("code_snippet", r"def h(\d+)", 1).try_cast("int")
     spoken = raised.where("endpoint_id is not null").withColumn("k", k).where(
         F.col("k") % 5 < 2).select(
         "artifact_id", "flag_id", F.when(F.col("k") % 5 == 0, "Confirmed").otherwise("uncertain")
         .alias("verdict"), F.lit("because").alias("reason"),
         F.lit(None).cast("string").alias("severity"))
-    return access_flags.resolve_flags(raised, eps, found, spoken)
+    return access_flags.resolve_flags(raised, reviewed(spark, sf, eps), view(spark, sf, "v_api_found"), spoken)
 
 
 @query("flag_resolution", RESOLVED + """
@@ -308,68 +327,125 @@ _N = ", ".join([f"count(*) FILTER (authn = '{a}') AS authn_{a}" for a in (*fixed
                + [f"count(*) FILTER (risk = '{r}') AS risk_{r}" for r in fixed.RISK_VALUES])
 
 
-@query("review_stats", f"SELECT artifact_id, count(*) AS endpoints, count(*) AS assessed, {_N} FROM v_api_policy GROUP BY 1")
+@query("review_stats", f"SELECT artifact_id, count(*) AS endpoints, count(*) FILTER (authn <> 'unassessed') AS assessed, {_N} FROM v_api_reviewed GROUP BY 1")
 def review_stats(spark, sf):
-    return access_flags.review_stats(reviewed(spark, sf))
+    return access_flags.review_stats(reviewed(spark, sf, endpoints(spark, sf)))
 
 
 # ---- exports -----------------------------------------------------------------------------------------
 @query("access_matrix", """
-SELECT artifact_id, method, path, authn, authz, risk, scope AS auth_scope, heuristic_risk, file_path, CAST(line AS VARCHAR) AS line,
-  'def' AS handler, file_path AS handler_file, CAST(line + 1 AS VARCHAR) AS handler_line, 'policy verdict' AS notes,
+SELECT artifact_id, method, path, authn, coalesce(authz, '') AS authz, coalesce(risk, '') AS risk, scope AS auth_scope, heuristic_risk, file_path, CAST(line AS VARCHAR) AS line,
+  'def' AS handler, file_path AS handler_file, CAST(line + 1 AS VARCHAR) AS handler_line, coalesce(notes, '') AS notes,
   CASE WHEN has_user THEN 'current_user; get_current_user' WHEN owned THEN 'current_user' ELSE '' END AS route_auth,
   '' AS file_auth, '' AS role_hints, CASE WHEN owned THEN 'filter(Item.user; == current_user' ELSE '' END AS ownership_hints
-FROM v_api_policy""")
+FROM v_api_reviewed""")
 def access_matrix(spark, sf):
-    return sinks.access_matrix(reviewed(spark, sf), ["artifact_id"])
+    return sinks.access_matrix(reviewed(spark, sf, endpoints(spark, sf)), ["artifact_id"])
 
 
 @query("endpoint_lines", "SELECT artifact_id, endpoint AS line FROM v_api_facts")
 def endpoint_lines(spark, sf):
-    return sinks.endpoint_lines(endpoints(spark, sf), ["artifact_id"])
+    return sinks.endpoint_lines(fresh_map(spark, sf), ["artifact_id"])
 
 
 @query("report_matrix", """
-SELECT artifact_id, method, path, risk, position FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY
-  CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, path, method) AS position FROM v_api_policy)""")
+SELECT artifact_id, method, path, risk, position FROM (SELECT artifact_id, method, path, coalesce(risk, heuristic_risk) AS risk, row_number() OVER (PARTITION BY artifact_id ORDER BY
+  CASE coalesce(risk, heuristic_risk) WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, path, method) AS position FROM v_api_reviewed)""")
 def report_matrix(spark, sf):
-    return rollups.report_matrix(reviewed(spark, sf)).select(
+    return rollups.report_matrix(reviewed(spark, sf, endpoints(spark, sf))).select(
         "artifact_id", "method", "path", "risk", "position")
 
 
-OPS = """
+def _operations(where="TRUE"):
+    """The last route in order of risk, file and line of each path and verb; risk beyond a floor."""
+    return f"""
 SELECT artifact_id, template, verb, arg_max(file_path, r) AS file_path, arg_max(line, r) AS line, arg_max(risk, r) AS risk FROM (
-  SELECT artifact_id, path AS template, verb, file_path, line, risk,
-    row_number() OVER (PARTITION BY artifact_id, path, verb ORDER BY CASE risk WHEN 'high' THEN 0 ELSE 2 END, file_path, line) AS r
-  FROM v_api_policy) GROUP BY 1, 2, 3"""
+  SELECT artifact_id, path AS template, verb, file_path, line, shown AS risk,
+    row_number() OVER (PARTITION BY artifact_id, path, verb ORDER BY CASE shown WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file_path, line) AS r
+  FROM (SELECT *, coalesce(risk, heuristic_risk) AS shown FROM v_api_reviewed) WHERE {where}) GROUP BY 1, 2, 3"""
 
 
-@query("openapi_operations", OPS)
+@query("openapi_operations", _operations())
 def openapi_operations(spark, sf):
-    return sinks.openapi_operations(reviewed(spark, sf), keys=["artifact_id"]).select(
+    return sinks.openapi_operations(reviewed(spark, sf, endpoints(spark, sf)), keys=["artifact_id"]).select(
         "artifact_id", "template", "verb", "file_path", "line", F.col("_risk").alias("risk"))
 
 
-@query("related_findings", FLAGS + """
-SELECT p.artifact_id, p.file_path, p.line, concat('[', f.severity, '] ', f.rule) AS related
-FROM v_api_facts p JOIN flags f ON f.artifact_id = p.artifact_id AND upper(f.endpoint) = upper(p.endpoint)""")
+@query("risky_operations", _operations("shown IN ('high', 'medium')"))
+def risky_operations(spark, sf):
+    """Only operations of medium risk or more."""
+    return sinks.openapi_operations(reviewed(spark, sf, endpoints(spark, sf)), "medium", ["artifact_id"]).select(
+        "artifact_id", "template", "verb", "file_path", "line", F.col("_risk").alias("risk"))
+
+
+@query("test_notes", """
+SELECT artifact_id, file_path, line, concat_ws(' | ', CASE WHEN authn <> 'public' AND NOT public THEN 'Call without a session: 401/403 expected (authentication).' END,
+  CASE WHEN kind IS NOT NULL THEN concat('As user A request an object of user B (', CASE kind WHEN 'uuid' THEN 'item_uuid' ELSE 'id' END, '): 403/404 expected (IDOR).') END,
+  CASE WHEN priv OR coalesce(authz, '') IN ('none', 'unclear') THEN 'Call with a low-privilege session: 403 expected (function-level access).' END,
+  CASE WHEN changing THEN 'Add privileged fields to the body: they must be ignored (mass assignment).' END) AS notes FROM v_api_reviewed""")
+def test_notes(spark, sf):
+    return reviewed(spark, sf, endpoints(spark, sf)).select(
+        "artifact_id", "file_path", "line", F.array_join(rx.test_notes(), " | ").alias("notes"))
+
+
+@query("related_findings", """
+SELECT p.artifact_id, p.file_path, p.line, concat('[', f.severity, '] ', f.title) AS related
+FROM v_api_facts p JOIN v_api_found f ON f.artifact_id = p.artifact_id AND upper(f.endpoint) = upper(p.endpoint)""")
 def related_findings(spark, sf):
     eps = endpoints(spark, sf)
-    raised = access_flags.access_flags(eps).withColumn("title", F.col("rule")).withColumn(
-        "finding_id", F.col("flag_id"))
-    rel = sinks.related_findings(eps, raised, ["artifact_id"])
+    rel = sinks.related_findings(eps, view(spark, sf, "v_api_found"), ["artifact_id"])
     return rel.join(eps.select("artifact_id", "endpoint_id", "file_path", "line"),
                     ["artifact_id", "endpoint_id"]).select(
         "artifact_id", "file_path", "line", "related")
 
 
-@query("openapi_fragments")
+_START = ('{"openapi":"3.0.3","info":{"title":"Endpoints of a scan","version":"1.0"},"servers":[{"url":"https://target.example"}],'
+          '"tags":[{"name":"risk-high"},{"name":"risk-medium"},{"name":"risk-low"},{"name":"has-findings"}],"paths":{')
+_END = ('},"components":{"securitySchemes":{"bearerAuth":{"type":"http","scheme":"bearer"},'
+        '"cookieAuth":{"type":"apiKey","in":"cookie","name":"session"}}}}')
+_NL = "chr(92) || 'n'"  # a line break inside a JSON string
+OPENAPI_TEXT = f"""
+WITH w AS (SELECT *, coalesce(risk, heuristic_risk) AS shown, row_number() OVER (PARTITION BY artifact_id, path, verb ORDER BY
+    CASE coalesce(risk, heuristic_risk) WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END DESC, file_path DESC, line DESC) AS back FROM v_api_reviewed),
+r AS (SELECT w.k, f.finding_id, concat('[', f.severity, '] ', f.title) AS related FROM w JOIN v_api_found f
+  ON f.artifact_id = w.artifact_id AND upper(f.endpoint) = upper(w.endpoint) WHERE back = 1),
+g AS (SELECT k, count(*) AS n, min(finding_id) AS first, string_agg(concat({_NL}, '- ', related), '' ORDER BY finding_id) AS quoted FROM r GROUP BY 1),
+o AS (SELECT w.*, g.n, g.first, g.quoted, concat('"', CASE kind WHEN 'uuid' THEN 'item_uuid' ELSE 'id' END, '"') AS param,
+    concat('e', left(md5(concat_ws('|', file_path, line, method, path, 'fastapi')), 16)) AS endpoint_id,
+    list_filter([CASE WHEN authn <> 'public' AND NOT public THEN 'Call without a session: 401/403 expected (authentication).' END,
+      CASE WHEN kind IS NOT NULL THEN concat('As user A request an object of user B (', CASE kind WHEN 'uuid' THEN 'item_uuid' ELSE 'id' END, '): 403/404 expected (IDOR).') END,
+      CASE WHEN priv OR coalesce(authz, '') IN ('none', 'unclear') THEN 'Call with a low-privilege session: 403 expected (function-level access).' END,
+      CASE WHEN changing THEN 'Add privileged fields to the body: they must be ignored (mass assignment).' END], lambda x: x IS NOT NULL) AS tests
+  FROM w LEFT JOIN g USING (k) WHERE back = 1),
+p AS (SELECT artifact_id, min(path) AS first FROM o GROUP BY 1), v AS (SELECT artifact_id, path, min(verb) AS first FROM o GROUP BY 1, 2),
+b AS (SELECT o.*, concat('{{"operationId":"', verb, '_', endpoint_id, '","summary":"[', upper(shown), '] def","description":"Handler: ', file_path, ':', line + 1,
+    {_NL}, 'Auth: authn=', authn, ' authz=', coalesce(authz, 'unassessed'), ' risk=', shown, CASE WHEN notes IS NULL THEN '' ELSE concat({_NL}, 'Notes: ', notes) END,
+    CASE WHEN n > 0 THEN concat({_NL}, 'Related findings:', quoted, CASE WHEN n > 50 THEN concat({_NL}, '- ... (all in x-related-findings)') ELSE '' END) ELSE '' END,
+    CASE WHEN len(tests) > 0 THEN concat({_NL}, 'BAC tests:', array_to_string(list_transform(tests, lambda t: concat({_NL}, '- ', t)), '')) ELSE '' END,
+    '","tags":["risk-', shown, '"', CASE WHEN n > 0 THEN ',"has-findings"' ELSE '' END, '],"parameters":[',
+    CASE WHEN kind IS NULL THEN '' ELSE concat('{{"name":', param, ',"in":"path","required":true,"schema":{{"type":"string"}},"example":"1"}}') END,
+    '],"x-access":{{"authn":"', authn, '"', CASE WHEN authz IS NULL THEN '' ELSE concat(',"authz":"', authz, '","risk":"', risk, '"') END, ',"auth_scope":"', scope,
+    '","heuristic_risk":"', heuristic_risk, '","role_hints":[],"ownership_hints":[', CASE WHEN owned THEN '"filter(Item.user","== current_user"' ELSE '' END, '],"id_params":[',
+    CASE WHEN kind IS NULL THEN '' ELSE param END, ']', CASE WHEN kind IS NULL THEN '' ELSE concat(',"id_kind":"', kind, '"') END, ',"privileged":', priv, ',"state_changing":', changing,
+    '}},"x-bac-tests":[', array_to_string(list_transform(tests, lambda t: concat('"', t, '"')), ','),
+    '],"responses":{{"200":{{"description":"OK"}},"401":{{"description":"Unauthenticated"}},"403":{{"description":"Forbidden"}}}},"security":',
+    CASE WHEN authn = 'public' THEN '[]' ELSE '[{{"bearerAuth":[]}},{{"cookieAuth":[]}}]' END,
+    CASE WHEN verb IN ('post', 'put', 'patch') THEN ',"requestBody":{{"required":false,"content":{{"application/json":{{"schema":{{"type":"object"}},"example":{{}}}}}}}}' ELSE '' END,
+    ',"x-related-findings":[') AS body FROM o)
+SELECT artifact_id, 0 AS s1, '' AS s2, '' AS s3, '' AS s4, '{_START}' AS text FROM p
+UNION ALL SELECT artifact_id, 1, path, '', '', concat(CASE WHEN path = p.first THEN '' ELSE ',' END, '"', path, '":{{') FROM v JOIN p USING (artifact_id)
+UNION ALL SELECT b.artifact_id, 1, b.path, verb, '', concat(CASE WHEN verb = v.first THEN '' ELSE ',' END, '"', verb, '":', body) FROM b JOIN v USING (artifact_id, path)
+UNION ALL SELECT o.artifact_id, 1, o.path, verb, concat('1', r.finding_id), concat(CASE WHEN r.finding_id = o.first THEN '' ELSE ',' END, '"', related, '"') FROM r JOIN o USING (k)
+UNION ALL SELECT artifact_id, 1, path, verb, '2', ']}}' FROM o
+UNION ALL SELECT artifact_id, 1, path, '~', '', '}}' FROM v
+UNION ALL SELECT artifact_id, 2, '', '', '', '{_END}' FROM p"""
+
+
+@query("openapi_fragments", OPENAPI_TEXT)
 def openapi_fragments(spark, sf):
-    """Text fragments of one OpenAPI document per artifact (parsed in the tests)."""
-    eps = reviewed(spark, sf)
-    found = verdicts.endpoint_policy_findings(endpoints(spark, sf)).withColumn(
-        "finding_id", F.concat_ws("-", "endpoint", "line_start"))
-    return sinks.openapi_fragments(eps, found, ["artifact_id"])
+    """Text fragments of one OpenAPI document per artifact (also parsed in the tests)."""
+    eps = reviewed(spark, sf, endpoints(spark, sf))
+    return sinks.openapi_fragments(eps, view(spark, sf, "v_api_found"), ["artifact_id"])
 
 
 @query("route_labels", """
@@ -398,7 +474,7 @@ SELECT concat('art', l_orderkey % 10) AS artifact_id, concat('n', l_orderkey, '-
 SELECT artifact_id, file_path, line FROM v_api_facts a WHERE EXISTS (SELECT 1 FROM v_named n WHERE n.artifact_id = a.artifact_id
   AND n.label = upper(a.endpoint) AND n.state <> 'dismissed' AND NOT n.unverified)""")
 def endpoints_with_findings(spark, sf):
-    return access_map.endpoints_with_findings(endpoints(spark, sf), view(spark, sf, "v_named")) \
+    return access_map.endpoints_with_findings(fresh_map(spark, sf), view(spark, sf, "v_named")) \
         .select("artifact_id", "file_path", "line")
 
 
@@ -411,7 +487,7 @@ def endpoint_of_findings(spark, sf):
         .select("finding_id", "method", "path")
 
 
-@query("routes_by_risk", "SELECT artifact_id, file_path, line, risk FROM v_api_policy")
+@query("routes_by_risk", "SELECT artifact_id, file_path, line, risk FROM v_api_reviewed")
 def routes_by_risk(spark, sf):
-    return access_map.sort_by_risk(reviewed(spark, sf)).select("artifact_id", "file_path",
-                                                               "line", "risk")
+    return access_map.sort_by_risk(reviewed(spark, sf, endpoints(spark, sf))).select("artifact_id", "file_path",
+                                                                                     "line", "risk")
