@@ -42,22 +42,30 @@ def representatives(findings: DataFrame, keys=("scan_id",)) -> DataFrame:
         .groupBy(*keys, "fingerprint").agg(best.alias("rep"))
 
 
+def _roles(pairs: DataFrame) -> DataFrame:
+    """(src, scan_id, side): a scan's findings are current (0) for itself and baseline (1) for the scans
+    that name it as theirs."""
+    return pairs.select(F.explode(F.array(
+        F.struct(F.col("scan_id").alias("src"), "scan_id", F.lit(0).alias("side")),
+        F.struct(F.col("baseline_id").alias("src"), "scan_id", F.lit(1).alias("side")))).alias("r")).select("r.*")
+
+
 def scan_diff(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each issue as new, fixed or still_open against the baseline scan.
 
-    One aggregation on (scan, fingerprint) does the work of a full outer join:
-    a representative counts as current for its own scan and as baseline for the
-    scans that name its scan as theirs.
+    Open findings meet the scans they count for, and one aggregation on (scan, fingerprint) picks
+    both representatives, so findings and pairs are each read once.
     """
-    reps = representatives(findings)
-    current = reps.join(pairs.select("scan_id"), "scan_id", "left_semi").select(
-        "scan_id", "fingerprint", F.lit(0).alias("_side"), "rep")
-    earlier = reps.withColumnRenamed("scan_id", "baseline_id").join(
-        pairs, "baseline_id").select(
-        "scan_id", "fingerprint", F.lit(1).alias("_side"), "rep")
-    both = current.unionByName(earlier).groupBy("scan_id", "fingerprint").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("rep"))).alias("cur"),
-        F.max(F.when(F.col("_side") == 1, F.col("rep"))).alias("base"))
+    rows = with_fingerprint(findings.where(labels.is_open(F.col("state")))).select(
+        F.col("scan_id").alias("src"), "fingerprint", F.struct(*BRIEF).alias("rep"),
+        F.struct(labels.severity_rank(F.col("severity")), F.col("finding_id")).alias("place"))
+    best = lambda side: F.min_by("rep", F.when(F.col("side") == side, F.col("place")))
+    both = rows.join(_roles(pairs), "src").groupBy("scan_id", "fingerprint").agg(best(0).alias("cur"), best(1).alias("base"))
+    return _compared(both)
+
+
+def _compared(both: DataFrame) -> DataFrame:
+    """Status of (scan_id, fingerprint, cur, base)."""
     status = (F.when(F.col("base").isNull(), "new").when(F.col("cur").isNull(), "fixed")
               .otherwise("still_open"))
     changed = F.when(F.col("cur").isNotNull() & F.col("base").isNotNull()
@@ -69,6 +77,33 @@ def scan_diff(findings: DataFrame, pairs: DataFrame) -> DataFrame:
                        changed.alias("severity_changed_from"))
 
 
+# ---- representatives as a stored table ---------------------------------------------
+def store_representatives(findings: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Keeps the representatives of all scans of *findings* as the table *name* under *path*, in
+    buckets of (scan_id, fingerprint)."""
+    representatives(findings).write.option("path", path).bucketBy(buckets, "scan_id", "fingerprint").sortBy(
+        "scan_id", "fingerprint").saveAsTable(name)
+
+
+def stored_diff(new_findings: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """``scan_diff`` of new scans against stored representatives (pairs: scan_id, baseline_id).
+
+    Only the new side is exchanged: it goes to the buckets of the table, which is read in place. The pairs
+    reach the table as a broadcast as long as Spark finds them small. Several new scans may share a baseline.
+    """
+    stored = new_findings.sparkSession.table(name)
+    current = representatives(new_findings).withColumnRenamed("scan_id", "new_scan").join(
+        pairs.select(F.col("scan_id").alias("new_scan"), F.col("baseline_id").alias("scan_id")), "new_scan")
+    arrived = current.groupBy("scan_id", "fingerprint").agg(F.collect_list(F.struct("new_scan", "rep")).alias("arrived"))
+    asked = pairs.groupBy(F.col("baseline_id").alias("scan_id")).agg(F.collect_set("scan_id").alias("news"))
+    base = stored.join(asked, "scan_id").select("scan_id", "fingerprint", F.col("rep").alias("base"), "news")
+    met = base.join(arrived, ["scan_id", "fingerprint"], "full")
+    each = met.select("fingerprint", "base", "arrived", F.explode(F.coalesce(
+        "news", F.transform("arrived", lambda a: a["new_scan"]))).alias("scan_id"))
+    own = F.try_element_at(F.filter("arrived", lambda a: a["new_scan"] == F.col("scan_id")), F.lit(1))
+    return _compared(each.select("scan_id", "fingerprint", own["rep"].alias("cur"), "base"))
+
+
 def diff_counts(diff: DataFrame, pairs: DataFrame) -> DataFrame:
     """new / fixed / still_open per scan; scans without differences show zeros."""
     n = lambda s: F.count_if(F.col("status") == s)
