@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import (StatefulProcessor,
                                                       StatefulProcessorHandle)
 
 from ..functions import fixed, labels
-from ..operators.ordered import numbered, top_n
+from ..operators.ordered import numbered, running_totals, top_n
 
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,6 +79,36 @@ def narration(tokens: DataFrame, keys=SCAN, chunk: int = 1000) -> DataFrame:
         .alias("text"))
 
 
+def narration_pages(tokens: DataFrame, keys=SCAN, page: int = 65_536, block: int = 4096) -> DataFrame:
+    """(keys, page_no, text): the narration of a scan cut into pages of *page* characters, the last one shorter.
+
+    Every token gets its place in the text by running sums over blocks of *block* sequence numbers, and
+    is cut where pages end; a page is put together from its own pieces only. Null texts are empty.
+    """
+    keys = list(keys)
+    rows = tokens.select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
+    placed = running_totals(rows, keys, ["seq"], F.floor(F.col("seq") / block), end=F.length("text"))
+    start = F.col("end") - F.length("text")
+    cut = placed.select(*keys, "text", start.alias("start"), F.explode(F.sequence(
+        F.floor(start / page), F.floor((F.col("end") - 1) / page))).alias("page_no"))
+    lo = F.greatest(F.col("page_no") * page, F.col("start"))
+    piece = F.substr("text", (lo - F.col("start") + 1).cast("int"), (F.col("page_no") * page + page - lo).cast("int"))
+    return cut.select(*keys, "page_no", lo.alias("lo"), piece.alias("piece")).groupBy(*keys, "page_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", "piece"))), lambda x: x["piece"]), "").alias("text"))
+
+
+def narration_slice(pages: DataFrame, wanted: DataFrame, keys=SCAN, page: int = 65_536) -> DataFrame:
+    """(the columns of *wanted*, text): characters first .. last (from 0) of narrations, one page join. *wanted* has keys,
+    first and last; a slice is put together from the pages it touches."""
+    keys = list(keys)
+    each = wanted.withColumn("page_no", F.explode(F.sequence(
+        F.floor(F.col("first") / page), F.floor(F.col("last") / page)))).join(pages, [*keys, "page_no"])
+    lo = F.greatest(F.col("first") - F.col("page_no") * page, F.lit(0))
+    piece = F.substr("text", (lo + 1).cast("int"), (F.col("last") - F.col("page_no") * page - lo + 1).cast("int"))
+    return each.groupBy(*wanted.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("page_no", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"))
+
+
 def live_status(events: DataFrame, keys=SCAN) -> DataFrame:
     """Last status, paused flag and token total per scan."""
     c = F.col
@@ -122,22 +152,23 @@ class _Feed(StatefulProcessor):
         self._ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers):
-        ended = self._ended.exists()
-        frames = list(rows)
-        if ended or not frames:
-            return
-        batch = pd.concat(frames).sort_values("seq", kind="stable")
-        stops = batch["type"].isin(self._terminal).to_numpy().nonzero()[0]
-        if len(stops):
-            batch = batch.iloc[: stops[0] + 1]
-            self._ended.update((True,))
-        if self._idle is not None:
+        """Frame by frame: a scan's events come in the order of their numbers, so nothing is gathered."""
+        ended, seen = self._ended.exists(), False
+        for frame in rows:
+            if ended:
+                continue  # the rest is read and dropped
+            frame, seen = frame.sort_values("seq", kind="stable"), True
+            stops = frame["type"].isin(self._terminal).to_numpy().nonzero()[0]
+            if len(stops):
+                frame, ended = frame.iloc[: stops[0] + 1], True
+                self._ended.update((True,))
+            yield frame[self._columns]
+        if self._idle is not None and seen:
             for t in list(self._handle.listTimers()):
                 self._handle.deleteTimer(t)
-            if not len(stops):
+            if not ended:
                 self._handle.registerTimer(
                     timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
-        yield batch[self._columns]
 
     def handleExpiredTimer(self, key, timers, expired):
         if self._ended.exists():
@@ -164,6 +195,52 @@ def feed_stream(events: DataFrame, idle_seconds: int | None = None) -> DataFrame
         outputMode="Append", timeMode=mode)
 
 
+class _Ring(StatefulProcessor):
+    """The newest events of a scan in a ring of the state store: a place for each number modulo
+    its size, so an event leaves when the one that many numbers later arrives."""
+
+    def __init__(self, size: int, idle_seconds: int | None) -> None:
+        self._size, self._idle = size, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._ring = handle.getMapState("ring", "place long", "seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers):
+        for frame in rows:
+            gone = []
+            for seq in sorted(int(x) for x in frame["seq"]):
+                place = (seq % self._size,)
+                held = self._ring.getValue(place) if self._ring.containsKey(place) else None
+                if held is None or held[0] < seq:
+                    self._ring.updateValue(place, (seq,))
+                if held is not None and held[0] != seq:
+                    gone.append(min(held[0], seq))
+            if gone:
+                yield pd.DataFrame({"scan_id": key[0], "seq": gone, "reason": "newer"})
+        if self._idle is not None:
+            for t in list(self._handle.listTimers()):
+                self._handle.deleteTimer(t)
+            self._handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
+
+    def handleExpiredTimer(self, key, timers, expired):
+        left = sorted(int(v[0]) for v in self._ring.values())
+        self._ring.clear()
+        if left:
+            yield pd.DataFrame({"scan_id": key[0], "seq": left, "reason": "idle"})
+
+    def close(self) -> None:
+        pass
+
+
+def evicted_stream(events: DataFrame, n: int = fixed.EVENT_RETENTION, idle_seconds: int | None = None) -> DataFrame:
+    """(scan_id, seq, reason): events that leave the newest *n* of their scan (R1), and what a scan still
+    holds once it was silent for *idle_seconds*. The state keeps numbers only, *n* a scan at most. Needs the RocksDB state store."""
+    return events.groupBy("scan_id").transformWithStateInPandas(
+        statefulProcessor=_Ring(n, idle_seconds), outputStructType="scan_id string, seq long, reason string",
+        outputMode="Append", timeMode="none" if idle_seconds is None else "processingTime")
+
+
 def append_in_batches(findings: DataFrame, table: str, checkpoint: str):
     """Findings appended while a run goes on (R13); the final set replaces them with
     ``replace_sources``. Batches are written under their id, so a retried batch
