@@ -89,15 +89,14 @@ def normalize_findings(findings: DataFrame, judged_by: str | None = None,
         triaged_by=F.coalesce(truthy(c("triaged_by")), judge))
 
 
-def storable_findings(findings: DataFrame) -> DataFrame:
-    """Column widths of the findings table."""
+def storable_findings(findings: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
+    """What a findings table takes: a title for every row, numbers as line numbers, and whole
+    texts unless *widths* (column -> characters) says how wide a column is."""
     c = F.col
-    return _replace(
-        findings, title=truncate(F.coalesce(truthy(c("title").cast("string")),
-                                            F.lit("Untitled finding")), 300),
-        cwe=truncate(c("cwe"), 200), owasp=truncate(c("owasp"), 200),
-        category=truncate(c("category"), 200), file_path=truncate(c("file_path"), 1024),
-        line_start=safe_int(c("line_start")), line_end=safe_int(c("line_end")))
+    text_of = {"title": F.coalesce(truthy(c("title").cast("string")), F.lit("Untitled finding"))}
+    for name, width in (widths or {}).items():
+        text_of[name] = truncate(text_of.get(name, c(name)), width)
+    return _replace(findings, **text_of, line_start=safe_int(c("line_start")), line_end=safe_int(c("line_end")))
 
 
 # ---- verification (M2, P20) ----------------------------------------------------
@@ -113,7 +112,7 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame, keys=("finding_id",
     v = verdicts.select(*keys, F.struct(
         verdict_name(c("verdict")).alias("verdict"),
         labels.clamp01(c("confidence"), None).alias("confidence"),
-        F.substring(F.coalesce("reasoning", F.lit("")), 1, 1500).alias("reasoning"),
+        F.coalesce("reasoning", F.lit("")).alias("reasoning"),
         F.lower("severity").alias("severity"),
         c("human_question").alias("question")).alias("_v"))
     rows = findings.join(v, list(keys), "left")
@@ -132,8 +131,8 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame, keys=("finding_id",
             name == "true_positive", F.coalesce(conf, c("confidence"))).when(
             name == "uncertain", F.least(F.coalesce(conf, F.lit(0.5)), old)).otherwise(
             c("confidence")),
-        triage_note=F.when(name == "false_positive", F.substring(F.concat(
-            F.lit("Verifier: "), c("_v.reasoning")), 1, 1000)).otherwise(c("triage_note")),
+        triage_note=F.when(name == "false_positive", F.concat(
+            F.lit("Verifier: "), c("_v.reasoning"))).otherwise(c("triage_note")),
         human_question=F.when(name == "uncertain", F.coalesce(
             truthy(c("_v.question")), truthy(c("human_question")), c("_v.reasoning")))
         .otherwise(c("human_question")),
@@ -156,7 +155,7 @@ def apply_live_verdicts(findings: DataFrame, verdicts: DataFrame, keys=("finding
             held, F.least(conf, F.lit(0.2))).otherwise(c("confidence")),
         triage_note=F.when(held, F.concat(
             F.lit("Live check: access control is enforced here: "),
-            F.substring(F.coalesce("_why", F.lit("")), 1, 300))).otherwise(c("triage_note")),
+            F.coalesce("_why", F.lit("")))).otherwise(c("triage_note")),
         live_verdict=c("_v")).drop("_v", "_why")
 
 

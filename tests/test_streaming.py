@@ -126,7 +126,7 @@ def test_held_requests_batch_and_stream(spark, rows, tmp_path):
 
 
 def test_whole_review(rows):
-    from auditspan.plans.review import run_review
+    from auditspan.plans.review import Answers, hit_id, run_review
     from test_access import DEPOT
     files = rows("artifact_id string, path string, content string",
                  dict(artifact_id="a", path="api.py", content=DEPOT),
@@ -138,8 +138,30 @@ def test_whole_review(rows):
         dict(artifact_id="a", finding_id="2", title="Ghost", severity="low", state="confirmed",
              confidence=0.6, file_path="zzz.py", line_start=8, source="ai"))
     r = run_review(files, found)
-    state = {x.finding_id: x.state for x in r.findings.collect()}
-    assert state == {"1": "confirmed", "2": "dismissed"}
+    state = {x.finding_id: (x.source, x.state) for x in r.findings.collect()}
+    assert state["1"] == ("ai", "proposed") and state["2"] == ("ai", "dismissed")  # nobody was asked
+    assert {x.unverified for x in r.findings.where("source = 'access'").collect()} == {True}
     assert [x.rule for x in r.unaddressed.collect()] == ["auth.hardcoded-generic-secret"]
     assert r.flags.where("rule = 'access.idor'").count() >= 1
-    assert r.summary.first().n_high == 1
+    assert r.stored.where("source = 'semgrep'").count() == 1 and r.summary.first().dismissed == 1
+
+    said = rows("artifact_id string, finding_id string, verdict string, confidence string, reasoning string, severity string, human_question string",
+                dict(artifact_id="a", finding_id="1", verdict="true positive", confidence="0.8", severity="critical"))
+    triage = r.unaddressed.select("artifact_id", hit_id().alias("hit_id"), F.lit("uncertain").alias("verdict"), F.lit("LOW").alias("severity"),
+                                  F.lit("0.3").alias("confidence"), F.lit("odd").alias("reasoning"))
+    judged = rows("artifact_id string, finding_id string, state string, confidence string, merged_into string",
+                  dict(artifact_id="a", finding_id="2", merged_into="1"))
+    told = r.endpoints.select("artifact_id", "endpoint_id", F.lit("required").alias("authn"), F.lit("ownership").alias("authz"),
+                              F.lit("low").alias("risk"), F.lit(None).cast("string").alias("notes"))
+    more = rows(schema.FINDING.add("artifact_id", "string"), dict(
+        artifact_id="a", finding_id="3", title="Second look", severity="medium", state="proposed", confidence=0.5, file_path="cfg.py",
+        line_start=40, source="ai", code_snippet="token = 'abcdefgh123'"))
+    full = run_review(files, found, answers=Answers(triage=triage, second_look=more, endpoints=told, judged=judged, verdicts=said))
+    rows_ = {x.finding_id: x for x in full.findings.collect()}
+    assert (rows_["1"].state, rows_["1"].severity, rows_["1"].severity_original) == ("confirmed", "critical", "high")
+    assert rows_["2"].state == "dismissed" and rows_["2"].triage_note == "Merged into 1"
+    hit = next(x for x in rows_.values() if x.source == "correlated")
+    assert (hit.state, hit.severity, hit.confidence) == ("needs_info", "low", 0.3) and full.unaddressed.count() == 0
+    assert rows_["3"].evidence_status == "relocated" and rows_["3"].line_start == 1
+    left = {x.rule for x in rows_.values() if x.source == "access"}  # the map's verdicts answer the rest
+    assert "access.idor" not in left and "access.missing-authn" not in left

@@ -146,10 +146,29 @@ def sarif_results(spark, sf):
         "scan_id", "finding_id", "rule_id", "rule_index", "level")
 
 
-@query("sarif_fragments")
+# a document's text, piece by piece; no title holds a quote
+_HEAD = ('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0",'
+         '"runs":[{"tool":{"driver":{"name":"auditspan","version":"1.0.0","rules":[')
+SARIF_TEXT = SARIF + f""",
+t AS (SELECT i.*, f.title FROM i JOIN (SELECT scan_id, finding_id, min(title) AS title FROM v_findings GROUP BY 1, 2) f ON f.scan_id = i.scan_id AND f.finding_id = i.first),
+s AS (SELECT scan_id, min(finding_id) AS first FROM v_findings GROUP BY 1)
+SELECT scan_id, 0 AS section, '' AS ord, '{_HEAD}' AS text FROM s
+UNION ALL SELECT scan_id, 1, lpad(CAST(rule_index AS VARCHAR), 12, '0'), concat(CASE WHEN rule_index > 0 THEN ',' ELSE '' END,
+  '{{"id":"', rule_id, '","shortDescription":{{"text":"', title, '"}}}}') FROM t
+UNION ALL SELECT scan_id, 2, '', ']}}}},"results":[' FROM s
+UNION ALL SELECT f.scan_id, 3, f.finding_id, concat(CASE WHEN f.finding_id > s.first THEN ',' ELSE '' END, '{{"ruleId":"', i.rule_id, '","ruleIndex":', i.rule_index,
+  ',"level":"', CASE f.severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END,
+  '","message":{{"text":"', f.title, '"}},"properties":{{"severity":"', f.severity, '","confidence":', CAST(CAST(f.confidence AS DOUBLE) AS VARCHAR),
+  ',"state":"', f.state, '","source":"', f.source, '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"', f.file_path, '"}}',
+  CASE WHEN f.line_start IS NULL THEN '' ELSE concat(',"region":{{"startLine":', f.line_start, ',"endLine":', f.line_end, '}}') END, '}}}}]}}')
+  FROM v_findings f JOIN s USING (scan_id) JOIN i ON i.scan_id = f.scan_id AND i.rule_id = coalesce(cwe, replace(lower(f.title), ' ', '-'))
+UNION ALL SELECT scan_id, 4, '', ']}}]}}' FROM s"""
+
+
+@query("sarif_fragments", SARIF_TEXT)
 def sarif_fragments(spark, sf):
-    """Text fragments of one SARIF document per scan (parsed in the tests)."""
-    return sinks.sarif_fragments(findings(spark, sf))
+    """Text fragments of one SARIF document per scan (also parsed in the tests)."""
+    return sinks.sarif_fragments(findings(spark, sf).withColumn("confidence", c("confidence").cast("double")))
 
 
 @query("findings_csv", """

@@ -371,22 +371,41 @@ VERDICT_OUT = ("finding_id", "state", "severity", "severity_original", "verifica
                "human_question")
 
 
+# What verifiers said about each finding: names and numbers as models write them, none for every fifth part.
+VIEWS["v_verdicts"] = """
+SELECT finding_id, CASE p % 5 WHEN 0 THEN 'False Positive' WHEN 1 THEN 'true-positive' WHEN 2 THEN 'uncertain' ELSE 'no idea' END AS verdict,
+  CASE s % 4 WHEN 0 THEN '0.9' WHEN 1 THEN '1.7' WHEN 2 THEN 'high' END AS confidence, concat('reason ', p % 11) AS reasoning,
+  CASE n % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' ELSE 'odd' END AS severity, CASE WHEN s % 3 = 0 THEN concat('ask ', s) END AS human_question
+FROM (SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey) AS finding_id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n
+  FROM @lineitem WHERE l_partkey % 5 <> 4)"""
+
+
 @query("verdict_apply", """
-WITH v AS (SELECT finding_id, CASE WHEN state = 'needs_info' THEN 'uncertain' ELSE 'true_positive' END AS verdict,
-  CASE WHEN state = 'needs_info' THEN 0.4 ELSE greatest(CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END, 0.8) END AS conf
-  FROM v_findings WHERE source <> 'dast')
-SELECT f.finding_id, CASE v.verdict WHEN 'true_positive' THEN 'confirmed' WHEN 'uncertain' THEN 'needs_info' ELSE f.state END AS state,
-  f.severity, CAST(NULL AS VARCHAR) AS severity_original, coalesce(v.verdict, 'not_verified') AS verification,
-  CASE WHEN v.verdict = 'uncertain' THEN coalesce(f.human_question, 'Confirm the intended authorisation rule.') ELSE f.human_question END AS human_question,
-  round(CASE v.verdict WHEN 'true_positive' THEN least(1.0, v.conf) WHEN 'uncertain' THEN
-    least(0.4, CASE WHEN f.confidence = 0 THEN 1.0 ELSE f.confidence END) ELSE f.confidence END, 6) AS confidence
-FROM v_findings f LEFT JOIN v USING (finding_id)""")
+WITH v AS (SELECT *, CASE verdict WHEN 'False Positive' THEN 'false_positive' WHEN 'true-positive' THEN 'true_positive' ELSE 'uncertain' END AS name,
+  CASE confidence WHEN '0.9' THEN 0.9 WHEN '1.7' THEN 1.0 END AS conf, lower(severity) AS sev FROM v_verdicts),
+j AS (SELECT f.*, v.name, v.conf, v.sev, v.reasoning, v.human_question AS ask, coalesce(v.sev IN ('high', 'low') AND v.sev <> f.severity, FALSE) AS moved,
+  CASE WHEN f.confidence = 0 THEN 1.0 ELSE f.confidence END AS old FROM v_findings f LEFT JOIN v USING (finding_id))
+SELECT finding_id, CASE name WHEN 'false_positive' THEN 'dismissed' WHEN 'true_positive' THEN 'confirmed' WHEN 'uncertain' THEN 'needs_info' ELSE state END AS state,
+  CASE WHEN moved THEN sev ELSE severity END AS severity, CASE WHEN moved THEN severity END AS severity_original, coalesce(name, 'not_verified') AS verification,
+  CASE WHEN name = 'uncertain' THEN coalesce(ask, human_question, reasoning) ELSE human_question END AS human_question,
+  CASE WHEN name = 'false_positive' THEN concat('Verifier: ', reasoning) ELSE triage_note END AS triage_note,
+  round(CASE name WHEN 'false_positive' THEN least(coalesce(conf, 0.2), old) WHEN 'true_positive' THEN coalesce(conf, confidence)
+    WHEN 'uncertain' THEN least(coalesce(conf, 0.5), old) ELSE confidence END, 6) AS confidence FROM j""")
 def verdict_apply(spark, sf):
-    f = findings(spark, sf)
-    table_ = verdicts.verification_policy(f.where("source <> 'dast'").withColumn(
-        "evidence_status", F.lit("verified")))
-    return verdicts.apply_verdicts(f, table_).select(
-        *VERDICT_OUT, F.round("confidence", 6).alias("confidence"))
+    """All three verdicts, severities that change, and findings without a verdict."""
+    return verdicts.apply_verdicts(findings(spark, sf), view(spark, sf, "v_verdicts")).select(
+        *VERDICT_OUT, "triage_note", F.round("confidence", 6).alias("confidence"))
+
+
+@query("storable_findings", """
+SELECT finding_id, coalesce(nullif(title, ''), 'Untitled finding') AS title, severity, CAST(line_start AS INT) AS line_start FROM (
+  SELECT finding_id, CASE line_end % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE title END AS title, severity, line_start FROM v_findings)""")
+def storable_findings(spark, sf):
+    """Findings as a table takes them: lines as written by models become numbers or null."""
+    rows = findings(spark, sf).withColumns({
+        "title": F.when(F.col("line_end") % 3 == 0, "").when(F.col("line_end") % 3 == 1, F.lit(None)).otherwise(F.col("title")),
+        "line_start": F.col("line_start").cast("string"), "owasp": F.lit(None).cast("string")})
+    return verdicts.storable_findings(rows).select("finding_id", "title", "severity", "line_start")
 
 
 VIEWS["v_decisions"] = """
@@ -455,6 +474,8 @@ def swap_findings(spark, sf):
 @query("cascade_closure", """
 SELECT 'projects' AS kind, count(*) AS gone FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1
 UNION ALL SELECT 'scans', count(*) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1
+UNION ALL SELECT 'artifacts', count(*) FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1)
 UNION ALL SELECT 'findings', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
   JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1""")
 def cascade_closure(spark, sf):
@@ -464,11 +485,13 @@ def cascade_closure(spark, sf):
         F.col("n_nationkey").alias("client_id"))
     projects = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("project_id"), F.col("c_nationkey").alias("client_id"))
-    gone = cascade(clients, projects, projects.select("project_id").limit(0), scans(spark, sf),
+    artifacts = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_custkey").alias("project_id"), F.col("l_suppkey").alias("artifact_id")).distinct()
+    gone = cascade(clients, projects, artifacts, scans(spark, sf),
                    {"findings": findings(spark, sf).select("scan_id", "finding_id")})
     return reduce(lambda a, b: a.unionByName(b), [
         gone[k].select(F.lit(k).alias("kind")).groupBy("kind").agg(
-            F.count(F.lit(1)).alias("gone")) for k in ("projects", "scans", "findings")])
+            F.count(F.lit(1)).alias("gone")) for k in ("projects", "artifacts", "scans", "findings")])
 
 
 # ---- conversations: token usage and history ----------------------------------------------------

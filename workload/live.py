@@ -349,15 +349,24 @@ def new_dynamic(spark, sf):
                                                                 "finding_id")
 
 
+# Routes of a scan, by the parts it names; findings point at them by id, by label, or at nothing.
+VIEWS["v_scan_routes"] = """
+SELECT DISTINCT l_orderkey AS scan_id, concat('e', l_partkey % 30) AS endpoint_id, CASE l_partkey % 3 WHEN 0 THEN 'ANY' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method,
+  concat('/r', l_partkey % 30, CASE l_partkey % 2 WHEN 0 THEN '/{id}' ELSE '' END) AS path, CASE l_partkey % 2 WHEN 0 THEN 'id' END AS param
+FROM @lineitem WHERE l_linenumber % 3 <> 0"""
+
+
 @query("finding_requests", """
-SELECT finding_id, CASE upper(split_part(endpoint, ' ', 1)) WHEN 'ANY' THEN 'GET' ELSE upper(split_part(endpoint, ' ', 1)) END AS method,
-  split_part(endpoint, ' ', 2) AS path FROM v_findings WHERE endpoint IS NOT NULL""")
+WITH f AS (SELECT v.*, CASE WHEN line_start % 2 = 0 THEN concat('e', line_end % 30) END AS endpoint_id FROM v_findings v),
+j AS (SELECT f.finding_id, coalesce(f.endpoint, concat_ws(' ', r.method, r.path)) AS label, r.param FROM f LEFT JOIN v_scan_routes r
+  ON r.scan_id = f.scan_id AND r.endpoint_id = f.endpoint_id)
+SELECT finding_id, CASE upper(split_part(label, ' ', 1)) WHEN 'ANY' THEN 'GET' ELSE upper(split_part(label, ' ', 1)) END AS method,
+  split_part(label, ' ', 2) AS path, coalesce(param, '') AS id_params FROM j WHERE label <> ''""")
 def finding_requests(spark, sf):
-    f = view(spark, sf, "v_findings").withColumn("endpoint_id", F.lit(None).cast("string"))
-    eps = f.select("scan_id").distinct().limit(0).select(
-        "scan_id", F.lit("e").alias("endpoint_id"), F.lit("m").alias("method"),
-        F.lit("p").alias("path"), F.array(F.lit("x")).alias("id_params"))
-    return responses.finding_requests(f, eps).select("finding_id", "method", "path")
+    f = view(spark, sf, "v_findings").withColumn("endpoint_id", F.when(
+        F.col("line_start") % 2 == 0, F.concat(F.lit("e"), F.col("line_end") % 30)))
+    eps = view(spark, sf, "v_scan_routes").withColumn("id_params", F.array_compact(F.array("param"))).drop("param")
+    return responses.finding_requests(f, eps).select("finding_id", "method", "path", F.array_join("id_params", ",").alias("id_params"))
 
 
 # ---- event log ----------------------------------------------------------------------------------------
