@@ -14,17 +14,79 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a partition, and partitions whose rows of the matrix one task draws.
 PART_ROWS, GROUP = 1 << 16, 1024
+#: What numpy's own sampler takes; the sampler below draws the same law at any size.
 NUMPY_LIMIT = 10 ** 9
 
 
+def log_rising(a: np.ndarray | float, d: float) -> float:
+    """log gamma(a + d) - log gamma(a) - d log(a), without the cancellation of two large logarithms."""
+    if a < 64:  # too small for the series: step up first
+        steps = np.arange(64)
+        return log_rising(a + 64, d) + d * np.log1p(64 / a) - np.log1p(d / (a + steps)).sum()
+    def tail(x):
+        return (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return (a + d - 0.5) * np.log1p(d / a) - d + tail(a + d) - tail(a)
+
+
+def ratio_of_uniforms(rng, good: int, bad: int, drawn: int) -> int:
+    """Good ones among *drawn* by acceptance and rejection under a hat of two uniforms (HRUA); the ratio of
+    probabilities to that of the mode comes from differences of log gammas, exact to double precision at any size."""
+    total = good + bad
+    few, many = min(good, bad), max(good, bad)
+    sample = min(drawn, total - drawn)
+    share = few / total
+    spread = np.sqrt((total - sample) * sample * share * (1 - share) / (total - 1) + 0.5)
+    # width of the hat: 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+    width, centre = 1.7155277699214135 * spread + 0.8989161620588988, sample * share + 0.5
+    mode = int((sample + 1) * (few + 1) // (total + 2))
+    end = min(min(sample, few) + 1.0, np.floor(centre + 16 * spread))
+
+    def log_ratio(k: int) -> float:
+        """log of P(k) / P(mode). The linear terms of the four factorials meet in one logarithm."""
+        d = k - mode
+        parts = ((mode + 1, d), (few - mode + 1, -d), (sample - mode + 1, -d), (many - sample + mode + 1, d))
+        linear = d * (np.log((few - mode + 1) / (mode + 1)) + np.log((sample - mode + 1) / (many - sample + mode + 1)))
+        return linear - sum(log_rising(float(a), float(x)) for a, x in parts)
+    while True:
+        u, v = rng.random(), rng.random()
+        x = centre + width * (v - 0.5) / u
+        if x < 0 or x >= end:
+            continue
+        k = int(np.floor(x))
+        t = log_ratio(k)
+        if u * (4 - u) - 3 <= t or (u * (u - t) < 1 and 2 * np.log(u) <= t):
+            break
+    if good > bad:
+        k = sample - k
+    return k if drawn <= total - drawn else good - k
+
+
 def hypergeometric(rng, good: int, bad: int, drawn: int) -> int:
-    """Good ones among *drawn*. Beyond numpy's limit the normal limit of the law is drawn;
-    the margins stay exact either way."""
+    """Good ones among *drawn*, exactly hypergeometric at any size."""
+    if not good or not bad or not drawn:
+        return min(good, drawn)
+    if drawn == good + bad:
+        return good
     if good + bad < NUMPY_LIMIT:
-        return int(rng.hypergeometric(good, bad, drawn)) if good and bad and drawn else min(good, drawn)
-    total, share = good + bad, good / (good + bad)
-    spread = np.sqrt(drawn * share * (1 - share) * (total - drawn) / max(total - 1, 1))
-    return int(np.clip(round(rng.normal(drawn * share, spread)), max(0, drawn - bad), min(good, drawn)))
+        return int(rng.hypergeometric(good, bad, drawn))
+    if min(good, bad, drawn, good + bad - drawn) < 16:
+        return by_steps(rng, good, bad, drawn)
+    return ratio_of_uniforms(rng, good, bad, drawn)
+
+
+def by_steps(rng, good: int, bad: int, drawn: int) -> int:
+    """Good ones among *drawn*, one by one over the smallest of the four classes."""
+    total = good + bad
+    if good > bad:
+        return drawn - by_steps(rng, bad, good, drawn)
+    if drawn > total - drawn:
+        return good - by_steps(rng, good, bad, total - drawn)
+    if drawn < good:  # the law does not change when classes and draws trade places
+        good, drawn = drawn, good
+    hit = 0
+    for k in range(good):
+        hit += int(rng.integers(total - k)) < drawn - hit
+    return hit
 
 
 def draw_matrix(counts: list[int], margins: list[int], seed: list[int]) -> list[list[int]]:
