@@ -148,7 +148,7 @@ def json_text_length(c: Column) -> Column:
     c = F.coalesce(c, F.lit(""))
     # counted by their matches: few characters are escaped, so few are touched
     short = F.regexp_count(c, F.lit(r'["\\\n\r\t\x08\f]'))
-    long_ = F.regexp_count(c, F.lit(r"[^\x08\x09\x0a\x0c\x0d\x20-\x7f]"))
+    long_ = F.regexp_count(c, F.lit(r"[^\x08\x09\x0a\x0c\x0d\x20-\x7e]"))
     astral = F.regexp_count(c, F.lit(r"[^\x{0}-\x{ffff}]"))
     return F.length(c) + 2 + short + 5 * long_ + 6 * astral
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .ordered import previous_value
+from .ordered import pin, previous_value
 
+#: Pairs of scans that may be broadcast, some 40 bytes each.
+FEW_PAIRS = 100_000
 BRIEF = ("finding_id", "title", "severity", "state", "source", "cwe", "file_path",
          "line_start", "endpoint")
 
@@ -88,14 +90,15 @@ def store_representatives(findings: DataFrame, name: str, path: str, buckets: in
 def stored_diff(new_findings: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """``scan_diff`` of new scans against stored representatives (pairs: scan_id, baseline_id).
 
-    Only the new side is exchanged: it goes to the buckets of the table, which is read in place. The pairs
-    reach the table as a broadcast as long as Spark finds them small. Several new scans may share a baseline.
+    Only the new side is exchanged: it goes to the buckets of the table, which is read in place. Up to FEW_PAIRS pairs
+    reach the table as a broadcast; more are joined like any table. Several new scans may share a baseline.
     """
-    stored = new_findings.sparkSession.table(name)
+    stored, pairs = new_findings.sparkSession.table(name), pin(pairs.select("scan_id", "baseline_id"))
     current = representatives(new_findings).withColumnRenamed("scan_id", "new_scan").join(
         pairs.select(F.col("scan_id").alias("new_scan"), F.col("baseline_id").alias("scan_id")), "new_scan")
     arrived = current.groupBy("scan_id", "fingerprint").agg(F.collect_list(F.struct("new_scan", "rep")).alias("arrived"))
     asked = pairs.groupBy(F.col("baseline_id").alias("scan_id")).agg(F.collect_set("scan_id").alias("news"))
+    asked = F.broadcast(asked) if pairs.count() <= FEW_PAIRS else asked
     base = stored.join(asked, "scan_id").select("scan_id", "fingerprint", F.col("rep").alias("base"), "news")
     met = base.join(arrived, ["scan_id", "fingerprint"], "full")
     each = met.select("fingerprint", "base", "arrived", F.explode(F.coalesce(

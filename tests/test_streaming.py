@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from auditspan import schema
 from auditspan.sources import tree
@@ -131,7 +132,8 @@ def test_whole_review(rows):
     files = rows("artifact_id string, path string, content string",
                  dict(artifact_id="a", path="api.py", content=DEPOT),
                  dict(artifact_id="a", path="cfg.py", content="token = 'abcdefgh123'\n"))
-    found = rows(schema.FINDING.add("artifact_id", "string"), dict(
+    layout = StructType([*schema.FINDING, StructField("artifact_id", StringType())])
+    found = rows(layout, dict(
         artifact_id="a", finding_id="1", title="Open move", severity="high", state="proposed",
         confidence=0.6, file_path="api.py", line_start=8, source="ai",
         code_snippet='@router.put("/crates/{crate_id}/shelf")'),
@@ -153,7 +155,7 @@ def test_whole_review(rows):
                   dict(artifact_id="a", finding_id="2", merged_into="1"))
     told = r.endpoints.select("artifact_id", "endpoint_id", F.lit("required").alias("authn"), F.lit("ownership").alias("authz"),
                               F.lit("low").alias("risk"), F.lit(None).cast("string").alias("notes"))
-    more = rows(schema.FINDING.add("artifact_id", "string"), dict(
+    more = rows(layout, dict(
         artifact_id="a", finding_id="3", title="Second look", severity="medium", state="proposed", confidence=0.5, file_path="cfg.py",
         line_start=40, source="ai", code_snippet="token = 'abcdefgh123'"))
     full = run_review(files, found, answers=Answers(triage=triage, second_look=more, endpoints=told, judged=judged, verdicts=said))
@@ -165,3 +167,66 @@ def test_whole_review(rows):
     assert rows_["3"].evidence_status == "relocated" and rows_["3"].line_start == 1
     left = {x.rule for x in rows_.values() if x.source == "access"}  # the map's verdicts answer the rest
     assert "access.idor" not in left and "access.missing-authn" not in left
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def until(query, spark, name, done, seconds=90):
+    """Rows of a memory sink once *done* holds for them."""
+    import time
+    end = time.time() + seconds
+    while time.time() < end:
+        got = [r.asDict() for r in spark.sql(f"SELECT * FROM {name}").collect()]
+        if done(got):
+            return got
+        time.sleep(0.5)
+    raise AssertionError(f"{query.lastProgress} {got[:5]}")
+
+
+def test_heartbeat_of_a_silent_scan(spark, log, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, ROCKS)
+    try:
+        feed = events.feed_stream(as_stream(spark, log, tmp_path), idle_seconds=1)
+        query = feed.writeStream.format("memory").queryName("beats").outputMode("append").trigger(processingTime="1 second").start()
+        try:
+            got = until(query, spark, "beats", lambda rows: any(r["type"] == "heartbeat" for r in rows))
+        finally:
+            query.stop()
+    finally:
+        spark.conf.unset(key)
+    beats = {r["scan_id"] for r in got if r["type"] == "heartbeat"}
+    assert beats == {"b"}  # scan a has ended
+    assert {(r["scan_id"], r["seq"]) for r in got if r["type"] != "heartbeat"} == {
+        (r.scan_id, r.seq) for r in events.until_terminal(log).collect()}
+
+
+def test_events_leave_the_ring(spark, log, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, ROCKS)
+    try:
+        gone = events.evicted_stream(as_stream(spark, log, tmp_path), n=3, idle_seconds=2)
+        query = gone.writeStream.format("memory").queryName("gone").outputMode("append").trigger(processingTime="1 second").start()
+        try:
+            got = until(query, spark, "gone", lambda rows: len(rows) == len(LOG))
+        finally:
+            query.stop()
+    finally:
+        spark.conf.unset(key)
+    kept = {(r.scan_id, r.seq) for r in events.retained(log, n=3).collect()}
+    assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "newer"} == {(e["scan_id"], e["seq"]) for e in LOG} - kept
+    assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "idle"} == kept
+
+
+def test_narration_pages(spark, rows):
+    texts = ["one ", "", None, "a longer token 😀 ", "x" * 23, "end"]
+    tokens = rows("scan_id string, seq long, text string", *[dict(scan_id="a", seq=k, text=t) for k, t in enumerate(texts * 4)],
+                  dict(scan_id="b", seq=1, text=None))
+    whole = "".join(t or "" for t in texts * 4)
+    pages = events.narration_pages(tokens, page=10, block=3)
+    got = {r.page_no: r.text for r in pages.collect()}
+    assert [got[k] for k in range(len(got))] == [whole[k:k + 10] for k in range(0, len(whole), 10)]
+    wanted = rows("scan_id string, first long, last long", dict(scan_id="a", first=7, last=41), dict(scan_id="a", first=0, last=5000))
+    cut = {r.first: r.text for r in events.narration_slice(pages, wanted, page=10).collect()}
+    assert cut == {7: whole[7:42], 0: whole}

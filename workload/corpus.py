@@ -435,7 +435,7 @@ def code_excerpts(spark, sf):
 
 # ---- packing -----------------------------------------------------------------------------------
 JSON_LEN = (r"(2 + length(content) + length(regexp_replace(content, '[^\x22\\\n\r\t\x08\x0C]', '', 'g')) "
-            r"+ 5 * length(regexp_replace(content, '[\x08\x09\x0A\x0C\x0D\x20-\x7F]', '', 'g')) "
+            r"+ 5 * length(regexp_replace(content, '[\x08\x09\x0A\x0C\x0D\x20-\x7E]', '', 'g')) "
             r"+ 6 * length(regexp_replace(content, '[\x{0}-\x{FFFF}]', '', 'g')))")
 TOKENS = f"SELECT artifact_id, path, CAST(floor({JSON_LEN} / 3.0) AS BIGINT) AS tokens FROM v_files"
 
