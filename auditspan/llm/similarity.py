@@ -217,13 +217,16 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     """The row of *docs* (doc_id, text and any others) with the least doc_id of each class of
     near duplicates; a null doc_id only where no other is. Of rows that repeat doc_id and
     text the least by all columns stays."""
-    rows = text_classes(docs)
+    rows = pin(text_classes(docs).select("doc_id", "key", "class"))
     keep = rows.groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"),
     ).select(F.col("s.doc_id").alias("_d"), F.col("s.key").alias("_k"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    stay = pin(keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))))
-    repeated = stay.groupBy("_d", "_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    stay = keyed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    # told from ids and hashes of texts, so that no text is stored for it
+    repeated = rows.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if repeated.isEmpty():
+        return stay.select(*docs.columns)
     same = stay["_d"].eqNullSafe(repeated["_d"]) & (stay["_k"] == repeated["_k"])
     more = stay.join(repeated, same, "left_semi")
     return stay.join(repeated, same, "left_anti").select(*docs.columns).unionByName(
