@@ -188,7 +188,7 @@ def test_heartbeat_of_a_silent_scan(spark, log, tmp_path):
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, ROCKS)
     try:
-        feed = events.feed_stream(as_stream(spark, log, tmp_path), idle_seconds=1)
+        feed = events.feed_stream(as_stream(spark, log, tmp_path, parts=1), idle_seconds=1)
         query = feed.writeStream.format("memory").queryName("beats").outputMode("append").trigger(processingTime="1 second").start()
         try:
             got = until(query, spark, "beats", lambda rows: any(r["type"] == "heartbeat" for r in rows))
@@ -206,7 +206,7 @@ def test_events_leave_the_ring(spark, log, tmp_path):
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, ROCKS)
     try:
-        gone = events.evicted_stream(as_stream(spark, log, tmp_path), n=3, idle_seconds=2)
+        gone = events.evicted_stream(as_stream(spark, log, tmp_path, parts=1), n=3, idle_seconds=2)
         query = gone.writeStream.format("memory").queryName("gone").outputMode("append").trigger(processingTime="1 second").start()
         try:
             got = until(query, spark, "gone", lambda rows: len(rows) == len(LOG))

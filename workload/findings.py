@@ -92,6 +92,13 @@ def scan_summary(spark, sf):
     return rollups.scan_summary(findings(spark, sf))
 
 
+@query("risk_bands", f"""
+SELECT scan_id, CASE WHEN score >= 66 THEN 'high' WHEN score >= 33 THEN 'medium' ELSE 'low' END AS band FROM (SELECT scan_id,
+  round(100 * (1 - 1 / (1 + sum(CASE WHEN state <> 'dismissed' THEN CAST({WEIGHT} AS DOUBLE) ELSE 0.0 END) / 25)), 1) AS score FROM v_findings GROUP BY 1)""")
+def risk_bands(spark, sf):
+    return rollups.scan_summary(findings(spark, sf)).select("scan_id", labels.risk_band(F.col("risk_score")).alias("band"))
+
+
 @query("category_counts", """
 SELECT scan_id, coalesce(category, 'uncategorized') AS category, count(*) AS n
 FROM v_findings WHERE state <> 'dismissed' GROUP BY 1, 2""")

@@ -299,6 +299,15 @@ def passive_findings(spark, sf):
     return responses.passive_findings(rows).select("run_id", "rule", "detail")
 
 
+@query("redacted_headers", """
+SELECT page_id, concat('a=', url, ';Authorization=<redacted>;COOKIE=<redacted>;x-page=', page_id) AS headers FROM pages""")
+def redacted_headers(spark, sf):
+    h = text.redact_headers(F.map_from_arrays(F.array(*[F.lit(k) for k in ("a", "Authorization", "COOKIE", "x-page")]),
+                                              F.array(F.col("url"), F.col("html"), F.lit("s=1"), F.col("page_id").cast("string"))))
+    shown = F.transform(F.map_entries(h), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, sf, "pages").select("page_id", F.array_join(shown, ";").alias("headers"))
+
+
 # ---- run policies ---------------------------------------------------------------------------------------
 @query("run_modes", """
 SELECT c_custkey AS target_id, CASE WHEN c_custkey % 3 = 0 THEN 'active_scan' WHEN c_custkey % 3 = 1 THEN 'access_control' ELSE 'access_control,active_scan' END AS checks,
