@@ -130,7 +130,8 @@ def lines_with(content: str, probes: list[str]) -> tuple[int, list[list[int]]]:
 
 def probe_lines(asked: DataFrame, files: DataFrame, keys=DOC) -> DataFrame:
     """(keys, path, tag, n_lines, lines) for *asked* (keys, path, tag, probes) whose file is there: the lines
-    that hold any of the probes, texts of WINDOW bytes or more without line breaks, as a part. (keys, path, tag) is unique.
+    that hold any of the probes, texts of WINDOW bytes or more without line breaks, as a part; null without
+    probes. (keys, path, tag) is unique.
 
     A file is read once for up to PROBES tags; only line numbers leave it.
     """
@@ -153,7 +154,7 @@ def probe_lines(asked: DataFrame, files: DataFrame, keys=DOC) -> DataFrame:
                     at.append(row)
                     tags.append(w["tag"])
                     counts.append(n)
-                    lines.append(sorted({line for p in w["probes"] for line in hits[p]}))
+                    lines.append(sorted({line for p in w["probes"] for line in hits[p]}) if w["probes"] else None)
             spot = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(spot) for c in (*keys, "path")]
@@ -181,16 +182,16 @@ def check_evidence(findings: DataFrame, files: DataFrame, keys=DOC) -> DataFrame
     asked = found.where("resolved IS NOT NULL").select(*keys, F.col("resolved").alias("path"), F.col("_snippet").alias("tag")) \
         .distinct().withColumn("probes", F.coalesce(text.snippet_probes(F.col("tag")), F.array().cast("array<string>")))
     searched = probe_lines(asked, files, keys).select(
-        *keys, F.col("path").alias("resolved"), F.col("tag").alias("_snippet"), F.col("n_lines").alias("_lines"), F.col("lines").alias("_hits"))
+        *keys, F.col("path").alias("resolved"), F.col("tag").alias("_snippet"), F.col("n_lines").alias("_lines"),
+        F.col("lines").isNotNull().alias("_probed"), F.coalesce("lines", F.array().cast("array<int>")).alias("_hits"))
     j = found.join(searched, [*keys, "resolved", "_snippet"], "left")
     ls, le, h = F.col("_ls"), F.col("_le"), F.col("_hits")
-    probes = F.coalesce(text.snippet_probes(F.col("_snippet")), F.array().cast("array<string>"))
     in_range = (ls >= 1) & (ls <= F.col("_lines"))
     status = (F.when(truthy(F.col("file_path")).isNull(), "no_location")
               .when(F.col("_lines").isNull(), "file_missing")
               .when(F.exists(h, lambda x: x.between(ls - 6, le + 6)), "verified")
               .when(F.size(h) > 0, "relocated")
-              .when(F.size(probes) > 0, F.when(in_range, "snippet_mismatch")
+              .when(F.col("_probed"), F.when(in_range, "snippet_mismatch")
                     .otherwise("line_out_of_range"))
               .otherwise(F.when(in_range, "location_only").otherwise("line_out_of_range")))
     nearest = F.array_min(F.transform(h, lambda x: F.struct(

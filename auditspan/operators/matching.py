@@ -7,12 +7,12 @@ group is ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.labels import truthy
-from .ordered import line_lookups, line_targets
+from .ordered import line_lookups, line_targets, pin
 
 SCAN = ("scan_id",)
 
@@ -52,16 +52,8 @@ def _key(name: str, *parts) -> dict:
     return {f"{name}1": F.xxhash64(*marked), f"{name}2": F.xxhash64(F.lit(7), *marked)}
 
 
-#: Reviewers that one word of a bitmap holds.
-BITS = 62
-
-
-def _bitmap(places) -> Column:
-    """Words with a bit for every place."""
-    words = F.transform(F.sequence(F.lit(0), F.coalesce(F.floor(F.array_max(places) / BITS).cast("int"), F.lit(0))), lambda w: F.aggregate(
-        F.filter(places, lambda p: F.floor(p / BITS) == w), F.lit(0).cast("long"),
-        lambda bits, p: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (p % BITS).cast("int")))))
-    return words
+#: Reviewers that one word of a bitmap holds, and reviewers whose numbers may be broadcast.
+BITS, FEW_REVIEWERS = 62, 10_000
 
 
 def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFrame:
@@ -69,10 +61,9 @@ def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFr
 
     Same issue: same file, lines within 3 or unknown, and equal CWE, or (when
     not both have one) a shared title word or an equal category. Files only one
-    reviewer reported on are settled by one small aggregation. In the others each reviewer of the
-    file is a bit: findings that look alike become one cell, cells of one (file, tag, line) one
-    bitmap, and only then are lines spread. Counting is a matter of bits, however many findings a
-    reviewer has.
+    reviewer reported on are settled by one small aggregation. In the others a reviewer is a bit: what
+    is reported under one (file, tag, line) becomes one bitmap, and only then are lines spread. All
+    groups are of numbers, so copies collapse before they are exchanged, and counting is a matter of bits.
     """
     c = F.col
     cwe = labels.cwe_prefix(truthy(c("cwe")))
@@ -81,12 +72,15 @@ def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFr
         F.array_compact(F.array(F.concat(F.lit("k:"), truthy(c("category"))))))
     group = [*[c(k) for k in keys], F.coalesce("file_path", F.lit(""))]
     marked = findings.withColumns({**_key("_g", *group), **_key("_p", *group, c("line_start"), cwe, F.array_join(loose, "\x01"))})
+    names = pin(findings.where("reviewed_by IS NOT NULL").select(c("reviewed_by").alias("_who")).distinct())
+    numbers = names.withColumn("_no", F.row_number().over(Window.orderBy("_who")) - 1)  # one row a reviewer
+    numbers = F.broadcast(numbers) if names.count() <= FEW_REVIEWERS else numbers
     narrow = marked.select("_g1", "_g2", "_p1", "_p2", c("line_start").alias("_line"), cwe.alias("_cwe"), loose.alias("_loose"),
-                           c("reviewed_by").alias("_who"))
-    shared = narrow.groupBy("_g1", "_g2").agg(F.array_sort(F.collect_set("_who")).alias("_all")).where(F.size("_all") > 1)
-    cells = narrow.join(shared, ["_g1", "_g2"]).groupBy("_p1", "_p2").agg(
-        *[F.first(x).alias(x) for x in ("_g1", "_g2", "_line", "_cwe", "_loose")],  # the same in all rows of a cell
-        _bitmap(F.collect_set(F.array_position("_all", c("_who")) - 1)).alias("_words"))
+                           c("reviewed_by").alias("_who")).join(numbers, "_who", "left").drop("_who")
+    shared = narrow.groupBy("_g1", "_g2").agg(F.min("_no").alias("_a"), F.max("_no").alias("_b")).where("_a <> _b").select("_g1", "_g2")
+    active = pin(narrow.join(shared, ["_g1", "_g2"], "left_semi").withColumns({
+        "_word": F.coalesce(F.floor(c("_no") / BITS).cast("int"), F.lit(0)),
+        "_bits": F.coalesce(F.expr(f"shiftleft(1L, _no % {BITS})"), F.lit(0).cast("long"))}).drop("_no"))
     has = c("_cwe").isNotNull()
     mark = lambda m: F.transform("_loose", lambda t: F.concat(F.lit(m), t))
     exact = F.array_compact(F.array(F.concat(F.lit("c:"), c("_cwe"))))
@@ -96,14 +90,14 @@ def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFr
     asked = F.concat(exact, F.when(has, mark("m")).otherwise(mark("n")))
     tag = lambda rows, *kept: rows.select(*kept, *[v.alias(k) for k, v in _key("_t", c("_g1"), c("_g2"), c("_tag")).items()])
     either = F.bit_or("_bits").alias("_bits")
-    per_line = tag(cells.select("_g1", "_g2", "_line", "_words", F.explode(offered).alias("_tag")), "_line", "_words").select(
-        "_t1", "_t2", "_line", F.posexplode("_words").alias("_word", "_bits")).groupBy("_t1", "_t2", "_line", "_word").agg(either)
+    per_line = tag(active.where("_bits <> 0").select("_g1", "_g2", "_line", "_word", "_bits", F.explode(offered).alias("_tag")),
+                   "_line", "_word", "_bits").groupBy("_t1", "_t2", "_line", "_word").agg(either)
     seen = per_line.select("_t1", "_t2", "_word", "_bits", F.explode(line_targets(c("_line"))).alias("_at")).groupBy(
         "_t1", "_t2", "_at", "_word").agg(either)
-    wants = tag(cells.select("_g1", "_g2", "_p1", "_p2", "_line", F.explode(asked).alias("_tag")), "_p1", "_p2", "_line").select(
-        "_p1", "_p2", "_t1", "_t2", F.explode(line_lookups(c("_line"))).alias("_at"))
+    wants = tag(active.select("_g1", "_g2", "_p1", "_p2", "_line", F.explode(asked).alias("_tag")), "_p1", "_p2", "_line").select(
+        "_p1", "_p2", "_t1", "_t2", F.explode(line_lookups(c("_line"))).alias("_at")).distinct()
     peers = wants.join(seen, ["_t1", "_t2", "_at"]).select("_p1", "_p2", "_word", "_bits").unionByName(
-        cells.select("_p1", "_p2", F.posexplode("_words").alias("_word", "_bits")))
+        active.select("_p1", "_p2", "_word", "_bits"))
     counted = peers.groupBy("_p1", "_p2", "_word").agg(either).groupBy("_p1", "_p2").agg(
         F.greatest(F.sum(F.bit_count("_bits")), F.lit(1)).alias("_n"))
     return marked.join(counted, ["_p1", "_p2"], "left").select(

@@ -145,7 +145,7 @@ def test_probe_lines(spark, rows, monkeypatch):
     assert set(got) == {f"t{k}" for k in range(len(probes))} | {"none"}
     for k, p in enumerate(probes):
         assert got[f"t{k}"].lines == [n for n, t in enumerate(lines, 1) if p in t or probes[0] in t]
-    assert got["none"].lines == [] and got["none"].n_lines == len(lines)
+    assert got["none"].lines is None and got["none"].n_lines == len(lines)
 
 
 # ---- packing ------------------------------------------------------------------------------------
