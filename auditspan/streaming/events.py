@@ -170,10 +170,10 @@ class _Feed(StatefulProcessor):
                 self._handle.registerTimer(
                     timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self._ended.exists():
             return
-        self._handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
+        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle * 1000)
         beat = dict.fromkeys(self._columns)
         beat.update(scan_id=key[0], type="heartbeat")
         yield pd.DataFrame([beat], columns=self._columns)
@@ -223,7 +223,7 @@ class _Ring(StatefulProcessor):
                 self._handle.deleteTimer(t)
             self._handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self._idle * 1000)
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         left = sorted(int(v[0]) for v in self._ring.values())
         self._ring.clear()
         if left:

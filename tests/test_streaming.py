@@ -172,48 +172,35 @@ def test_whole_review(rows):
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def until(query, spark, name, done, seconds=90):
-    """Rows of a memory sink once *done* holds for them."""
+def in_two_runs(spark, log, tmp_path, stream, columns):
+    """Rows of a stream over the log, and of its next run a while later, when another scan speaks."""
     import time
-    end = time.time() + seconds
-    while time.time() < end:
-        got = [r.asDict() for r in spark.sql(f"SELECT * FROM {name}").collect()]
-        if done(got):
-            return got
-        time.sleep(0.5)
-    raise AssertionError(f"{query.lastProgress} {got[:5]}")
-
-
-def test_heartbeat_of_a_silent_scan(spark, log, tmp_path):
-    key = "spark.sql.streaming.stateStore.providerClass"
+    key, path, out = "spark.sql.streaming.stateStore.providerClass", str(tmp_path / "log"), str(tmp_path / "out")
+    log.coalesce(1).write.parquet(path)
     spark.conf.set(key, ROCKS)
     try:
-        feed = events.feed_stream(as_stream(spark, log, tmp_path, parts=1), idle_seconds=1)
-        query = feed.writeStream.format("memory").queryName("beats").outputMode("append").trigger(processingTime="1 second").start()
-        try:
-            got = until(query, spark, "beats", lambda rows: any(r["type"] == "heartbeat" for r in rows))
-        finally:
-            query.stop()
+        for later in (False, True):
+            if later:
+                time.sleep(2)
+                log.where("scan_id = 'b' AND seq = 1").withColumn("scan_id", F.lit("z")).coalesce(1).write.mode("append").parquet(path)
+            query = stream(tree.event_stream(spark, path)).writeStream.format("parquet").option(
+                "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+            query.awaitTermination(120)
+            assert query.exception() is None
     finally:
         spark.conf.unset(key)
-    beats = {r["scan_id"] for r in got if r["type"] == "heartbeat"}
-    assert beats == {"b"}  # scan a has ended
+    return [r.asDict() for r in spark.read.schema(columns).parquet(out).collect()]
+
+
+def test_heartbeat_of_a_silent_scan(spark, log, tmp_path):
+    got = in_two_runs(spark, log, tmp_path, lambda e: events.feed_stream(e, idle_seconds=1), schema.EVENT)
+    assert {r["scan_id"] for r in got if r["type"] == "heartbeat"} == {"b"}  # scan a has ended, scan z just spoke
     assert {(r["scan_id"], r["seq"]) for r in got if r["type"] != "heartbeat"} == {
-        (r.scan_id, r.seq) for r in events.until_terminal(log).collect()}
+        (r.scan_id, r.seq) for r in events.until_terminal(log).collect()} | {("z", 1)}
 
 
 def test_events_leave_the_ring(spark, log, tmp_path):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, ROCKS)
-    try:
-        gone = events.evicted_stream(as_stream(spark, log, tmp_path, parts=1), n=3, idle_seconds=2)
-        query = gone.writeStream.format("memory").queryName("gone").outputMode("append").trigger(processingTime="1 second").start()
-        try:
-            got = until(query, spark, "gone", lambda rows: len(rows) == len(LOG))
-        finally:
-            query.stop()
-    finally:
-        spark.conf.unset(key)
+    got = in_two_runs(spark, log, tmp_path, lambda e: events.evicted_stream(e, n=3, idle_seconds=1), "scan_id string, seq long, reason string")
     kept = {(r.scan_id, r.seq) for r in events.retained(log, n=3).collect()}
     assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "newer"} == {(e["scan_id"], e["seq"]) for e in LOG} - kept
     assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "idle"} == kept
