@@ -169,43 +169,6 @@ def test_whole_review(rows):
     assert "access.idor" not in left and "access.missing-authn" not in left
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def in_two_runs(spark, log, tmp_path, stream, columns):
-    """Rows of a stream over the log, and of its next run a while later, when another scan speaks."""
-    import time
-    key, path, out = "spark.sql.streaming.stateStore.providerClass", str(tmp_path / "log"), str(tmp_path / "out")
-    log.coalesce(1).write.parquet(path)
-    spark.conf.set(key, ROCKS)
-    try:
-        for later in (False, True):
-            if later:
-                time.sleep(2)
-                log.where("scan_id = 'b' AND seq = 1").withColumn("scan_id", F.lit("z")).coalesce(1).write.mode("append").parquet(path)
-            query = stream(tree.event_stream(spark, path)).writeStream.format("parquet").option(
-                "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
-            query.awaitTermination(120)
-            assert query.exception() is None
-    finally:
-        spark.conf.unset(key)
-    return [r.asDict() for r in spark.read.schema(columns).parquet(out).collect()]
-
-
-def test_heartbeat_of_a_silent_scan(spark, log, tmp_path):
-    got = in_two_runs(spark, log, tmp_path, lambda e: events.feed_stream(e, idle_seconds=1), schema.EVENT)
-    assert {r["scan_id"] for r in got if r["type"] == "heartbeat"} == {"b"}  # scan a has ended, scan z just spoke
-    assert {(r["scan_id"], r["seq"]) for r in got if r["type"] != "heartbeat"} == {
-        (r.scan_id, r.seq) for r in events.until_terminal(log).collect()} | {("z", 1)}
-
-
-def test_events_leave_the_ring(spark, log, tmp_path):
-    got = in_two_runs(spark, log, tmp_path, lambda e: events.evicted_stream(e, n=3, idle_seconds=1), "scan_id string, seq long, reason string")
-    kept = {(r.scan_id, r.seq) for r in events.retained(log, n=3).collect()}
-    assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "newer"} == {(e["scan_id"], e["seq"]) for e in LOG} - kept
-    assert {(r["scan_id"], r["seq"]) for r in got if r["reason"] == "idle"} == kept
-
-
 def test_narration_pages(spark, rows):
     texts = ["one ", "", None, "a longer token 😀 ", "x" * 23, "end"]
     tokens = rows("scan_id string, seq long, text string", *[dict(scan_id="a", seq=k, text=t) for k, t in enumerate(texts * 4)],
