@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.labels import truthy
-from .ordered import line_lookups, line_targets, pin
+from .ordered import crowded_groups, line_lookups, line_targets, pin, split_crowded
 
 SCAN = ("scan_id",)
 
@@ -54,28 +54,71 @@ def _key(name: str, *parts) -> dict:
 
 #: Reviewers that one word of a bitmap holds, and reviewers whose numbers may be broadcast.
 BITS, FEW_REVIEWERS = 62, 10_000
+#: Rows of one file that are compared among themselves; files with more spread their lines.
+FEW_ROWS = 64
+
+
+def _file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_file", F.coalesce("file_path", F.lit("")))
+
+
+def _issue(findings: DataFrame) -> DataFrame:
+    """What decides whether two findings report the same issue: file, line, CWE and loose tags."""
+    c = F.col
+    loose = F.concat(
+        F.transform(labels.title_words(c("title")), lambda w: F.concat(F.lit("w:"), w)),
+        F.array_compact(F.array(F.concat(F.lit("k:"), truthy(c("category"))))))
+    return _file(findings).withColumns({"_cwe": labels.cwe_prefix(truthy(c("cwe"))), "_loose": loose})
 
 
 def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFrame:
     """Findings with the number of distinct reviewers reporting the same issue.
 
     Same issue: same file, lines within 3 or unknown, and equal CWE, or (when
-    not both have one) a shared title word or an equal category. Files only one
-    reviewer reported on are settled by one small aggregation. In the others a reviewer is a bit: what
-    is reported under one (file, tag, line) becomes one bitmap, and only then are lines spread. All
-    groups are of numbers, so copies collapse before they are exchanged, and counting is a matter of bits.
+    not both have one) a shared title word or an equal category. Findings are exchanged once: the up to FEW_ROWS
+    findings of a file meet in one row and are compared there. Only files with more spread their lines.
     """
+    rows = _issue(findings)
+    crowded = crowded_groups(rows, [*keys, "_file"], FEW_ROWS)
+    names = findings.columns
+    if crowded is None:
+        return _counted_together(rows, names, reviewers, keys)
+    few, many = split_crowded(rows, [*keys, "_file"], crowded)
+    return _counted_together(few, names, reviewers, keys).unionByName(_counted_by_line(pin(many), names, reviewers, keys))
+
+
+def _counted_together(rows: DataFrame, names, reviewers: int, keys) -> DataFrame:
+    """Counts of files with few findings, one row a file."""
     c = F.col
-    cwe = labels.cwe_prefix(truthy(c("cwe")))
-    loose = F.concat(
-        F.transform(labels.title_words(c("title")), lambda w: F.concat(F.lit("w:"), w)),
-        F.array_compact(F.array(F.concat(F.lit("k:"), truthy(c("category"))))))
-    group = [*[c(k) for k in keys], F.coalesce("file_path", F.lit(""))]
-    marked = findings.withColumns({**_key("_g", *group), **_key("_p", *group, c("line_start"), cwe, F.array_join(loose, "\x01"))})
-    names = pin(findings.where("reviewed_by IS NOT NULL").select(c("reviewed_by").alias("_who")).distinct())
-    numbers = names.withColumn("_no", F.row_number().over(Window.orderBy("_who")) - 1)  # one row a reviewer
-    numbers = F.broadcast(numbers) if names.count() <= FEW_REVIEWERS else numbers
-    narrow = marked.select("_g1", "_g2", "_p1", "_p2", c("line_start").alias("_line"), cwe.alias("_cwe"), loose.alias("_loose"),
+    item = F.struct(F.struct(*names).alias("row"), c("line_start").alias("line"), c("_cwe").alias("cwe"), c("_loose").alias("loose"),
+                    c("reviewed_by").alias("who"))
+    files = rows.repartition(*keys, "_file").groupBy(*keys, "_file").agg(
+        F.collect_list(item).alias("_all"), (F.min("reviewed_by") < F.max("reviewed_by")).alias("_shared"))
+
+    def peer(x, y):
+        near = x["line"].isNull() | y["line"].isNull() | (F.abs(x["line"].cast("long") - y["line"]) <= 3)
+        both = x["cwe"].isNotNull() & y["cwe"].isNotNull()
+        equal = x["line"].eqNullSafe(y["line"]) & x["cwe"].eqNullSafe(y["cwe"]) & (x["loose"] == y["loose"])
+        return y["who"].isNotNull() & (equal | near & F.when(both, x["cwe"] == y["cwe"]).otherwise(F.arrays_overlap(x["loose"], y["loose"])))
+
+    def count(x):
+        who = F.transform(F.filter("_all", lambda y: peer(x, y)), lambda y: y["who"])
+        return F.greatest(F.size(F.array_distinct(who)), F.lit(1))
+    told = F.transform("_all", lambda x: F.struct(x["row"].alias("row"), F.when(c("_shared"), count(x)).otherwise(1).alias("n")))
+    return files.select(F.explode(told).alias("_x")).select("_x.row.*", c("_x.n").cast("int").alias("agreement"),
+                                                             F.lit(reviewers).alias("reviewers"))
+
+
+def _counted_by_line(rows: DataFrame, names, reviewers: int, keys) -> DataFrame:
+    """Counts of files with many findings: a reviewer is a bit; what is reported under one (file, tag, line) becomes one
+    bitmap, and only then are lines spread. All groups are of numbers, so copies collapse before they are exchanged."""
+    c, cwe, loose = F.col, F.col("_cwe"), F.col("_loose")
+    group = [*[c(k) for k in keys], c("_file")]
+    marked = rows.withColumns({**_key("_g", *group), **_key("_p", *group, c("line_start"), cwe, F.array_join(loose, "\x01"))})
+    who = pin(rows.where("reviewed_by IS NOT NULL").select(c("reviewed_by").alias("_who")).distinct())
+    numbers = who.withColumn("_no", F.row_number().over(Window.orderBy("_who")) - 1)  # one row a reviewer
+    numbers = F.broadcast(numbers) if who.count() <= FEW_REVIEWERS else numbers
+    narrow = marked.select("_g1", "_g2", "_p1", "_p2", c("line_start").alias("_line"), "_cwe", "_loose",
                            c("reviewed_by").alias("_who")).join(numbers, "_who", "left").drop("_who")
     shared = narrow.groupBy("_g1", "_g2").agg(F.min("_no").alias("_a"), F.max("_no").alias("_b")).where("_a <> _b").select("_g1", "_g2")
     active = pin(narrow.join(shared, ["_g1", "_g2"], "left_semi").withColumns({
@@ -101,7 +144,7 @@ def reviewer_agreement(findings: DataFrame, reviewers: int, keys=SCAN) -> DataFr
     counted = peers.groupBy("_p1", "_p2", "_word").agg(either).groupBy("_p1", "_p2").agg(
         F.greatest(F.sum(F.bit_count("_bits")), F.lit(1)).alias("_n"))
     return marked.join(counted, ["_p1", "_p2"], "left").select(
-        *[c(n) for n in findings.columns],
+        *[c(n) for n in names],
         F.coalesce(c("_n"), F.lit(1)).cast("int").alias("agreement"),
         F.lit(reviewers).alias("reviewers"))
 

@@ -145,6 +145,21 @@ def ordered_position(df: DataFrame, keys, order, name: str = "pos") -> DataFrame
         (F.col("l._spot") - F.col("r._first") + F.col("r._before")).cast("bigint").alias(name))
 
 
+# ---- few and crowded groups ---------------------------------------------
+def crowded_groups(df: DataFrame, keys, most: int) -> DataFrame | None:
+    """Hashes of the groups with more than *most* rows, None if there are none. A small group that shares
+    the hash of a crowded one counts as crowded, which costs time only."""
+    found = pin(df.groupBy(F.xxhash64(*_cols(keys)).alias("_spot")).agg(F.count(F.lit(1)).alias("_rows")).where(
+        F.col("_rows") > most).select("_spot"))
+    return None if found.isEmpty() else found
+
+
+def split_crowded(df: DataFrame, keys, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other groups, and rows of the crowded ones."""
+    tagged = df.withColumn("_spot", F.xxhash64(*_cols(keys)))
+    return tuple(tagged.join(crowded, "_spot", how).drop("_spot") for how in ("left_anti", "left_semi"))
+
+
 # ---- line neighbourhoods ------------------------------------------------
 # "Within three lines, or either line unknown" becomes an equality on targets.
 ANY_LINE = -2_147_483_648
