@@ -328,7 +328,8 @@ def agreement(spark, sf):
 @query("agreement_histogram", AGREE + """
 SELECT concat(agreement, '/3') AS agreement, count(*) AS n FROM c GROUP BY 1""")
 def agreement_histogram(spark, sf):
-    return matching.agreement_histogram(matching.reviewer_agreement(findings(spark, sf), 3))
+    rows = findings(spark, sf).select(*[n for n in ISSUE if n != "finding_id"])
+    return matching.agreement_histogram(matching.reviewer_agreement(rows, 3))
 
 
 @query("carry_meta", """
