@@ -41,3 +41,17 @@ def test_agreement_of_small_and_crowded_files(rows, monkeypatch):
 def test_agreement_exchanges_findings_once(rows, monkeypatch):
     monkeypatch.setattr(matching, "FEW_ROWS", 10_000)
     assert _exchanges(matching.reviewer_agreement(_findings(rows), 3)) == 1
+
+
+def test_metadata_of_small_and_crowded_files(rows, monkeypatch):
+    found = _findings(rows)
+    judged, inputs = found.where("source = 'ai'"), found.where("source <> 'ai'")
+    got = _same_on_both_ways(lambda: matching.carry_metadata(judged, inputs, ["rule"], order="finding_id"), monkeypatch, matching, "FEW_ROWS")
+    assert len(got) == judged.count()
+
+
+def test_metadata_meets_inputs_in_one_join(rows, monkeypatch):
+    monkeypatch.setattr(matching, "FEW_ROWS", 10_000)
+    found = _findings(rows)
+    done = matching.carry_metadata(found.where("source = 'ai'"), found.where("source <> 'ai'"), ["rule"], order="finding_id")
+    assert "Generate" not in done._jdf.queryExecution().executedPlan().toString()
