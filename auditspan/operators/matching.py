@@ -231,30 +231,28 @@ def attach_verdicts(asked: DataFrame, answers: DataFrame, keys=("scan_id", "chun
     when a chunk came back complete but without a single usable id.
 
     asked: keys, id, ord, file_path, line_start; answers: keys, id, n (position),
-    file_path, line_start and a ``verdict`` payload. The last answer wins.
+    file_path, line_start and a ``verdict`` payload. The last answer wins. Questions and answers of a chunk, one
+    request to a model, are dealt together once; id, place and position are windows inside it.
     """
-    known = answers.join(asked.select(*keys, "id"), [*keys, "id"], "left_semi")
-    loose = answers.join(asked.select(*keys, "id"), [*keys, "id"], "left_anti")
-    by_id = known.groupBy(*keys, "id").agg(F.max_by("verdict", "n").alias("_by_id"))
-    by_loc = loose.groupBy(*keys, "file_path", "line_start").agg(
-        F.max_by("verdict", "n").alias("_by_loc"))
-    by_pos = loose.groupBy(*keys, F.col("n").alias("ord")).agg(
-        F.max_by("verdict", F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("_by_pos"))
-    sizes = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
-    got = answers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
-    ids = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ids"))
-    chunks = sizes.join(got, list(keys), "left").join(ids, list(keys), "left").select(
-        *keys, ((F.col("_asked") == F.col("_got")) & F.col("_ids").isNull())
-        .alias("_positional"))
-    a, l = asked.alias("a"), by_loc.alias("l")
-    on = F.col("a.file_path").eqNullSafe(F.col("l.file_path")) \
-        & F.col("a.line_start").eqNullSafe(F.col("l.line_start"))
+    c, keys = F.col, list(keys)
+    place = ["file_path", "line_start"]
+    questions = asked.select(*keys, "id", c("ord").alias("_at"), *place, F.struct(*asked.columns).alias("_asked"))
+    replies = answers.select(*keys, "id", c("n").alias("_at"), *place, "verdict")
+    rows = questions.unionByName(replies, allowMissingColumns=True).repartition(*keys)
+    is_asked = c("_asked").isNotNull()
+    within = lambda *by: Window.partitionBy(*keys, *by)
+    whole = F.lit(True)
     for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"l.{k}"))
-    located = a.join(l, on, "left").select("a.*", "l._by_loc")
-    joined = located.join(by_id, [*keys, "id"], "left").join(
-        by_pos, [*keys, "ord"], "left").join(chunks, list(keys), "left")
-    return joined.select(
-        *[F.col(c) for c in asked.columns],
-        F.coalesce("_by_id", "_by_loc", F.when(F.coalesce("_positional", F.lit(False)),
-                                               F.col("_by_pos"))).alias("verdict"))
+        whole = whole & c(k).isNotNull()
+    known = ~is_asked & whole & c("id").isNotNull() & F.max(is_asked).over(within("id"))
+    last = lambda which, order, *by: F.max_by(F.when(which, c("verdict")), F.when(which, order)).over(within(*by))
+    loose = ~is_asked & ~c("_known")
+    rows = rows.withColumn("_by_id", last(~is_asked & c("id").isNotNull(), c("_at"), "id")).withColumn("_known", known) \
+        .withColumn("_by_loc", last(loose, c("_at"), *place)) \
+        .withColumn("_by_pos", last(loose & c("_at").isNotNull(), F.coalesce(c("id").cast("string"), F.lit("")), "_at"))
+    tally = lambda which: F.count_if(which).over(within())
+    positional = (tally(is_asked) == tally(~is_asked)) & (tally(c("_known")) == 0)
+    rows = rows.withColumn("_positional", positional)
+    return rows.where(is_asked).select(
+        *[c(f"_asked.{n}").alias(n) for n in asked.columns],
+        F.when(whole, F.coalesce("_by_id", "_by_loc", F.when(c("_positional"), c("_by_pos")))).alias("verdict"))
