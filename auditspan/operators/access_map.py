@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed, paths, routes, text
 from ..functions.labels import truthy
 from ..functions.text import any_of, strip, uni
-from .blocks import LEAD, REACH, code_blocks, line_windows, stabbed, symbol_index
-from .ordered import ordered_position, pin, top_n
+from .blocks import DEFINITION_KEYWORDS, LEAD, REACH, defined_words, route_places, symbol_index
+from .ordered import few, ordered_position, pin, top_n
 
 DOC = ("artifact_id",)
 
@@ -113,9 +113,9 @@ def access_map(endpoints: DataFrame, files: DataFrame, context: DataFrame | None
                keys=DOC, reach: int | None = REACH, lead: int | None = LEAD) -> DataFrame:
     """Endpoints with handler location, hints, scope, id parameters and risk.
 
-    A route only carries line numbers: the block table says where its handler starts and ends
-    (*reach* lines below and *lead* above at most) and which logins cover it, the symbol index
-    where it is defined, and handler texts are cut beside their files.
+    The routes of a file meet it in one row, where it is told where their handlers start and end (*reach* lines below
+    and *lead* above at most), which logins cover them and what they say; a handler in another file is found by the
+    symbol index and looked at beside that file. *endpoints* is read several times: pass a stored table.
     """
     keys = list(keys)
     c = F.col
@@ -125,108 +125,85 @@ def access_map(endpoints: DataFrame, files: DataFrame, context: DataFrame | None
     eps = eps.withColumns({
         "method": F.upper(F.coalesce("method", F.lit("ANY"))),
         "path": F.coalesce("path", F.lit("/")), "line": F.coalesce("line", F.lit(1))})
-    spots = pin(_handler_spots(eps, files, keys))
-    blocks = pin(code_blocks(files, keys, ("guard", "asked"), _lines_of_interest(spots, keys), reach, lead)
-                 .where("kind = 'asked' OR hi IS NULL OR hi >= lo"))
-    placed = pin(_handler_ranges(spots, blocks.where("kind = 'asked'"), keys))
-    told = _with_texts(_with_file_auth(placed, blocks.where("kind = 'guard'"), keys), files, keys)
-    on = F.lit(True)
-    for k in (*keys, "file_path", "line", "framework", "handler"):
-        on = on & c(f"e.{k}").eqNullSafe(c(f"t.{k}"))
-    extra = [n for n in told.columns if n not in (*keys, "file_path", "line", "framework", "handler")]
-    enriched = eps.alias("e").join(told.alias("t"), on).select("e.*", *[f"t.{n}" for n in extra])
+    routed = _placed(_handler_spots(eps, files, keys), files, keys, reach, lead)
+    if not _elsewhere(eps).isEmpty():
+        routed = pin(routed)
+        routed = routed.where("NOT _far").unionByName(_with_remote(routed.where("_far"), files, keys, reach, lead))
+    enriched = routed.select(*eps.columns, "handler_file", "handler_line", "handler_start", "handler_end", "route_source",
+                             "handler_source", "file_auth", F.coalesce("_htext", F.lit("")).alias("_htext"), "_rtext")
     if context is None:
         flagged = enriched.withColumn("_enforced", F.lit(False))
     else:
-        on_scan = context.groupBy(*keys).agg(F.bool_or("enforces").alias("_enforced"))
+        on_scan = few(pin(context.where("enforces").select(*keys).distinct().withColumn("_enforced", F.lit(True))))
         flagged = enriched.join(on_scan, keys, "left").withColumn(
             "_enforced", F.coalesce("_enforced", F.lit(False)))
     return _derive(flagged, keys)
 
 
+def _elsewhere(eps: DataFrame) -> DataFrame:
+    """Routes of frameworks whose handlers live in other files."""
+    return eps.where(F.coalesce(F.lower("framework").isin("rails", "laravel", "django"), F.lit(False)))
+
+
 def _handler_spots(eps: DataFrame, files: DataFrame, keys) -> DataFrame:
-    """Distinct (keys, file_path, line, framework, handler) with handler_file and handler_line: elsewhere
-    by convention, else the definition of the handler's name within the next eight lines, else the route."""
+    """Routes with the place of a handler in another file (_hfile, _hline), which a convention gives, or
+    with the name (_name) to look for below the route."""
     c = F.col
+    name = F.element_at(F.split(F.coalesce("handler", F.lit("")), r"\."), -1)
+    there = _elsewhere(eps)
+    here = eps.where(~F.coalesce(F.lower("framework").isin("rails", "laravel", "django"), F.lit(False))).select(
+        "*", F.lit(None).cast("string").alias("_hfile"), F.lit(None).cast("int").alias("_hline"),
+        F.when(name.rlike(uni(r"^\w+$")), name).alias("_name"))
+    if there.isEmpty():
+        return here
     fw, key, symbol = _handler_keys()
-    remote = remote_handlers(eps, files, keys)
-    tagged = eps.select(*keys, "file_path", "line", "framework", "handler").distinct().withColumns(
-        {"_fw": fw, "_key": key, "_symbol": symbol}).alias("e")
+    tagged = there.withColumns({"_fw": fw, "_key": key, "_symbol": symbol}).alias("e")
     on = F.lit(True)
     for k in (*keys, "_fw", "_key", "_symbol"):
         on = on & c(f"e.{k}").eqNullSafe(c(f"r.{k}"))
-    spots = tagged.join(remote.alias("r"), on, "left").select(
-        *[c(f"e.{k}").alias(k) for k in (*keys, "file_path", "line", "framework", "handler")], "r._hfile", "r._hline")
-    name = F.element_at(F.split(F.coalesce("handler", F.lit("")), r"\."), -1)
-    local = c("_hfile").isNull() & ~F.coalesce(F.lower("framework").isin("rails", "laravel", "django"), F.lit(False))
-    spots = spots.withColumn("_name", F.when(local & name.rlike(uni(r"^\w+$")), name))
-    asked = spots.where("_name IS NOT NULL").select(*keys, "file_path", "line", "_name").distinct()
-    routed = files.join(asked.select(*keys, c("file_path").alias("path")).distinct(), [*keys, "path"], "left_semi")
-    words = symbol_index(routed, keys, ("word",)).select(
-        *keys, c("path").alias("file_path"), c("symbol").alias("_name"), c("line").alias("_at")).distinct()
-    defined = asked.join(words, [*keys, "file_path", "_name"]).where(c("_at").between(c("line"), c("line") + 8)).groupBy(
-        *keys, "file_path", "line", "_name").agg(F.min("_at").alias("_local"))
-    return spots.join(defined, [*keys, "file_path", "line", "_name"], "left").select(
-        *keys, "file_path", "line", "framework", "handler", F.coalesce("_hfile", "file_path").alias("handler_file"),
-        F.coalesce("_hline", "_local", "line").cast("int").alias("handler_line"))
-
-
-def _lines_of_interest(spots: DataFrame, keys) -> DataFrame:
-    """Route lines and handler lines: (keys, path, line)."""
-    c = F.col
-    return spots.select(*keys, c("file_path").alias("path"), c("line").cast("int").alias("line")).unionByName(
-        spots.select(*keys, c("handler_file").alias("path"), c("handler_line").alias("line"))).distinct()
+    return here.unionByName(tagged.join(remote_handlers(there, files, keys).alias("r"), on, "left").select(
+        *[c(f"e.{n}").alias(n) for n in eps.columns], "r._hfile", c("r._hline").cast("int").alias("_hline"),
+        F.lit(None).cast("string").alias("_name")))
 
 
-def _handler_ranges(spots: DataFrame, asked: DataFrame, keys) -> DataFrame:
-    """Where each handler starts and ends, and the route's and the handler's own line. In the route's own file a
-    handler stops above the next route."""
+def _placed(spots: DataFrame, files: DataFrame, keys, reach: int | None, lead: int | None) -> DataFrame:
+    """Routes beside their file, once a file: the handler's line (the definition of its name within the next eight lines,
+    else the route), where it starts and ends, the logins that cover the route, and its text. Of a handler elsewhere only
+    the route's own side is told. In its file a handler stops above the next route."""
     c = F.col
-    lines = spots.select(*keys, "file_path", c("line").cast("int").alias("line")).distinct()
-    own = lines.join(asked.select(*keys, c("path").alias("file_path"), "line", "lo", c("name").alias("route_source")),
-                     [*keys, "file_path", "line"])
-    following = Window.partitionBy(*keys, "file_path").orderBy("line")
-    own = own.withColumn("_next", F.lead("lo").over(following))
-    there = asked.select(*keys, c("path").alias("handler_file"), c("line").alias("handler_line"),
-                         c("lo").alias("_from"), c("hi").alias("_to"), c("name").alias("handler_source"))
-    far = c("handler_file") != c("file_path")
-    return spots.join(own, [*keys, "file_path", "line"]).join(there, [*keys, "handler_file", "handler_line"], "left").select(
-        *keys, "file_path", "line", "framework", "handler", "handler_file", "handler_line", far.alias("_far"),
-        F.when(far, c("_from")).otherwise(c("lo")).cast("int").alias("handler_start"),
-        F.when(far, c("_to")).otherwise(F.greatest(F.least(c("_to"), c("_next") - 1), c("line"))).cast("int").alias("handler_end"),
-        "route_source", "handler_source")
-
-
-def _with_file_auth(placed: DataFrame, guards: DataFrame, keys) -> DataFrame:
-    """Hints of the guards that cover the route, then those that cover a handler elsewhere."""
+    carried = [n for n in spots.columns if n not in (*keys, "file_path", "_name")]
+    nested = spots.groupBy(*keys, c("file_path").alias("path")).agg(F.collect_list(F.struct(*carried, "_name")).alias("_routes"))
+    rows = files.select(*keys, "path", "content").where("content IS NOT NULL").join(nested, [*keys, "path"]).withColumn(
+        "_lines", text.lines_of(c("content")))
+
+    def defined(r):
+        def names(i):
+            t = F.get("_lines", r["line"].cast("int") - 1 + i)
+            return t.contains(r["_name"]) & text.contains_any(t, DEFINITION_KEYWORDS) & F.array_contains(defined_words(t), r["_name"])
+        return F.when(r["_name"].isNotNull(), r["line"] + F.get(F.filter(F.sequence(F.lit(0), F.lit(8)), names), F.lit(0)))
+    rows = rows.select(*keys, "path", "content", "_routes", F.transform("_routes", lambda r: F.struct(
+        r["line"].cast("int").alias("line"), F.coalesce(r["_hline"], defined(r), r["line"]).cast("int").alias("at"),
+        F.coalesce(r["_hfile"] != c("path"), F.lit(False)).alias("far"))).alias("_asked"))
+    return route_places(rows, keys, "_routes", reach, lead).select(
+        *keys, c("path").alias("file_path"), *[f"_routes.{n}" for n in carried],
+        F.coalesce("_routes._hfile", "path").alias("handler_file"), c("at").alias("handler_line"), c("lo").alias("handler_start"),
+        c("hi").alias("handler_end"), c("source").alias("route_source"), c("there").alias("handler_source"),
+        c("hints").alias("file_auth"), c("body").alias("_htext"), F.coalesce("top", F.lit("")).alias("_rtext"), c("far").alias("_far"))
+
+
+def _with_remote(placed: DataFrame, files: DataFrame, keys, reach: int | None, lead: int | None) -> DataFrame:
+    """Routes whose handler lives in another file with what that file says about it."""
     c = F.col
-    points = _lines_of_interest(placed, keys)
-    hints = stabbed(points, guards, keys).groupBy(*keys, "path", "line").agg(F.array_distinct(F.transform(
-        F.array_sort(F.collect_set(F.struct("block_line", "name"))), lambda x: x["name"])).alias("_hints"))
-    here = hints.select(*keys, c("path").alias("file_path"), "line", c("_hints").alias("_own"))
-    there = hints.select(*keys, c("path").alias("handler_file"), c("line").alias("handler_line"), c("_hints").alias("_theirs"))
+    nested = placed.groupBy(*keys, c("handler_file").alias("path")).agg(F.collect_set(F.struct(
+        c("handler_line").alias("line"), c("handler_line").alias("at"), F.lit(False).alias("far"))).alias("_asked"))
+    rows = files.select(*keys, "path", "content").where("content IS NOT NULL").join(nested, [*keys, "path"])
+    there = route_places(rows, keys, None, reach, lead, bounded=False).select(
+        *keys, c("path").alias("handler_file"), c("at").alias("handler_line"), "lo", "hi", c("there").alias("_source"),
+        c("hints").alias("_theirs"), "body")
     none = F.array().cast("array<string>")
-    return placed.join(here, [*keys, "file_path", "line"], "left").join(there, [*keys, "handler_file", "handler_line"], "left") \
-        .withColumn("file_auth", F.when(c("_far"), F.array_union(F.coalesce("_own", none), F.coalesce("_theirs", none)))
-                    .otherwise(F.coalesce("_own", none))).drop("_own", "_theirs")
-
-
-def _with_texts(placed: DataFrame, files: DataFrame, keys) -> DataFrame:
-    """The handler's text and, where it lives elsewhere, three lines of the route."""
-    c = F.col
-    body = placed.select(*keys, c("handler_file").alias("path"), c("handler_start").alias("lo"), c("handler_end").alias("hi"))
-    route = placed.where("_far").select(*keys, c("file_path").alias("path"), c("line").cast("int").alias("lo"),
-                                        (c("line") + 2).cast("int").alias("hi"))
-    cut = pin(line_windows(body.unionByName(route).distinct(), files, keys).select(
-        *keys, "path", "lo", "hi", F.array_join("lines", "\n").alias("_text")))
-    bodies = cut.select(*keys, c("path").alias("handler_file"), c("lo").alias("handler_start"), c("hi").alias("handler_end"),
-                        c("_text").alias("_htext"))
-    routes_ = cut.select(*keys, c("path").alias("file_path"), c("lo").alias("line"), (c("hi") - 2).alias("_at"),
-                         c("_text").alias("_route")).where("line = _at").drop("_at")
-    return placed.join(bodies, [*keys, "handler_file", "handler_start", "handler_end"], "left").join(
-        routes_, [*keys, "file_path", "line"], "left").withColumns({
-            "_htext": F.coalesce("_htext", F.lit("")),
-            "_rtext": F.when(c("_far"), F.coalesce("_route", F.lit(""))).otherwise("")}).drop("_route", "_far")
+    return placed.join(there, [*keys, "handler_file", "handler_line"], "left").withColumns({
+        "handler_start": c("lo"), "handler_end": c("hi"), "handler_source": c("_source"), "_htext": c("body"),
+        "file_auth": F.array_union("file_auth", F.coalesce("_theirs", none))}).select(*placed.columns)
 
 
 def _derive(df: DataFrame, keys) -> DataFrame:

@@ -189,6 +189,30 @@ class Lines:
             source = self.bare[k - 1] if 0 < k <= len(self) else None
             yield "asked", source, k, self.start(k, lead), self.end(k, reach), 0
 
+    def source(self, line: int) -> str | None:
+        return self.bare[line - 1] if 0 < line <= len(self) else None
+
+    def cut(self, lo: int, hi: int) -> str:
+        return "\n".join(self.rows[max(lo, 1) - 1:max(hi, 0)])
+
+    def places(self, asked, reach: int | None, lead: int | None, bounded: bool):
+        """(lo, hi, source, there, hints, body, top) of each (line, at, far): a route at *line*, its handler at *at*."""
+        starts = {k: self.start(k, lead) for k in {a["line"] for a in asked}}
+        ordered = sorted(starts)
+        following = {k: starts[n] for k, n in zip(ordered, ordered[1:], strict=False)}
+        guards = list(self.guards())
+        for a in asked:
+            line, at, lo, hi, body, there, top = a["line"], a["at"], None, None, None, None, None
+            hints = list(dict.fromkeys(hint for k, end, hint in guards if k < line and (end is None or line <= end)))
+            if a["far"]:
+                top = self.cut(line, line + 2)
+            else:
+                lo, hi, there = starts[line], self.end(at, reach), self.source(at)
+                if bounded:
+                    hi = max(min(hi, following.get(line, hi + 1) - 1), line)
+                body = self.cut(lo, hi)
+            yield lo, hi, self.source(line), there, hints, body, top
+
 
 # ---- the block table ------------------------------------------------------------------------
 def code_blocks(files: DataFrame, keys=DOC, kinds=KINDS, asked: DataFrame | None = None,
@@ -229,6 +253,40 @@ def code_blocks(files: DataFrame, keys=DOC, kinds=KINDS, asked: DataFrame | None
     return rows.mapInArrow(scan, f"{kept}, {BLOCK}")
 
 
+PLACE = "lo int, hi int, source string, there string, hints array<string>, body string, top string"
+
+
+def route_places(rows: DataFrame, keys=DOC, beside: str | None = None, reach: int | None = REACH, lead: int | None = LEAD,
+                 bounded: bool = True) -> DataFrame:
+    """Routes and their handlers beside the file: (keys, path, beside, line, at, far, lo, hi, source, there, hints, body, top).
+
+    *rows*: keys, path, content and _asked, an array of (line, at, far), with the array *beside* of equal length. lo and hi:
+    lines of the handler at *at*, with its text as body (*bounded*: down to the next route); source and there: the lines
+    themselves; hints: logins that cover the route; top: three lines of a route whose handler is *far*, without lines here.
+    """
+    keys, names = list(keys), [f.strip().split()[0] for f in PLACE.split(",")]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+    extra = [] if beside is None else [beside]
+
+    def scan(batches):
+        for batch in batches:
+            at, columns = [], [[] for _ in names]
+            for row, (path, content, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "content", "_asked")),
+                                                             strict=True)):
+                for place in Lines(content, path or "").places(asked, reach, lead, bounded):
+                    at.append(row)
+                    for column, value in zip(columns, place, strict=True):
+                        column.append(value)
+            spot = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(spot) for c in (*keys, "path")] + [batch.column(c).flatten() for c in extra]
+                + batch.column("_asked").flatten().flatten() + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=[*keys, "path", *extra, "line", "at", "far", *names])
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in (*keys, "path")]
+    held = [f"`{c}` {rows.schema[c].dataType.elementType.simpleString()}" for c in extra]
+    return rows.mapInArrow(scan, ", ".join([*kept, *held, "line int, at int, far boolean", PLACE]))
+
+
 def stabbed(points: DataFrame, blocks: DataFrame, keys=DOC) -> DataFrame:
     """*points* (keys, path, line) with every block that holds the line: block_line, name.
 

@@ -146,6 +146,15 @@ def ordered_position(df: DataFrame, keys, order, name: str = "pos") -> DataFrame
 
 
 # ---- few and crowded groups ---------------------------------------------
+#: Rows of a small side that a join sends to every task.
+FEW_SIDE = 100_000
+
+
+def few(stored: DataFrame) -> DataFrame:
+    """A stored side of a join, sent to every task if it has few rows."""
+    return F.broadcast(stored) if stored.count() <= FEW_SIDE else stored
+
+
 def crowded_groups(df: DataFrame, keys, most: int) -> DataFrame | None:
     """Hashes of the groups with more than *most* rows, None if there are none. A small group that shares
     the hash of a crowded one counts as crowded, which costs time only."""
