@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, routes
-from .ordered import ordered_position, top_n
+from .ordered import crowded_groups, few, ordered_position, pin, split_crowded, top_n
 
 DOC = ("artifact_id",)
 OWASP = "A01:2021 - Broken Access Control"
@@ -15,6 +15,8 @@ OWASP = "A01:2021 - Broken Access Control"
 PEER_LABELS, PEER_CHARS = 100, 300
 # Routes that the one flag of a whole artifact lists; all are rows of unlocated_routes().
 AFFECTED = 200
+#: Routes of an artifact whose flags are made in windows of the artifact; those of more are placed by range.
+FEW_ROUTES = 20_000
 REMEDIATION = {
     "access.inconsistent-authn": "Give the route the login check of its siblings, best on the router or controller they share.",
     "access.inconsistent-authz": "Ask for the role that the sibling routes ask for.",
@@ -58,6 +60,22 @@ def sibling_groups(eps: DataFrame, keys=DOC) -> DataFrame:
     return fam.join(guards, on, "left").join(roles, on, "left")
 
 
+def _small_groups(eps: DataFrame, keys) -> DataFrame:
+    """The same, in one aggregation, of artifacts with few routes."""
+    roled, c = F.size("role_hints") > 0, F.col
+    fam = eps.groupBy(*keys, "resource").agg(
+        F.count_if(_protected()).alias("protected"),
+        F.count_if(_exposed() & ~c("likely_public")).alias("exposed"),
+        F.count_if(_protected() & roled).alias("roled"),
+        F.collect_set(F.when(_protected(), _label())).alias("_guards"),
+        F.collect_set(F.when(_protected() & roled, _label())).alias("_roles"))
+
+    def shown(n, labels_):
+        return F.when(c(n) > 0, F.substring(F.array_join(F.slice(F.array_sort(labels_), 1, PEER_LABELS), ", "), 1, PEER_CHARS))
+    return fam.select(*keys, "resource", "protected", "exposed", "roled", shown("protected", "_guards").alias("protected_peers"),
+                      shown("roled", "_roles").alias("roled_peers"))
+
+
 def sibling_peers(eps: DataFrame, keys=DOC) -> DataFrame:
     """Every protected route of a resource family and whether it checks a role."""
     return eps.where(_protected()).groupBy(*keys, "resource", _label().alias("endpoint")).agg(
@@ -99,14 +117,24 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
 
     Every rule reads the route plus two small summaries (its family and its
     artifact), so a route's flags come out of one row without windows. *eps* is
-    read by several branches: pass a stored table or a pinned map.
+    read by several branches: pass a stored table or a pinned map. Up to FEW_ROUTES
+    routes of an artifact are numbered in a window of it.
     """
     keys = list(keys)
+    seen = None if context is None else few(pin(context.select(*keys).distinct().withColumn("_ctx", F.lit(True))))
+    crowded = crowded_groups(eps, keys, FEW_ROUTES)
+    if crowded is None:
+        return _flags(eps, seen, keys, cap, per_route, True)
+    rest, many = split_crowded(eps, keys, crowded)
+    return _flags(rest, seen, keys, cap, per_route, True).unionByName(_flags(many, seen, keys, cap, per_route, False))
+
+
+def _flags(eps: DataFrame, seen: DataFrame | None, keys, cap: int | None, per_route: int | None, small: bool) -> DataFrame:
     c, label = F.col, _label()
-    rows = eps.join(sibling_groups(eps, keys), [*keys, "resource"]).join(
-        systemic_condition(eps, keys), keys)
-    if context is not None:
-        seen = context.select(*keys).distinct().withColumn("_ctx", F.lit(True))
+    condition = few(pin(systemic_condition(eps, keys)))
+    rows = eps.join(_small_groups(eps, keys) if small else sibling_groups(eps, keys), [*keys, "resource"]).join(
+        condition, keys)
+    if seen is not None:
         rows = rows.join(seen, keys, "left")
         note = F.when(c("_ctx"), " A global security configuration exists; check whether "
                                  "it covers this route.").otherwise("")
@@ -169,21 +197,24 @@ def access_flags(eps: DataFrame, context: DataFrame | None = None, keys=DOC,
         F.when(c("f.rule") == "access.idor", c("id_kind")).alias("id_kind"),
         F.lit(None).cast("string").alias("human_question"),
         F.array().cast("array<string>").alias("affected_endpoints"))
-    out = flags.unionByName(_systemic_flags(eps, keys))
+    out = flags.unionByName(_systemic_flags(eps, condition, keys))
     out = out.withColumns({"owasp": F.lit(OWASP), "category": F.lit("access-control"),
                            "source": F.lit("access"), "origin": F.lit("heuristic")})
     order = [labels.severity_rank(c("severity")), F.desc("confidence"),
              F.asc_nulls_last("file_path"), "line_start", F.asc_nulls_last("endpoint"),
              "rule", F.asc_nulls_last("endpoint_id")]
-    placed = ordered_position(out, list(keys), order, "_n") if cap is None else top_n(
-        out, keys, order, cap, "_n").withColumn("_n", c("_n") - 1)
+    if cap is not None:
+        placed = top_n(out, keys, order, cap, "_n").withColumn("_n", c("_n") - 1)
+    elif small:
+        placed = out.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    else:
+        placed = ordered_position(out, keys, order, "_n")
     return placed.withColumn("flag_id", F.concat(F.lit("h"), c("_n"))).drop("_n")
 
 
-def _systemic_flags(eps: DataFrame, keys) -> DataFrame:
+def _systemic_flags(eps: DataFrame, condition: DataFrame, keys) -> DataFrame:
     c = F.col
-    lost = eps.where(~c("likely_public") & (c("auth_scope") == "none")).join(
-        systemic_condition(eps, keys).where("systemic"), keys)
+    lost = eps.where(~c("likely_public") & (c("auth_scope") == "none")).join(condition.where("systemic"), keys)
     order = [c("file_path"), c("line"), c("method"), c("path")]
     first = top_n(lost.select(*keys, "unlocated", "non_public", "file_path", "line", "method",
                               "path", "handler_file", "handler_line", "handler_source",
