@@ -13,6 +13,8 @@ from . import fixed
 BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
           "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 BLANK_RUN = "[" + BLANKS + "]+"
+#: Runs of blanks that are not one plain space already.
+ODD_BLANKS = "[" + BLANKS + "]{2,}|[" + BLANKS.replace(" ", "") + "]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -62,7 +64,7 @@ def indent(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Trim and turn every run of blanks into one space."""
-    return F.regexp_replace(strip(c), BLANK_RUN, " ")
+    return F.trim(F.regexp_replace(c, ODD_BLANKS, " "))
 
 
 def lines_of(content: Column) -> Column:

@@ -122,3 +122,23 @@ def test_headers(spark):
     assert got == "x" * 60 + "Traceback (most recent call last)" + "y" * 60
     assert one(spark, text.escape_html(F.lit("<a href='x'>&</a>"))) == \
         "&lt;a href=&#x27;x&#x27;&gt;&amp;&lt;/a&gt;"
+
+
+def test_collapsed_blanks(spark, rows):
+    texts = [" a  b ", "\ta\t\tb\u00a0", "a b", "  ", "", None, "\u3000a \x85 b\n", "a\u2003b"]
+    from auditspan.functions import text
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").orderBy("k").select(
+        text.collapse(F.col("s")).alias("t")).collect()]
+    assert got == [t if t is None else " ".join(t.split()) for t in texts]
+
+
+def test_quotes_join_before_lines_are_made_distinct(spark, tmp_path):
+    from workload import corpus
+    spark.createDataFrame([(1, "one long line\nanother  long line\nshort\n")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, "another long line\n one long  line\none long line" if k < 2 else "else here", "en", "s", 9) for k in range(4)],
+                          "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus.benchmark_quotes(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join"):].count("Aggregate") == 1  # of the quotes
+    assert sorted((r.item_id, r.path, r.shared_lines) for r in found.collect()) == [
+        (1, "pkg/tests/d0.py", 2), (1, "vendor/lib/d1.py", 2)]

@@ -341,9 +341,11 @@ def benchmark_quotes(spark, sf):
     quotes = table(spark, sf, "benchmark").select("item_id", F.explode(
         text.lines_of(F.col("text"))).alias("t")).select(
         "item_id", text.collapse(F.col("t")).alias("t")).where(F.length("t") >= 8).distinct()
-    lines = corpus.numbered_lines(docs(spark, sf)).select(
-        "artifact_id", "path", text.collapse(F.col("text")).alias("t")).distinct()
-    return quotes.join(lines, "t").groupBy("item_id", "artifact_id", "path").agg(
+    # documents come in few files: texts are dealt anew before their lines are compared
+    lines = docs(spark, sf).select("artifact_id", "path", "content").repartition("artifact_id", "path").select(
+        "artifact_id", "path", text.lines_of(F.col("content")).alias("lines")).select(
+        "artifact_id", "path", F.explode(F.transform("lines", text.collapse)).alias("t"))
+    return quotes.join(lines, "t").distinct().groupBy("item_id", "artifact_id", "path").agg(
         F.count(F.lit(1)).alias("shared_lines"))
 
 
