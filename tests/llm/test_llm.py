@@ -375,6 +375,59 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(frame.where("vec_id < 0"), frame).count() == 0
 
 
+def test_neighbours_dealt_without_broadcast(spark):
+    """However few they look, queries times shards never go through the driver; float and double columns, other
+    lengths, repeated ids and queries of no shard's length."""
+    rng = np.random.default_rng(4)
+    table = [rng.normal(size=3 if k % 3 else 5).astype(np.float32).tolist() for k in range(240)]
+    rows = [*enumerate(table), (7, table[8]), (7, table[7]), (9, table[7]), (10_000_000_000, table[10])]
+    asked = [(k, table[k]) for k in range(0, 240, 20)] + [(40, table[40]), (40, table[41]), (900, table[7]), (901, [1.0, 2.0, 3.0, 4.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<float>")
+    for kind in ("float", "double"):
+        found = neighbours.nearest_neighbours(
+            frame, spark.createDataFrame(asked, f"id long, v array<{kind}>"), shard_rows=40, id_col="id", vector_col="v")
+        got = sorted(tuple(r) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        want = defaultdict(list)
+        for q, a in asked:
+            best = []
+            for k, b in rows:
+                if k != q and len(a) == len(b):
+                    x, y = np.array(a), np.array(b)
+                    best.append((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9), k))
+            want[q] += sorted(best)[:5]
+        want = [(q, r, k, -s) for q in sorted(want) for r, (s, k) in enumerate(sorted(want[q])[:5], 1)]
+        assert [(q, r, k, round(s, 9)) for q, r, k, s in got] == want and 901 not in {r[0] for r in got}
+
+
+def test_neighbours_shards_stay_few():
+    assert [neighbours.shard_count(n, 64 * n, 4096) for n in (0, 1, 4096, 4097, 131_072, 1_000_000)] == [1, 1, 1, 2, 32, 32]
+    assert neighbours.shard_count(10**8, 64 * 10**8, 4096) == -(-64 * 10**8 // neighbours.SHARD_NUMBERS)
+    assert neighbours.beam_width(10) == neighbours.beam_width(4096) == 120 and neighbours.beam_width(4 * 4096) == 240
+
+
+@pytest.mark.parametrize("crowd", (0, 1500))
+def test_neighbours_graph_in_blocks(crowd):
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=(3000, 24))
+    table[:crowd] = table[0] + 0.02 * rng.normal(size=(crowd, 24))
+    table = (table / np.linalg.norm(table, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(3000)]
+    graph = neighbours.Graph(table, 1)
+    assert len(graph.near) > 1 and sorted(graph.order) == list(range(3000))
+    for near in graph.near:
+        for node, links in enumerate(near):
+            own = links[links >= 0].tolist()
+            assert len(set(own)) == len(own) and node not in own and all(k < len(near) for k in own)
+    asked = np.concatenate([table[:100], -table[:50]])
+    found = graph.search(asked, 120)
+    best = np.argsort(-(asked @ table.T), axis=1, kind="stable")[:, :5]
+    assert all(len(set(f[f >= 0])) == (f >= 0).sum() for f in found)
+    assert sum(len(set(b) & set(f)) for b, f in zip(best.tolist(), found.tolist(), strict=True)) >= 0.97 * best.size
+    lone = neighbours.Graph(table[:1], 0).search(table[:2], 120)
+    assert lone[:, 0].tolist() == [0, 0] and (lone[:, 1:] == -1).all()
+
+
 def test_licenses(spark, docs, cases, none):
     mit = licenses.TEMPLATES[0][1]
     gone = mit.split()
