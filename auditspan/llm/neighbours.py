@@ -20,8 +20,9 @@ SHARDS, SHARD_NUMBERS = 32, 1 << 23
 #: Links of a node above the ground layer (twice as many on it); width of the beam while
 #: building and searching.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 80, 120
-#: Nodes that are linked together at first; nodes of a beam followed at a time; numbers in a work array.
-FIRST_ROWS, AT_ONCE, CELLS = 256, 8, 1 << 23
+#: Nodes that are linked together at first; nodes of a beam followed at a time; numbers in a work array;
+#: pairs of vectors multiplied at a time, which stay in the cache.
+FIRST_ROWS, AT_ONCE, CELLS, PAIRS = 256, 8, 1 << 23, 1024
 
 
 class Graph:
@@ -140,7 +141,8 @@ class Graph:
             seen[cell] = turn  # of two equal cells one stays
             new = seen[cell] == turn
             row, links = row[new], links[new]
-            s = np.einsum("ij,ij->i", self.vectors[links], queries[row])
+            s = np.concatenate([np.einsum("ij,ij->i", self.vectors[links[lo:lo + PAIRS]], queries[row[lo:lo + PAIRS]])
+                                for lo in range(0, len(row) or 1, PAIRS)])
             nearer = s > score[row, -1]
             row, links, s = row[nearer], links[nearer], s[nearer]
             rows, first, at, count = np.unique(row, return_index=True, return_inverse=True, return_counts=True)
